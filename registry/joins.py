@@ -13,7 +13,7 @@ from tidemark.operators.quality import duplicate_keys
 
 @query(
     "J1_bars_left_join_chain",
-    "date:d symbol:i close:f adj_factor:f total_mv:f prev_close:f volume:g amount:g missing_inputs:b",
+    "date:d symbol:i close:f adj_factor:f total_mv:g prev_close:f volume:g amount:g missing_inputs:b",
     """SELECT b.date, b.symbol, b.close, m.adj_factor, m.total_mv, m.prev_close, b.volume * 100 AS volume,
        b.amount * 1000 AS amount, m.adj_factor IS NULL OR m.total_mv IS NULL AS missing_inputs
        FROM bars b LEFT JOIN (SELECT * FROM market WHERE symbol % 10 <> 4) m USING (symbol, date)""",

@@ -229,7 +229,7 @@ class Tables:
             "date", F.product(1 + F.coalesce("rb", F.lit(0.0))).over(bw.rowsBetween(Window.unboundedPreceding, 0)).alias("benchmark_nav")
         )
         w = Window.partitionBy("arm").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        ret = F.coalesce(F.least(F.greatest(F.col("r") * 0.01, F.lit(-0.05)), F.lit(0.05)), F.lit(0.0))
+        ret = F.coalesce(F.least(F.greatest((F.col("r") - 1.7) * 0.01, F.lit(-0.05)), F.lit(0.05)), F.lit(0.0))
         return day.join(F.broadcast(bench), "date").select(
             "arm", "date", F.product(1 + ret).over(w).alias("nav"), "benchmark_nav",
             (F.dayofyear("date") % 10 / 10).alias("gross_exposure"),
@@ -334,7 +334,7 @@ ORACLE_VIEWS: dict[str, str] = {
     "curves": """SELECT arm, date, product(1 + ret) OVER w AS nav, benchmark_nav,
         (dayofyear(date) % 10) / 10 AS gross_exposure, sum(amount * 1e-9::DOUBLE) OVER w AS cumulative_notional,
         sum(amount * 1e-12::DOUBLE) OVER w AS cumulative_fees FROM (
-        SELECT 'arm' || symbol % 4 AS arm, date, coalesce(least(greatest(avg(return_1d) * 0.01, -0.05), 0.05), 0) AS ret,
+        SELECT 'arm' || symbol % 4 AS arm, date, coalesce(least(greatest((avg(return_1d) - 1.7) * 0.01, -0.05), 0.05), 0) AS ret,
           sum(amount) AS amount FROM price_features GROUP BY 1, 2) JOIN (
         SELECT date, product(1 + rb) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS benchmark_nav FROM (
           SELECT date, CASE WHEN lag(close) OVER (ORDER BY date) IS NULL THEN 0
