@@ -144,12 +144,13 @@ def fifo_match(buys: DataFrame, sells: DataFrame) -> DataFrame:
     )
     cuts = axis.groupBy("symbol", "_end").agg(F.max("_b").alias("_b"), F.max("_s").alias("_s"))
     w = Window.partitionBy("symbol").orderBy("_end")
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    # the owner of a slice is the next end point at or after it: read the axis backward
+    ahead = Window.partitionBy("symbol").orderBy(F.col("_end").desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = cuts.select(
         "symbol",
         (F.col("_end") - F.coalesce(F.lag("_end").over(w), F.lit(0.0))).alias("shares"),
-        F.first("_b", ignorenulls=True).over(ahead).alias("_b"),
-        F.first("_s", ignorenulls=True).over(ahead).alias("_s"),
+        F.last("_b", ignorenulls=True).over(ahead).alias("_b"),
+        F.last("_s", ignorenulls=True).over(ahead).alias("_s"),
     )
     return out.where(
         F.col("_b").isNotNull() & F.col("_s").isNotNull() & (F.col("_b.sellable_date") <= F.col("_s.sell_date"))
