@@ -129,3 +129,46 @@ def selection_overlap(sel: DataFrame, base_arm: str, arms: Sequence[str]) -> Dat
         ]
     )
     return per.select("signal_date", F.explode(each).alias("e")).select("signal_date", "e.*")
+
+
+def exclude_explained(matched: DataFrame, explained: DataFrame, field: str, tolerance: tuple[float, float]) -> DataFrame:
+    """Drop a field from the comparison where it differs for a known reason.
+
+    ``explained`` holds (symbol, date), for example ex-dividend days on which one source
+    shows the adjusted previous close.  The value becomes null, so it counts neither way.
+    """
+    known = explained.select("symbol", "date", F.lit(True).alias("_known")).distinct()
+    ok = close_enough(F.col(f"a_{field}"), F.col(f"b_{field}"), *tolerance)
+    skip = F.coalesce(F.col("_known"), F.lit(False)) & F.coalesce(~ok, F.lit(False))
+    return matched.join(known, ["symbol", "date"], "left").withColumn(
+        f"b_{field}", F.when(skip, None).otherwise(F.col(f"b_{field}"))
+    ).drop("_known")
+
+
+def reconcile_versions(
+    versions: DataFrame, independent: DataFrame, keys: Sequence[str], order: Sequence[str], absolute: float, relative: float
+) -> DataFrame:
+    """Does an independent figure match any retained revision, and is its date among theirs?
+
+    The latest revision is the largest in ``order``.  One pass: the independent value has
+    one row per key, so it joins before the aggregate.
+    """
+    joined = versions.join(independent, list(keys))
+    close = close_enough(F.col("value"), F.col("independent_value"), absolute, relative)
+    return joined.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("versions"),
+        F.max_by("value", F.struct(*order)).alias("latest_value"),
+        F.max("independent_value").alias("independent_value"),
+        F.bool_or(close).alias("matches_any"),
+        F.bool_or(F.col("announced") == F.col("independent_announced")).alias("announced_known"),
+    )
+
+
+def retention(reconciled: DataFrame) -> DataFrame:
+    """Match rates over compared keys and the share of keys with several revisions."""
+    return reconciled.agg(
+        F.count("matches_any").alias("compared"),
+        F.avg(F.col("matches_any").cast("double")).alias("value_match_rate"),
+        F.avg(F.col("announced_known").cast("double")).alias("date_match_rate"),
+        F.avg((F.col("versions") > 1).cast("double")).alias("retention_rate"),
+    )
