@@ -247,12 +247,48 @@ def symbol_chunks(symbols: DataFrame, size: int = 200) -> DataFrame:
     """Chunk number of each symbol in sorted order, from exact distributed ranks."""
     from tidemark.operators.xsec import ordinal_rank
 
-    ranked = ordinal_rank(symbols.select("symbol").distinct().withColumn("_one", F.lit(1)), ["_one"], "_one", "symbol", "_r") \
-        if dict(symbols.dtypes)["symbol"] == "string" else ordinal_rank(
-            symbols.select("symbol").distinct().withColumn("_one", F.lit(1)).withColumn("_k", F.col("symbol").cast("double")), ["_one"], "_k", "symbol", "_r")
+    one = symbols.select("symbol").distinct().withColumns({"_all": F.lit(1), "_same": F.lit(0.0)})
+    # every value ties, so the order is that of the symbol itself
+    ranked = ordinal_rank(one, ["_all"], "_same", "symbol", "_r")
     return ranked.select("symbol", F.floor((F.col("_r") - 1) / size).cast("long").alias("chunk"))
 
 
+def expand_tasks(endpoints: DataFrame, cal: DataFrame, stop: str) -> DataFrame:
+    """Requests of each endpoint by its split unit: trade_date, month, quarter, year or snapshot."""
+    from tidemark.operators.calendar import period_spine
+
+    e = endpoints.withColumn("_stop", F.lit(stop).cast("date"))
+    out = e.where(F.col("split_unit") == "snapshot").select(
+        "api_name", "split_unit", F.col("earliest").alias("start_date"), F.col("_stop").alias("end_date")
+    )
+    # the calendar has at most one row per day and the endpoint list is a short table
+    daily = cal.crossJoin(F.broadcast(e.where(F.col("split_unit") == "trade_date"))).where(
+        F.col("date").between(F.col("earliest"), F.col("_stop"))
+    )
+    out = out.unionByName(daily.select("api_name", "split_unit", F.col("date").alias("start_date"), F.col("date").alias("end_date")))
+    for unit in ("month", "quarter", "year"):
+        spine = period_spine(e.where(F.col("split_unit") == unit), "earliest", "_stop", unit)
+        out = out.unionByName(
+            spine.select("api_name", "split_unit", F.col("period_start").alias("start_date"), F.col("period_stop").alias("end_date"))
+        )
+    return out
+
+
+def closed_report_period(day: Column) -> Column:
+    """Last report period whose filing season is over on a date.
+
+    Annual and first-quarter reports close at the end of April, half-year reports at the
+    end of August, third-quarter reports at the end of October.
+    """
+    y, m = F.year(day), F.month(day)
+    return (
+        F.when(m >= 11, F.make_date(y, F.lit(9), F.lit(30)))
+        .when(m >= 9, F.make_date(y, F.lit(6), F.lit(30)))
+        .when(m >= 5, F.make_date(y, F.lit(3), F.lit(31)))
+        .otherwise(F.make_date(y - 1, F.lit(9), F.lit(30)))
+    )
+
+
 # Request parameters that always take part in a partition name, in order.
 DATE_KEYS = ["trade_date", "start_date", "end_date", "ann_date", "f_ann_date", "period", "float_date", "month", "surv_date", "report_date"]
 LONGEST_PART = 48
