@@ -305,7 +305,7 @@ def _(t):
 
 @query("R21_rank_ic", "signal_date:d factor:s horizon_days:i observations:i spearman_ic:f", "SELECT * FROM ic_rows")
 def _(t):
-    return dx.rank_ic(long_panel(t), [21, 63], MIN_OBS)
+    return dx.rank_ic(long_panel(t), [21, 63], MIN_OBS, factor_panel(t).small)
 
 
 @query(
@@ -314,7 +314,7 @@ def _(t):
     "SELECT * FROM ic_summary",
 )
 def _(t):
-    return dx.summarise_ic(dx.rank_ic(long_panel(t), [21, 63], MIN_OBS))
+    return dx.summarise_ic(dx.rank_ic(long_panel(t), [21, 63], MIN_OBS, factor_panel(t).small))
 
 
 @query(
@@ -323,7 +323,7 @@ def _(t):
     "SELECT * FROM quantile_rows",
 )
 def _(t):
-    return dx.quantile_returns(long_panel(t), [21, 63], 5)
+    return dx.quantile_returns(long_panel(t), [21, 63], 5, factor_panel(t).small)
 
 
 @query(
@@ -332,7 +332,7 @@ def _(t):
     "SELECT * FROM quantile_summary",
 )
 def _(t):
-    return dx.summarise_quantiles(dx.quantile_returns(long_panel(t), [21, 63], 5), 5)
+    return dx.summarise_quantiles(dx.quantile_returns(long_panel(t), [21, 63], 5, factor_panel(t).small), 5)
 
 
 @query(
@@ -341,7 +341,7 @@ def _(t):
     "SELECT * FROM exposure_rows",
 )
 def _(t):
-    return dx.exposures(long_panel(t))
+    return dx.exposures(long_panel(t), factor_panel(t).small)
 
 
 @query(
@@ -350,7 +350,7 @@ def _(t):
     "SELECT * FROM exposure_summary",
 )
 def _(t):
-    return dx.summarise_exposures(dx.exposures(long_panel(t)))
+    return dx.summarise_exposures(dx.exposures(long_panel(t), factor_panel(t).small))
 
 
 _EV = "valid_ic_periods:i mean_ic:f positive_ic_ratio:f valid_spread_periods:i top_minus_bottom_mean_return:f"
@@ -363,7 +363,7 @@ _EV = "valid_ic_periods:i mean_ic:f positive_ic_ratio:f valid_spread_periods:i t
 )
 def _(t):
     long = dx.horizons_long(long_panel(t), [21, 63], ["signal_date", "symbol", "factor", "z"]).withColumnRenamed("z", "score")
-    return dx.score_evidence(long, ["factor", "horizon_days"], 5, MIN_OBS)
+    return dx.score_evidence(long, ["factor", "horizon_days"], 5, MIN_OBS, factor_panel(t).small)
 
 
 _CASES = ", ".join(["('full', '', 9, 5)"] + [f"('without_{n}', '{n}', 8, 4)" for n in NAMES])
@@ -384,7 +384,7 @@ _CASES = ", ".join(["('full', '', 9, 5)"] + [f"('without_{n}', '{n}', 8, 4)" for
 )
 def _(t):
     p = factor_panel(t)
-    return dx.ablation(p.scores, p.rows, NAMES, [21, 63], 5, MIN_OBS)
+    return dx.ablation(p.scores, p.rows, NAMES, [21, 63], 5, MIN_OBS, p.small)
 
 
 @query(
@@ -394,7 +394,7 @@ def _(t):
 )
 def _(t):
     comp = long_panel(t).where(F.col("factor") == factors.COMPOSITE)
-    return dx.rolling_validation(comp, [21, 63], 2, 1, 5, MIN_OBS).withColumnRenamed("window", "window_no")
+    return dx.rolling_validation(comp, [21, 63], 2, 1, 5, MIN_OBS, factor_panel(t).small).withColumnRenamed("window", "window_no")
 
 
 @query(
@@ -403,7 +403,7 @@ def _(t):
     "SELECT * FROM cost_rows",
 )
 def _(t):
-    return dx.cost_stress(long_panel(t), 5, [5.0, 10.0, 20.0])
+    return dx.cost_stress(long_panel(t), 5, [5.0, 10.0, 20.0], small=factor_panel(t).small)
 
 
 @query(
@@ -413,7 +413,7 @@ def _(t):
     "SELECT * FROM cost_summary",
 )
 def _(t):
-    return dx.summarise_costs(dx.cost_stress(long_panel(t), 5, [5.0, 10.0, 20.0]))
+    return dx.summarise_costs(dx.cost_stress(long_panel(t), 5, [5.0, 10.0, 20.0], small=factor_panel(t).small))
 
 
 _GATE_VALUES = """SELECT (SELECT count(DISTINCT signal_date) FROM panel_rows) AS signal_dates,
@@ -436,11 +436,11 @@ _OPS = {"ge": ">=", "gt": ">", "le": "<="}
     + ") SELECT *, bool_and(passed) OVER () AS all_passed, CASE WHEN bool_and(passed) OVER () THEN 'eligible_for_manual_candidate_review' ELSE 'insufficient_consistent_evidence' END AS decision FROM c",
 )
 def _(t):
-    p = long_panel(t)
+    p, small = long_panel(t), factor_panel(t).small
     comp = p.where(F.col("factor") == factors.COMPOSITE)
     ev = governance.factor_evidence(
-        dx.coverage(comp), dx.summarise_ic(dx.rank_ic(comp, [21], MIN_OBS)),
-        dx.summarise_quantiles(dx.quantile_returns(comp, [21], 5), 5), dx.summarise_exposures(dx.exposures(comp)),
-        dx.rolling_validation(comp, [21], 2, 1, 5, MIN_OBS), dx.summarise_costs(dx.cost_stress(comp, 5, [20.0])), 21, 20.0,
+        dx.coverage(comp), dx.summarise_ic(dx.rank_ic(comp, [21], MIN_OBS, small)),
+        dx.summarise_quantiles(dx.quantile_returns(comp, [21], 5, small), 5), dx.summarise_exposures(dx.exposures(comp, small)),
+        dx.rolling_validation(comp, [21], 2, 1, 5, MIN_OBS, small), dx.summarise_costs(dx.cost_stress(comp, 5, [20.0], small=small)), 21, 20.0,
     )
     return governance.factor_governance(ev, True)

@@ -38,15 +38,18 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, quantiles: Mappin
     return place.groupBy(*by).agg(F.max("_n").alias("n"), *hits)
 
 
-def summarise(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def summarise(df: DataFrame, by: Sequence[str], value: str, small: bool = False) -> DataFrame:
     """Count, mean, median, sample deviation, share above zero and maximum of the non-null values."""
     by = list(by)
     x = F.col(value)
     base = df.where(x.isNotNull())
-    stats = base.groupBy(*by).agg(
+    aggs = [
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("deviation"),
         F.avg((x > 0).cast("double")).alias("positive_ratio"), F.max(x).alias("maximum"),
-    )
+    ]
+    if small:  # the exact median keeps a group's values in one task
+        return base.groupBy(*by).agg(*aggs, F.median(x).alias("median"))
+    stats = base.groupBy(*by).agg(*aggs)
     med = exact_quantiles(base, by, value, [0.5], ["median"]).drop("n")
     return stats.join(med, by)
 

@@ -1,7 +1,9 @@
 """Factor diagnostics over long scores: coverage, rank correlation, spreads, exposures, costs.
 
 Input rows carry signal_date, symbol, factor, raw, z, universe_size, industry_code,
-log_total_market_value and forward_return_* columns.
+log_total_market_value and forward_return_* columns.  ``small`` says that a cross-section is
+known to fit one task (see ``xsec.fits_one_task``); summaries over dates always do, because a
+date list is bounded by the calendar.
 """
 
 from __future__ import annotations
@@ -40,18 +42,18 @@ def coverage(df: DataFrame) -> DataFrame:
     )
 
 
-def rank_ic(df: DataFrame, horizons: Sequence[int], minimum: int = 20) -> DataFrame:
+def rank_ic(df: DataFrame, horizons: Sequence[int], minimum: int = 20, small: bool = False) -> DataFrame:
     """Spearman correlation of score and forward return per date, factor and horizon."""
     if minimum < 3:
         raise ValueError("minimum must be at least 3")
     long = horizons_long(df, horizons, ["signal_date", "symbol", "factor", "z"])
-    return xsec.spearman(long, [*_DF, "horizon_days"], "z", "ret", minimum, "spearman_ic")
+    return xsec.spearman(long, [*_DF, "horizon_days"], "z", "ret", minimum, "spearman_ic", small)
 
 
 def summarise_ic(ic: DataFrame) -> DataFrame:
     """Mean, median, deviation, IR, t statistic and share of positive periods."""
     by = ["factor", "horizon_days"]
-    s = summarise(ic, by, "spearman_ic")
+    s = summarise(ic, by, "spearman_ic", small=True)
     ok = (F.col("n") > 1) & (F.col("deviation") > 0)
     every = ic.select(*by).distinct()
     return every.join(s, by, "left").select(
@@ -66,14 +68,14 @@ def summarise_ic(ic: DataFrame) -> DataFrame:
     )
 
 
-def quantile_returns(df: DataFrame, horizons: Sequence[int], q: int = 5) -> DataFrame:
+def quantile_returns(df: DataFrame, horizons: Sequence[int], q: int = 5, small: bool = False) -> DataFrame:
     """Mean and median forward return per score bucket; buckets are cut on all scored rows."""
     if q < 2:
         raise ValueError("q must be at least 2")
-    labelled = xsec.quantile_label(df, _DF, "z", "symbol", q).where(F.col("quantile").isNotNull())
+    labelled = xsec.quantile_label(df, _DF, "z", "symbol", q, small=small).where(F.col("quantile").isNotNull())
     long = horizons_long(labelled, horizons, ["signal_date", "symbol", "factor", "quantile"])
     by = ["signal_date", "factor", "horizon_days", "quantile"]
-    s = summarise(long, by, "ret")
+    s = summarise(long, by, "ret", small)
     return s.select(
         *by, F.col("n").alias("observations"), F.col("mean").alias("mean_forward_return"),
         F.col("median").alias("median_forward_return"),
@@ -94,9 +96,9 @@ def summarise_quantiles(qr: DataFrame, q: int) -> DataFrame:
     )
 
 
-def exposures(df: DataFrame) -> DataFrame:
+def exposures(df: DataFrame, small: bool = False) -> DataFrame:
     """Size correlation, variance explained by industry and the largest industry mean."""
-    size = xsec.spearman(df, _DF, "z", "log_total_market_value", 3, "size_spearman").drop("observations")
+    size = xsec.spearman(df, _DF, "z", "log_total_market_value", 3, "size_spearman", small).drop("observations")
     cells = df.where(F.col("z").isNotNull() & (F.col("industry_code") != "UNKNOWN")).groupBy(*_DF, "industry_code").agg(
         F.count("z").alias("_n"), F.avg("z").alias("_m"), F.sum(F.col("z") * F.col("z")).alias("_s2")
     )
@@ -120,24 +122,19 @@ def exposures(df: DataFrame) -> DataFrame:
 
 
 def summarise_exposures(ex: DataFrame) -> DataFrame:
-    by = ["factor"]
-    a = ex.withColumn("_abs", F.abs("size_spearman"))
-    med = lambda c, out: xsec.exact_quantiles(a, by, c, [0.5], [out]).drop("n")
-    base = a.groupBy(*by).agg(
+    size, r2 = F.col("size_spearman"), F.col("industry_r_squared")
+    # a factor has one row per signal date here
+    return ex.groupBy("factor").agg(
         F.count(F.lit(1)).alias("periods"),
-        F.max("_abs").alias("maximum_absolute_size_spearman"),
-        F.max("industry_r_squared").alias("maximum_industry_r_squared"),
+        F.median(size).alias("median_size_spearman"),
+        F.median(F.abs(size)).alias("median_absolute_size_spearman"),
+        F.max(F.abs(size)).alias("maximum_absolute_size_spearman"),
+        F.median(r2).alias("median_industry_r_squared"),
+        F.max(r2).alias("maximum_industry_r_squared"),
     )
-    for c, out in (
-        ("size_spearman", "median_size_spearman"),
-        ("_abs", "median_absolute_size_spearman"),
-        ("industry_r_squared", "median_industry_r_squared"),
-    ):
-        base = base.join(med(c, out), by, "left")
-    return base
 
 
-def score_evidence(df: DataFrame, by: Sequence[str], q: int, minimum: int) -> DataFrame:
+def score_evidence(df: DataFrame, by: Sequence[str], q: int, minimum: int, small: bool = False) -> DataFrame:
     """Rank correlation and end-bucket spread of any score, summarised over dates.
 
     ``df``: by..., signal_date, symbol, score, ret.  Buckets are cut inside the rows
@@ -146,8 +143,8 @@ def score_evidence(df: DataFrame, by: Sequence[str], q: int, minimum: int) -> Da
     by = list(by)
     per = [*by, "signal_date"]
     sample = df.where(F.col("score").isNotNull() & F.col("ret").isNotNull())
-    ic = xsec.spearman(sample, per, "score", "ret", minimum, "ic")
-    labelled = xsec.quantile_label(sample, per, "score", "symbol", q)
+    ic = xsec.spearman(sample, per, "score", "ret", minimum, "ic", small)
+    labelled = xsec.quantile_label(sample, per, "score", "symbol", q, small=small)
     side = lambda k: F.avg(F.when(F.col("quantile") == k, F.col("ret")))
     spread = labelled.groupBy(*per).agg((side(q) - side(1)).alias("spread"))
     ic_sum = ic.groupBy(*by).agg(
@@ -165,7 +162,10 @@ def score_evidence(df: DataFrame, by: Sequence[str], q: int, minimum: int) -> Da
     )
 
 
-def ablation(scores: DataFrame, rows: DataFrame, names: Sequence[str], horizons: Sequence[int], q: int, minimum: int) -> DataFrame:
+def ablation(
+    scores: DataFrame, rows: DataFrame, names: Sequence[str], horizons: Sequence[int], q: int, minimum: int,
+    small: bool = False,
+) -> DataFrame:
     """Evidence of the composite with each factor left out in turn.
 
     Variants are built by aggregation: the sum and count over all factors minus those of
@@ -191,7 +191,7 @@ def ablation(scores: DataFrame, rows: DataFrame, names: Sequence[str], horizons:
     long = wide.select(*key, F.explode(each).alias("x")).select(*key, "x.*")
     labelled = long.join(rows.select(*key, *[f"forward_return_{h}d" for h in horizons]), key)
     meta = ["variant", "removed_factor", "included_factor_count", "minimum_available_factor_count"]
-    return score_evidence(horizons_long(labelled, horizons, [*key, *meta, "score"]), [*meta, "horizon_days"], q, minimum)
+    return score_evidence(horizons_long(labelled, horizons, [*key, *meta, "score"]), [*meta, "horizon_days"], q, minimum, small)
 
 
 def rolling_windows(dates: DataFrame, train_years: int, test_years: int) -> DataFrame:
@@ -210,7 +210,10 @@ def rolling_windows(dates: DataFrame, train_years: int, test_years: int) -> Data
     )
 
 
-def rolling_validation(df: DataFrame, horizons: Sequence[int], train_years: int, test_years: int, q: int, minimum: int) -> DataFrame:
+def rolling_validation(
+    df: DataFrame, horizons: Sequence[int], train_years: int, test_years: int, q: int, minimum: int,
+    small: bool = False,
+) -> DataFrame:
     """Evidence of a fixed score in each test window; nothing is fitted on the training span."""
     win = rolling_windows(df, train_years, test_years)
     inside = df.withColumnRenamed("z", "score").join(
@@ -219,12 +222,14 @@ def rolling_validation(df: DataFrame, horizons: Sequence[int], train_years: int,
     meta = ["window", "train_start", "train_end", "test_start", "test_end"]
     dates = inside.groupBy(*meta).agg(F.countDistinct("signal_date").alias("signal_dates"))
     ev = score_evidence(
-        horizons_long(inside, horizons, ["signal_date", "symbol", *meta, "score"]), [*meta, "horizon_days"], q, minimum
+        horizons_long(inside, horizons, ["signal_date", "symbol", *meta, "score"]), [*meta, "horizon_days"], q, minimum, small
     )
     return ev.join(F.broadcast(dates), meta).withColumn("parameters_fitted", F.lit(False))
 
 
-def cost_stress(df: DataFrame, q: int, costs: Sequence[float], ret: str = "forward_return_next_signal") -> DataFrame:
+def cost_stress(
+    df: DataFrame, q: int, costs: Sequence[float], ret: str = "forward_return_next_signal", small: bool = False
+) -> DataFrame:
     """Top-bucket equal-weight book: turnover against the previous date and net returns per cost.
 
     Each holding is entered with +w on its date and -w on the next signal date; summing
@@ -233,7 +238,7 @@ def cost_stress(df: DataFrame, q: int, costs: Sequence[float], ret: str = "forwa
     costs = sorted({float(c) for c in costs})
     if not costs or costs[0] < 0:
         raise ValueError("costs must be non-negative")
-    labelled = xsec.quantile_label(df, _DF, "z", "symbol", q)
+    labelled = xsec.quantile_label(df, _DF, "z", "symbol", q, small=small)
     top = labelled.where(F.col("quantile") == q)
     size = top.groupBy(*_DF).agg(
         F.count(F.lit(1)).alias("holdings"), F.count(ret).alias("realized_outcomes"), F.avg(ret).alias("gross_return")

@@ -50,45 +50,60 @@ def price_features(
     def rows(first: int, last: int = 0):
         return w.rowsBetween(first, last)
 
+    run = rows(Window.unboundedPreceding)
     df = df.select(
         "*",
         (F.try_divide(p, F.lag(p, 1).over(w)) - 1).alias("return_1d"),
         (F.try_divide(F.lag(p, SKIP).over(w), F.lag(p, YEAR).over(w)) - 1).alias("mom_12_1"),
         (F.try_divide(F.lag(p, SKIP).over(w), F.lag(p, HALF_YEAR).over(w)) - 1).alias("mom_6_1"),
-        _guarded(
-            F.avg(p).over(rows(1 - TREND_ROWS)), F.count(p).over(rows(1 - TREND_ROWS)), TREND_ROWS
-        ).alias("ma_200"),
-        _guarded(
-            F.max(p).over(rows(1 - DRAWDOWN_ROWS)),
-            F.count(p).over(rows(1 - DRAWDOWN_ROWS)),
-            DRAWDOWN_ROWS,
-        ).alias("_peak"),
+        F.avg(p).over(rows(1 - TREND_ROWS)).alias("_mean"),
+        F.max(p).over(rows(1 - DRAWDOWN_ROWS)).alias("_peak"),
+        F.count(p).over(run).alias("_np"),
     )
     r = F.col("return_1d")
     vol = rows(1 - vol_lookback)
-    least_vol = max(20, vol_lookback - 10)
-    seen = F.count(r).over(vol)
     loss = F.when(r.isNotNull(), F.pow(F.least(r, F.lit(0.0)), F.lit(2.0)))
-    formation = rows(1 - YEAR, -SKIP)
-    n_formation = YEAR - SKIP
-    whole = F.count(r).over(formation)
-    up, down = F.when(r.isNotNull(), (r > 0).cast("double")), F.when(r.isNotNull(), (r < 0).cast("double"))
     df = df.select(
         "*",
-        (F.try_divide(p, F.col("ma_200")) - 1).alias("trend"),
-        (_guarded(F.stddev_pop(r).over(vol), seen, least_vol) * F.sqrt(F.lit(ANNUAL))).alias("volatility"),
-        (_guarded(F.sqrt(F.avg(loss).over(vol)), seen, least_vol) * F.sqrt(F.lit(ANNUAL))).alias(
-            "downside_volatility"
-        ),
-        (
-            F.signum("mom_12_1")
-            * (
-                _guarded(F.avg(down).over(formation), whole, n_formation)
-                - _guarded(F.avg(up).over(formation), whole, n_formation)
-            )
-        ).alias("information_discreteness"),
-        (F.try_divide(p, F.col("_peak")) - 1).alias("drawdown_quality"),
-    ).drop("_peak")
+        F.stddev_pop(r).over(vol).alias("_sd"),
+        F.avg(loss).over(vol).alias("_loss"),
+        F.count(r).over(run).alias("_nr"),
+        F.sum(F.coalesce((r > 0).cast("int"), F.lit(0))).over(run).alias("_up"),
+        F.sum(F.coalesce((r < 0).cast("int"), F.lit(0))).over(run).alias("_down"),
+    )
+
+    # Counts over a frame are differences of running counts: exact, and a wide frame
+    # costs no more than a narrow one (sliding frames are re-evaluated row by row).
+    def window_count(c: str, width: int, skip: int = 0) -> Column:
+        at = F.col(c) if skip == 0 else F.coalesce(F.lag(c, skip).over(w), F.lit(0))
+        return at - F.coalesce(F.lag(c, skip + width).over(w), F.lit(0))
+
+    formation = YEAR - SKIP
+    df = df.select(
+        "*",
+        window_count("_np", TREND_ROWS).alias("_np_trend"),
+        window_count("_np", DRAWDOWN_ROWS).alias("_np_peak"),
+        window_count("_nr", vol_lookback).alias("_nr_vol"),
+        window_count("_nr", formation, SKIP).alias("_nr_form"),
+        window_count("_up", formation, SKIP).alias("_up_form"),
+        window_count("_down", formation, SKIP).alias("_down_form"),
+    )
+    least_vol = max(20, vol_lookback - 10)
+    annual = F.sqrt(F.lit(ANNUAL))
+    tilt = (F.col("_down_form") - F.col("_up_form")) / F.lit(float(formation))
+    df = df.withColumns(
+        {
+            "ma_200": _guarded(F.col("_mean"), F.col("_np_trend"), TREND_ROWS),
+            "volatility": _guarded(F.col("_sd"), F.col("_nr_vol"), least_vol) * annual,
+            "downside_volatility": _guarded(F.sqrt("_loss"), F.col("_nr_vol"), least_vol) * annual,
+            "information_discreteness": F.signum("mom_12_1") * _guarded(tilt, F.col("_nr_form"), formation),
+            "drawdown_quality": F.try_divide(p, _guarded(F.col("_peak"), F.col("_np_peak"), DRAWDOWN_ROWS)) - 1,
+        }
+    )
+    df = df.withColumn("trend", F.try_divide(p, F.col("ma_200")) - 1).drop(
+        "_mean", "_peak", "_np", "_sd", "_loss", "_nr", "_up", "_down",
+        "_np_trend", "_np_peak", "_nr_vol", "_nr_form", "_up_form", "_down_form",
+    )
     df = df.withColumn(
         "fip_momentum", F.col("mom_12_1") * (1 - F.col("information_discreteness"))
     )

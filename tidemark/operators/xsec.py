@@ -6,6 +6,9 @@ levels instead: values are first counted per distinct value (map-side combined),
 value falls into an order-preserving bucket, running counts are taken inside a bucket,
 and the totals of the earlier buckets are added.  The bucket is a fixed function of
 the value, so no sampling is involved and results are exact.
+
+Where the largest group is known to be small (``fits_one_task``), ``small=True`` takes the
+single-shuffle window form instead; both give the same results.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A group up to this many rows is sorted by one task without trouble (tens of megabytes).
+ONE_TASK_ROWS = 2_000_000
 _PER_OCTAVE = 256
 _BIAS = 1100 * _PER_OCTAVE
 DEVIATION_FLOOR = 1e-12
@@ -27,6 +32,15 @@ def order_bucket(value: Column) -> Column:
     return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0)).cast("long")
 
 
+def fits_one_task(df: DataFrame, by: Sequence[str], limit: int = ONE_TASK_ROWS) -> bool:
+    """Is the largest group of a materialised table at most ``limit`` rows?
+
+    One map-side-combined count; only its maximum reaches the driver.
+    """
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return (sizes.agg(F.max("_n")).first()[0] or 0) <= limit
+
+
 def _tie_bucket(df: DataFrame, tie: str) -> Column:
     kind = dict(df.dtypes)[tie]
     if kind == "string":
@@ -72,8 +86,12 @@ def positions(df: DataFrame, by: Sequence[str], value: str, tie: str | None = No
     )
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str, small: bool = False) -> DataFrame:
     """1-based rank where equal values share the mean of their places; null stays null."""
+    if small:
+        w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2))
     place = positions(df, by, value).select(
         *by, value, (F.col("_start") + (F.col("_count") + 1) / 2).alias(out)
     )
@@ -82,10 +100,15 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
 
 def ordinal_rank(
     df: DataFrame, by: Sequence[str], value: str, tie: str, out: str, descending: bool = False,
-    size: str | None = None,
+    size: str | None = None, small: bool = False,
 ) -> DataFrame:
     """1..n by ``value`` then ``tie`` ascending; rows with a null value get null."""
     by = list(by)
+    if small:
+        v = F.col(value)
+        w = Window.partitionBy(*by).orderBy(v.desc_nulls_last() if descending else v.asc_nulls_last(), tie)
+        ranked = df.withColumn(out, F.when(v.isNotNull(), F.row_number().over(w)).cast("long"))
+        return ranked.withColumn(size, F.count(v).over(Window.partitionBy(*by))) if size else ranked
     keyed = df.withColumn("_v", -F.col(value) if descending else F.col(value).cast("double"))
     keyed = keyed.withColumn("_tb", _tie_bucket(df, tie))
     place = positions(keyed.select(*by, "_v", tie), by, "_v", tie)
@@ -101,9 +124,14 @@ def ordinal_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], names: Sequence[str]
+    df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], names: Sequence[str], small: bool = False
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, exact, plus the number of values ``n``."""
+    if small:
+        found = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+            F.count(value).alias("n"), F.percentile(value, [float(q) for q in quantiles]).alias("_q")
+        )
+        return found.select(*by, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
     place = positions(df, by, value)
     end = F.col("_start") + F.col("_count")
     aggs, outs = [], []
@@ -128,6 +156,7 @@ def winsorised_z(
     q: float = 0.05,
     minimum: int = 3,
     empty: str = "null",
+    small: bool = False,
 ) -> DataFrame:
     """Clip at the q and 1-q quantiles, then standardise with the population deviation.
 
@@ -136,6 +165,20 @@ def winsorised_z(
     different minimum counts, so pass ``minimum`` explicitly with ``'zero'``.
     """
     by = list(by)
+    x = F.col(value)
+    policy = lambda z: F.coalesce(z, F.lit(0.0)) if empty == "zero" else z
+    if small:
+        group = Window.partitionBy(*by)
+        ends = (
+            F.percentile(x, [q, 1 - q]).over(group) if q > 0 else F.array(F.min(x).over(group), F.max(x).over(group))
+        )
+        df = df.select("*", ends.alias("_ends"), F.count(x).over(group).alias("n"))
+        df = df.withColumn("_clip", F.when(x.isNotNull(), F.greatest(F.least(x, F.col("_ends")[1]), F.col("_ends")[0])))
+        mean, sd = F.avg("_clip").over(group), F.stddev_pop("_clip").over(group)
+        df = df.select("*", mean.alias("_mean"), sd.alias("_sd"))
+        usable = (F.col("n") >= minimum) & (F.col("_sd") >= DEVIATION_FLOOR)
+        z = F.when(usable, F.try_divide(F.col("_clip") - F.col("_mean"), F.col("_sd")))
+        return df.withColumn(out, policy(z)).drop("_ends", "n", "_clip", "_mean", "_sd")
     if q > 0:
         bounds = exact_quantiles(df, by, value, [q, 1 - q], ["_lo", "_hi"])
     else:
@@ -152,28 +195,30 @@ def winsorised_z(
     )
     usable = (F.col("n") >= minimum) & (F.col("_sd") >= DEVIATION_FLOOR)
     z = F.when(usable, F.try_divide(F.col("_clip") - F.col("_mean"), F.col("_sd")))
-    if empty == "zero":
-        z = F.coalesce(z, F.lit(0.0))
     return (
         clipped.join(F.broadcast(moments), by, "left")
-        .withColumn(out, z)
+        .withColumn(out, policy(z))
         .drop("n", "_lo", "_hi", "_clip", "_mean", "_sd")
     )
 
 
 def quantile_label(
-    df: DataFrame, by: Sequence[str], score: str, tie: str, q: int, out: str = "quantile"
+    df: DataFrame, by: Sequence[str], score: str, tie: str, q: int, out: str = "quantile", small: bool = False
 ) -> DataFrame:
     """Equal-count buckets 1..q by first-come rank; null below 2q scores or one distinct score."""
     by = list(by)
-    ranked = ordinal_rank(df, by, score, tie, "_r", size="_size")
-    spread = df.groupBy(*by).agg(F.min(score).alias("_min"), F.max(score).alias("_max"))
+    ranked = ordinal_rank(df, by, score, tie, "_r", size="_size", small=small)
+    if small:
+        group = Window.partitionBy(*by)
+        ranked = ranked.select("*", F.min(score).over(group).alias("_min"), F.max(score).over(group).alias("_max"))
+    else:
+        spread = df.groupBy(*by).agg(F.min(score).alias("_min"), F.max(score).alias("_max"))
+        ranked = ranked.join(F.broadcast(spread), by, "left")  # one row per group
     label = F.greatest(
         F.lit(1), F.ceil((F.col("_r") - 1) * F.lit(q) / F.nullif(F.col("_size") - 1, F.lit(0)))
     )
     return (
-        ranked.join(F.broadcast(spread), by, "left")
-        .withColumn(
+        ranked.withColumn(
             out,
             F.when(
                 F.col("_r").isNotNull()
@@ -194,6 +239,7 @@ def neutralise(
     size: str | None,
     strength: float = 1.0,
     out: str = "neutral_score",
+    small: bool = False,
 ) -> DataFrame:
     """Remove industry means and a share of the size slope from a score, then re-standardise.
 
@@ -207,33 +253,34 @@ def neutralise(
     if industry is None and size is None:
         return df.withColumn(out, F.col(score))
     cell = [*by, industry] if industry is not None else by
-    aggs = [F.avg(score).alias("_ybar")]
-    if size is not None:
-        aggs.append(F.avg(size).alias("_zbar"))
-    means = df.groupBy(*cell).agg(*aggs)
-    centred = df.join(means, cell, "left")
+    y, z = F.col(score), F.col(size) if size is not None else None
+    if small:
+        here = Window.partitionBy(*cell)
+        centred = df.select("*", F.avg(y).over(here).alias("_ybar"), *([F.avg(z).over(here).alias("_zbar")] if size else []))
+    else:
+        aggs = [F.avg(y).alias("_ybar")] + ([F.avg(z).alias("_zbar")] if size else [])
+        centred = df.join(df.groupBy(*cell).agg(*aggs), cell, "left")
     adjust = F.col("_ybar")
     if size is not None:
-        zt = F.col(size) - F.col("_zbar")
-        yt = F.col(score) - F.col("_ybar")
-        slopes = centred.groupBy(*by).agg(
-            F.sum(zt * yt).alias("_zy"), F.sum(zt * zt).alias("_zz")
-        )
-        beta = F.when(F.col("_zz") > 1e-18, F.col("_zy") / F.col("_zz")).otherwise(0.0)
-        centred = centred.join(F.broadcast(slopes.select(*by, beta.alias("_beta"))), by, "left")
+        zt, yt = z - F.col("_zbar"), y - F.col("_ybar")
+        slope = lambda zy, zz: F.when(zz > 1e-18, zy / zz).otherwise(0.0)
+        if small:
+            group = Window.partitionBy(*by)
+            centred = centred.withColumn("_beta", slope(F.sum(zt * yt).over(group), F.sum(zt * zt).over(group)))
+        else:
+            slopes = centred.groupBy(*by).agg(slope(F.sum(zt * yt), F.sum(zt * zt)).alias("_beta"))
+            centred = centred.join(F.broadcast(slopes), by, "left")  # one row per date
         # industry intercept = mean score - slope * mean size; size removed with `strength`
-        adjust = (
-            F.col("_ybar") - F.col("_beta") * F.col("_zbar")
-            + F.lit(float(strength)) * F.col("_beta") * F.col(size)
-        )
-    residual = centred.withColumn("_res", F.col(score) - adjust)
-    return winsorised_z(residual, by, "_res", out, q=0.0, minimum=2, empty="zero").drop(
+        adjust = F.col("_ybar") - F.col("_beta") * F.col("_zbar") + F.lit(float(strength)) * F.col("_beta") * z
+    residual = centred.withColumn("_res", y - adjust)
+    return winsorised_z(residual, by, "_res", out, q=0.0, minimum=2, empty="zero", small=small).drop(
         "_ybar", "_zbar", "_beta", "_res"
     )
 
 
 def spearman(
-    df: DataFrame, by: Sequence[str], first: str, second: str, minimum: int = 2, out: str = "spearman"
+    df: DataFrame, by: Sequence[str], first: str, second: str, minimum: int = 2, out: str = "spearman",
+    small: bool = False,
 ) -> DataFrame:
     """Rank correlation per group over rows where both values are present.
 
@@ -242,13 +289,16 @@ def spearman(
     """
     by = list(by)
     pairs = df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(*by, first, second)
-    ranked = average_rank(average_rank(pairs, by, first, "_r1"), by, second, "_r2")
+    ranked = average_rank(average_rank(pairs, by, first, "_r1", small), by, second, "_r2", small)
     # Ranks centred on (n+1)/2 up front keep the moments exact for large groups.
-    n = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_pairs"))
+    if small:
+        ranked = ranked.withColumn("_pairs", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    else:
+        n = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_pairs"))
+        ranked = ranked.join(F.broadcast(n), by)  # one row per group
     c1, c2 = F.col("_r1") - (F.col("_pairs") + 1) / 2, F.col("_r2") - (F.col("_pairs") + 1) / 2
     moments = (
-        ranked.join(F.broadcast(n), by)
-        .groupBy(*by)
+        ranked.groupBy(*by)
         .agg(
             F.max("_pairs").alias("_pairs"),
             F.sum(c1 * c2).alias("_xy"),

@@ -24,8 +24,9 @@ def overlay_arms(price: DataFrame, pit: DataFrame, minimum: int, arms: dict[str,
         F.col("pit_score").isNotNull() & (F.col("available_factor_count") >= minimum)
     )
     covered = stage(covered)
-    z = xsec.winsorised_z(covered, ["signal_date"], "score", "z_price_shadow", q, 2, "zero")
-    z = xsec.winsorised_z(z, ["signal_date"], "pit_score", "z_pit_shadow", q, 2, "zero")
+    small = xsec.fits_one_task(covered, ["signal_date"])
+    z = xsec.winsorised_z(covered, ["signal_date"], "score", "z_price_shadow", q, 2, "zero", small)
+    z = xsec.winsorised_z(z, ["signal_date"], "pit_score", "z_pit_shadow", q, 2, "zero", small)
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(w).alias("shadow_pit_weight")) for a, w in arms.items()]))
     out = z.withColumn("_a", each).select("*", "_a.*").drop("_a")
     w = F.col("shadow_pit_weight")
