@@ -91,7 +91,7 @@ def _(t):
        ASOF LEFT JOIN adj_factors a ON b.symbol = a.symbol AND b.date >= a.date""",
 )
 def _(t):
-    return asof.asof_backward(t.bars, t.adj_factors, ["symbol"], "date", "date", ["factor"])
+    return asof.asof_backward(t.bars, t.adj_factors, ["symbol"], "date", "date", ["factor"], bounded_left=True)
 
 
 _IND = """SELECT m.date AS signal_date, m.symbol, coalesce(i.industry_code, 'UNKNOWN') AS industry_code,
@@ -313,5 +313,5 @@ def _(t):
 def _(t):
     probes = t.bars.select("symbol").distinct().crossJoin(F.broadcast(t.month_ends.select("signal_date")))
     return asof.asof_backward(
-        probes, features.liquidity_features(t.bars), ["symbol"], "signal_date", "date", ["avg_amount_20"]
+        probes, features.liquidity_features(t.bars), ["symbol"], "signal_date", "date", ["avg_amount_20"], bounded_left=True
     )

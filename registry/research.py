@@ -5,7 +5,7 @@ from functools import cache
 from pyspark.sql import functions as F
 
 from registry import query
-from registry.tables import ORACLE_VIEWS
+from registry.tables import ORACLE_VIEWS, Tables
 from tidemark.functions import factors
 from tidemark.operators import diagnostics as dx
 from tidemark.operators import select, xsec
@@ -144,9 +144,11 @@ def factor_panel(t):
     """One materialised panel per session and table folder; every diagnostic reads it."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
     if key not in _PANELS:
+        b = Tables(t.spark, t.sf_dir)
+        b.bars = stage(b.bars)  # members, valuations and both label passes read the bars
         _PANELS[key] = build_factor_panel(
-            calendar=t.calendar, membership=t.membership, industries=t.industries, market=t.market, facts=t.facts,
-            valuations=t.valuations, names=NAMES, horizons=(21, 63), minimum_factors=4, valuation_age=45,
+            calendar=b.calendar, membership=b.membership, industries=b.industries, market=b.market, facts=b.facts,
+            valuations=b.valuations, names=NAMES, horizons=(21, 63), minimum_factors=4, valuation_age=45,
         )
     return _PANELS[key]
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import row_sha
 from tidemark.operators import calendar as cal_ops
 from tidemark.operators import features, pit
+from tidemark.session import stage
 
 # Which reported metric an order priority stands for.
 PRIORITY_METRIC = {
@@ -25,6 +26,9 @@ PRIORITY_METRIC = {
 FACT_METRICS = list(PRIORITY_METRIC.values())
 
 
+_CALENDARS: dict[tuple[str, str], DataFrame] = {}
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
@@ -34,7 +38,11 @@ class Tables:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return cal_ops.calendar(self.raw("lineitem"), "l_shipdate")
+        """A base table in practice: derived once per session and folder, at most a row per day."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _CALENDARS:
+            _CALENDARS[key] = stage(cal_ops.calendar(self.raw("lineitem"), "l_shipdate"))
+        return _CALENDARS[key]
 
     @cached_property
     def month_ends(self) -> DataFrame:

@@ -16,6 +16,7 @@ def asof_backward(
     right_date: str,
     values: Sequence[str],
     strict: bool = False,
+    bounded_left: bool = False,
 ) -> DataFrame:
     """Each left row takes the latest right row of its key dated on or before it.
 
@@ -23,14 +24,28 @@ def asof_backward(
     the join is one shuffle and one sort.  The right side is first reduced to one row
     per (key, date) and the left side to its distinct (key, date) pairs: a key's window
     then holds at most two rows per calendar day, whatever share of the data it has.
+    ``bounded_left`` says the left side already has a bounded number of rows per
+    (key, date), like bars do; its rows then ride along in the one shuffle.
     """
     on = list(on)
     facts = right.groupBy(*on, F.col(right_date).alias("_t")).agg(
         F.max(F.struct(F.col(right_date).alias("_matched"), *values)).alias("_hit")
     )
     facts = facts.select(*on, "_t", F.lit(1 if strict else 0).alias("_side"), "_hit")
-    probes = left.select(*on, F.col(left_date).alias("_t")).distinct()
     hit_type = facts.schema["_hit"].dataType
+    matched = F.col("_hit._matched").alias(f"matched_{right_date}")
+    taken = [F.col(f"_hit.{v}").alias(v) for v in values]
+    if bounded_left:
+        rows = left.select(
+            *on, F.col(left_date).alias("_t"), F.lit(0 if strict else 1).alias("_side"),
+            F.lit(None).cast(hit_type).alias("_hit"), F.struct(*left.columns).alias("_row"),
+        )
+        row_type = rows.schema["_row"].dataType
+        axis = facts.withColumn("_row", F.lit(None).cast(row_type)).unionByName(rows)
+        w = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        carried = axis.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
+        return carried.select("_row.*", matched, *taken)
+    probes = left.select(*on, F.col(left_date).alias("_t")).distinct()
     probes = probes.select(
         *on, "_t", F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(hit_type).alias("_hit")
     )
@@ -45,8 +60,8 @@ def asof_backward(
     )
     return left.join(found, [*on, left_date], "left").select(
         *[F.col(c) for c in left.columns],
-        F.col("_hit._matched").alias(f"matched_{right_date}"),
-        *[F.col(f"_hit.{v}").alias(v) for v in values],
+        matched,
+        *taken,
     )
 
 

@@ -79,7 +79,7 @@ def back_adjust(bars: DataFrame, factors: DataFrame) -> DataFrame:
     """Prices times the latest factor on or before the day, with change columns."""
     from tidemark.operators.asof import asof_backward
 
-    df = asof_backward(bars, factors, ["symbol"], "date", "date", ["factor"]).drop("matched_date")
+    df = asof_backward(bars, factors, ["symbol"], "date", "date", ["factor"], bounded_left=True).drop("matched_date")
     f = F.coalesce("factor", F.lit(1.0))
     cols = {c: F.col(c) * f for c in ("open", "high", "low", "close")}
     df = df.withColumns(cols)

@@ -21,7 +21,8 @@ def _price_at(
     priced = market.where(F.col(price).isNotNull()).select(
         "symbol", F.col("date").alias("_bar"), F.col(price).alias(out)
     )
-    got = asof_backward(rows, priced, ["symbol"], date, "_bar", [out])
+    # at most one row per symbol, day and horizon offset
+    got = asof_backward(rows, priced, ["symbol"], date, "_bar", [out], bounded_left=True)
     # both ordinals come from the calendar, which holds at most one row per day
     at = cal.select(F.col("date").alias(date), F.col("ord").alias("_o1"))
     of = cal.select(F.col("date").alias("matched__bar"), F.col("ord").alias("_o2"))

@@ -280,8 +280,8 @@ def time_slice_coverage(
 
     active = latest_snapshot(signals, membership).select("signal_date", "symbol").distinct()
     latest = lambda df, out: df.select("symbol", F.col("available_date").alias(out)).distinct().withColumn("_x", F.lit(1))
-    f = asof_backward(active, latest(facts, "fa"), ["symbol"], "signal_date", "fa", ["_x"]).drop("_x")
-    both = asof_backward(f, latest(vals, "va"), ["symbol"], "signal_date", "va", ["_x"])
+    f = asof_backward(active, latest(facts, "fa"), ["symbol"], "signal_date", "fa", ["_x"], bounded_left=True).drop("_x")
+    both = asof_backward(f, latest(vals, "va"), ["symbol"], "signal_date", "va", ["_x"], bounded_left=True)
     seen = lambda c, age: F.coalesce(F.datediff("signal_date", c) <= age, F.lit(False)).cast("long")
     n = F.count(F.lit(1))
     return both.groupBy("signal_date").agg(

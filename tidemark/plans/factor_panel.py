@@ -65,7 +65,8 @@ def member_rows(signals: DataFrame, membership: DataFrame) -> DataFrame:
 
 def visible_inputs(members: DataFrame, facts: DataFrame, vals: DataFrame, metrics: Sequence[str], fact_age: int | None, val_age: int | None) -> tuple[DataFrame, DataFrame]:
     """(members with their visible metrics and valuation as columns, the facts used)."""
-    seen = pit.facts_as_of(facts, members, fact_age)
+    # read twice: as columns here and as lineage by the callers
+    seen = stage(pit.facts_as_of(facts, members, fact_age))
     wide = seen.groupBy("signal_date", "symbol").agg(
         *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]
     )
@@ -129,13 +130,13 @@ def build_factor_panel(
     )
     counts = scores.where(F.col("factor") == COMPOSITE).select(*key, "available_factor_count")
     only = members.select(*key)
+    # the probes were the members themselves, so the facts used need no further filter
     rows = (
         base.join(counts, key, "left")
         .join(labels.forward_returns(only, market, calendar, horizons, stale_days), key, "left")
         .join(labels.next_signal_return(only, market, calendar, every, stale_days), key, "left")
     )
-    lineage = used.join(only, key, "left_semi")
-    return FactorPanel(stage(rows), scores.drop("available_factor_count"), lineage, names, horizons, small)
+    return FactorPanel(stage(rows), scores.drop("available_factor_count"), used, names, horizons, small)
 
 
 def build_score_panel(
