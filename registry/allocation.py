@@ -20,7 +20,17 @@ def scored(t):
     return stage(price_scores.scored_candidates(t.month_features, t.industries, min_amount=1000.0))
 
 
-@query("R12_chained_hold_buffer", "arm:s signal_date:d symbol:i rank:i was_held:b selection_reason:s")
+@query(
+    "R12_chained_hold_buffer", "arm:s signal_date:d symbol:i rank:i was_held:b selection_reason:s",
+    """WITH RECURSIVE rk AS (SELECT arm, signal_date, symbol, row_number() OVER (PARTITION BY arm, signal_date ORDER BY v DESC, symbol) AS rank FROM (
+         SELECT 'neutral' AS arm, signal_date, symbol, score AS v FROM neutral_score UNION ALL SELECT 'raw', signal_date, symbol, score_pre_neutral FROM neutral_score)),
+       d AS (SELECT arm, signal_date, row_number() OVER (PARTITION BY arm ORDER BY signal_date) AS i, list(symbol ORDER BY rank) AS l FROM rk WHERE rank <= 35 GROUP BY 1, 2),
+       f AS (SELECT arm, 0::BIGINT AS i, []::BIGINT[] AS prev, []::BIGINT[] AS kept, []::BIGINT[] AS held FROM d GROUP BY arm UNION ALL
+         SELECT arm, i, prev, kept, list_concat(kept, list_slice(list_filter(l, lambda x: NOT list_contains(kept, x)), 1, 20 - len(kept))) FROM (
+           SELECT d.arm, d.i, d.l, f.held AS prev, list_slice(list_filter(d.l, lambda x: list_contains(f.held, x)), 1, 20) AS kept FROM f JOIN d ON d.arm = f.arm AND d.i = f.i + 1))
+       SELECT rk.arm, rk.signal_date, rk.symbol, rk.rank, list_contains(f.prev, rk.symbol) AS was_held, CASE WHEN list_contains(f.kept, rk.symbol) THEN 'HOLD_BUFFER' ELSE 'NEW_ENTRY' END AS selection_reason
+       FROM f JOIN d USING (arm, i) JOIN rk ON rk.arm = d.arm AND rk.signal_date = d.signal_date WHERE list_contains(f.held, rk.symbol)""",
+)
 def _(t):
     s = scored(t).select("signal_date", "symbol", "score", "score_pre_neutral")
     both = s.select(

@@ -11,14 +11,43 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import canonical_json, row_sha
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Relative path, size and SHA-256 of every file under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+# Above this size a file is hashed as a stream instead of being held whole.
+STREAM_FROM_BYTES = 256 * 1024 * 1024
+
+
+def _stream_hashes(batches):
+    import hashlib
+
+    from pyarrow import fs
+
+    for pdf in batches:
+        digests = []
+        for uri in pdf["uri"]:
+            store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+            digest = hashlib.sha256()
+            with store.open_input_stream(path) as stream:
+                while chunk := stream.read(8 * 1024 * 1024):
+                    digest.update(chunk)
+            digests.append(digest.hexdigest())
+        yield pdf.assign(sha256=digests)[["uri", "size_bytes", "sha256"]]
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*", stream_from: int = STREAM_FROM_BYTES) -> DataFrame:
+    """Relative path, size and SHA-256 of every file under a folder.
+
+    Files are listed first (which reads no content); small ones are hashed by the
+    engine, large ones as a stream so that no file has to fit in memory.
+    """
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+        .select(F.col("path").alias("uri"), F.col("length").alias("size_bytes"), "content")
+    )
+    small = files.where(F.col("size_bytes") < stream_from).select("uri", "size_bytes", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("size_bytes") >= stream_from).select("uri", "size_bytes")
+    large = large.mapInPandas(_stream_hashes, "uri string, size_bytes long, sha256 string")
     root = path.rstrip("/").removeprefix("file:")
-    return files.select(
-        F.regexp_replace(F.col("path"), f"^.*?{root}/", "").alias("path"),
-        F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    return small.unionByName(large).select(
+        F.regexp_replace("uri", f"^.*?{root}/", "").alias("path"), "size_bytes", "sha256"
     )
 
 

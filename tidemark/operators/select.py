@@ -86,15 +86,15 @@ def chained_selection(ranked: DataFrame, n: int, exit_rank: int, arm: str = "arm
 def trailing(df: DataFrame, cal: DataFrame, signals: DataFrame, n: int) -> DataFrame:
     """Rows of the last ``n`` calendar days up to each signal date.
 
-    ``signals`` and the calendar are bounded by the number of days, so the range
-    condition runs against a broadcast list of dates.
+    Every signal date is expanded to the day numbers it looks back on: a table of
+    signals x n rows, both bounded by the calendar, that rows then meet by equality.
     """
     at = cal.select(F.col("date").alias("signal_date"), F.col("ord").alias("_s"))
-    s = signals.select("signal_date").distinct().join(F.broadcast(at), "signal_date")
-    rows = df.join(F.broadcast(cal), "date")
-    return rows.join(
-        F.broadcast(s), (F.col("ord") <= F.col("_s")) & (F.col("ord") > F.col("_s") - n)
-    ).drop("_s", "ord")
+    days = signals.select("signal_date").distinct().join(F.broadcast(at), "signal_date").select(
+        "signal_date", F.explode(F.sequence(F.greatest(F.col("_s") - n + 1, F.lit(1)), F.col("_s"))).alias("ord")
+    )
+    wanted = days.join(F.broadcast(cal), "ord").select("signal_date", "date")
+    return df.join(F.broadcast(wanted), "date")
 
 
 def stratified_sample(df: DataFrame, bucket: str, key: str, n: int, seed: int) -> DataFrame:
