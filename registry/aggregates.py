@@ -8,6 +8,7 @@ from tidemark.operators import performance as perf
 from tidemark.operators import aggregates as agg
 from tidemark.operators import pit, xsec
 from tidemark.operators.asof import industry_at
+from tidemark.session import stage
 
 _SEL = """(SELECT m.date AS signal_date, m.symbol, m.index_weight AS target_weight, i.industry_code, i.industry_name,
    f.mom_12_1, f.volatility, f.trend, CASE WHEN m.symbol % 3 = 0 THEN 'HOLD_BUFFER' ELSE 'NEW_ENTRY' END AS selection_reason
@@ -95,7 +96,7 @@ def _(t):
 )
 def _(t):
     probes = t.facts.select("symbol").distinct().crossJoin(F.broadcast(t.month_ends.select("signal_date")))
-    return pit.fact_lineage(pit.facts_as_of(t.facts, probes, 550))
+    return pit.fact_lineage(pit.facts_as_of(t.facts, probes, 550, metrics=FACT_METRICS))
 
 
 @query(
@@ -151,7 +152,7 @@ def _(t):
        quantile_cont(volatility, 0.95) AS p95 FROM month_features WHERE volatility IS NOT NULL GROUP BY 1""",
 )
 def _(t):
-    return xsec.exact_quantiles(t.month_features, ["signal_date"], "volatility", [0.05, 0.5, 0.95], ["p05", "p50", "p95"])
+    return xsec.exact_quantiles(stage(t.month_features.select("signal_date", "volatility")), ["signal_date"], "volatility", [0.05, 0.5, 0.95], ["p05", "p50", "p95"])
 
 
 @query(
@@ -172,7 +173,7 @@ def _(t):
        avg((mom_6_1 > 0)::INT) AS positive_ratio, max(mom_6_1) AS maximum FROM month_features WHERE mom_6_1 IS NOT NULL GROUP BY 1""",
 )
 def _(t):
-    return agg.summarise(t.month_features, ["symbol"], "mom_6_1")
+    return agg.summarise(stage(t.month_features.select("symbol", "mom_6_1")), ["symbol"], "mom_6_1")
 
 
 @query(

@@ -167,7 +167,7 @@ def _(t):
 )
 def _(t):
     probes = t.facts.select("symbol").distinct().crossJoin(F.broadcast(t.month_ends.select("signal_date")))
-    return pit.facts_as_of(t.facts, probes, 550)
+    return pit.facts_as_of(t.facts, probes, 550, metrics=FACT_METRICS)
 
 
 @query(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from registry import query
 from tidemark.operators import recon, select, xsec
+from tidemark.session import stage
 
 
 @query(
@@ -13,7 +14,7 @@ from tidemark.operators import recon, select, xsec
        FROM month_features WHERE mom_12_1 IS NOT NULL""",
 )
 def _(t):
-    f = t.month_features.where(F.col("mom_12_1").isNotNull()).select("signal_date", "symbol", F.col("mom_12_1").alias("score"))
+    f = stage(t.month_features.where(F.col("mom_12_1").isNotNull()).select("signal_date", "symbol", F.col("mom_12_1").alias("score")))
     return xsec.ordinal_rank(f, ["signal_date"], "score", "symbol", "rank", descending=True)
 
 
@@ -63,7 +64,7 @@ _HELD = "(SELECT (SELECT min(e.signal_date) FROM month_ends e WHERE e.signal_dat
 
 
 def _ranked(t):
-    return xsec.ordinal_rank(t.month_features.select("signal_date", "symbol", "amount"), ["signal_date"], "amount", "symbol", "rank", True)
+    return xsec.ordinal_rank(stage(t.month_features.select("signal_date", "symbol", "amount")), ["signal_date"], "amount", "symbol", "rank", True)
 
 
 @query(
@@ -141,7 +142,7 @@ def _(t):
        SELECT 'both', symbol FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""",
 )
 def _(t):
-    m = t.membership
+    m = stage(t.membership)
     a = m.where(F.year("date") == 1996).select("symbol").distinct()
     b = m.where((F.year("date") == 2000) & (F.month("date") <= 2)).select("symbol").distinct()
     tag = lambda kind, df: df.select(F.lit(kind).alias("kind"), "symbol")
@@ -204,7 +205,7 @@ _ARMS = """(SELECT signal_date, symbol, 'base' AS arm FROM month_features QUALIF
 
 
 def arms(t):
-    f = t.month_features.select("signal_date", "symbol", "amount", "volume", "close")
+    f = stage(t.month_features.select("signal_date", "symbol", "amount", "volume", "close"))
     pick = lambda c, arm: select.top_n(f, ["signal_date"], [F.col(c).desc(), F.col("symbol")], 15).select(
         "signal_date", "symbol", F.lit(arm).alias("arm")
     )

@@ -164,7 +164,7 @@ def long_panel(t):
     + z_sql("(SELECT signal_date, symbol, mom_6_1 AS raw FROM month_features)", "signal_date, symbol", "signal_date", 2) + ")",
 )
 def _(t):
-    f = t.month_features.select("signal_date", "symbol", "mom_6_1")
+    f = stage(t.month_features.select("signal_date", "symbol", "mom_6_1"))
     return xsec.winsorised_z(f, ["signal_date"], "mom_6_1", "z", 0.05, 2, "zero")
 
 
@@ -174,7 +174,7 @@ def _(t):
     z_sql("(SELECT signal_date, symbol, mom_6_1 AS raw FROM month_features)", "signal_date, symbol", "signal_date", 3),
 )
 def _(t):
-    f = t.month_features.select("signal_date", "symbol", "mom_6_1")
+    f = stage(t.month_features.select("signal_date", "symbol", "mom_6_1"))
     return xsec.winsorised_z(f, ["signal_date"], "mom_6_1", "z")
 
 

@@ -68,18 +68,15 @@ def asof_backward(
 def latest_snapshot(signals: DataFrame, membership: DataFrame, date: str = "signal_date") -> DataFrame:
     """All members of the latest snapshot on or before each signal date.
 
-    Only the distinct snapshot dates are compared with the signal dates; the member
-    rows then join by equality.
+    Only the two date lists are matched, by carrying the last snapshot date forward (at
+    most two rows per calendar day in that one window); members then join by equality.
     """
-    days = membership.select(F.col("date").alias("snapshot_date")).distinct()
-    # Both sides hold at most one row per calendar day.
-    pick = (
-        signals.select(date)
-        .distinct()
-        .join(F.broadcast(days), F.col("snapshot_date") <= F.col(date))
-        .groupBy(date)
-        .agg(F.max("snapshot_date").alias("snapshot_date"))
-    )
+    snaps = membership.select(F.col("date").alias("_t")).distinct().withColumn("snapshot_date", F.col("_t"))
+    asked = signals.select(F.col(date).alias("_t")).distinct().withColumn("snapshot_date", F.lit(None).cast("date"))
+    axis = snaps.withColumn("_side", F.lit(0)).unionByName(asked.withColumn("_side", F.lit(1)))
+    w = Window.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    pick = axis.withColumn("snapshot_date", F.last("snapshot_date", ignorenulls=True).over(w)).where(F.col("_side") == 1)
+    pick = pick.select(F.col("_t").alias(date), "snapshot_date")
     members = membership.withColumnRenamed("date", "snapshot_date")
     return members.join(F.broadcast(pick), "snapshot_date")
 
@@ -151,15 +148,24 @@ def industry_at(left: DataFrame, industries: DataFrame, date: str = "signal_date
 def members_on(signals: DataFrame, intervals: DataFrame, date: str = "signal_date") -> DataFrame:
     """Members of half-open [opt_in, opt_out) intervals on each date, one row per symbol.
 
-    Dates expand from each interval (bounded by the number of signal dates), so the
-    join is on a broadcast list of dates rather than symbol by symbol.
+    Each end of an interval is looked up in a natural-day -> signal-number map (bounded
+    by the calendar); the signals between the two are then generated, so the work is
+    the size of the answer and no range join is needed.
     """
-    days = signals.select(date).distinct()
+    from tidemark.operators.calendar import availability_map, calendar
+
+    sig = calendar(signals, date)
+    day = availability_map(sig, 0).join(F.broadcast(sig.withColumnRenamed("date", "available_date")), "available_date")
+    at = lambda c, out: F.broadcast(day.select(F.col("_day").alias(c), F.col("ord").alias(out)))
+    ends = sig.select("ord").agg(F.max("ord").alias("_m"))
+    span = intervals.join(at("opt_in", "_a"), "opt_in").join(at("opt_out", "_b"), "opt_out", "left")
+    # open, or ending after the last signal: every later signal is covered
+    span = span.crossJoin(F.broadcast(ends)).withColumn("_b", F.coalesce(F.col("_b") - 1, F.col("_m")))
+    rows = span.where(F.col("_a") <= F.col("_b")).select(
+        "symbol", "opt_in", F.explode(F.sequence("_a", "_b")).alias("ord")
+    )
     return (
-        intervals.join(
-            F.broadcast(days),
-            (F.col("opt_in") <= F.col(date)) & (F.col("opt_out").isNull() | (F.col("opt_out") > F.col(date))),
-        )
+        rows.join(F.broadcast(sig.withColumnRenamed("date", date)), "ord")
         .groupBy(date, "symbol")
         .agg(F.max("opt_in").alias("opt_in"))
     )

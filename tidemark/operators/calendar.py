@@ -28,23 +28,19 @@ def availability_map(cal: DataFrame, lag: int) -> DataFrame:
     """Every natural day a source date may fall on -> first usable trading day.
 
     Lag 0 is the first trading day on or after the date, lag k the k-th strictly after.
-    Each trading day owns the run of natural days that resolve to it, so the lookup is
-    an equi join rather than a range join.
+    Each trading day owns the run of natural days that resolve to it, back to 1900 for
+    the first, so the lookup is an equi join rather than a range join.
     """
     if lag < 0:
         raise ValueError("lag must not be negative")
+    origin = F.lit(FIRST_DAY).cast("date")
     prev = F.lag("date", max(lag, 1)).over(_by_date())
     if lag == 0:
-        first, last = F.date_add(prev, 1), F.col("date")
-        first = F.coalesce(first, F.col("date"))
-        owners = cal.select("date", first.alias("_first"), last.alias("_last"))
+        owners = cal.select("date", F.coalesce(F.date_add(prev, 1), origin).alias("_first"), F.col("date").alias("_last"))
     else:
         nxt = F.lag("date", lag - 1).over(_by_date()) if lag > 1 else F.col("date")
-        owners = cal.select(
-            "date",
-            F.coalesce(prev, F.date_sub(nxt, 1)).alias("_first"),
-            F.date_sub(nxt, 1).alias("_last"),
-        ).where(F.col("_last").isNotNull())
+        owners = cal.select("date", F.coalesce(prev, origin).alias("_first"), F.date_sub(nxt, 1).alias("_last"))
+        owners = owners.where(F.col("_last").isNotNull())
     return owners.select(
         F.explode(F.sequence("_first", "_last")).alias("_day"), F.col("date").alias("available_date")
     )
@@ -54,13 +50,8 @@ def with_availability(
     df: DataFrame, cal: DataFrame, source: str, lag: int, out: str = "available_date"
 ) -> DataFrame:
     """Attach the first date a value known on ``source`` may be used; off the end is null."""
-    days = availability_map(cal, lag).withColumnRenamed("available_date", out)
-    first = days.agg(F.min("_day").alias("_origin"))
-    keyed = df.crossJoin(F.broadcast(first)).withColumn(
-        "_day", F.greatest(F.col(source), F.col("_origin"))
-    )
-    keyed = keyed.withColumn("_day", F.when(F.col(source).isNotNull(), F.col("_day")))
-    return keyed.join(F.broadcast(days), "_day", "left").drop("_day", "_origin")
+    days = availability_map(cal, lag).select(F.col("_day").alias("_day"), F.col("available_date").alias(out))
+    return df.withColumn("_day", F.col(source)).join(F.broadcast(days), "_day", "left").drop("_day")
 
 
 def month_ends(
@@ -75,12 +66,11 @@ def month_ends(
     ends = inside.groupBy(F.trunc("date", "MM").alias("month")).agg(
         F.max_by(F.struct("date", "ord"), "date").alias("_s")
     )
-    size = cal.agg(F.max("ord").alias("_size"))
-    return (
-        ends.crossJoin(F.broadcast(size))
-        .where(F.col("_s.ord") + room <= F.col("_size"))
-        .select("month", F.col("_s.date").alias("signal_date"), F.col("_s.ord").alias("ord"))
-    )
+    ends = ends.select("month", F.col("_s.date").alias("signal_date"), F.col("_s.ord").alias("ord"))
+    if room == 0:
+        return ends
+    reachable = cal.select((F.col("ord") - room).alias("ord"))
+    return ends.join(F.broadcast(reachable), "ord", "left_semi").select("month", "signal_date", "ord")
 
 
 def schedule(cal: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -217,9 +217,9 @@ def industry_exposure(sel: DataFrame) -> DataFrame:
         F.countDistinct("symbol").alias("holding_count"),
         F.sum(F.coalesce("target_weight", F.lit(0.0))).alias("target_weight"),
     )
-    total = g.groupBy("signal_date").agg(F.sum("target_weight").alias("_t"))
-    share = F.when(F.col("_t") > 0, F.col("target_weight") / F.col("_t")).otherwise(0.0)
-    return g.join(F.broadcast(total), "signal_date").withColumn("stock_book_weight", share).drop("_t")
+    # one row per industry and date by now
+    total = F.sum("target_weight").over(Window.partitionBy("signal_date"))
+    return g.withColumn("stock_book_weight", F.when(total > 0, F.col("target_weight") / total).otherwise(0.0))
 
 
 def style_exposure(sel: DataFrame, columns: Sequence[str]) -> DataFrame:

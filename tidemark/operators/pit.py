@@ -234,7 +234,8 @@ def combined_snapshot(
 
 
 def facts_as_of(
-    facts: DataFrame, probes: DataFrame, max_age_days: int | None = None, date: str = "signal_date"
+    facts: DataFrame, probes: DataFrame, max_age_days: int | None = None, date: str = "signal_date",
+    metrics: Sequence[str] | None = None,
 ) -> DataFrame:
     """Newest visible fact per (symbol, metric) on every probe date, in one pass.
 
@@ -245,15 +246,16 @@ def facts_as_of(
     holds at most two rows per calendar day.
     """
     hit = F.struct(*_FRONTIER, "announcement_date", "value")
+    if metrics is not None:
+        facts = facts.where(F.col("metric").isin(list(metrics)))
     daily = facts.groupBy("symbol", "metric", F.col("available_date").alias("_t")).agg(F.max(hit).alias("_hit"))
-    metrics = facts.select("metric").distinct()  # the metric dictionary bounds this
     kind = daily.schema["_hit"].dataType
-    asked = (
-        probes.select("symbol", F.col(date).alias("_t"))
-        .distinct()
-        .crossJoin(F.broadcast(metrics))
-        .select("symbol", "metric", "_t", F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_hit"))
-    )
+    asked = probes.select("symbol", F.col(date).alias("_t")).distinct()
+    if metrics is not None:
+        asked = asked.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
+    else:
+        asked = asked.crossJoin(F.broadcast(facts.select("metric").distinct()))  # the dictionary bounds this
+    asked = asked.select("symbol", "metric", "_t", F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_hit"))
     axis = daily.select("symbol", "metric", "_t", F.lit(0).alias("_side"), "_hit").unionByName(asked)
     w = (
         Window.partitionBy("symbol", "metric")

@@ -66,7 +66,7 @@ def member_rows(signals: DataFrame, membership: DataFrame) -> DataFrame:
 def visible_inputs(members: DataFrame, facts: DataFrame, vals: DataFrame, metrics: Sequence[str], fact_age: int | None, val_age: int | None) -> tuple[DataFrame, DataFrame]:
     """(members with their visible metrics and valuation as columns, the facts used)."""
     # read twice: as columns here and as lineage by the callers
-    seen = stage(pit.facts_as_of(facts, members, fact_age))
+    seen = stage(pit.facts_as_of(facts, members, fact_age, metrics=metrics))
     wide = seen.groupBy("signal_date", "symbol").agg(
         *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]
     )
