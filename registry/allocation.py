@@ -87,7 +87,7 @@ def _(t):
 
 
 _OV = """(SELECT c.signal_date, c.symbol, c.score AS price_score, s.z AS pit, m.available_factor_count FROM price_score c JOIN panel_scores s USING (signal_date, symbol)
-   JOIN panel_mean m USING (signal_date, symbol) WHERE s.factor = 'pit_composite' AND s.z IS NOT NULL AND m.available_factor_count >= 4)"""
+   JOIN panel_mean m USING (signal_date, symbol) JOIN panel_rows r USING (signal_date, symbol) WHERE s.factor = 'pit_composite' AND s.z IS NOT NULL AND m.available_factor_count >= 4)"""
 ORACLE_VIEWS["overlay_base"] = _OV[1:-1]
 _ZP = z_sql("(SELECT signal_date, symbol, price_score AS raw FROM overlay_base)", "signal_date, symbol", "signal_date", 2)
 _ZQ = z_sql("(SELECT signal_date, symbol, pit AS raw FROM overlay_base)", "signal_date, symbol", "signal_date", 2)

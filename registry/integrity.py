@@ -23,7 +23,7 @@ def month_close(t):
 _MC = "(SELECT symbol, date_trunc('month', date)::DATE AS month, arg_max(close, date) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)"
 
 
-@query("S1_S7_partitioned_bar_scan", "date:d symbol:i open:f close:f volume:f amount:g is_st:b", "SELECT * FROM market WHERE symbol % 2 = 0")
+@query("S1_S7_partitioned_bar_scan", "date:d symbol:i open:f close:f volume:f amount:g is_st:b", "SELECT * FROM market")
 def _(t):
     path = scratch_path(t.spark, "bars-csv")
     m = t.market.select(
@@ -32,8 +32,7 @@ def _(t):
         F.lit(None).cast("double").alias("circ_mv"),
     )
     sinks.write_new(m, path, "csv")
-    back = landing.read_bars(t.spark, path, ["date", "symbol", "open", "close", "volume", "amount", "is_st"])
-    return back.where(F.col("symbol").cast("long") % 2 == 0)
+    return landing.read_bars(t.spark, path, ["date", "symbol", "open", "close", "volume", "amount", "is_st"])
 
 
 @query(
@@ -51,11 +50,11 @@ def _(t):
     return out.select(F.regexp_extract("file_name", r"part=(\d+)", 1).cast("long").alias("part"), "rows", "foreign_rows", "matches")
 
 
-@query("S3_scan_with_empty_partitions", "symbol:i month:d close:f", f"SELECT * FROM {_MC} WHERE symbol % 2 = 1")
+@query("S3_scan_with_empty_partitions", "symbol:i month:d close:f", f"SELECT * FROM {_MC}")
 def _(t):
     path = scratch_path(t.spark, "sparse")
     m = month_close(t).select("symbol", "month", "close")
-    sinks.write_new(m.where(F.col("symbol") % 2 == 1), f"{path}/a", "csv")
+    sinks.write_new(m, f"{path}/a", "csv")
     sinks.write_new(m.where(F.lit(False)), f"{path}/b", "csv")
     return landing.read_partitions(t.spark, f"{path}/*", "symbol long, month date, close double")
 
@@ -237,10 +236,10 @@ def _(t):
     return sinks.write_bundle({"month_close": month_close(t), "industries": t.industries, "intervals": t.member_intervals}, path)
 
 
-@query("K8_snapshot_with_sidecar", "rows:i kind:s", "SELECT count(*) AS rows, 'valuations' AS kind FROM valuations WHERE date < DATE '1996-01-01'")
+@query("K8_snapshot_with_sidecar", "rows:i kind:s", "SELECT count(*) AS rows, 'valuations' AS kind FROM valuations")
 def _(t):
     path = scratch_path(t.spark, "snapshot")
-    return sinks.write_snapshot(t.valuations.where(F.col("date") < "1996-01-01"), path, {"kind": "valuations"})
+    return sinks.write_snapshot(t.valuations, path, {"kind": "valuations"})
 
 
 @query("P18_secret_scan", "doc_id:i label:s", """SELECT doc_id, 'mail' AS label FROM documents WHERE contains(text, '@') UNION ALL SELECT doc_id, 'key' FROM documents WHERE contains(text, 'AKIA')""")

@@ -34,8 +34,8 @@ ORACLE_VIEWS.update(
             SELECT s.symbol, c.date, c.ord FROM calendar c JOIN (SELECT symbol, min(ord) AS a, max(ord) AS b FROM bars JOIN calendar USING (date) GROUP BY symbol) s
             ON c.ord BETWEEN s.a AND s.b + 20) g LEFT JOIN market m USING (symbol, date)) WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)""",
         "panel_signals": """SELECT *, lead(signal_date) OVER (ORDER BY signal_date) AS next_signal_date, lead(ord) OVER (ORDER BY signal_date) AS next_ord FROM month_ends""",
-        "panel_members": """SELECT e.signal_date, e.ord, e.next_signal_date, e.next_ord, m.symbol, count(*) OVER (PARTITION BY e.signal_date) AS universe_size
-            FROM panel_signals e JOIN membership m ON m.date = e.signal_date WHERE e.ord + 63 <= (SELECT max(ord) FROM calendar)""",
+        "panel_members": """SELECT e.signal_date, e.ord, e.next_signal_date, e.next_ord, m.symbol, count(*) OVER (PARTITION BY e.signal_date) AS universe_size,
+            e.ord + 63 <= (SELECT max(ord) FROM calendar) AS room FROM panel_signals e JOIN membership m ON m.date = e.signal_date WHERE e.ord + 1 <= (SELECT max(ord) FROM calendar)""",
         "panel_facts": """SELECT e.signal_date, f.* FROM panel_members e JOIN facts f ON f.symbol = e.symbol AND f.available_date <= e.signal_date
             AND date_diff('day', f.period_end, e.signal_date) <= 550 QUALIFY row_number() OVER (PARTITION BY e.signal_date, f.symbol, f.metric
             ORDER BY f.period_end DESC, f.available_date DESC, f.revision_sequence DESC, f.source_row_sha256 DESC) = 1""",
@@ -59,7 +59,7 @@ ORACLE_VIEWS.update(
             FROM panel_members m JOIN panel_mean c USING (signal_date, symbol) LEFT JOIN panel_vals v USING (signal_date, symbol)
             LEFT JOIN industries i ON i.symbol = m.symbol AND i.in_date <= m.signal_date AND (i.out_date IS NULL OR i.out_date >= m.signal_date)
             LEFT JOIN prices_20 a ON a.symbol = m.symbol AND a.ord = m.ord LEFT JOIN prices_20 b ON b.symbol = m.symbol AND b.ord = m.ord + 21
-            LEFT JOIN prices_20 d ON d.symbol = m.symbol AND d.ord = m.ord + 63 LEFT JOIN prices_20 x ON x.symbol = m.symbol AND x.ord = m.next_ord""",
+            LEFT JOIN prices_20 d ON d.symbol = m.symbol AND d.ord = m.ord + 63 LEFT JOIN prices_20 x ON x.symbol = m.symbol AND x.ord = m.next_ord WHERE m.room""",
         "panel_long": """SELECT s.*, r.* EXCLUDE (signal_date, symbol) FROM panel_scores s JOIN panel_rows r USING (signal_date, symbol)""",
         "panel_h": """SELECT signal_date, symbol, factor, raw, z, 21 AS horizon_days, forward_return_21d AS ret FROM panel_long UNION ALL
             SELECT signal_date, symbol, factor, raw, z, 63, forward_return_63d FROM panel_long""",
@@ -249,7 +249,7 @@ def _(t):
     "R10_equal_weight_composite",
     "signal_date:d symbol:i available_factor_count:i composite:f z:f",
     """SELECT m.signal_date, m.symbol, m.available_factor_count, m.raw AS composite, s.z FROM panel_mean m JOIN panel_scores s USING (signal_date, symbol)
-       WHERE s.factor = 'pit_composite'""",
+       JOIN panel_rows r USING (signal_date, symbol) WHERE s.factor = 'pit_composite'""",
 )
 def _(t):
     p = factor_panel(t)
@@ -279,7 +279,6 @@ def _(t):
     "R18_score_only_panel",
     "signal_date:d as_of_date:d symbol:i universe_size:i available_factor_count:i pit_composite:f z_pit_composite:f "
     "latest_fundamental_period_end:d latest_fundamental_available_date:d visible_fundamental_metric_count:i valuation_date:d",
-    # dates with room for labels, where both panels must agree; later dates are in the Spark panel only
     """SELECT s.signal_date, s.signal_date AS as_of_date, s.symbol, m.universe_size, c.available_factor_count, s.raw AS pit_composite, s.z AS z_pit_composite,
        l.pe AS latest_fundamental_period_end, l.ad AS latest_fundamental_available_date, l.n AS visible_fundamental_metric_count, v.date AS valuation_date
        FROM panel_scores s JOIN panel_members m USING (signal_date, symbol) JOIN panel_mean c USING (signal_date, symbol)
@@ -287,12 +286,9 @@ def _(t):
        LEFT JOIN panel_vals v USING (signal_date, symbol) WHERE s.factor = 'pit_composite'""",
 )
 def _(t):
-    from tidemark.operators.calendar import month_ends
-
-    panel = build_score_panel(
+    return build_score_panel(
         calendar=t.calendar, membership=t.membership, facts=t.facts, valuations=t.valuations, names=NAMES, minimum_factors=4, valuation_age=45
     )
-    return panel.join(F.broadcast(month_ends(t.calendar, room=63).select("signal_date")), "signal_date", "left_semi")
 
 
 @query(

@@ -125,12 +125,12 @@ def _(t):
 
 @query(
     "W24_snapshot_gaps",
-    "previous_date:d date:d gap_days:i",
-    """SELECT * FROM (SELECT lag(date) OVER (ORDER BY date) AS previous_date, date, date_diff('day', lag(date) OVER (ORDER BY date), date) AS gap_days
-       FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_suppkey = 3)) WHERE gap_days > 10""",
+    "symbol:i previous_date:d date:d gap_days:i",
+    """SELECT * FROM (SELECT symbol, lag(date) OVER w AS previous_date, date, date_diff('day', lag(date) OVER w, date) AS gap_days
+       FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE gap_days > 10""",
 )
 def _(t):
-    return cal_ops.date_gaps(t.bars.where(F.col("symbol") == 3), 10)
+    return cal_ops.date_gaps(t.bars, 10, by=["symbol"])
 
 
 @query(

@@ -6,6 +6,8 @@ is what makes them safe to broadcast and to sort in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,10 +96,11 @@ def period_spine(df: DataFrame, start: str, stop: str, unit: str) -> DataFrame:
     )
 
 
-def date_gaps(df: DataFrame, max_days: int, col: str = "date") -> DataFrame:
-    """Consecutive distinct dates further apart than ``max_days``."""
-    days = df.select(F.col(col).alias("date")).distinct()
-    prev = F.lag("date").over(_by_date())
-    return days.select(prev.alias("previous_date"), "date").select(
+def date_gaps(df: DataFrame, max_days: int, col: str = "date", by: Sequence[str] = ()) -> DataFrame:
+    """Consecutive distinct dates (of each key) further apart than ``max_days``."""
+    by = list(by)
+    days = df.select(*by, F.col(col).alias("date")).distinct()
+    prev = F.lag("date").over(Window.partitionBy(*by).orderBy("date"))
+    return days.select(*by, prev.alias("previous_date"), "date").select(
         "*", F.datediff("date", "previous_date").alias("gap_days")
     ).where(F.col("gap_days") > max_days)

@@ -209,7 +209,7 @@ def schema_gate(layouts: DataFrame, registered: DataFrame, required: DataFrame)
         F.collect_set(schema_fingerprint(F.col("columns"))).alias("_known"),
         F.max_by("columns", F.struct(F.size("columns"), F.concat_ws(",", "columns"))).alias("_widest"),
     )
-    df = layouts.join(F.broadcast(reg), "api_name", "left").join(F.broadcast(required), "api_name", "left")
+    df = layouts.join(reg, "api_name", "left").join(required, "api_name", "left")
     df = df.withColumn("fingerprint", schema_fingerprint(F.col("columns")))
     gone, added = F.array_except("_widest", "columns"), F.array_except("columns", "_widest")
     verdict = (

@@ -7,6 +7,9 @@ value falls into an order-preserving bucket, running counts are taken inside a b
 and the totals of the earlier buckets are added.  The bucket is a fixed function of
 the value, so no sampling is involved and results are exact.
 
+Groups are dates, or dates crossed with a fixed list of factors or horizons, so tables with
+one row per group are bounded by the calendar and may be broadcast.
+
 Where the largest group is known to be small (``fits_one_task``), ``small=True`` takes the
 single-shuffle window form instead; both give the same results.
 """

@@ -56,11 +56,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise a table several branches of one plan read.
+    """Materialise a table several branches of one plan read: Parquet in the shared folder.
 
-    A reliable checkpoint: it survives the loss of executors, and every branch then
-    sees the same floating-point results (sums depend on arrival order, so two
-    evaluations of one plan may differ in the last bit).
+    It survives the loss of executors, later reads prune its columns, and its measured
+    size lets the planner choose a broadcast by itself.  Every branch then also sees the
+    same floating-point results (sums depend on arrival order, so two evaluations of one
+    plan may differ in the last bit).
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -143,7 +143,7 @@ def last_manifest(manifests: DataFrame) -> DataFrame:
     """
     last = manifests.groupBy("snapshot_id").agg(F.max("line_no").alias("line_no"))
     return (
-        manifests.join(F.broadcast(last), ["snapshot_id", "line_no"], "left_semi")
+        manifests.join(last, ["snapshot_id", "line_no"], "left_semi")
         .select("snapshot_id", "line_no", F.explode("tasks").alias("task"))
         .select("snapshot_id", "line_no", "task.*")
     )
