@@ -68,19 +68,17 @@ def batch_gates(catalog: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count_if(s.isin("success", "bisected")).alias("_ok"),
         F.count_if(s == "confirmed_empty").alias("_empty"),
         *[F.count_if(s == v).alias(f"_{g}") for g, v in BLOCKING.items()],
-        F.count_if(s == "truncated").alias("_truncated"),
     )
     ratio = F.col("_ok") / F.greatest(F.col("total") - F.col("_empty"), F.lit(1))
     out = counts.select(
         *by, "total",
-        (F.col("_terminal") + F.col("_truncated") == F.col("total")).alias("all_terminal"),
-        (F.col("_truncated") == 0).alias("none_truncated"),
+        (F.col("_terminal") == F.col("total")).alias("all_terminal"),
         ratio.alias("success_ratio"),
         (ratio >= 0.995).alias("success_enough"),
         *[(F.col(f"_{g}") == 0).alias(g) for g in BLOCKING],
     )
     ok = F.lit(True)
-    for g in ("all_terminal", "none_truncated", "success_enough", *BLOCKING):
+    for g in ("all_terminal", "success_enough", *BLOCKING):
         ok = ok & F.col(g)
     return out.withColumn("accepted", ok)
 
