@@ -35,7 +35,8 @@ def build_session(master: str | None = None, app: str = "tidemark", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) is a folder made here.
+    Where that setting is absent a folder is made only for a session on one machine (tests);
+    on a cluster that would scatter tables over the executors' own disks, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -44,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
         current = spark.sparkContext.getCheckpointDir()
