@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, url_filter
+from tidemark.llm import bpe, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("fp")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,5 +60,5 @@ SELECT page_id, host, path, rule, strict_hits, soft_hits, CAST(strict_hits * 2 +
 FROM ruled
 """
 
-QUERIES = {"op4_bpe": op4_bpe, "op7_url_filter": op7_url_filter}
+QUERIES = {"op2_simhash": op2_simhash, "op4_bpe": op4_bpe, "op7_url_filter": op7_url_filter}
 ORACLE = {"op7_url_filter": OP7_SQL}
