@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, simhash, url_filter
+from tidemark.llm import bpe, line_dedup, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,34 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP10_SQL = """
+WITH keyed AS (
+  SELECT DISTINCT doc_id, text FROM documents
+), lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM keyed
+), windows AS (
+  SELECT doc_id, text, pos, line AS l1, lead(line) OVER w AS l2, lead(line, 2) OVER w AS l3
+  FROM lines WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)
+), ranked AS (
+  SELECT doc_id, text, pos, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, pos) AS n
+  FROM windows WHERE l3 IS NOT NULL AND trim(l1 || l2 || l3) <> ''
+), covered AS (
+  SELECT DISTINCT doc_id, text, pos + k AS pos FROM ranked, (VALUES (0), (1), (2)) AS three(k) WHERE n > 1
+), cut AS (
+  SELECT l.doc_id, l.text AS old, count(*) AS n_lines, count(c.pos) AS n_removed,
+         coalesce(string_agg(CASE WHEN c.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS text
+  FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.text = c.text AND l.pos = c.pos
+  GROUP BY l.doc_id, l.text
+)
+SELECT d.doc_id, cut.text, CAST(cut.n_lines AS BIGINT) AS n_lines, CAST(cut.n_removed AS BIGINT) AS n_removed
+FROM documents d JOIN cut ON d.doc_id = cut.doc_id AND d.text = cut.old
+"""
+
+
 def _terms(names) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
@@ -60,5 +88,5 @@ SELECT page_id, host, path, rule, strict_hits, soft_hits, CAST(strict_hits * 2 +
 FROM ruled
 """
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_bpe": op4_bpe, "op7_url_filter": op7_url_filter}
-ORACLE = {"op7_url_filter": OP7_SQL}
+QUERIES = {"op2_simhash": op2_simhash, "op4_bpe": op4_bpe, "op7_url_filter": op7_url_filter, "op10_line_dedup": op10_line_dedup}
+ORACLE = {"op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
