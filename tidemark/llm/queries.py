@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, simhash, url_filter
+from tidemark.llm import bpe, line_dedup, quality, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats, model = quality.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    scored = quality.score_statistics(stats, model)
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality.KEEP_FROM, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("fp")
 
@@ -88,5 +96,5 @@ SELECT page_id, host, path, rule, strict_hits, soft_hits, CAST(strict_hits * 2 +
 FROM ruled
 """
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_bpe": op4_bpe, "op7_url_filter": op7_url_filter, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_bpe": op4_bpe, "op7_url_filter": op7_url_filter, "op10_line_dedup": op10_line_dedup}
 ORACLE = {"op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
