@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, quality, simhash, url_filter
+from tidemark.llm import bpe, decontaminate, line_dedup, quality, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode_documents(coded, ranks).select(
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_id", F.col("item_id").cast("long"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -96,5 +100,8 @@ SELECT page_id, host, path, rule, strict_hits, soft_hits, CAST(strict_hits * 2 +
 FROM ruled
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_bpe": op4_bpe, "op7_url_filter": op7_url_filter, "op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op1_quality": op1_quality, "op2_simhash": op2_simhash, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination,
+    "op7_url_filter": op7_url_filter, "op10_line_dedup": op10_line_dedup,
+}
 ORACLE = {"op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
