@@ -29,3 +29,12 @@ def slices(offsets: np.ndarray, limit: int):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
         yield a, min(b, n)
         a = b
+
+
+def file_system(folder: str):
+    """The pyarrow file system of a folder's URI, and the folder's path in it."""
+    from pyarrow import fs
+
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
+    return fs.FileSystem.from_uri(folder)
