@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, line_dedup, parsing, quality, simhash, url_filter, warc
+from tidemark.llm import bpe, decontaminate, line_dedup, parsing, quality, simhash, suffix_tree, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -113,6 +117,7 @@ FROM ruled
 
 QUERIES = {
     "op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination,
-    "op7_url_filter": op7_url_filter, "op8_parsing": op8_parsing, "op10_line_dedup": op10_line_dedup,
+    "op7_url_filter": op7_url_filter, "op8_parsing": op8_parsing,
+    "op9_suffix_tree": op9_suffix_tree, "op10_line_dedup": op10_line_dedup,
 }
 ORACLE = {"op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
