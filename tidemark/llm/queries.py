@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import bpe, decontaminate, line_dedup, parsing, quality, simhash, suffix_tree, url_filter, warc
 
 
@@ -22,7 +23,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("fp")
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +119,7 @@ FROM ruled
 QUERIES = {
     "op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination,
     "op7_url_filter": op7_url_filter, "op8_parsing": op8_parsing,
-    "op9_suffix_tree": op9_suffix_tree, "op10_line_dedup": op10_line_dedup,
+    "op9_suffix_tree": op9_suffix_tree, "op10_line_dedup": op10_line_dedup, "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+ORACLE |= {"op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}

@@ -165,11 +165,29 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, chunk: int = CHUNK)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) for every row of ``docs``."""
-    rows = stage(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), shingle=shingle).drop("text"))
+    """(doc_id, digest, fp, fingerprint, root, component_id) for every row of ``docs``.
+
+    ``digest`` is XXH64 of the text, ``root`` the smallest fingerprint of the component.
+    """
+    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("digest"), F.col(f"`{text}`").alias("text"))
+    rows = stage(fingerprints(narrow, shingle=shingle).drop("text"))
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = stage(components(link_fingerprints(distinct, radius)))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(labels, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return rows.join(labels, "fp").select("doc_id", "digest", "fp", fingerprint, "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (a null id only where there is no other), then text digest.
+
+    Columns are as they were.  Texts are shuffled once, by id and digest.
+    """
+    found = near_duplicates(docs, doc_id, text, **options)
+    leader = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("leader")
+    leaders = found.groupBy("root").agg(leader).select(F.col("leader.doc_id").alias("__id"), F.col("leader.digest").alias("__leader"))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__leader"))
+    kept = docs.withColumn("__digest", F.xxhash64(f"`{text}`")).join(leaders, same, "left_semi")
+    return kept.dropDuplicates([doc_id, "__digest"]).drop("__digest")
