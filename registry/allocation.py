@@ -62,7 +62,23 @@ def _(t):
     return portfolio.feasible_exposure(s, ["signal_date"], F.lit(0.95))
 
 
-@query("R14_capped_water_filling", "signal_date:d symbol:i target_weight:f feasible_exposure:f")
+_FEASIBLE = f"""(SELECT signal_date, symbol, industry_code, 1 / greatest(volatility, 1e-6) AS p, least(0.95, count(*) OVER d * 0.08, (SELECT count(DISTINCT industry_code)
+   FROM {_TOP} x WHERE x.signal_date = t.signal_date) * 0.25) AS goal FROM {_TOP} t WINDOW d AS (PARTITION BY signal_date))"""
+
+
+@query(
+    "R14_capped_water_filling",
+    "signal_date:d symbol:i target_weight:f feasible_exposure:f",
+    f"""WITH s AS {_FEASIBLE},
+       l AS (SELECT *, (0.25 - coalesce(0.08 * count(*) OVER (PARTITION BY signal_date, industry_code ORDER BY p DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(p) OVER (PARTITION BY signal_date, industry_code ORDER BY p DESC, symbol ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS line,
+           0.08 * count(*) OVER (PARTITION BY signal_date, industry_code) AS most FROM s),
+       r AS (SELECT *, CASE WHEN most >= 0.25 THEN least(0.08, p * max(line) OVER (PARTITION BY signal_date, industry_code)) ELSE 0.08::DOUBLE END AS room FROM l),
+       m AS (SELECT *, (goal - coalesce(sum(room) OVER (PARTITION BY signal_date ORDER BY room / p, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(p) OVER (PARTITION BY signal_date ORDER BY room / p, symbol ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS line2, sum(room) OVER (PARTITION BY signal_date) AS most2 FROM r)
+       SELECT signal_date, symbol, CASE WHEN most2 >= goal - 1e-12 THEN least(room, p * greatest(max(line2) OVER (PARTITION BY signal_date), 0)) ELSE room END AS target_weight,
+         goal AS feasible_exposure FROM m""",
+)
 def _(t):
     s = portfolio.feasible_exposure(portfolio.risk_preference(stage(selected(t))), ["signal_date"], F.lit(0.95))
     return portfolio.capped_weights(s, ["signal_date"])
@@ -177,8 +193,8 @@ def _(t):
        SELECT *, row_number() OVER (PARTITION BY year ORDER BY return DESC, arm) AS rank FROM y""",
 )
 def _(t):
-    a = perf.annual_metrics(t.curves)
-    return select.top_n(a, ["year"], [F.col("return").desc(), F.col("arm")], 1000)
+    place = F.row_number().over(Window.partitionBy("year").orderBy(F.col("return").desc(), "arm"))
+    return perf.annual_metrics(t.curves).withColumn("rank", place)
 
 
 @query(

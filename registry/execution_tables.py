@@ -206,7 +206,19 @@ def _(t):
     return portfolio.rebalance_moves(target, current, stamp, ["arm", "signal_date"])
 
 
-@query("X10_overdrawn_book_scale", "arm:s signal_date:d executable_scale:f cash:f")
+@query(
+    "X10_overdrawn_book_scale",
+    "arm:s signal_date:d executable_scale:f cash:f",
+    f"""WITH {_BOOKS.replace("0.06::DOUBLE AS weight FROM", "1 / 15::DOUBLE AS weight FROM")}, r AS (SELECT bk.*, 0.00075 + transfer_fee_rate AS buy, 0.00075 + transfer_fee_rate + stamp_duty_sell AS sell
+         FROM bk JOIN tiers ON signal_date >= start_date AND (end_date IS NULL OR signal_date <= end_date)),
+       k AS (SELECT DISTINCT arm, signal_date, s FROM (SELECT arm, signal_date, unnest([0::DOUBLE, 1::DOUBLE, CASE WHEN NOT locked AND tw > 0 AND cw / tw < 1 THEN cw / tw END]) AS s FROM r) WHERE s IS NOT NULL),
+       c AS (SELECT arm, signal_date, s, 1 - sum(h) - sum(buy * greatest(h - cw, 0)) - sum(sell * greatest(cw - h, 0)) AS cash
+         FROM (SELECT k.s, r.*, CASE WHEN locked THEN cw ELSE tw * k.s END AS h FROM r JOIN k USING (arm, signal_date)) GROUP BY 1, 2, 3),
+       n AS (SELECT *, lead(s) OVER w AS s2, lead(cash) OVER w AS cash2 FROM c WINDOW w AS (PARTITION BY arm, signal_date ORDER BY s)),
+       z AS (SELECT arm, signal_date, max(CASE WHEN cash >= -1e-12 AND s2 IS NULL THEN 1 WHEN cash >= 0 AND cash2 < 0 THEN s + (s2 - s) * cash / (cash - cash2) END) AS z, max(CASE WHEN s = 1 THEN cash END) AS c1,
+         max(CASE WHEN s = 0 THEN cash END) AS c0 FROM n GROUP BY 1, 2)
+       SELECT arm, signal_date, CASE WHEN c1 >= -1e-12 THEN 1 ELSE coalesce(z, 0) END AS executable_scale, CASE WHEN c1 >= -1e-12 THEN greatest(c1, 0) WHEN z IS NULL THEN greatest(c0, 0) ELSE 0 END AS cash FROM z""",
+)
 def _(t):
     target, current, stamp = books(t)
     target = target.withColumn("weight", F.lit(1.0) / 15)  # a full book cannot pay its own costs

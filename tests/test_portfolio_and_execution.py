@@ -13,41 +13,84 @@ from tidemark.operators import performance, portfolio
 D = dt.date
 
 
-def test_water_fill_literal():
-    w = portfolio.water_fill(np.array([10, 3, 1, 0.5]), 0.6, 0.2)
+def root(f, goal):
+    """Where a rising function reaches the goal, by halving; None if it does not."""
+    lo, hi = 0.0, 1e9
+    if f(hi) < goal - 1e-12:
+        return None
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if f(mid) >= goal else (mid, hi)
+    return hi
+
+
+def slow_fill(pref, total, cap, group, gcap):
+    """Weights by growing time: every name at its pace until it, its group or the total is full."""
+    pref = np.clip(np.nan_to_num(np.asarray(pref, float)), 0, None)
+    group = np.asarray(group)
+    done = np.zeros(len(pref))
+    goal = min(total, len(pref) * cap, len(set(group)) * gcap)
+    for pace in (pref, (pref <= 0).astype(float)):
+        if done.sum() >= goal - 1e-12:
+            break
+        room = np.where(pace > 0, cap, 0.0)
+        for g in set(group):
+            mine = group == g
+            t = root(lambda x: np.minimum(room, pace * x)[mine].sum(), max(0.0, gcap - done[mine].sum()))
+            if t is not None:
+                room[mine] = np.minimum(room, pace * t)[mine]
+        left = goal - done.sum()
+        t = root(lambda x: np.minimum(room, pace * x).sum(), left)
+        done = done + (room if t is None else np.minimum(room, pace * t))
+    return done
+
+
+def fill(spark, cases):
+    rows = [(k, i, float(p), str(g), float(total), float(cap), float(gcap)) for k, (pref, total, cap, group, gcap) in enumerate(cases) for i, (p, g) in enumerate(zip(pref, group))]
+    df = spark.createDataFrame(rows, "k int, symbol int, p double, g string, total double, cap double, gcap double")
+    out = {}
+    for cap, gcap in {(c[2], c[4]) for c in cases}:
+        part = df.where((F.col("cap") == cap) & (F.col("gcap") == gcap))
+        for r in portfolio.fill_weights(part, ["k"], F.col("p"), F.col("total"), "w", cap, "g", gcap).collect():
+            out[r["k"], r["symbol"]] = r["w"]
+    return [np.array([out[k, i] for i in range(len(c[0]))]) for k, c in enumerate(cases)]
+
+
+def test_fill_literal(spark):
+    (w,) = fill(spark, [([10, 3, 1, 0.5], 0.6, 0.2, "aaaa", 1.0)])
     assert w.sum() == pytest.approx(0.6) and w.max() <= 0.2 + 1e-12
     # names below the cap keep their proportions
     assert w[2] / w[3] == pytest.approx(2.0)
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_water_fill_invariants(seed):
-    rng = np.random.default_rng(seed)
-    n = int(rng.integers(1, 25))
-    pref, group = rng.random(n) * rng.integers(0, 2, n), rng.choice(list("abcd"), n)
-    total, cap, gcap = rng.random(), 0.02 + rng.random() * 0.2, 0.1 + rng.random() * 0.4
-    w = portfolio.water_fill(pref, total, cap, group, gcap)
-    sums = pd.Series(w).groupby(group).sum()
-    assert (w >= 0).all() and w.max() <= cap + 1e-9 and sums.max() <= gcap + 1e-9
-    assert w.sum() <= min(total, n * cap, len(sums) * gcap) + 1e-9
+def test_fill_equals_growing_in_time(spark):
+    rng = np.random.default_rng(3)
+    caps = [(0.05, 0.15), (0.2, 0.3), (0.1, 1.0)]
+    cases = [([0.0, float("nan")], 0.2, 0.5, "ab", 0.5), ([1.0], 0.0, 0.1, "a", 0.3), ([5.0, 1.0, 0.0, 0.0], 0.9, 0.2, "aabb", 0.3)]
+    for k in range(45):
+        n = int(rng.integers(1, 25))
+        cases.append((rng.random(n) * rng.integers(0, 2, n), rng.random(), *caps[k % 3][:1], rng.choice(list("abcd"), n), caps[k % 3][1]))
+    for (pref, total, cap, group, gcap), w in zip(cases, fill(spark, cases)):
+        np.testing.assert_allclose(w, slow_fill(pref, total, cap, list(group), gcap), atol=1e-9)
+        sums = pd.Series(w).groupby(list(group)).sum()
+        assert w.min() >= 0 and w.max() <= cap + 1e-9 and sums.max() <= gcap + 1e-9
 
 
-def test_water_fill_edges():
-    assert portfolio.water_fill(np.array([]), 0.5, 0.1).size == 0
-    assert portfolio.water_fill(np.array([1.0]), 0.0, 0.1).sum() == 0
-    np.testing.assert_allclose(portfolio.water_fill(np.array([0.0, np.nan]), 0.2, 0.5), [0.1, 0.1])
-
-
-def test_shrunk_covariance_diversifies():
+def test_variance_leaning():
     rng = np.random.default_rng(2026)
     a = rng.normal(0, 0.01, 160)
-    h = pd.DataFrame({"a": a, "b": a + rng.normal(0, 0.001, 160), "c": rng.normal(0, 0.01, 160)})
-    cov, seen = portfolio.shrunk_covariance(h)
-    assert seen == 160 and np.linalg.eigvalsh(cov).min() > 0
-    lean = np.linalg.pinv(cov, hermitian=True) @ np.ones(3)
-    assert lean[2] > lean[0] and lean[2] > lean[1]
-    assert portfolio.shrunk_covariance(h.head(30))[0] is None
-    assert portfolio.shrunk_covariance(h.assign(c=0.0))[0] is None
+    h = np.stack((a, a + rng.normal(0, 0.001, 160), rng.normal(0, 0.01, 160)), axis=1)
+    h[:20, 1] = np.nan
+    cov, n = portfolio.pairwise_moments(h)
+    np.testing.assert_allclose(cov, pd.DataFrame(h).cov().to_numpy())
+    lean, seen, status = portfolio.variance_leaning(h, 60, 0.5, 1e-6)
+    assert (seen, status) == (140, "applied") and lean[2] > lean[0] and lean[2] > lean[1]
+    half = np.where(np.eye(3) > 0, cov, cov / 2)
+    want = np.linalg.solve(half, np.ones(3))
+    np.testing.assert_allclose(lean, want / want.sum(), atol=1e-9)
+    assert portfolio.variance_leaning(h[:30], 60, 0.5, 1e-6)[2] == "fallback_insufficient_covariance"
+    h[:, 2] = 0
+    assert portfolio.variance_leaning(h, 60, 0.5, 1e-6)[0] is None
 
 
 @pytest.fixture(scope="module")
@@ -97,6 +140,27 @@ def test_overdrawn_book_is_scaled_to_zero_cash(spark):
     assert easy["executable_scale"] == 1.0
 
 
+def test_scale_equals_halving(spark):
+    rng = np.random.default_rng(4)
+    books = []
+    for k in range(40):
+        n = int(rng.integers(1, 12))
+        now, goal = rng.random(n) * rng.integers(0, 2, n), rng.random(n) * rng.integers(0, 2, n)
+        now, goal = now / max(now.sum(), 1), goal / max(goal.sum(), 1) * (1 + 0.2 * (k % 3))
+        books.append((now, goal, rng.random(n) < 0.2, 0.001 * k, 0.002 * k))
+    rows = [(k, *map(float, x[:2]), bool(x[2])) for k, b in enumerate(books) for x in zip(*b[:3])]
+    df = spark.createDataFrame(rows, "k int, current_weight double, target_weight double, locked boolean")
+    rates = spark.createDataFrame([(k, float(b[3]), float(b[4])) for k, b in enumerate(books)], "k int, buy_rate double, sell_rate double")
+    got = {r["k"]: r for r in portfolio.affordable_scale(df, rates, ["k"]).collect()}
+    for k, (now, goal, locked, buy, sell) in enumerate(books):
+        def cash(s):
+            held = np.where(locked, now, goal * s)
+            return 1 - held.sum() - buy * np.clip(held - now, 0, None).sum() - sell * np.clip(now - held, 0, None).sum()
+
+        want = 1.0 if cash(1.0) >= -1e-12 else 1.0 - root(lambda x: cash(1.0 - x), 0.0) if cash(0.0) >= 0 else 0.0
+        assert got[k]["executable_scale"] == pytest.approx(want, abs=1e-9) and got[k]["cash"] == pytest.approx(max(0.0, cash(want)), abs=1e-9)
+
+
 def test_fifo_equals_a_ledger(spark):
     buys = [("A", D(2020, 1, 1), D(2020, 1, 2), 100.0), ("A", D(2020, 1, 3), D(2020, 1, 6), 50.0), ("A", D(2020, 1, 7), D(2020, 1, 8), 80.0)]
     sells = [("A", D(2020, 1, 4), 60.0), ("A", D(2020, 1, 6), 70.0), ("A", D(2020, 1, 9), 100.0)]

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.operators import portfolio
+from test_portfolio_and_execution import slow_fill
 from tidemark.plans import strategy
 
 
@@ -32,7 +32,7 @@ def test_monthly_selection_equals_a_loop(spark):
         want = pd.concat([kept, fill]).sort_values("symbol")
         exposure = 0.95 if day.month >= 3 else 0.30
         total = min(exposure, 12 * 0.08, want["industry_code"].nunique() * 0.25)
-        w = portfolio.water_fill(1 / want["volatility"].to_numpy(), total, 0.08, want["industry_code"].to_numpy(), 0.25)
+        w = slow_fill(1 / want["volatility"].to_numpy(), total, 0.08, want["industry_code"].to_numpy(), 0.25)
         mine = got[got["signal_date"] == day].sort_values("symbol")
         assert list(mine["symbol"]) == list(want["symbol"]) and list(mine["rank"]) == list(want["rank"])
         assert set(mine.loc[mine["selection_reason"] == "HOLD_BUFFER", "symbol"]) == set(kept["symbol"])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,36 +50,28 @@ def buffered_top_n(
 def chained_selection(ranked: DataFrame, n: int, exit_rank: int, arm: str = "arm") -> DataFrame:
     """Buffered selection where each date's holdings are the previous date's picks.
 
-    The chain is sequential in time, so it folds over dates in one group per arm; the
-    group holds at most max(n, exit_rank) rows per signal date because ranks beyond that
-    are cut on Spark before the shuffle.
+    The chain is sequential in time, so it is one fold per arm over an array of dates, each
+    with its names in rank order.  An arm's array has at most max(n, exit_rank) names per
+    signal date, because ranks beyond that are cut before the shuffle.
     """
     limit = max(n, exit_rank)
-    pool = ranked.where(F.col("rank") <= limit).select(arm, "signal_date", "symbol", "rank")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: set = set()
-        out = []
-        for _, day in pdf.sort_values(["signal_date", "rank"]).groupby("signal_date", sort=True):
-            was = day["symbol"].isin(held)
-            kept = day[was & (day["rank"] <= exit_rank)].head(n)
-            fill = day[~day.index.isin(kept.index)].head(n - len(kept))
-            chosen = pd.concat([kept, fill]).sort_values("rank")
-            out.append(
-                chosen.assign(
-                    was_held=chosen["symbol"].isin(held),
-                    selection_reason=["HOLD_BUFFER" if i in kept.index else "NEW_ENTRY" for i in chosen.index],
-                )
-            )
-            held = set(chosen["symbol"])
-        return pd.concat(out)
-
-    kind = dict(pool.dtypes)
-    schema = (
-        f"{arm} {kind[arm]}, signal_date date, symbol {kind['symbol']}, rank {kind['rank']}, "
-        "was_held boolean, selection_reason string"
+    pool = ranked.where(F.col("rank") <= limit)
+    kind = dict(pool.dtypes)["symbol"]
+    days = pool.groupBy(arm, "signal_date").agg(F.array_sort(F.collect_list(F.struct("rank", "symbol"))).alias("names"))
+    chain = days.groupBy(arm).agg(F.array_sort(F.collect_list(F.struct("signal_date", "names"))).alias("days"))
+    fold = f"""aggregate(days,
+        named_struct('held', cast(array() AS array<{kind}>), 'out', cast(array() AS array<struct<signal_date:date, before:array<{kind}>, kept:array<{kind}>, held:array<{kind}>>>)),
+        (acc, day) -> transform(array(slice(filter(transform(day.names, x -> IF(x.rank <= {exit_rank}, x.symbol, NULL)), x -> array_contains(acc.held, x)), 1, {n})),
+            kept -> named_struct('held', concat(kept, slice(array_except(transform(day.names, x -> x.symbol), kept), 1, {n} - size(kept))),
+                'out', concat(acc.out, array(named_struct('signal_date', day.signal_date, 'before', acc.held, 'kept', kept,
+                    'held', concat(kept, slice(array_except(transform(day.names, x -> x.symbol), kept), 1, {n} - size(kept))))))))[0],
+        acc -> acc.out)"""
+    picks = chain.select(arm, F.explode(F.expr(fold)).alias("d")).select(arm, "d.*")
+    picks = picks.select(arm, "signal_date", "before", "kept", F.explode("held").alias("symbol"))
+    return pool.select(arm, "signal_date", "symbol", "rank").join(picks, [arm, "signal_date", "symbol"]).select(
+        arm, "signal_date", "symbol", "rank", F.array_contains("before", F.col("symbol")).alias("was_held"),
+        F.when(F.array_contains("kept", F.col("symbol")), "HOLD_BUFFER").otherwise("NEW_ENTRY").alias("selection_reason"),
     )
-    return pool.groupBy(arm).applyInPandas(fold, schema)
 
 
 def trailing(df: DataFrame, cal: DataFrame, signals: DataFrame, n: int) -> DataFrame:
