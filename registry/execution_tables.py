@@ -74,12 +74,13 @@ def _(t):
 
 
 ORACLE_VIEWS["fill_rows"] = """SELECT *, desired - filled AS remaining, CASE WHEN filled <= 0 THEN 'REJECTED' WHEN desired - filled >= 100 - 1e-8 THEN 'PARTIAL' ELSE 'FILLED' END AS status,
-    CASE WHEN filled <= 0 THEN CASE WHEN desired < 100 THEN 'below_lot' ELSE 'participation_cap' END ELSE '' END AS reason FROM (
-    SELECT *, CASE WHEN side = 'SELL' AND fits AND ((target <= 1e-8 AND desired >= held - 1e-8) OR (desired > 1e-8 AND desired <= held % 100 + 1e-8)) THEN desired
-      ELSE floor(greatest(0, least(desired, room)) / 100 + 1e-12) * 100 END AS filled FROM (
+    CASE WHEN filled > 0 THEN '' WHEN cap IS NULL THEN 'missing_signal_liquidity' WHEN capped > 0 THEN 'insufficient_cash' WHEN desired < 100 THEN 'below_lot' ELSE 'participation_cap' END AS reason FROM (
+    SELECT *, CASE WHEN side = 'BUY' THEN least(capped, floor(greatest(0, least(cash / (price * 1.00002 + price * 0.00025), (cash - 5) / (price * 1.00002))) / 100 + 1e-12) * 100) ELSE capped END AS filled FROM (
+    SELECT *, CASE WHEN cap IS NULL THEN 0 WHEN side = 'SELL' AND fits AND ((target <= 1e-8 AND desired >= held - 1e-8) OR (desired > 1e-8 AND desired <= held % 100 + 1e-8)) THEN desired
+      ELSE floor(greatest(0, least(desired, room)) / 100 + 1e-12) * 100 END AS capped, (symbol % 5) * 20000::DOUBLE AS cash FROM (
     SELECT *, CASE WHEN avg_amount_20 > 0 THEN avg_amount_20 * 0.05 END AS cap, coalesce(CASE WHEN avg_amount_20 > 0 THEN avg_amount_20 * 0.05 END / greatest(price, 1e-12), desired) AS room,
       coalesce(desired * price <= CASE WHEN avg_amount_20 > 0 THEN avg_amount_20 * 0.05 END + 1e-8, true) AS fits, CASE WHEN symbol % 2 = 0 THEN desired ELSE desired * 2 END AS held,
-      CASE WHEN symbol % 2 = 0 THEN 0 ELSE desired END AS target FROM (SELECT * REPLACE (CASE WHEN symbol % 3 = 0 THEN avg_amount_20 * 50 ELSE avg_amount_20 END AS avg_amount_20) FROM quote_rows)))"""
+      CASE WHEN symbol % 2 = 0 THEN 0 ELSE desired END AS target FROM (SELECT * REPLACE (CASE WHEN symbol % 3 = 0 THEN avg_amount_20 * 50 ELSE avg_amount_20 END AS avg_amount_20) FROM quote_rows))))"""
 
 
 def fills(t):
@@ -88,7 +89,7 @@ def fills(t):
     q = q.withColumn("held", F.when(even, F.col("desired")).otherwise(F.col("desired") * 2)).withColumn(
         "target", F.when(even, F.lit(0.0)).otherwise(F.col("desired"))
     )
-    return ex.fill_once(q)
+    return ex.fill_once(q.withColumn("cash", (F.col("symbol") % 5) * F.lit(20000.0)).withColumn("transfer_fee_rate", F.lit(0.00002)))
 
 
 @query("X3_single_fill_attempt", "date:d symbol:i side:s desired:f filled:f remaining:f status:s reason:s", "SELECT * FROM fill_rows")

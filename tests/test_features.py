@@ -68,10 +68,30 @@ def test_no_look_ahead(bars):
 def test_range_with_warmup_equals_full_run(bars):
     _, df = bars
     full = features.price_features(df).where("date >= DATE'2019-03-01'").orderBy("symbol", "date").toPandas()
-    part = features.price_features(df, start="2019-03-01", warmup_days=500).orderBy("symbol", "date").toPandas()
+    part = features.price_features(df, start="2019-03-01").orderBy("symbol", "date").toPandas()
     np.testing.assert_allclose(part[COLUMNS].to_numpy(float), full[COLUMNS].to_numpy(float), equal_nan=True)
 
 
+def test_sparse_symbols_keep_their_history(spark):
+    days = [dt.date(2015, 1, 1) + dt.timedelta(days=5 * k) for k in range(330)]
+    df = spark.createDataFrame([(1, d, 10.0 + k % 7) for k, d in enumerate(days)], "symbol int, date date, total_close double")
+    full = features.price_features(df).where(F.col("date") >= days[253])
+    part = features.price_features(df, start=str(days[253]))
+    count = lambda x: x.agg(F.count("mom_12_1"), F.count("ma_200")).first()
+    assert count(part) == count(full) == (77, 77)
+
+
+def test_availability_of_dates_before_the_calendar(spark, business_days):
+    rows = [(dt.date(1850, 5, 1),), (dt.date(2019, 12, 31),), (dt.date(2020, 1, 1),), (dt.date(2020, 1, 4),), (dt.date(2021, 5, 1),)]
+    df = spark.createDataFrame(rows, "d date")
+    want = {0: [1, 1, 1, 6, None], 1: [1, 1, 2, 6, None], 2: [2, 2, 3, 7, None]}
+    for lag, found in want.items():
+        got = {r["d"]: r["a"] for r in calendar.with_availability(df, business_days, "d", lag, "a").collect()}
+        assert [got[d] and got[d].day for (d,) in rows] == found
+    old = calendar.calendar(spark.createDataFrame([(dt.date(1850, 5, 1),), (dt.date(2300, 1, 1),)], "date date"))
+    assert old.count() == 2
+
+
 def test_liquidity_and_regime(spark, bars):
     pdf, df = bars
     got = features.liquidity_features(df).where("symbol = 1").orderBy("date").toPandas()

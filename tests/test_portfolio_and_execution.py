@@ -173,6 +173,45 @@ def test_fifo_equals_a_ledger(spark):
     ]
 
 
+def test_fifo_after_an_oversold_day(spark):
+    buys = spark.createDataFrame([("A", D(2020, 1, 1), D(2020, 1, 2), 100.0), ("A", D(2020, 1, 3), D(2020, 1, 6), 100.0)], "symbol string, date date, sellable_date date, shares double")
+    sells = spark.createDataFrame([("A", D(2020, 1, 3), 150.0), ("A", D(2020, 1, 7), 100.0), ("A", D(2020, 1, 8), 10.0)], "symbol string, date date, shares double")
+    got = ex.fifo_match(buys, sells).orderBy("sell_date").collect()
+    assert [(r["buy_date"].day, r["sell_date"].day, r["shares"]) for r in got] == [(1, 3, 100.0), (3, 7, 100.0)]
+    rest = ex.oversold(buys, sells).orderBy("date").collect()
+    assert [(r["date"].day, r["shares"]) for r in rest] == [(3, 50.0), (8, 10.0)]
+
+
+def test_fifo_equals_a_ledger_with_oversold_days(spark):
+    rng = np.random.default_rng(9)
+    day = lambda k: D(2020, 1, 1) + dt.timedelta(days=int(k))
+    buys = [("A", day(k), day(k + 1 + k % 2), float(rng.integers(0, 30) * 10)) for k in range(40) if rng.random() < 0.6]
+    buys = [b for b in buys if b[3]]
+    sells = [("A", day(k), float(rng.integers(1, 35) * 10)) for k in range(45) if rng.random() < 0.6]
+    lots = [[d, at, n] for _, d, at, n in sorted(buys, key=lambda b: (b[2], b[1]))]
+    want = []
+    for _, when, n in sells:
+        for lot in lots:
+            take = min(n, lot[2]) if lot[1] <= when else 0
+            if take:
+                want.append((lot[0], when, take))
+                lot[2] -= take
+                n -= take
+    got = ex.fifo_match(
+        spark.createDataFrame(buys, "symbol string, date date, sellable_date date, shares double"), spark.createDataFrame(sells, "symbol string, date date, shares double")
+    ).collect()
+    assert sorted((r["buy_date"], r["sell_date"], r["shares"]) for r in got) == sorted(want)
+
+
+def test_fills_without_liquidity_or_cash(spark):
+    rows = [(1, "BUY", 1000.0, 10.0, None, 1e9), (2, "BUY", 1000.0, 10.0, 1e9, 2010.0), (3, "BUY", 1000.0, 10.0, 1e9, 50.0), (4, "SELL", 100.0, 10.0, 1e9, 0.0), (5, "BUY", 1000.0, 10.0, 20000.0, 1e9)]
+    df = spark.createDataFrame(rows, "k int, side string, desired double, price double, lagged_adv20 double, cash double").selectExpr("*", "desired AS held", "0D AS target", "0.0D AS transfer_fee_rate")
+    got = {r["k"]: (r["filled"], r["status"], r["reason"]) for r in ex.fill_once(df).collect()}
+    assert got == {
+        1: (0.0, "REJECTED", "missing_signal_liquidity"), 2: (200.0, "PARTIAL", ""), 3: (0.0, "REJECTED", "insufficient_cash"), 4: (100.0, "FILLED", ""), 5: (100.0, "PARTIAL", ""),
+    }
+
+
 def test_order_reasons_keep_their_order(spark):
     day = D(2020, 1, 2)
     orders = spark.createDataFrame([(s, day, "BUY") for s in range(5)] + [(5, day, "SELL")], "symbol int, date date, side string")

@@ -1,7 +1,7 @@
 """Trading calendar, availability dates and signal dates.
 
-Calendar tables hold at most one row per day between 1900 and 2100 (73,414 rows), which
-is what makes them safe to broadcast and to sort in one task.
+A calendar holds one row per trading day (a few hundred a year), which is what makes it
+safe to sort in one task.
 """
 
 from __future__ import annotations
@@ -11,38 +11,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FIRST_DAY, LAST_DAY = "1900-01-01", "2100-12-31"
+
 def _by_date():
     return Window.orderBy("date")
 
 
 def calendar(dates: DataFrame, col: str = "date") -> DataFrame:
     """Distinct trading days with their 1-based ordinal."""
-    days = (
-        dates.select(F.col(col).cast("date").alias("date"))
-        .where(F.col("date").between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")))
-        .distinct()
-    )
+    days = dates.select(F.col(col).cast("date").alias("date")).where("date IS NOT NULL").distinct()
     return days.select("date", F.row_number().over(_by_date()).cast("long").alias("ord"))
 
 
 def availability_map(cal: DataFrame, lag: int) -> DataFrame:
-    """Every natural day a source date may fall on -> first usable trading day.
+    """Every natural day from the first trading day on -> first usable trading day.
 
     Lag 0 is the first trading day on or after the date, lag k the k-th strictly after.
-    Each trading day owns the run of natural days that resolve to it, back to 1900 for
-    the first, so the lookup is an equi join rather than a range join.
+    Each trading day owns the run of natural days that resolve to it, so the lookup is an
+    equi join rather than a range join.
     """
     if lag < 0:
         raise ValueError("lag must not be negative")
-    origin = F.lit(FIRST_DAY).cast("date")
-    prev = F.lag("date", max(lag, 1)).over(_by_date())
     if lag == 0:
-        owners = cal.select("date", F.coalesce(F.date_add(prev, 1), origin).alias("_first"), F.col("date").alias("_last"))
+        before = F.lag("date").over(_by_date())
+        owners = cal.select("date", F.coalesce(F.date_add(before, 1), "date").alias("_first"), F.col("date").alias("_last"))
     else:
-        nxt = F.lag("date", lag - 1).over(_by_date()) if lag > 1 else F.col("date")
-        owners = cal.select("date", F.coalesce(prev, origin).alias("_first"), F.date_sub(nxt, 1).alias("_last"))
-        owners = owners.where(F.col("_last").isNotNull())
+        owners = cal.select("date", F.lag("date", lag).over(_by_date()).alias("_first"), F.date_sub(F.lag("date", lag - 1).over(_by_date()) if lag > 1 else F.col("date"), 1).alias("_last"))
+        owners = owners.where(F.col("_first").isNotNull())
     return owners.select(
         F.explode(F.sequence("_first", "_last")).alias("_day"), F.col("date").alias("available_date")
     )
@@ -51,9 +45,16 @@ def availability_map(cal: DataFrame, lag: int) -> DataFrame:
 def with_availability(
     df: DataFrame, cal: DataFrame, source: str, lag: int, out: str = "available_date"
 ) -> DataFrame:
-    """Attach the first date a value known on ``source`` may be used; off the end is null."""
-    days = availability_map(cal, lag).select(F.col("_day").alias("_day"), F.col("available_date").alias(out))
-    return df.withColumn("_day", F.col(source)).join(F.broadcast(days), "_day", "left").drop("_day")
+    """Attach the first date a value known on ``source`` may be used; off the end is null.
+
+    A source date of any age counts: before the calendar begins, the first trading day is
+    the first that follows.
+    """
+    days = availability_map(cal, lag).withColumnRenamed("available_date", out)
+    opening = cal.agg(F.min("date").alias("_opens"), F.min(F.when(F.col("ord") == max(lag, 1), F.col("date"))).alias("_early"))
+    found = df.withColumn("_day", F.col(source)).join(days, "_day", "left").join(F.broadcast(opening), how="cross")  # one row
+    early = F.when(F.col("_day") < F.col("_opens"), F.col("_early")).otherwise(F.col(out))
+    return found.withColumn(out, early).drop("_day", "_opens", "_early")
 
 
 def month_ends(

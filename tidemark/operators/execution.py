@@ -74,13 +74,22 @@ def quote(orders: DataFrame, slippage_bps: float = SLIPPAGE_BPS) -> DataFrame:
     return df.withColumn("realized_slippage_bps", F.greatest(gap * 10000.0, F.lit(0.0)))
 
 
-def fill_once(orders: DataFrame, rate: float = PARTICIPATION, lot: int = LOT) -> DataFrame:
-    """One fill attempt: capped by participation and cash-independent limits, in whole lots.
+def affordable_shares(cash: Column, price: Column, transfer_rate: Column) -> Column:
+    """Shares that cash pays for, commission (with its minimum) and transfer fee included."""
+    each = price * (1 + transfer_rate)
+    return F.greatest(F.lit(0.0), F.least(cash / (each + price * COMMISSION), (cash - MIN_COMMISSION) / each))
+
+
+def fill_once(orders: DataFrame, rate: float = PARTICIPATION, lot: int = LOT, reject_missing: bool = True) -> DataFrame:
+    """One fill attempt: capped by participation and, for purchases, by cash, in whole lots.
 
     A sale that closes the position or clears its odd lot may leave whole lots when the
-    cap allows it.  Needs side, desired, price, lagged_adv20, held, target.
+    cap allows it.  Needs side, desired, price, lagged_adv20, held, target; where there are
+    ``cash`` and ``transfer_fee_rate``, a purchase is cut to what they pay for.  Without a
+    known liquidity an order is rejected, unless ``reject_missing`` is off: then it is uncapped.
     """
-    cap = F.when((F.lit(rate) > 0) & (F.col("lagged_adv20") > 0), F.col("lagged_adv20") * rate)
+    known = F.coalesce(~F.isnan("lagged_adv20") & (F.col("lagged_adv20") > 0), F.lit(False))
+    cap = F.when((F.lit(rate) > 0) & known, F.col("lagged_adv20") * rate)
     df = orders.withColumn("participation_cap", cap)
     price = F.greatest(F.col("price"), F.lit(1e-12))
     room = F.when(F.col("participation_cap").isNull(), F.col("desired")).otherwise(F.col("participation_cap") / price)
@@ -91,17 +100,23 @@ def fill_once(orders: DataFrame, rate: float = PARTICIPATION, lot: int = LOT) ->
         ((F.col("target") <= 1e-8) & (F.col("desired") >= F.col("held") - 1e-8))
         | ((F.col("desired") > 1e-8) & (F.col("desired") <= odd + 1e-8))
     )
-    df = df.withColumn("filled", F.when(closes, F.col("desired")).otherwise(whole))
+    unknown = F.lit(reject_missing and rate > 0) & ~known
+    df = df.withColumn("_capped", F.when(unknown, 0.0).when(closes, F.col("desired")).otherwise(whole))
+    paid = F.col("_capped")
+    if "cash" in orders.columns:
+        able = S.floor_lot(affordable_shares(F.greatest("cash", F.lit(0.0)), price, F.col("transfer_fee_rate")), lot)
+        paid = F.when(F.col("side") == "BUY", F.least("_capped", able)).otherwise(F.col("_capped"))
+    df = df.withColumn("filled", paid)
     left = F.col("desired") - F.col("filled")
     status = (
         F.when(F.col("filled") <= 0, "REJECTED")
         .when(left >= lot - 1e-8, "PARTIAL")
         .otherwise("FILLED")
     )
-    why = F.when(
-        F.col("filled") <= 0, F.when(F.col("desired") < lot, "below_lot").otherwise("participation_cap")
-    ).otherwise("")
-    return df.withColumns({"status": status, "reason": why, "remaining": left})
+    why = F.when(F.col("filled") > 0, "").when(unknown, "missing_signal_liquidity").when(F.col("_capped") > 0, "insufficient_cash").when(
+        F.col("desired") < lot, "below_lot"
+    ).otherwise("participation_cap")
+    return df.withColumns({"status": status, "reason": why, "remaining": left}).drop("_capped")
 
 
 def fee_columns(trades: DataFrame, tiers: DataFrame, date: str = "date") -> DataFrame:
@@ -118,20 +133,44 @@ def fee_columns(trades: DataFrame, tiers: DataFrame, date: str = "date") -> Data
     return df.withColumn("fees", F.col("commission") + F.col("stamp_duty") + F.col("transfer_fee"))
 
 
+def sellable_part(buys: DataFrame, sells: DataFrame) -> DataFrame:
+    """Sells with ``matched``: what of each sale is sellable, given the sales before it.
+
+    With S shares asked for and A sellable up to a date, the shares sold up to it are the
+    least of S and, over all dates until then, A + (what was asked for since).
+    """
+    events = buys.select("symbol", F.col("sellable_date").alias("date"), F.lit(0).alias("_sale"), "shares").unionByName(
+        sells.select("symbol", "date", F.lit(1).alias("_sale"), "shares")
+    )
+    w = Window.partitionBy("symbol").orderBy("date", "_sale").rowsBetween(Window.unboundedPreceding, 0)
+    asked, there = F.sum(F.when(F.col("_sale") == 1, F.col("shares")).otherwise(0.0)), F.sum(F.when(F.col("_sale") == 0, F.col("shares")).otherwise(0.0))
+    events = events.select("*", asked.over(w).alias("_asked"), there.over(w).alias("_there")).where("_sale = 1")
+    sold = F.col("_asked") + F.least(F.lit(0.0), F.min(F.col("_there") - F.col("_asked")).over(w))
+    before = F.lag("_sold").over(Window.partitionBy("symbol").orderBy("date", "_sale"))
+    return events.withColumn("_sold", sold).select("symbol", "date", "shares", (F.col("_sold") - F.coalesce(before, F.lit(0.0))).alias("matched"))
+
+
+def oversold(buys: DataFrame, sells: DataFrame) -> DataFrame:
+    """The part of each sale that no sellable share covers."""
+    rest = F.col("shares") - F.col("matched")
+    return sellable_part(buys, sells).where(rest > 1e-9).select("symbol", "date", rest.alias("shares"))
+
+
 def fifo_match(buys: DataFrame, sells: DataFrame) -> DataFrame:
     """Match sells to buys first-in-first-out; a buy can be sold from its ``sellable_date``.
 
     Buys are laid end to end on a share axis in (sellable, acquired) order and sells on
     the same axis in date order; two ranges that overlap are a match.  Both axes are cut
     at the union of their end points, so every slice has one buy and one sell, found by
-    carrying the next owner backward: no pair join.  ``sells`` must not exceed what is
-    sellable on their date; the part that does is dropped.
+    carrying the next owner backward: no pair join.  A sale counts as far as shares are
+    sellable on its date; ``oversold`` lists the rest.
     Inputs are one row per (symbol, date): symbol, date, shares (+ sellable_date).
     """
     wb = Window.partitionBy("symbol").orderBy("sellable_date", "date").rowsBetween(Window.unboundedPreceding, 0)
     ws = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     b = buys.withColumn("_end", F.sum("shares").over(wb))
-    s = sells.withColumn("_end", F.sum("shares").over(ws))
+    able = sellable_part(buys, sells).where("matched > 0").select("symbol", "date", F.col("matched").alias("shares"))
+    s = able.withColumn("_end", F.sum("shares").over(ws))
     axis = b.select(
         "symbol", "_end", F.struct(F.col("date").alias("buy_date"), "sellable_date").alias("_b"),
         F.lit(None).cast("struct<sell_date:date>").alias("_s"),

@@ -26,13 +26,11 @@ def price_features(
     vol_lookback: int = 60,
     start: str | None = None,
     end: str | None = None,
-    warmup_days: int = 500,
 ) -> DataFrame:
     """Momentum, trend, volatility, information-discreteness and drawdown columns.
 
-    ``start``/``end`` limit the dates returned; the scan is limited to ``start`` minus
-    ``warmup_days`` before the windows, because a filter on a window's order key does
-    not pass through the window to the scan.
+    ``start``/``end`` limit the dates returned.  Look-backs count rows, not days, so a thinly
+    traded symbol may need bars of any age: the windows see the whole history before ``start``.
     """
     if vol_lookback < 20:
         raise ValueError("vol_lookback must be at least 20")
@@ -40,8 +38,6 @@ def price_features(
     if missing:
         raise ValueError(f"price features need columns {sorted(missing)}")
     df = bars
-    if start:
-        df = df.where(F.col("date") >= F.date_sub(F.lit(start).cast("date"), warmup_days))
     if end:
         df = df.where(F.col("date") <= F.lit(end).cast("date"))
     w = Window.partitionBy("symbol").orderBy("date")

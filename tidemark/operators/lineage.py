@@ -190,9 +190,10 @@ def acceptance(stages: DataFrame, engineering_only: bool, identity: Mapping[str,
 
 def require_receipt(receipt: DataFrame, identity: DataFrame, key: str = "data_fingerprint") -> DataFrame:
     """May this data be used?  The receipt must be a pass bound to the same fingerprint."""
-    r = receipt.select(F.col(key).alias("_bound"), F.col("decision").alias("_decision"))
-    return identity.crossJoin(F.broadcast(r.limit(1))).select(
-        key, F.when(F.col("_decision") != "pass", "not_accepted").when(F.col("_bound") != F.col(key), "other_data").otherwise("").alias("problem")
+    once = F.assert_true(F.count(F.lit(1)) == 1, F.lit("exactly one receipt is needed"))
+    r = receipt.agg(F.max(key).alias("_bound"), F.max("decision").alias("_decision"), once.alias("_once"))
+    return identity.crossJoin(F.broadcast(r)).select(
+        key, F.when(F.col("_once").isNotNull(), "").when(F.col("_decision") != "pass", "not_accepted").when(F.col("_bound") != F.col(key), "other_data").otherwise("").alias("problem")
     )
 
 

@@ -244,7 +244,9 @@ def arm_comparison(metrics: DataFrame, fields: Sequence[str], baselines: dict[st
     """Every arm's metrics with differences from named baseline arms (one row per arm)."""
     out = metrics
     for label, arm in baselines.items():
-        base = metrics.where(F.col("arm") == arm).select(*[F.col(f).alias(f"_{f}") for f in fields]).limit(1)
+        # one row; a repeated baseline arm is an error
+        once = F.assert_true(F.count(F.lit(1)) <= 1, F.lit(f"baseline arm {arm} is repeated"))
+        base = metrics.where(F.col("arm") == arm).agg(*[F.max(f).alias(f"_{f}") for f in fields], once.alias("_once")).where("_once IS NULL")
         out = out.join(F.broadcast(base), how="cross")
         out = out.select(
             *[c for c in out.columns if not c.startswith("_")],

@@ -27,7 +27,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def require(report: DataFrame) -> None:
     """Strict mode: raise with the broken rules (the report has one row per rule)."""
-    broken = report.where(F.col("violations") > 0).limit(20).collect()
+    broken = report.where(F.col("violations") > 0).collect()
     if broken:
         raise ValueError("; ".join(f"{r['rule']}: {r['violations']}" for r in broken))
 
