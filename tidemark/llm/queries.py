@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, line_dedup, parsing, quality, simhash, suffix_tree, url_filter, warc
+from tidemark.llm import bpe, decontaminate, licences, line_dedup, parsing, quality, simhash, suffix_tree, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("item_id", F.col("item_id").cast("long"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.find_licences(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -117,7 +121,7 @@ FROM ruled
 """
 
 QUERIES = {
-    "op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination,
+    "op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_decontamination": op5_decontamination, "op6_licences": op6_licences,
     "op7_url_filter": op7_url_filter, "op8_parsing": op8_parsing,
     "op9_suffix_tree": op9_suffix_tree, "op10_line_dedup": op10_line_dedup, "pipeline": corpus_pipeline.run,
 }
