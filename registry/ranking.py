@@ -24,7 +24,7 @@ def _(t):
     """SELECT date, symbol, volume, rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2 AS rank FROM bars""",
 )
 def _(t):
-    return xsec.average_rank(t.bars.select("date", "symbol", "volume"), ["date"], "volume", "rank")
+    return xsec.average_rank(stage(t.bars.select("date", "symbol", "volume")), ["date"], "volume", "rank")
 
 
 @query(
@@ -35,7 +35,7 @@ def _(t):
        min(volume) OVER (PARTITION BY date) AS lo, max(volume) OVER (PARTITION BY date) AS hi FROM bars)""",
 )
 def _(t):
-    return xsec.quantile_label(t.bars.select("date", "symbol", "volume"), ["date"], "volume", "symbol", 5)
+    return xsec.quantile_label(stage(t.bars.select("date", "symbol", "volume")), ["date"], "volume", "symbol", 5)
 
 
 @query(

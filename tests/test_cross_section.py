@@ -34,19 +34,17 @@ def test_order_bucket_never_decreases(spark):
     assert got == sorted(got)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_average_rank(sample, small):
+def test_average_rank(sample):
     pdf, df = sample
-    got = xsec.average_rank(df, ["g"], "x", "r", small).toPandas().set_index("s")["r"].sort_index()
+    got = xsec.average_rank(df, ["g"], "x", "r").toPandas().set_index("s")["r"].sort_index()
     want = pdf.groupby("g")["x"].rank().set_axis(pdf["s"])
     np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), equal_nan=True)
 
 
-@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("descending", [False, True])
-def test_ordinal_rank(sample, small, descending):
+def test_ordinal_rank(sample, descending):
     pdf, df = sample
-    got = xsec.ordinal_rank(df, ["g"], "x", "s", "r", descending, "n", small).toPandas().set_index("s").sort_index()
+    got = xsec.ordinal_rank(df, ["g"], "x", "s", "r", descending, "n").toPandas().set_index("s").sort_index()
     want = pdf.groupby("g")["x"].rank(method="first", ascending=not descending)
     np.testing.assert_allclose(got["r"].to_numpy(float), want.to_numpy(float), equal_nan=True)
     seen = pdf.groupby("g")["x"].transform("count")
@@ -54,11 +52,10 @@ def test_ordinal_rank(sample, small, descending):
     assert (got["n"][ok.to_numpy()].to_numpy() == seen[ok].to_numpy()).all()
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_quantiles(sample, small):
+def test_quantiles(sample):
     pdf, df = sample
     qs = [0.05, 0.5, 0.731, 1.0]
-    got = xsec.exact_quantiles(df, ["g"], "x", qs, ["a", "b", "c", "d"], small).toPandas().set_index("g").sort_index()
+    got = xsec.exact_quantiles(df, ["g"], "x", qs, ["a", "b", "c", "d"]).toPandas().set_index("g").sort_index()
     want = pdf.groupby("g")["x"].quantile(qs).unstack()
     np.testing.assert_allclose(got[["a", "b", "c", "d"]].to_numpy(), want.to_numpy(), atol=1e-12)
 
@@ -74,31 +71,28 @@ def z_pandas(x, q, minimum, zero):
     return z.fillna(0.0) if zero else z
 
 
-@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("zero", [False, True])
-def test_winsorised_z(sample, small, zero):
+def test_winsorised_z(sample, zero):
     pdf, df = sample
-    got = xsec.winsorised_z(df, ["g"], "x", "z", 0.05, 2 if zero else 3, "zero" if zero else "null", small)
+    got = xsec.winsorised_z(df, ["g"], "x", "z", 0.05, 2 if zero else 3, "zero" if zero else "null")
     got = got.toPandas().set_index("s")["z"].sort_index()
     want = pdf.groupby("g")["x"].transform(lambda x: z_pandas(x, 0.05, 3, zero))
     np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), atol=1e-10, equal_nan=True)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_degenerate_scores(spark, small):
+def test_degenerate_scores(spark):
     df = spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (1, 3, 5.0), (2, 4, 1.0), (2, 5, 2.0)], "g int, s int, x double")
-    null = xsec.winsorised_z(df, ["g"], "x", "z", small=small).select("z").collect()
+    null = xsec.winsorised_z(df, ["g"], "x", "z").select("z").collect()
     assert all(r["z"] is None for r in null)
-    zero = {r["s"]: r["z"] for r in xsec.winsorised_z(df, ["g"], "x", "z", 0.0, 2, "zero", small).collect()}
+    zero = {r["s"]: r["z"] for r in xsec.winsorised_z(df, ["g"], "x", "z", 0.0, 2, "zero").collect()}
     assert [zero[i] for i in (1, 2, 3)] == [0.0, 0.0, 0.0] and zero[4] == pytest.approx(-1.0)
 
 
-@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("strength", [1.0, 0.4])
-def test_neutralise_equals_least_squares(sample, small, strength):
+def test_neutralise_equals_least_squares(sample, strength):
     pdf, df = sample
     full = df.where("x IS NOT NULL")
-    got = xsec.neutralise(full, ["g"], "x", "ind", "y", strength, "res", small).toPandas().set_index("s")["res"]
+    got = xsec.neutralise(full, ["g"], "x", "ind", "y", strength, "res").toPandas().set_index("s")["res"]
     for _, part in pdf.dropna().groupby("g"):
         dummies = pd.get_dummies(part["ind"], dtype=float).to_numpy()
         beta = np.linalg.lstsq(np.column_stack([dummies, part["y"]]), part["x"].to_numpy(), rcond=None)[0]
@@ -113,34 +107,36 @@ def test_neutralise_without_controls_passes_score_through(sample):
     assert out.where("res <> x").count() == 0
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_spearman(sample, small):
+def test_spearman(sample):
     pdf, df = sample
-    got = xsec.spearman(df, ["g"], "x", "y", 3, "c", small).toPandas().set_index("g").sort_index()
+    got = xsec.spearman(df, ["g"], "x", "y", 3, "c").toPandas().set_index("g").sort_index()
     for g, part in pdf.groupby("g"):
         p = part[["x", "y"]].dropna()
         assert got.loc[g, "observations"] == len(p)
         assert got.loc[g, "c"] == pytest.approx(p["x"].rank().corr(p["y"].rank()), abs=1e-10)
     flat = df.withColumn("x", F.lit(1.0))
-    assert all(r["c"] is None for r in xsec.spearman(flat, ["g"], "x", "y", 3, "c", small).collect())
+    assert all(r["c"] is None for r in xsec.spearman(flat, ["g"], "x", "y", 3, "c").collect())
 
 
-@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("q", [2, 4, 5])
-def test_quantile_labels_equal_qcut(sample, small, q):
+def test_quantile_labels_equal_qcut(sample, q):
     pdf, df = sample
-    got = xsec.quantile_label(df, ["g"], "x", "s", q, "k", small).toPandas().set_index("s")["k"].sort_index()
+    got = xsec.quantile_label(df, ["g"], "x", "s", q, "k").toPandas().set_index("s")["k"].sort_index()
     for _, part in pdf.groupby("g"):
         v = part["x"].dropna()
         want = pd.qcut(v.rank(method="first"), q, labels=False) + 1
         assert (got.loc[part.loc[v.index, "s"]].to_numpy() == want.to_numpy()).all()
     few = df.where("g = 1").limit(2 * q - 1)
-    assert xsec.quantile_label(few, ["g"], "x", "s", q, "k", small).where("k IS NOT NULL").count() == 0
+    assert xsec.quantile_label(few, ["g"], "x", "s", q, "k").where("k IS NOT NULL").count() == 0
 
 
-def test_size_check(sample):
-    _, df = sample
-    assert xsec.fits_one_task(df, ["g"]) and not xsec.fits_one_task(df, ["g"], 100)
+def test_ranks_of_infinite_and_close_values(spark):
+    values = [float("inf"), float("-inf"), float("nan"), 1.0, 1.0 + 1e-12, 1.0 + 2e-12, 0.0, -1.0, 5e-324, None, float("inf")]
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)], "g int, s int, x double")
+    got = {r["s"]: r["r"] for r in xsec.average_rank(df, ["g"], "x", "r").collect()}
+    assert got == {1: 1.0, 7: 2.0, 6: 3.0, 8: 4.0, 3: 5.0, 4: 6.0, 5: 7.0, 0: 8.5, 10: 8.5, 2: 10.0, 9: None}
+    order = {r["s"]: r["r"] for r in xsec.ordinal_rank(df, ["g"], "x", "s", "r").collect()}
+    assert [s for s, _ in sorted(((s, r) for s, r in order.items() if r), key=lambda x: x[1])] == [1, 7, 6, 8, 3, 4, 5, 0, 10, 2]
 
 
 def test_nearest_rank(sample):

@@ -10,8 +10,9 @@ the value, so no sampling is involved and results are exact.
 Groups are dates, or dates crossed with a fixed list of factors or horizons, so tables with
 one row per group are bounded by the calendar and may be broadcast.
 
-Where the largest group is known to be small (``fits_one_task``), ``small=True`` takes the
-single-shuffle window form instead; both give the same results.
+There is one plan whatever the size of a cross-section.  Inputs are read twice and met again
+by value, so they must be tables (or ``session.stage``), not expressions that could differ
+in the last bit from one evaluation to the next.
 """
 
 from __future__ import annotations
@@ -21,27 +22,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group up to this many rows is sorted by one task without trouble (tens of megabytes).
-ONE_TASK_ROWS = 2_000_000
 _PER_OCTAVE = 256
+_FINE = 256  # fine buckets in each coarse one, for values that lie close together
 _BIAS = 1100 * _PER_OCTAVE
+_END = 1 << 53  # the bucket of infinities; not-a-number sorts behind them
 DEVIATION_FLOOR = 1e-12
 
 
-def order_bucket(value: Column) -> Column:
-    """A coarse long that never decreases as ``value`` grows (256 steps per power of two)."""
+def order_bucket(value: Column, fine: int = 1) -> Column:
+    """A coarse long that never decreases as ``value`` grows (256 x ``fine`` steps per power of two)."""
     x = value.cast("double")
-    step = F.floor(F.log2(F.abs(x)) * _PER_OCTAVE).cast("long") + F.lit(_BIAS + 1)
-    return F.when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0)).cast("long")
-
-
-def fits_one_task(df: DataFrame, by: Sequence[str], limit: int = ONE_TASK_ROWS) -> bool:
-    """Is the largest group of a materialised table at most ``limit`` rows?
-
-    One map-side-combined count; only its maximum reaches the driver.
-    """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return (sizes.agg(F.max("_n")).first()[0] or 0) <= limit
+    finite = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(1.0)).otherwise(x)
+    step = F.floor(F.log2(F.abs(finite)) * (_PER_OCTAVE * fine)).cast("long") + F.lit(_BIAS * fine + 1)
+    return (
+        F.when(F.isnan(x), F.lit(_END + 1)).when(x == float("inf"), F.lit(_END)).when(x == float("-inf"), F.lit(-_END))
+        .when(x > 0, step).when(x < 0, -step).otherwise(F.lit(0)).cast("long")
+    )
 
 
 def _tie_bucket(df: DataFrame, tie: str) -> Column:
@@ -65,36 +61,25 @@ def positions(df: DataFrame, by: Sequence[str], value: str, tie: str | None = No
         rows = rows.withColumn("_tb", _tie_bucket(df, tie))
         keys.append("_tb")
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
-    counted = counted.withColumn("_vb", order_bucket(F.col(value)))
-    inner = (
-        Window.partitionBy(*by, "_vb")
-        .orderBy(*[k for k in keys if k not in by])
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    counted = counted.withColumn("_upto", F.sum("_count").over(inner))
-    # One row per (group, bucket): bounded by the bucket function, not by the data.
-    totals = counted.groupBy(*by, "_vb").agg(F.sum("_count").alias("_bucket_rows"))
-    outer = Window.partitionBy(*by).orderBy("_vb").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.select(
-        *by,
-        "_vb",
-        (F.sum("_bucket_rows").over(outer) - F.col("_bucket_rows")).alias("_before"),
-        F.sum("_bucket_rows").over(Window.partitionBy(*by)).alias("_n"),
-    )
-    return counted.join(totals, [*by, "_vb"]).select(
-        *keys,
-        (F.col("_before") + F.col("_upto") - F.col("_count")).alias("_start"),
-        "_count",
-        "_n",
-    )
+    counted = counted.withColumns({"_vb": order_bucket(F.col(value)), "_vf": order_bucket(F.col(value), _FINE)})
+    before = (Window.unboundedPreceding, -1)
+
+    def earlier(rows: DataFrame, within: Sequence[str], order: Sequence[str], n: str, out: str) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(*order).rowsBetween(*before)
+        return rows.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))
 
+    counted = earlier(counted, [*by, "_vb", "_vf"], [k for k in keys if k not in by], "_count", "_in_fine")
+    fine = counted.groupBy(*by, "_vb", "_vf").agg(F.sum("_count").alias("_fine_rows"))
+    fine = earlier(fine, [*by, "_vb"], ["_vf"], "_fine_rows", "_in_coarse")
+    # One row per (group, coarse bucket): bounded by the bucket function, not by the data.
+    coarse = fine.groupBy(*by, "_vb").agg(F.sum("_fine_rows").alias("_rows"))
+    coarse = earlier(coarse, by, ["_vb"], "_rows", "_before").withColumn("_n", F.sum("_rows").over(Window.partitionBy(*by)))
+    places = fine.join(coarse, [*by, "_vb"]).select(*by, "_vb", "_vf", (F.col("_in_coarse") + F.col("_before")).alias("_offset"), "_n")
+    return counted.join(places, [*by, "_vb", "_vf"]).select(*keys, (F.col("_offset") + F.col("_in_fine")).alias("_start"), "_count", "_n")
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str, small: bool = False) -> DataFrame:
+
+def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """1-based rank where equal values share the mean of their places; null stays null."""
-    if small:
-        w = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2))
     place = positions(df, by, value).select(
         *by, value, (F.col("_start") + (F.col("_count") + 1) / 2).alias(out)
     )
@@ -103,15 +88,10 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str, small:
 
 def ordinal_rank(
     df: DataFrame, by: Sequence[str], value: str, tie: str, out: str, descending: bool = False,
-    size: str | None = None, small: bool = False,
+    size: str | None = None,
 ) -> DataFrame:
     """1..n by ``value`` then ``tie`` ascending; rows with a null value get null."""
     by = list(by)
-    if small:
-        v = F.col(value)
-        w = Window.partitionBy(*by).orderBy(v.desc_nulls_last() if descending else v.asc_nulls_last(), tie)
-        ranked = df.withColumn(out, F.when(v.isNotNull(), F.row_number().over(w)).cast("long"))
-        return ranked.withColumn(size, F.count(v).over(Window.partitionBy(*by))) if size else ranked
     keyed = df.withColumn("_v", -F.col(value) if descending else F.col(value).cast("double"))
     keyed = keyed.withColumn("_tb", _tie_bucket(df, tie))
     place = positions(keyed.select(*by, "_v", tie), by, "_v", tie)
@@ -127,14 +107,9 @@ def ordinal_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], names: Sequence[str], small: bool = False
+    df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, exact, plus the number of values ``n``."""
-    if small:
-        found = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-            F.count(value).alias("n"), F.percentile(value, [float(q) for q in quantiles]).alias("_q")
-        )
-        return found.select(*by, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
     place = positions(df, by, value)
     end = F.col("_start") + F.col("_count")
     aggs, outs = [], []
@@ -159,7 +134,6 @@ def winsorised_z(
     q: float = 0.05,
     minimum: int = 3,
     empty: str = "null",
-    small: bool = False,
 ) -> DataFrame:
     """Clip at the q and 1-q quantiles, then standardise with the population deviation.
 
@@ -170,18 +144,6 @@ def winsorised_z(
     by = list(by)
     x = F.col(value)
     policy = lambda z: F.coalesce(z, F.lit(0.0)) if empty == "zero" else z
-    if small:
-        group = Window.partitionBy(*by)
-        ends = (
-            F.percentile(x, [q, 1 - q]).over(group) if q > 0 else F.array(F.min(x).over(group), F.max(x).over(group))
-        )
-        df = df.select("*", ends.alias("_ends"), F.count(x).over(group).alias("n"))
-        df = df.withColumn("_clip", F.when(x.isNotNull(), F.greatest(F.least(x, F.col("_ends")[1]), F.col("_ends")[0])))
-        mean, sd = F.avg("_clip").over(group), F.stddev_pop("_clip").over(group)
-        df = df.select("*", mean.alias("_mean"), sd.alias("_sd"))
-        usable = (F.col("n") >= minimum) & (F.col("_sd") >= DEVIATION_FLOOR)
-        z = F.when(usable, F.try_divide(F.col("_clip") - F.col("_mean"), F.col("_sd")))
-        return df.withColumn(out, policy(z)).drop("_ends", "n", "_clip", "_mean", "_sd")
     if q > 0:
         bounds = exact_quantiles(df, by, value, [q, 1 - q], ["_lo", "_hi"])
     else:
@@ -206,17 +168,13 @@ def winsorised_z(
 
 
 def quantile_label(
-    df: DataFrame, by: Sequence[str], score: str, tie: str, q: int, out: str = "quantile", small: bool = False
+    df: DataFrame, by: Sequence[str], score: str, tie: str, q: int, out: str = "quantile"
 ) -> DataFrame:
     """Equal-count buckets 1..q by first-come rank; null below 2q scores or one distinct score."""
     by = list(by)
-    ranked = ordinal_rank(df, by, score, tie, "_r", size="_size", small=small)
-    if small:
-        group = Window.partitionBy(*by)
-        ranked = ranked.select("*", F.min(score).over(group).alias("_min"), F.max(score).over(group).alias("_max"))
-    else:
-        spread = df.groupBy(*by).agg(F.min(score).alias("_min"), F.max(score).alias("_max"))
-        ranked = ranked.join(F.broadcast(spread), by, "left")  # one row per group
+    ranked = ordinal_rank(df, by, score, tie, "_r", size="_size")
+    spread = df.groupBy(*by).agg(F.min(score).alias("_min"), F.max(score).alias("_max"))
+    ranked = ranked.join(F.broadcast(spread), by, "left")  # one row per group
     label = F.greatest(
         F.lit(1), F.ceil((F.col("_r") - 1) * F.lit(q) / F.nullif(F.col("_size") - 1, F.lit(0)))
     )
@@ -242,7 +200,6 @@ def neutralise(
     size: str | None,
     strength: float = 1.0,
     out: str = "neutral_score",
-    small: bool = False,
 ) -> DataFrame:
     """Remove industry means and a share of the size slope from a score, then re-standardise.
 
@@ -257,33 +214,24 @@ def neutralise(
         return df.withColumn(out, F.col(score))
     cell = [*by, industry] if industry is not None else by
     y, z = F.col(score), F.col(size) if size is not None else None
-    if small:
-        here = Window.partitionBy(*cell)
-        centred = df.select("*", F.avg(y).over(here).alias("_ybar"), *([F.avg(z).over(here).alias("_zbar")] if size else []))
-    else:
-        aggs = [F.avg(y).alias("_ybar")] + ([F.avg(z).alias("_zbar")] if size else [])
-        centred = df.join(df.groupBy(*cell).agg(*aggs), cell, "left")
+    aggs = [F.avg(y).alias("_ybar")] + ([F.avg(z).alias("_zbar")] if size else [])
+    centred = df.join(df.groupBy(*cell).agg(*aggs), cell, "left")
     adjust = F.col("_ybar")
     if size is not None:
         zt, yt = z - F.col("_zbar"), y - F.col("_ybar")
         slope = lambda zy, zz: F.when(zz > 1e-18, zy / zz).otherwise(0.0)
-        if small:
-            group = Window.partitionBy(*by)
-            centred = centred.withColumn("_beta", slope(F.sum(zt * yt).over(group), F.sum(zt * zt).over(group)))
-        else:
-            slopes = centred.groupBy(*by).agg(slope(F.sum(zt * yt), F.sum(zt * zt)).alias("_beta"))
-            centred = centred.join(F.broadcast(slopes), by, "left")  # one row per date
+        slopes = centred.groupBy(*by).agg(slope(F.sum(zt * yt), F.sum(zt * zt)).alias("_beta"))
+        centred = centred.join(F.broadcast(slopes), by, "left")  # one row per date
         # industry intercept = mean score - slope * mean size; size removed with `strength`
         adjust = F.col("_ybar") - F.col("_beta") * F.col("_zbar") + F.lit(float(strength)) * F.col("_beta") * z
     residual = centred.withColumn("_res", y - adjust)
-    return winsorised_z(residual, by, "_res", out, q=0.0, minimum=2, empty="zero", small=small).drop(
+    return winsorised_z(residual, by, "_res", out, q=0.0, minimum=2, empty="zero").drop(
         "_ybar", "_zbar", "_beta", "_res"
     )
 
 
 def spearman(
     df: DataFrame, by: Sequence[str], first: str, second: str, minimum: int = 2, out: str = "spearman",
-    small: bool = False,
 ) -> DataFrame:
     """Rank correlation per group over rows where both values are present.
 
@@ -292,13 +240,10 @@ def spearman(
     """
     by = list(by)
     pairs = df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(*by, first, second)
-    ranked = average_rank(average_rank(pairs, by, first, "_r1", small), by, second, "_r2", small)
+    ranked = average_rank(average_rank(pairs, by, first, "_r1"), by, second, "_r2")
     # Ranks centred on (n+1)/2 up front keep the moments exact for large groups.
-    if small:
-        ranked = ranked.withColumn("_pairs", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    else:
-        n = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_pairs"))
-        ranked = ranked.join(F.broadcast(n), by)  # one row per group
+    n = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_pairs"))
+    ranked = ranked.join(F.broadcast(n), by)  # one row per group
     c1, c2 = F.col("_r1") - (F.col("_pairs") + 1) / 2, F.col("_r2") - (F.col("_pairs") + 1) / 2
     moments = (
         ranked.groupBy(*by)

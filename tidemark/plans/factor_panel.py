@@ -27,7 +27,6 @@ class FactorPanel:
     lineage: DataFrame
     names: list[str]
     horizons: list[int]
-    small: bool  # every cross-section is known to fit one task
 
     def with_scores(self) -> DataFrame:
         keep = [c for c in self.rows.columns if c.startswith("forward_return_")]
@@ -75,20 +74,15 @@ def visible_inputs(members: DataFrame, facts: DataFrame, vals: DataFrame, metric
     return members.join(wide, key, "left").join(v, key, "left"), seen
 
 
-def universe_fits(members: DataFrame) -> bool:
-    """Whether the largest universe may be handled by one task per date and factor."""
-    return (members.agg(F.max("universe_size")).first()[0] or 0) <= xsec.ONE_TASK_ROWS
-
-
-def score_rows(inputs: DataFrame, names: Sequence[str], minimum: int, q: float, small: bool = False) -> DataFrame:
+def score_rows(inputs: DataFrame, names: Sequence[str], minimum: int, q: float) -> DataFrame:
     """Long raw and z scores of every factor and of their equal-weight composite."""
     key = ["signal_date", "symbol"]
     cols = factor_values(inputs, names)
     long = inputs.select(*key, *[c.alias(n) for n, c in cols.items()]).unpivot(key, list(cols), "factor", "raw")
-    z = xsec.winsorised_z(long, ["signal_date", "factor"], "raw", "z", q=q, minimum=3, small=small)
+    z = xsec.winsorised_z(long, ["signal_date", "factor"], "raw", "z", q=q, minimum=3)
     z = stage(z)
     comp = select.mean_score(z, key, minimum, "raw").withColumn("factor", F.lit(COMPOSITE))
-    comp = xsec.winsorised_z(comp, ["signal_date", "factor"], "raw", "z", q=q, minimum=3, small=small)
+    comp = xsec.winsorised_z(comp, ["signal_date", "factor"], "raw", "z", q=q, minimum=3)
     counts = comp.select(*key, "available_factor_count")
     scores = z.unionByName(comp.select(z.columns))
     return scores.join(counts, key)
@@ -118,11 +112,10 @@ def build_factor_panel(
     every = month_ends(calendar, start, end)
     signals = month_ends(calendar, start, end, room=max(horizons))
     members = stage(member_rows(signals, membership))
-    small = universe_fits(members)
     metrics = sorted({FACTORS[n][1] for n in names if FACTORS[n][1] not in VALUATION_INPUTS})
     inputs, used = visible_inputs(members, facts, valuations, metrics, fact_age, valuation_age)
     inputs = stage(inputs)
-    scores = stage(score_rows(inputs, names, minimum_factors, q, small))
+    scores = stage(score_rows(inputs, names, minimum_factors, q))
     key = ["signal_date", "symbol"]
     mv = F.col("total_market_value_10k_cny")
     base = asof.industry_at(
@@ -136,7 +129,7 @@ def build_factor_panel(
         .join(labels.forward_returns(only, market, calendar, horizons, stale_days), key, "left")
         .join(labels.next_signal_return(only, market, calendar, every, stale_days), key, "left")
     )
-    return FactorPanel(stage(rows), scores.drop("available_factor_count"), used, names, horizons, small)
+    return FactorPanel(stage(rows), scores.drop("available_factor_count"), used, names, horizons)
 
 
 def build_score_panel(
@@ -148,12 +141,11 @@ def build_score_panel(
     names = resolve(names)
     signals = schedule(calendar, start, end)
     members = stage(member_rows(signals, membership))
-    small = universe_fits(members)
     metrics = sorted({FACTORS[n][1] for n in names if FACTORS[n][1] not in VALUATION_INPUTS})
     inputs, used = visible_inputs(members, facts, valuations, metrics, fact_age, valuation_age)
     inputs = stage(inputs)
     key = ["signal_date", "symbol"]
-    scores = score_rows(inputs, names, minimum_factors, q, small).where(F.col("factor") == COMPOSITE)
+    scores = score_rows(inputs, names, minimum_factors, q).where(F.col("factor") == COMPOSITE)
     scores = scores.select(
         *key, "available_factor_count", F.col("raw").alias(COMPOSITE), F.col("z").alias(f"z_{COMPOSITE}")
     )

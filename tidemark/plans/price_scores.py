@@ -27,12 +27,12 @@ def candidates(
 
 
 def price_score(
-    cands: DataFrame, weights: dict[str, float], q: float = 0.05, small: bool = False
+    cands: DataFrame, weights: dict[str, float], q: float = 0.05
 ) -> tuple[DataFrame, DataFrame]:
     """(long z scores of every price input, weighted score per row)."""
     cols = price_inputs()
     long = cands.select(*_KEY, *[c.alias(n) for n, c in cols.items()]).unpivot(_KEY, list(cols), "factor", "raw")
-    z = xsec.winsorised_z(long, ["signal_date", "factor"], "raw", "z", q, 2, "zero", small)
+    z = xsec.winsorised_z(long, ["signal_date", "factor"], "raw", "z", q, 2, "zero")
     return z, select.weighted_score(z, weights, _KEY, "score")
 
 
@@ -44,13 +44,12 @@ def scored_candidates(
     from tidemark.session import stage
 
     cands = stage(candidates(features, industries, **filters))
-    small = xsec.fits_one_task(cands, ["signal_date"])
-    _, score = price_score(cands, profile_weights(profile), q, small)
+    _, score = price_score(cands, profile_weights(profile), q)
     sized = xsec.winsorised_z(
-        cands.select(*_KEY, "industry_code", "log_total_mv"), ["signal_date"], "log_total_mv", "z_size", q, 2, "zero", small
+        cands.select(*_KEY, "industry_code", "log_total_mv"), ["signal_date"], "log_total_mv", "z_size", q, 2, "zero"
     )
     joined = stage(sized.join(score.withColumnRenamed("score", "score_pre_neutral"), _KEY))
-    return xsec.neutralise(joined, ["signal_date"], "score_pre_neutral", "industry_code", "z_size", strength, "score", small)
+    return xsec.neutralise(joined, ["signal_date"], "score_pre_neutral", "industry_code", "z_size", strength, "score")
 
 
 def monthly_top(features: DataFrame, industries: DataFrame, n: int = 20, **options) -> DataFrame:
