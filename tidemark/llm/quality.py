@@ -66,16 +66,19 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     begins[1:] &= space[:-1]
     first = offsets[:-1][np.diff(offsets) > 0]
     begins[first] = ~space[first]
-    # a word of at most two bytes: a space or the end follows one of the two places behind its first byte
+    # a word of at most two bytes: a space or another text follows one of the two places behind its first byte
     at = np.flatnonzero(begins)
     gap = np.concatenate((space, [True, True]))
+    gap[first] = True
     found = {name: per_text(kind == k) for name, k in (("digit", DIGIT), ("wide", WIDE), ("stop", STOP), ("call", CALL), ("bar", BAR), ("symbol", SYMBOL), ("newline", NEWLINE))}
     found["upper"], found["space"] = per_text(upper), per_text(space)
     found["words"] = np.diff(np.searchsorted(at, offsets)).astype(float)
     found["short"] = np.diff(np.searchsorted(at[gap[at + 1] | gap[at + 2]], offsets)).astype(float)
-    # words whose bytes add up to what the word before adds up to
+    # words whose bytes add up to what the word before in the same text adds up to
     signature = np.add.reduceat(WEIGHTS[data], at) if len(at) else at
-    found["echo"] = np.diff(np.searchsorted(at[1:][signature[1:] == signature[:-1]], offsets)).astype(float)
+    owner = np.searchsorted(offsets, at, side="right")
+    echo = (signature[1:] == signature[:-1]) & (owner[1:] == owner[:-1])
+    found["echo"] = np.diff(np.searchsorted(at[1:][echo], offsets)).astype(float)
     return found
 
 
