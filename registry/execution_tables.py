@@ -51,11 +51,11 @@ ORACLE_VIEWS["quote_rows"] = """SELECT *, CASE WHEN side = 'BUY' THEN least(up_l
     FROM (SELECT *, 5.0 + market_impact_bps AS modeled_slippage_bps FROM (
     SELECT *, greatest(0, least(50, 0.5 * (greatest(coalesce(volatility, 0.1), 0.1) / sqrt(252)) * sqrt(participation_rate) * 10000)) AS market_impact_bps FROM (
     SELECT date, symbol, CASE WHEN (symbol + day(date)) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, open, up_limit, down_limit, avg_amount_20, volatility,
-    (symbol % 10) * 150 + volume AS desired, CASE WHEN avg_amount_20 > 0 THEN ((symbol % 10) * 150 + volume) * open / avg_amount_20 ELSE 0 END AS participation_rate FROM price_features WHERE prev_close IS NOT NULL)))"""
+    (symbol % 10) * 150 + volume AS desired, CASE WHEN avg_amount_20 > 0 THEN ((symbol % 10) * 150 + volume) * open / avg_amount_20 ELSE 0 END AS participation_rate FROM price_features)))"""
 
 
 def quotes(t):
-    f = t.price_features.where(F.col("prev_close").isNotNull())
+    f = t.price_features
     o = f.select(
         "date", "symbol", F.when((F.col("symbol") + F.dayofmonth("date")) % 2 == 0, "BUY").otherwise("SELL").alias("side"),
         "open", "up_limit", "down_limit", F.col("avg_amount_20").alias("lagged_adv20"), F.col("volatility").alias("signal_volatility"),

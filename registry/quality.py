@@ -21,12 +21,12 @@ def rules_sql(**counts):
 ORACLE_VIEWS["dirty_bars"] = """SELECT date, symbol, open, CASE WHEN symbol % 31 = 4 AND day(date) = 9 THEN low * 0.5 ELSE high END AS high, low,
     CASE WHEN symbol % 19 = 2 AND day(date) = 5 THEN NULL WHEN symbol % 29 = 3 AND day(date) = 6 THEN -close ELSE close END AS close, prev_close,
     CASE WHEN symbol % 37 = 1 AND day(date) = 7 THEN -1 ELSE volume END AS volume, amount, adj_factor,
-    CASE WHEN symbol % 23 = 2 THEN down_limit * 0.5 ELSE up_limit END AS up_limit, down_limit FROM market WHERE prev_close IS NOT NULL"""
+    CASE WHEN symbol % 23 = 2 THEN down_limit * 0.5 ELSE up_limit END AS up_limit, down_limit FROM market"""
 
 
 def dirty_bars(t):
     s, d = F.col("symbol"), F.dayofmonth("date")
-    m = t.market.where(F.col("prev_close").isNotNull())
+    m = t.market
     return m.select(
         "date", "symbol", "open", F.when((s % 31 == 4) & (d == 9), F.col("low") * 0.5).otherwise(F.col("high")).alias("high"), "low",
         F.when((s % 19 == 2) & (d == 5), None).when((s % 29 == 3) & (d == 6), -F.col("close")).otherwise(F.col("close")).alias("close"), "prev_close",
@@ -41,7 +41,7 @@ _N = "SELECT count(*) FROM dirty_bars WHERE "
 @query(
     "D2_D5_bar_rules", _RULE,
     rules_sql(
-        bars_numeric_finite=_N + "close IS NULL", bars_positive=_N + "close <= 0",
+        bars_numeric_finite=_N + "close IS NULL OR prev_close IS NULL", bars_positive=_N + "close <= 0",
         bars_ohlc=_N + "(high + 1e-8 < greatest(open, close, low)) OR (low - 1e-8 > least(open, close, high))",
         bars_volume_amount=_N + "volume < 0 OR amount < 0", bars_limits=_N + "up_limit < down_limit",
     ),

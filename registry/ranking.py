@@ -10,11 +10,11 @@ from tidemark.session import stage
 @query(
     "W21_rank_by_score",
     "signal_date:d symbol:i score:f rank:i",
-    """SELECT signal_date, symbol, mom_12_1 AS score, row_number() OVER (PARTITION BY signal_date ORDER BY mom_12_1 DESC, symbol) AS rank
-       FROM month_features WHERE mom_12_1 IS NOT NULL""",
+    """SELECT signal_date, symbol, mom_12_1 AS score, CASE WHEN mom_12_1 IS NOT NULL THEN row_number() OVER (PARTITION BY signal_date ORDER BY mom_12_1 DESC NULLS LAST, symbol) END AS rank
+       FROM month_features""",
 )
 def _(t):
-    f = stage(t.month_features.where(F.col("mom_12_1").isNotNull()).select("signal_date", "symbol", F.col("mom_12_1").alias("score")))
+    f = stage(t.month_features.select("signal_date", "symbol", F.col("mom_12_1").alias("score")))
     return xsec.ordinal_rank(f, ["signal_date"], "score", "symbol", "rank", descending=True)
 
 

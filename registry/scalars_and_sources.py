@@ -18,7 +18,7 @@ def _codes(t):
 
 
 ORACLE_VIEWS["coded"] = """SELECT *, ['600', '300', '688', '000', '920', '430'][symbol % 6 + 1] || lpad((symbol % 1000)::VARCHAR, 3, '0') || '.' ||
-    ['SH', 'SZ', 'SH', 'SZ', 'BJ', 'BJ'][symbol % 6 + 1] AS code, ['0.1', '0.2', '0.2', '0.1', '0.3', '0.3'][symbol % 6 + 1]::DOUBLE AS base_rate FROM market WHERE prev_close IS NOT NULL"""
+    ['SH', 'SZ', 'SH', 'SZ', 'BJ', 'BJ'][symbol % 6 + 1] AS code, ['0.1', '0.2', '0.2', '0.1', '0.3', '0.3'][symbol % 6 + 1]::DOUBLE AS base_rate FROM market"""
 
 
 @query(
@@ -28,7 +28,7 @@ ORACLE_VIEWS["coded"] = """SELECT *, ['600', '300', '688', '000', '920', '430'][
 )
 def _(t):
     d = F.dayofmonth("date")
-    m = t.market.where(F.col("prev_close").isNotNull()).withColumn("symbol3", F.col("symbol") % 1000)
+    m = t.market.withColumn("symbol3", F.col("symbol") % 1000)
     m = m.withColumn("code", F.regexp_replace(_codes(t), r"^(\d{3})\d+", F.concat(F.lit("$1"), F.lpad(F.col("symbol3").cast("string"), 3, "0"))))
     m = m.select(
         "date", F.col("code").alias("symbol"), (F.col("prev_close") + 0.00037).alias("prev_close"), "is_st", (F.col("volume") * 100).alias("volume"),

@@ -145,11 +145,12 @@ def _(t):
 
 @query(
     "W26_monthly_return_matrix",
-    "arm:s year:i m01:f m02:f m03:f m06:f m09:f m12:f",
+    "arm:s year:i " + " ".join(f"m{k:02d}:f" for k in range(1, 13)),
     """WITH m AS (SELECT arm, date_trunc('month', date) AS m, arg_max(nav, date) AS l, arg_min(nav, date) AS f FROM curves GROUP BY 1, 2),
        r AS (SELECT *, l / coalesce(lag(l) OVER (PARTITION BY arm ORDER BY m), f) - 1 AS r FROM m)
-       SELECT arm, year(m) AS year, max(r) FILTER (month(m) = 1) AS m01, max(r) FILTER (month(m) = 2) AS m02, max(r) FILTER (month(m) = 3) AS m03,
-       max(r) FILTER (month(m) = 6) AS m06, max(r) FILTER (month(m) = 9) AS m09, max(r) FILTER (month(m) = 12) AS m12 FROM r GROUP BY 1, 2""",
+       SELECT arm, year(m) AS year, """
+    + ", ".join(f"max(r) FILTER (month(m) = {k}) AS m{k:02d}" for k in range(1, 13))
+    + " FROM r GROUP BY 1, 2",
 )
 def _(t):
     return perf.monthly_returns(t.curves, ["arm"])

@@ -156,11 +156,14 @@ def members_on(signals: DataFrame, intervals: DataFrame, date: str = "signal_dat
 
     sig = calendar(signals, date)
     day = availability_map(sig, 0).join(F.broadcast(sig.withColumnRenamed("date", "available_date")), "available_date")
-    at = lambda c, out: F.broadcast(day.select(F.col("_day").alias(c), F.col("ord").alias(out)))
-    ends = sig.select("ord").agg(F.max("ord").alias("_m"))
-    span = intervals.join(at("opt_in", "_a"), "opt_in").join(at("opt_out", "_b"), "opt_out", "left")
+    at = lambda c, out: day.select(F.col("_day").alias(c), F.col("ord").alias(out))
+    ends = sig.agg(F.max("ord").alias("_m"), F.min("date").alias("_f"))
+    # an end before the first signal counts as on it
+    clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.col("_f")))
+    span = intervals.crossJoin(F.broadcast(ends)).withColumns({"_in": clip("opt_in"), "_out": clip("opt_out")})  # one row
+    span = span.join(at("_in", "_a"), "_in").join(at("_out", "_b"), "_out", "left")
     # open, or ending after the last signal: every later signal is covered
-    span = span.crossJoin(F.broadcast(ends)).withColumn("_b", F.coalesce(F.col("_b") - 1, F.col("_m")))
+    span = span.withColumn("_b", F.coalesce(F.col("_b") - 1, F.col("_m")))
     rows = span.where(F.col("_a") <= F.col("_b")).select(
         "symbol", "opt_in", F.explode(F.sequence("_a", "_b")).alias("ord")
     )
