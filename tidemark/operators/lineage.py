@@ -108,24 +108,34 @@ def reverify(catalog: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def payload_sha():
-    """Hash of the payload inside a compressed file (zstd or gzip); a small per-batch helper."""
+    """Hash of the payload inside a compressed file (zstd or gzip), read as a stream.
+
+    A payload that its codec finds broken has no hash; a missing codec is an error.
+    """
 
     @F.pandas_udf("string")
     def inner(content: pd.Series) -> pd.Series:
         import gzip
         import hashlib
+        import io
+        import zlib
+
+        import zstandard
 
         def one(data: bytes):
+            if data[:2] == b"\x1f\x8b":
+                plain = gzip.GzipFile(fileobj=io.BytesIO(data))
+            elif data[:4] == b"\x28\xb5\x2f\xfd":
+                plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data))
+            else:
+                return None
+            found = hashlib.sha256()
             try:
-                if data[:2] == b"\x1f\x8b":
-                    return hashlib.sha256(gzip.decompress(data)).hexdigest()
-                if data[:4] == b"\x28\xb5\x2f\xfd":
-                    import zstandard
-
-                    return hashlib.sha256(zstandard.ZstdDecompressor().stream_reader(data).read()).hexdigest()
-            except Exception:  # noqa: BLE001  (unreadable payload: no hash)
+                while piece := plain.read(1 << 20):
+                    found.update(piece)
+            except (gzip.BadGzipFile, EOFError, zlib.error, zstandard.ZstdError):
                 return None
-            return None
+            return found.hexdigest()
 
         return content.map(one)
 

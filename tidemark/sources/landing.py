@@ -29,10 +29,10 @@ CATALOG_SCHEMA = (
 RAW_SCHEMA = "fields array<string>, items array<array<string>>, data struct<fields:array<string>,items:array<array<string>>>"
 
 
-def read_bars(spark: SparkSession, path: str, columns: Sequence[str] | None = None, symbols: Sequence[str] | None = None) -> DataFrame:
-    """Per-symbol CSV files (plain or gzip) or Parquet in one scan."""
+def read_bars(spark: SparkSession, path: str, columns: Sequence[str] | None = None, symbols: Sequence[str] | None = None, fmt: str = "csv") -> DataFrame:
+    """Per-symbol CSV files (plain or gzip) or, by ``fmt``, Parquet in one scan."""
     reader = spark.read.schema(BARS_SCHEMA)
-    df = reader.option("header", True).csv(path) if "csv" in path else reader.parquet(path)
+    df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     df = df.withColumn("is_st", S.truthy(F.col("is_st")))
     if symbols is not None:
         df = df.where(F.col("symbol").isin(list(symbols)))
