@@ -91,3 +91,21 @@ def test_letters_that_change_length_keep_positions(frame):
     (hit,) = lic.scan(text)
     assert text[hit[1] : hit[2]] == "Released under the MIT License"
     assert lic.find_licences(frame([(1, text)], "doc_id long, text string").where("false")).count() == 0
+
+
+def wrapped(text, width, prefix):
+    lines = [""]
+    for w in text.split():
+        if lines[-1] and len(lines[-1]) + 1 + len(w) > width:
+            lines.append("")
+        lines[-1] += (" " if lines[-1] else "") + w
+    return "\n".join(prefix + x for x in lines)
+
+
+def test_hard_wrapped_notices_are_found_whole():
+    for name, _, text in lic.TEMPLATES:
+        for prefix in ("", "# ", " * ", "// ", " " * 40, "-- ", "> "):
+            for width in (15, 40, 72):
+                notice = wrapped(text, width, prefix)
+                hits = lic.scan(f"{prefix}first line\n{notice}\n{prefix}last line")
+                assert [(h[0], h[3]) for h in hits] == [(name, 0)], (name, prefix, width, hits)

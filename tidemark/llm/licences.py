@@ -1,7 +1,7 @@
 """Licence scans by conditional compression.
 
-A block that may hold a licence wording (a stretch around words such as "license" or "permission") is
-compressed by zstandard alone and with each template as raw dictionary.  The bytes a template saves say how
+A block that may hold a licence wording (a stretch around words such as "license" or "permission", over line
+ends, with comment marks and margins taken off) is compressed by zstandard alone and with each template as raw dictionary.  The bytes a template saves say how
 much of its wording the block repeats, so templates are ranked by their saving.  Those that save at least
 ``LEAST_SAVING`` bytes are confirmed in that order by the exact word differences between the template and
 the stretch of the block closest to it: key words of the licence must stand unchanged, and at most a share
@@ -15,9 +15,11 @@ rows yield their own rows; an empty table gives an empty table; texts of any len
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -47,11 +49,14 @@ TEMPLATES = (
     ("Unlicense", "free and unencumbered", "This is free and unencumbered software released into the public domain."),
 )
 CUES = ("licens", "licenc", "permission", "redistribut", "released under", "public domain", "copyright")
-REACH = 600  # characters on both sides of a cue that belong to its block
+REACH = 600  # characters of wording on both sides of a cue that belong to its block
+PIECES = (24, 240)  # words: twice a short and a long template with their differences
 LEAST_SAVING = 8
 SHORT_WORDS = 12
 SHORT_SHARE, LONG_SHARE = 0.6, 0.2
 WORDS = re.compile(r"[^\W_]+")
+CUE = re.compile("|".join(cue.replace(" ", r"[\W_]+") for cue in CUES))  # words of a cue may stand on two lines
+MARGIN = re.compile(r"\n[ \t]*(?:[#*;%!>|/-]+(?=\s))?")
 SCHEMA = "licence string, begin long, stop long, differences int, template_words int, saving int, changed string"
 
 
@@ -75,23 +80,20 @@ def templates(rows: Sequence[tuple[str, str, str]] = TEMPLATES) -> list[Template
     return [Template(name, tuple(words_of(keys)), tuple(words_of(text)), text.lower().encode()) for name, keys, text in rows]
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches [begin, end) around cues, within ``REACH``, merged where they touch; cut at line ends nearby."""
+def blocks(text: str, spans: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of the words at ``spans`` around cues, merged where they touch.
+
+    A run reaches ``REACH`` characters of wording to both sides: line ends, margins and comment marks do not count.
+    """
     low = text.lower()
     if len(low) != len(text):  # a few letters change length; positions must be those of the text
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    found = []
-    for cue in CUES:
-        at = low.find(cue)
-        while at >= 0:
-            found.append(at)
-            at = low.find(cue, at + len(cue))
+    starts = [b for b, _ in spans]
+    wide = [0, *accumulate(e - b + 1 for b, e in spans)]
     begin = end = None
-    for at in sorted(found):
-        line = text.rfind("\n", 0, at) + 1
-        stop = text.find("\n", at)
-        # a notice of its own line stands alone; wrapped texts run on over line ends
-        b, e = max(line, at - REACH), min(len(text), at + REACH) if stop < 0 or _wrapped(text, stop) else min(stop, at + REACH)
+    for at in (m.start() for m in CUE.finditer(low)):
+        own = max(0, bisect_right(starts, at) - 1)
+        b, e = bisect_left(wide, wide[own] - REACH), min(len(spans), bisect_left(wide, wide[own] + REACH) + 1)
         if end is not None and b <= end:
             end = max(end, e)
             continue
@@ -102,10 +104,9 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def _wrapped(text: str, stop: int) -> bool:
-    """Whether a sentence runs on over a line end."""
-    after = text[stop + 1 : stop + 2]
-    return text[:stop].rstrip()[-1:] not in ".!?" and (after.islower() or after in ("(", '"'))
+def wording(block: str) -> str:
+    """A block on one line, without the margins and comment marks of its lines."""
+    return " ".join(MARGIN.sub(" ", block).split())
 
 
 @lru_cache(maxsize=2)
@@ -177,34 +178,44 @@ def scan(text: str | None, rows: tuple = TEMPLATES, least_saving: int = LEAST_SA
     if not text:
         return []
     low = text.lower()
-    if not any(cue in low for cue in CUES):
+    if not any(cue.split()[0] in low for cue in CUES) or not CUE.search(low):
         return []
     known, out = _compressors(rows)[0], []
-    pending = list(blocks(text))
+    spans = [m.span() for m in WORDS.finditer(text)]
+    words = [text[i:j].lower() for i, j in spans]
+    pending = list(blocks(text, spans))
     while pending:
         b, e = pending.pop()
-        block = text[b:e]
-        if not any(cue in block.lower() for cue in CUES):
+        own = words[b:e]
+        if not own or not CUE.search(text[spans[b][0] : spans[e - 1][1]].lower()):
             continue
-        spans = [m.span() for m in WORDS.finditer(block)]
-        words = [block[i:j].lower() for i, j in spans]
-        saved = savings(block, rows)
+        possible = [k for k, t in enumerate(known) if _holds(own, t.keys)]
+        saved = _best_savings(text, spans[b:e], rows) if possible else []
         best = None
-        for k in sorted(range(len(known)), key=lambda k: (-saved[k], k)):
+        for k in sorted(possible, key=lambda k: (-saved[k], k)):
             if saved[k] < least_saving:
                 break
-            if found := _worded(known[k], words):
+            if found := _worded(known[k], own):
                 key = (found[0] / len(known[k].words), -len(known[k].words), k)
                 if best is None or key < best[0]:
                     best = (key, k, found)
         if best:
             _, k, (edits, i, j, changed) = best
-            begin, stop = b + spans[i][0], b + spans[max(i, j - 1)][1]
-            out.append((known[k].licence, begin, stop, edits, len(known[k].words), saved[k], " ".join(changed)))
-            pending += [(b, begin), (stop, e)]
+            out.append((known[k].licence, spans[b + i][0], spans[b + max(i, j - 1)][1], edits, len(known[k].words), saved[k], " ".join(changed)))
+            pending += [(b, b + i), (b + max(j, i + 1), e)]
     return sorted(out, key=lambda hit: hit[1])
 
 
+def _best_savings(text: str, spans: Sequence[tuple[int, int]], rows: tuple) -> list[int]:
+    """The most that each template saves in a piece of a block: pieces as long as short and as long templates, overlapping by half."""
+    best = [0] * len(rows)
+    for size in PIECES:
+        for at in range(0, max(1, len(spans) - size // 2), size // 2):
+            piece = spans[at : at + size]
+            best = list(map(max, best, savings(wording(text[piece[0][0] : piece[-1][1]]), rows)))
+    return best
+
+
 def find_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: Sequence[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, licence, begin, stop, differences, template_words, saving, changed), a row for each notice found."""
     fixed = tuple(rows)
