@@ -74,3 +74,14 @@ def test_empty_tables(frame):
     assert d.find_items(docs, bench.where("false")).count() == 0
     assert d.find_items(docs.where("false"), bench).count() == 0
     assert d.without_items(docs, bench.where("false")).count() == 1
+
+
+def test_equal_items_do_not_fill_a_block(frame):
+    rng = random.Random(3)
+    items = [(1, sentence(rng, 12))] * 200 + [(1, sentence(rng, 12))] * 2 + [(k, sentence(rng, 12)) for k in range(2, 8)]
+    bench = frame(items, "item_id long, text string")
+    blocks = list(d.item_blocks(bench, "item_id", "text", 200))
+    assert sorted((int(i), text) for b in blocks for (i, _), text in b) == sorted(set(items)) and sum(n for b in blocks for (_, n), _ in b) == len(items)
+    docs = frame([(5, items[0][1]), (6, items[201][1]), (7, items[-1][1])], "doc_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in d.find_items(docs, bench, block_chars=200).collect()]
+    assert sorted(got) == [(5, "1")] * 200 + [(6, "1")] * 2 + [(7, "7")]

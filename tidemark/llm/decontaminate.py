@@ -157,14 +157,15 @@ def original_span(text: str, normal: str, begin: int, end: int) -> tuple[int, in
     return spans[first][0], spans[max(first, final)][1]
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about ``block_chars``, one at a time on the driver."""
-    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL AND text <> ''")
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[tuple[str, int], str]]]:
+    """((id, number of equal rows), text) of the different items in blocks of about ``block_chars``, one at a time on the driver."""
+    rows = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{text}`").alias("text"))
+    items = rows.where("text IS NOT NULL AND text <> ''").groupBy("id", "text").agg(F.count("*").alias("times"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
     place = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, blocks)))
     for k in range(blocks):
-        yield sorted((r.id or "", r.text) for r in items.where(place == k).collect())
+        yield sorted(((r.id, r.times), r.text) for r in items.where(place == k).collect())
 
 
 def find_items(
@@ -176,7 +177,8 @@ def find_items(
     hit = F.explode("__hits").alias("__hit")
     for block in item_blocks(benchmark, item_id, item_text, block_chars):
         narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), _hits(block, chars_per_error, least_chars)(F.col(f"`{text}`")).alias("__hits"))
-        found = narrow.select("doc_id", hit).select("doc_id", "__hit.*")
+        each = F.explode(F.sequence(F.lit(1), F.col("__hit.times")))  # a row for every equal row of the benchmark
+        found = narrow.select("doc_id", hit).select("doc_id", "__hit", each).select("doc_id", "__hit.*").drop("times")
         out = found if out is None else out.unionByName(found)
     if out is None:
         empty = docs.select(F.col(f"`{doc_id}`").alias("doc_id")).where("false")
@@ -185,15 +187,15 @@ def find_items(
 
 
 def _hits(block, chars_per_error: int, least_chars: int):
-    kind = pa.list_(pa.struct([("item_id", pa.string()), ("edits", pa.int32()), ("begin", pa.int64()), ("stop", pa.int64())]))
+    kind = pa.list_(pa.struct([("item_id", pa.string()), ("edits", pa.int32()), ("begin", pa.int64()), ("stop", pa.int64()), ("times", pa.int64())]))
     state: list[Matcher] = []
 
-    @F.arrow_udf(f"array<struct<{', '.join(':'.join(part.split()) for part in SCHEMA.split(', '))}>>")
+    @F.arrow_udf(f"array<struct<{', '.join(':'.join(part.split()) for part in SCHEMA.split(', '))}, times:long>>")
     def find(texts: pa.Array) -> pa.Array:
         if not state:
             state.append(Matcher(block, chars_per_error, least_chars))
-        names = ("item_id", "edits", "begin", "stop")
-        return pa.array([[dict(zip(names, hit)) for hit in state[0].hits(t)] for t in texts.to_pylist()], kind)
+        names = ("item_id", "times", "edits", "begin", "stop")
+        return pa.array([[dict(zip(names, (*item, *at))) for item, *at in state[0].hits(t)] for t in texts.to_pylist()], kind)
 
     return find.asNondeterministic()
 
