@@ -48,3 +48,14 @@ def test_null_ids_come_first_and_empty_tables_stay_empty(frame):
 def test_no_python_in_the_plan(frame):
     text = dedup_lines(frame([(1, "a\nb\nc")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text and "CartesianProduct" not in text
+
+
+def test_passages_inside_lines_are_cut_by_sentences(frame):
+    passage = "One of them came first. Then there was another! Was it the last one? It was not."
+    rows = [(1, f"Before it.\n{passage}\nAfter it."), (2, f"Own words here. {passage} Other words follow."), (3, passage), (4, f"Own end. {passage}"), (5, "a.b c.d\n\n  x. y"), (6, None), (7, ""), (10, f"{passage}\n")]
+    rows += [(8, "漢字一。漢字二！漢字三？漢字四。"), (9, "前文。漢字一。漢字二！漢字三？後文。")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in dedup_lines(frame(rows, "doc_id long, text string"), sentences=True).collect()}
+    assert got == {
+        1: (rows[0][1], 6, 0), 2: ("Own words here. Other words follow.", 6, 4), 3: ("", 4, 4), 4: ("Own end.", 5, 4), 5: (rows[4][1], 4, 0), 6: (None, None, 0), 7: ("", 1, 0),
+        10: ("", 5, 4), 8: ("漢字一。漢字二！漢字三？漢字四。", 4, 0), 9: ("前文。後文。", 5, 3),
+    }
