@@ -1,5 +1,6 @@
 """The pipeline against a plain composition of the operators' brute-force versions."""
 
+import hashlib
 import random
 import zlib
 
@@ -108,3 +109,9 @@ def test_stages_take_empty_and_odd_tables(spark, folder):
     for _, step in corpus_pipeline.STAGES[1:-1]:
         assert step(spark, odd, folder).columns == list(corpus_pipeline.COLUMNS)
         assert step(spark, odd, folder).count() >= 2
+
+
+def test_tokens_are_decoded_and_compared(spark):
+    rows = [(1, "plain text,  twice\n", "en", "s", 19), (2, None, None, None, None), (3, "", "en", "s", 0), (4, "漢字 é 🙂", "zh", "s", 6)]
+    got = {r.doc_id: r for r in corpus_pipeline.tokens(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert all(got[r[0]].exact and got[r[0]].decoded_sha256 == hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows)
