@@ -20,7 +20,7 @@ from tidemark.session import stage
 
 LINES = 3
 #: Behind a line end and behind the blanks that follow the end of a sentence; ideographic full stops need no blank.
-SENTENCE_ENDS = r"(?<=\n)|(?<=[.!?][\"'”’)\]]{0,2}[ \t]{1,8})(?=\S)|(?<=[。！？])(?=\S)"
+SENTENCE_ENDS = r"(?<=\n)|(?<=[ \t])(?=\S)(?<=[.!?][\"'”’)\]]{0,2}[ \t]{1,8})|(?<=[。！？])(?=\S)"
 
 
 def _lines(text: str) -> F.Column:
