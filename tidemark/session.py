@@ -66,7 +66,18 @@ def stage(df: DataFrame) -> DataFrame:
     same floating-point results (sums depend on arrival order, so two evaluations of one
     plan may differ in the last bit).
     """
+    return stage_at(df)[0]
+
+
+def stage_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stage``, with the folder of the table, so that loops can ``discard`` what they have read."""
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that no later plan reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
