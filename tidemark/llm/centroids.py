@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import discard, stage_at
 
-_STATE = "x array<bigint>, norm bigint, dots array<bigint>, cluster int, before int, distance bigint"
+_STATE = "x binary, norm bigint, dots binary, cluster int, before int, distance bigint"
+_SIGN = np.int64(-1 << 63)
 
 
 def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -44,26 +45,38 @@ def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x.astype(object) @ y.astype(object)).astype(np.int64)  # raises where a long is too narrow
 
 
+def _packed(values: np.ndarray) -> pa.Array:
+    """Rows of whole numbers as bytes that sort as the numbers do."""
+    data = (values ^ _SIGN).astype(">i8").tobytes()
+    at = np.arange(len(values) + 1, dtype=np.int32) * np.int32(8 * values.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
 def _rows(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, ">i8").astype(np.int64).reshape(len(column), width) ^ _SIGN
 
 
-def _lists(values: np.ndarray) -> pa.Array:
-    n, width = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.reshape(-1), pa.int64()))
+def _numbers(width: int, scale: int):
+    """Batches (id, v) of vectors of the right length to (id, x) of those without a null or non-finite component."""
 
+    def run(batches):
+        for b in batches:
+            v = b.column("v").flatten().cast(pa.float64())
+            v = v.to_numpy(zero_copy_only=False).reshape(len(b), width)  # null components become NaN
+            finite = np.isfinite(v).all(axis=1)
+            x = np.floor(v[finite] * float(scale))
+            if x.size and np.abs(x).max() >= 1 << 62:
+                raise OverflowError("a component needs more than 64 bits")
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(finite)), _packed(x.astype(np.int64))], ["id", "x"])
 
-def whole_vectors(vectors: DataFrame, vec_id: str, vector: str, dimension: int, scale: int) -> DataFrame:
-    """(id, x): the usable vectors in whole numbers."""
-    v = F.col(f"`{vector}`")
-    finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) != float("inf")))
+    return run
 
-    def floored(e: F.Column) -> F.Column:
-        scaled = F.lit(float(scale)) * e.cast("double")
-        return F.when(F.abs(scaled) < float(1 << 62), F.floor(scaled)).otherwise(F.raise_error(F.lit("a component needs more than 64 bits")).cast("bigint"))
 
-    whole = F.transform(v, floored)
-    return vectors.where((F.size(v) == dimension) & finite).select(F.col(f"`{vec_id}`").alias("id"), whole.cast("array<bigint>").alias("x"))
+def whole_vectors(vectors: DataFrame, vec_id: str, vector: str, dimension: int, scale: int) -> DataFrame:
+    """(id, x): the usable vectors in whole numbers, packed."""
+    named = vectors.select(F.col(f"`{vec_id}`").alias("id"), F.col(f"`{vector}`").alias("v")).where(F.size("v") == dimension)
+    return named.mapInArrow(_numbers(dimension, scale), f"id {named.schema['id'].dataType.simpleString()}, x binary")
 
 
 def _advance(width: int, k: int, changes: list[tuple[int, list[int], list[int]]], norms: list[int]):
@@ -90,7 +103,7 @@ def _advance(width: int, k: int, changes: list[tuple[int, list[int], list[int]]]
             cluster = near.argmin(axis=1).astype(np.int32)  # the first of equal ones
             distance = norm.to_numpy(zero_copy_only=False) + near[np.arange(n), cluster]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("x"), norm, _lists(dots), pa.array(cluster), before, pa.array(distance)],
+                [b.column("id"), b.column("x"), norm, _packed(dots), pa.array(cluster), before, pa.array(distance)],
                 ["id", "x", "norm", "dots", "cluster", "before", "distance"],
             )
 
@@ -139,7 +152,7 @@ def cluster_vectors(
     kind = state.schema["id"].dataType.simpleString()
     order = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id").cast("string")), 256).alias("h")
     starts = state.select(order, "x").orderBy(F.col("h").asc_nulls_last(), "x").limit(k).collect()
-    centroids = [list(r.x) for r in starts]
+    centroids = _rows(pa.array([r.x for r in starts], pa.binary()), dimension).tolist()
     if not centroids:
         return state.select("id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")), []
     k = len(centroids)
