@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,9 +10,8 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 from test_decontaminate import slow_edits
-from test_line_dedup import slow as slow_lines
 from test_quality import slow_scores
-from test_simhash import slow_components, slow_fingerprint
+from test_resemblance import edited, slow_leaders
 
 import corpus_pipeline
 from tidemark.llm import bpe, decontaminate, quality
@@ -27,7 +27,8 @@ def corpus():
         return ["This " + " ".join(rng.choice(words) for _ in range(rng.randint(4, 14))) + "." for _ in range(n)]
 
     items = [(k, " ".join(rng.choice(words) for _ in range(25))) for k in range(6)]
-    passage = lines(4)
+    passage, inside = lines(4), lines(5)
+    common = [w for x in lines(18) for w in x.rstrip(".").split()]
     rows, labels = [], []
     for k in range(220):
         good = k % 4 != 0
@@ -40,6 +41,10 @@ def corpus():
             body.append(items[k % 6][1].replace("w1", "x1", 1))
         elif k % 13 == 3 and k > 50:
             body = rows[k - 50][1].split("\n")
+        elif k % 17 == 4:  # a passage inside a line
+            body[0] = " ".join([body[0], *inside, *body[1:2]])
+        elif k % 19 == 5:  # one to eight words of 150 changed: 0.8 or more alike, and many bits of a SimHash apart
+            body = [" ".join(edited(rng, common, k % 8 + 1))]
         text = "\n".join(body)
         rows.append((k, text, "en", f"s{k % 3}", len(text)))
         if k % 3:
@@ -58,6 +63,30 @@ def folder(spark, tmp_path_factory):
     return base
 
 
+def units(text):
+    """Lines and sentences, each with what separates it from the next."""
+    return [u for line in re.split(r"(?<=\n)", text) for u in re.split(r"(?<=[.!?] )(?=\S)", line)]
+
+
+def slow_passages(rows):
+    """(text, units, units removed) of each row: later occurrences of three units in a row go."""
+    seen, out = set(), []
+    for _, text, *_ in sorted(rows, key=lambda r: r[0]):
+        parts = units(text or "")
+        said = [p.rstrip(" \t\r\n") for p in parts]
+        gone = set()
+        for k in range(len(parts) - 2):
+            window = tuple(said[k : k + 3])
+            if any(window):
+                gone |= set(range(k, k + 3)) if window in seen else set()
+                seen.add(window)
+        left = "".join(p for k, p in enumerate(parts) if k not in gone)
+        if len(parts) - 1 in gone:
+            left = re.sub(r"(\n|[ \t]+)$", "", left)
+        out.append((text if text is None else left, len(parts), len(gone)))
+    return out
+
+
 def slow_pipeline():
     rows, labels, items = corpus()
     label = {k: q for k, q, _ in labels}
@@ -65,13 +94,13 @@ def slow_pipeline():
     y = np.array([label.get(r[0], -1) for r in rows])
     train = np.array([r[0] in label and zlib.crc32(str(r[0]).encode()) % 5 != 0 for r in rows])
     kept = [[r for r, s in zip(rows, slow_scores(x, y, train)) if s >= 0.3]]
-    cut = []
-    for r, (_, text, n, gone) in zip(kept[-1], slow_lines([(r[0], r[1]) for r in kept[-1]])):
+    cut, before = [], sorted(kept[-1], key=lambda r: r[0])
+    for r, (text, n, gone) in zip(before, slow_passages(before)):
         if text is None or gone < n:
             cut.append((r[0], text, *r[2:4], len(text) if gone else r[4]))
     kept.append(cut)
-    root = slow_components([(r[0], slow_fingerprint(r[1])) for r in cut], 4)
-    kept.append([r for r in cut if root[slow_fingerprint(r[1])] == r[0]])
+    leaders = set(slow_leaders([(r[0], r[1]) for r in cut]))
+    kept.append([r for r in cut if r[0] in leaders])
     norm = [decontaminate.normalise(t) for _, t in items]
     kept.append([r for r in kept[-1] if all(slow_edits(i, decontaminate.normalise(r[1])) > len(i) // 16 for i in norm)])
     return kept
@@ -87,6 +116,14 @@ def test_every_stage_equals_brute_force(spark, folder):
         assert sorted(map(str, map(tuple, docs.collect()))) == sorted(map(str, rows))
 
 
+def test_data_tell_the_rules_apart():
+    """Whole lines alone, or equal texts alone, would keep other rows."""
+    first, cut, apart, _ = slow_pipeline()
+    old = {r[0]: r[1] for r in first}
+    inside = [r for r in cut if r[1] != old[r[0]] and "\n" not in (old[r[0]] or "")]
+    assert inside and len({r[1] for r in cut}) > len(apart)
+
+
 def test_run_ends_in_tokens(spark, folder):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))

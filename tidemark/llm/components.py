@@ -1,6 +1,6 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round keeps an edge table of linear size in the shared folder; no neighbour list is ever
+Every round keeps an edge table of linear size in the shared folder and deletes the one before; no neighbour list is ever
 gathered, so a node of any degree is only a key of partial aggregates and of a join that can be split.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import stage
+from tidemark.session import discard, stage_at
 
 
 def _minimum(edges: DataFrame) -> DataFrame:
@@ -39,13 +39,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Ends when a round leaves the edge table as it was; that takes about log(n) rounds.
     """
-    now = stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    now, path = stage_at(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     state = _state(now)
     while state[0]:
-        now = stage(_small_star(stage(_large_star(now))))
-        after = _state(now)
-        if after == state:
+        large, between = stage_at(_large_star(now))
+        now, after = stage_at(_small_star(large))
+        discard(edges.sparkSession, between)
+        discard(edges.sparkSession, path)
+        path, before, state = after, state, _state(now)
+        if state == before:
             break
-        state = after
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
