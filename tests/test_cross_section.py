@@ -118,6 +118,22 @@ def test_spearman(sample):
     assert all(r["c"] is None for r in xsec.spearman(flat, ["g"], "x", "y", 3, "c").collect())
 
 
+def test_both_sides_ranked_together_equal_one_after_the_other(sample):
+    pdf, df = sample
+    split = F.when(F.col("s") % 7 > 0, F.col("y"))
+    some = df.withColumn("y", F.when(F.col("g") != 3, split)).unionByName(df.limit(1).selectExpr("9L AS g", "-1L AS s", "x", "y", "ind"))
+    want = {r["g"]: (r["observations"], r["c"]) for r in xsec.spearman(some, ["g"], "x", "y", 3, "c").collect()}
+    got = {r["g"]: (r["observations"], r["c"]) for r in xsec.spearman(some, ["g"], "x", "y", 3, "c", "s").collect()}
+    assert got.keys() == want.keys() and got[3] == want[3] == (0, None)
+    for g, (n, c) in want.items():
+        assert got[g][0] == n and (c is None) == (got[g][1] is None) and (c is None or abs(got[g][1] - c) < 1e-12)
+
+
+def test_one_value_only_has_no_correlation_in_a_large_group(spark):
+    df = spark.range(300_000).selectExpr("1 AS g", "id AS s", "7.0D AS x", "CAST(id AS DOUBLE) AS y")
+    assert [tuple(r) for r in xsec.spearman(df, ["g"], "x", "y", 3, "c", "s").collect()] == [(1, 300_000, None)]
+
+
 @pytest.mark.parametrize("q", [2, 4, 5])
 def test_quantile_labels_equal_qcut(sample, q):
     pdf, df = sample

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import registry
-from tidemark.operators import asof, features, select, xsec
+from tidemark.operators import asof, diagnostics, features, select, xsec
 from tidemark.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +59,27 @@ def test_cross_section_rank_needs_no_product(stored):
     assert rows and all("_tb" in line for line in rows)
 
 
+def exchanges(df):
+    p = plan(df)
+    assert "CartesianProduct" not in p and "NestedLoop" not in p and "Python" not in p
+    return p.count("Exchange hashpartitioning") + p.count("BroadcastExchange")
+
+
+def test_diagnostics_shuffle_each_row_once_a_rank(spark):
+    path = scratch_path(spark, "plan-scores")
+    spark.range(4000).selectExpr(
+        "date_add(DATE'2020-01-31', int(id % 20) * 30) AS signal_date", "id AS symbol", "'f' AS factor", "rand(1) AS z", "rand(2) AS forward_return_21d",
+        "rand(3) AS forward_return_63d", "rand(4) AS log_total_market_value", "'I' AS industry_code", "200L AS universe_size",
+    ).write.parquet(path)
+    scores = spark.read.parquet(path)
+    assert exchanges(diagnostics.rank_ic(scores, [21, 63])) <= 6
+    assert exchanges(diagnostics.quantile_returns(scores, [21, 63])) <= 8
+    assert exchanges(xsec.quantile_label(scores, ["signal_date", "factor"], "z", "symbol", 5)) <= 4
+    assert exchanges(xsec.average_rank(scores, ["signal_date"], "z", "r")) <= 4
+    windows = [line for line in plan(xsec.average_rank(scores, ["signal_date"], "z", "r")).split("\n") if "Window [" in line and "rank(" in line]
+    assert windows and all("_vb" in line for line in windows)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 def test_bars_read_four_columns(spark):
     p = plan(registry.tables.Tables(spark, SF).bars)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import xsec
 from tidemark.operators.aggregates import summarise
 from tidemark.operators.performance import compound_metrics
+from tidemark.session import stage
 
 _DF = ["signal_date", "factor"]
 
@@ -45,7 +46,7 @@ def rank_ic(df: DataFrame, horizons: Sequence[int], minimum: int = 20) -> DataFr
     if minimum < 3:
         raise ValueError("minimum must be at least 3")
     long = horizons_long(df, horizons, ["signal_date", "symbol", "factor", "z"])
-    return xsec.spearman(long, [*_DF, "horizon_days"], "z", "ret", minimum, "spearman_ic")
+    return xsec.spearman(long, [*_DF, "horizon_days"], "z", "ret", minimum, "spearman_ic", "symbol")
 
 
 def summarise_ic(ic: DataFrame) -> DataFrame:
@@ -71,6 +72,8 @@ def quantile_returns(df: DataFrame, horizons: Sequence[int], q: int = 5) -> Data
     if q < 2:
         raise ValueError("q must be at least 2")
     labelled = xsec.quantile_label(df, _DF, "z", "symbol", q).where(F.col("quantile").isNotNull())
+    returns = [f"forward_return_{h}d" for h in horizons]
+    labelled = stage(labelled.select("signal_date", "symbol", "factor", "quantile", *returns))  # moments and medians read it
     long = horizons_long(labelled, horizons, ["signal_date", "symbol", "factor", "quantile"])
     by = ["signal_date", "factor", "horizon_days", "quantile"]
     s = summarise(long, by, "ret")
@@ -96,7 +99,7 @@ def summarise_quantiles(qr: DataFrame, q: int) -> DataFrame:
 
 def exposures(df: DataFrame) -> DataFrame:
     """Size correlation, variance explained by industry and the largest industry mean."""
-    size = xsec.spearman(df, _DF, "z", "log_total_market_value", 3, "size_spearman").drop("observations")
+    size = xsec.spearman(df, _DF, "z", "log_total_market_value", 3, "size_spearman", "symbol").drop("observations")
     cells = df.where(F.col("z").isNotNull() & (F.col("industry_code") != "UNKNOWN")).groupBy(*_DF, "industry_code").agg(
         F.count("z").alias("_n"), F.avg("z").alias("_m"), F.sum(F.col("z") * F.col("z")).alias("_s2")
     )
@@ -141,7 +144,7 @@ def score_evidence(df: DataFrame, by: Sequence[str], q: int, minimum: int) -> Da
     by = list(by)
     per = [*by, "signal_date"]
     sample = df.where(F.col("score").isNotNull() & F.col("ret").isNotNull())
-    ic = xsec.spearman(sample, per, "score", "ret", minimum, "ic")
+    ic = xsec.spearman(sample, per, "score", "ret", minimum, "ic", "symbol")
     labelled = xsec.quantile_label(sample, per, "score", "symbol", q)
     side = lambda k: F.avg(F.when(F.col("quantile") == k, F.col("ret")))
     spread = labelled.groupBy(*per).agg((side(q) - side(1)).alias("spread"))
@@ -235,7 +238,7 @@ def cost_stress(
     if not costs or costs[0] < 0:
         raise ValueError("costs must be non-negative")
     labelled = xsec.quantile_label(df, _DF, "z", "symbol", q)
-    top = labelled.where(F.col("quantile") == q)
+    top = stage(labelled.where(F.col("quantile") == q).select(*_DF, "symbol", ret))  # its size and its book read it
     size = top.groupBy(*_DF).agg(
         F.count(F.lit(1)).alias("holdings"), F.count(ret).alias("realized_outcomes"), F.avg(ret).alias("gross_return")
     )

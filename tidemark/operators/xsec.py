@@ -10,9 +10,14 @@ the value, so no sampling is involved and results are exact.
 Groups are dates, or dates crossed with a fixed list of factors or horizons, so tables with
 one row per group are bounded by the calendar and may be broadcast.
 
+Average ranks and quantile labels shuffle the rows once by (group, bucket), number them inside
+the bucket and add the rows of earlier buckets from a table of one row per group and bucket.
+Quantiles move only the rows of the buckets that hold a wanted place.  Ordinal ranks, whose
+ties may fill a whole table, split runs of equal values by their tie key as well.
+
 There is one plan whatever the size of a cross-section.  Inputs are read twice and met again
-by value, so they must be tables (or ``session.stage``), not expressions that could differ
-in the last bit from one evaluation to the next.
+by value or bucket, so they must be tables (or ``session.stage``), not expressions that could
+differ in the last bit from one evaluation to the next.
 """
 
 from __future__ import annotations
@@ -78,12 +83,43 @@ def positions(df: DataFrame, by: Sequence[str], value: str, tie: str | None = No
     return counted.join(places, [*by, "_vb", "_vf"]).select(*keys, (F.col("_offset") + F.col("_in_fine")).alias("_start"), "_count", "_n")
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """1-based rank where equal values share the mean of their places; null stays null."""
-    place = positions(df, by, value).select(
-        *by, value, (F.col("_start") + (F.col("_count") + 1) / 2).alias(out)
+def _bucketed(df: DataFrame, value: str, spread: str | None = None) -> DataFrame:
+    """Adds ``_vb``; rows without a value lie below all others, over 64 buckets of their key where one is given."""
+    missing = F.pmod(F.xxhash64(spread), F.lit(64)) if spread else F.lit(0)
+    return df.withColumn("_vb", F.when(F.col(value).isNotNull(), order_bucket(F.col(value))).otherwise(F.lit(-2 * _END) - missing))
+
+
+def _buckets(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """One row per group and bucket that holds values: its rows, bounds, the rows before it and the group's totals."""
+    per = rows.where(F.col(value).isNotNull()).groupBy(*by, "_vb").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
     )
-    return df.join(place, [*by, value], "left")
+    group = Window.partitionBy(*by).orderBy("_vb")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return per.withColumns({
+        "_before": F.coalesce(F.sum("_rows").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_n": F.sum("_rows").over(whole), "_min": F.min("_lo").over(whole), "_max": F.max("_hi").over(whole),
+    })
+
+
+def average_rank(
+    df: DataFrame, by: Sequence[str], value: str, out: str, key: str | None = None, centred: bool = False,
+) -> DataFrame:
+    """1-based rank where equal values share the mean of their places; null stays null.
+
+    ``key`` spreads the rows without a value over several tasks.  ``centred`` gives the rank
+    less the mean rank of its group, so that a constant side is exactly zero.
+    """
+    by = list(by)
+    rows = _bucketed(df, value, key)
+    inside = Window.partitionBy(*by, "_vb").orderBy(value)
+    numbered = rows.withColumns({
+        "_in": F.rank().over(inside), "_same": F.count(F.lit(1)).over(inside.rangeBetween(Window.currentRow, Window.currentRow)),
+    })
+    placed = numbered.join(_buckets(rows, by, value).select(*by, "_vb", "_before", "_n"), [*by, "_vb"], "left")
+    # rows without a value find no bucket, so their rank stays null
+    rank = F.col("_before") + F.col("_in") + (F.col("_same") - 1) / 2
+    return placed.withColumn(out, rank - (F.col("_n") + 1) / 2 if centred else rank).drop("_vb", "_in", "_same", "_before", "_n")
 
 
 def ordinal_rank(
@@ -110,20 +146,32 @@ def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, exact, plus the number of values ``n``."""
-    place = positions(df, by, value)
-    end = F.col("_start") + F.col("_count")
-    aggs, outs = [], []
+    by = list(by)
+    rows = _bucketed(df.where(F.col(value).isNotNull()).select(*by, value), value)
+    places = {}
     for q, name in zip(quantiles, names, strict=True):
         at = (F.col("_n") - 1) * F.lit(float(q))
-        for side, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("_start") <= k) & (k < end)
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
+        places |= {f"_{name}_lo": F.floor(at), f"_{name}_hi": F.ceil(at)}
+    end = F.col("_before") + F.col("_rows")
+    wanted = F.lit(False)
+    for k in places.values():
+        wanted = wanted | ((F.col("_before") <= k) & (k < end))
+    # Only rows of these buckets move, at most two buckets a quantile and group; equal values are counted first.
+    hit = F.broadcast(_buckets(rows, by, value).where(wanted).select(*by, "_vb", "_before", "_n"))
+    values = rows.join(hit, [*by, "_vb"]).groupBy(*by, "_vb", "_before", "_n", value).agg(F.count(F.lit(1)).alias("_count"))
+    running = F.sum("_count").over(Window.partitionBy(*by, "_vb").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = values.withColumn("_end", F.col("_before") + running).select(
+        *by, "_n", F.col(value).alias("_value"), (F.col("_end") - F.col("_count")).alias("_start"), "_end"
+    )
+    aggs, outs = [], []
+    for name, k in places.items():
+        aggs.append(F.max(F.when((F.col("_start") <= k) & (k < F.col("_end")), F.col("_value"))).alias(name))
+    for q, name in zip(quantiles, names, strict=True):
         frac = (F.col("n") - 1) * F.lit(float(q))
         frac = frac - F.floor(frac)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         outs.append((lo + (hi - lo) * frac).alias(name))
-    found = place.groupBy(*by).agg(F.max("_n").alias("n"), *aggs)
-    return found.select(*by, "n", *outs)
+    return found.groupBy(*by).agg(F.max("_n").alias("n"), *aggs).select(*by, "n", *outs)
 
 
 def winsorised_z(
@@ -172,24 +220,15 @@ def quantile_label(
 ) -> DataFrame:
     """Equal-count buckets 1..q by first-come rank; null below 2q scores or one distinct score."""
     by = list(by)
-    ranked = ordinal_rank(df, by, score, tie, "_r", size="_size")
-    spread = df.groupBy(*by).agg(F.min(score).alias("_min"), F.max(score).alias("_max"))
-    ranked = ranked.join(F.broadcast(spread), by, "left")  # one row per group
-    label = F.greatest(
-        F.lit(1), F.ceil((F.col("_r") - 1) * F.lit(q) / F.nullif(F.col("_size") - 1, F.lit(0)))
-    )
-    return (
-        ranked.withColumn(
-            out,
-            F.when(
-                F.col("_r").isNotNull()
-                & (F.col("_size") >= 2 * q)
-                & (F.col("_min") < F.col("_max")),
-                label,
-            ).cast("int"),
-        )
-        .drop("_r", "_size", "_min", "_max")
+    rows = _bucketed(df, score, tie)
+    inside = Window.partitionBy(*by, "_vb").orderBy(score, tie)
+    placed = rows.withColumn("_in", F.row_number().over(inside)).join(
+        _buckets(rows, by, score).select(*by, "_vb", "_before", "_n", "_min", "_max"), [*by, "_vb"], "left"
     )
+    place = F.col("_before") + F.col("_in") - 1
+    label = F.greatest(F.lit(1), F.ceil(place * F.lit(q) / F.nullif(F.col("_n") - 1, F.lit(0))))
+    usable = (F.col("_n") >= 2 * q) & (F.col("_min") < F.col("_max"))
+    return placed.withColumn(out, F.when(usable, label).cast("int")).drop("_vb", "_in", "_before", "_n", "_min", "_max")
 
 
 def neutralise(
@@ -231,34 +270,34 @@ def neutralise(
 
 
 def spearman(
-    df: DataFrame, by: Sequence[str], first: str, second: str, minimum: int = 2, out: str = "spearman",
+    df: DataFrame, by: Sequence[str], first: str, second: str, minimum: int = 2, out: str = "spearman", key: str | None = None,
 ) -> DataFrame:
     """Rank correlation per group over rows where both values are present.
 
     Every group of ``df`` is returned with its pair count; the correlation is null
-    below ``minimum`` pairs or when either side is constant.
+    below ``minimum`` pairs or when either side is constant.  Both sides are ranked
+    together as rows of one table and meet again by ``key``, which names a row within
+    its group; without a key they are ranked one after the other.
     """
     by = list(by)
-    pairs = df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(*by, first, second)
-    ranked = average_rank(average_rank(pairs, by, first, "_r1"), by, second, "_r2")
-    # Ranks centred on (n+1)/2 up front keep the moments exact for large groups.
-    n = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_pairs"))
-    ranked = ranked.join(F.broadcast(n), by)  # one row per group
-    c1, c2 = F.col("_r1") - (F.col("_pairs") + 1) / 2, F.col("_r2") - (F.col("_pairs") + 1) / 2
-    moments = (
-        ranked.groupBy(*by)
-        .agg(
-            F.max("_pairs").alias("_pairs"),
-            F.sum(c1 * c2).alias("_xy"),
-            F.sum(c1 * c1).alias("_xx"),
-            F.sum(c2 * c2).alias("_yy"),
-        )
+    both = F.col(first).isNotNull() & F.col(second).isNotNull()
+    if key is None:
+        pairs = df.select(*by, F.when(both, F.col(first)).alias("_x1"), F.when(both, F.col(second)).alias("_x2"))
+        ranked = average_rank(average_rank(pairs, by, "_x1", "_r1", centred=True), by, "_x2", "_r2", centred=True)
+    else:
+        side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).cast("double").alias("x"))
+        # a row without both values stays, so that its group does
+        sides = F.when(both, F.array(side(1, first), side(2, second))).otherwise(F.array(F.struct(F.lit(1).alias("side"), F.lit(None).cast("double").alias("x"))))
+        long = df.select(*by, F.col(key).alias("_key"), F.explode(sides).alias("_s")).select(*by, "_key", F.col("_s.side").alias("_side"), F.col("_s.x").alias("_x"))
+        rank = average_rank(long, [*by, "_side"], "_x", "_r", "_key", centred=True)
+        of = lambda k: F.max(F.when(F.col("_side") == k, F.col("_r")))
+        ranked = rank.groupBy(*by, "_key").agg(of(1).alias("_r1"), of(2).alias("_r2"))
+    r1, r2 = F.col("_r1"), F.col("_r2")
+    moments = ranked.groupBy(*by).agg(
+        F.count(r1).alias("observations"), F.sum(r1 * r2).alias("_xy"), F.sum(r1 * r1).alias("_xx"), F.sum(r2 * r2).alias("_yy")
     )
     value = F.when(
-        (F.col("_pairs") >= F.lit(max(2, minimum))) & (F.col("_xx") > 0) & (F.col("_yy") > 0),
+        (F.col("observations") >= F.lit(max(2, minimum))) & (F.col("_xx") > 0) & (F.col("_yy") > 0),
         F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy"))),
     )
-    groups = df.select(*by).distinct()
-    return groups.join(moments, by, "left").select(
-        *by, F.coalesce(F.col("_pairs"), F.lit(0)).alias("observations"), value.alias(out)
-    )
+    return moments.select(*by, "observations", value.alias(out))
