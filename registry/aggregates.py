@@ -95,8 +95,7 @@ def _(t):
        count(DISTINCT metric) AS visible_fundamental_metric_count FROM v GROUP BY 1, 2""",
 )
 def _(t):
-    probes = t.facts.select("symbol").distinct().crossJoin(F.broadcast(t.month_ends.select("signal_date")))
-    return pit.fact_lineage(pit.facts_as_of(t.facts, probes, 550, metrics=FACT_METRICS))
+    return pit.fact_lineage(pit.facts_on_dates(t.facts, t.month_ends, 550, metrics=FACT_METRICS))
 
 
 @query(

@@ -311,7 +311,5 @@ def _(t):
        (SELECT DISTINCT symbol FROM bars) s ASOF LEFT JOIN price_features f ON f.symbol = s.symbol AND f.date <= e.signal_date""",
 )
 def _(t):
-    probes = t.bars.select("symbol").distinct().crossJoin(F.broadcast(t.month_ends.select("signal_date")))
-    return asof.asof_backward(
-        probes, features.liquidity_features(t.bars), ["symbol"], "signal_date", "date", ["avg_amount_20"], bounded_left=True
-    )
+    runs = asof.value_runs(features.liquidity_features(t.bars), ["symbol"], "date", ["avg_amount_20"], missing=True)
+    return asof.on_dates(runs, t.month_ends).select("signal_date", "symbol", "avg_amount_20", "matched_date")

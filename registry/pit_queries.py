@@ -166,8 +166,7 @@ def _(t):
          f.revision_sequence DESC, f.source_row_sha256 DESC) = 1""",
 )
 def _(t):
-    probes = t.facts.select("symbol").distinct().crossJoin(F.broadcast(t.month_ends.select("signal_date")))
-    return pit.facts_as_of(t.facts, probes, 550, metrics=FACT_METRICS)
+    return pit.facts_on_dates(t.facts, t.month_ends, 550, metrics=FACT_METRICS)
 
 
 @query(

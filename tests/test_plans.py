@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import registry
-from tidemark.operators import asof, diagnostics, features, select, xsec
-from tidemark.session import scratch_path
+from tidemark.operators import asof, diagnostics, features, pit, select, xsec
+from tidemark.session import scratch_path, stage
 
 SF = "/root/testdata/sf0.001"
 registry.load()
@@ -59,6 +59,19 @@ def test_cross_section_rank_needs_no_product(stored):
     assert rows and all("_tb" in line for line in rows)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_values_on_dates_need_no_product(spark, stored):
+    t = registry.tables.Tables(spark, SF)
+    facts, ends = stage(t.facts), stage(t.month_ends)
+    seen = pit.facts_on_dates(facts, ends, 550)
+    runs = asof.value_runs(stored, ["symbol"], "date", ["amount"], missing=True)
+    for df in (seen, pit.fact_lineage(seen), asof.on_dates(runs, ends), pit.facts_as_of(facts, seen.select("symbol", "signal_date"))):
+        p = plan(df)
+        assert "CartesianProduct" not in p and "NestedLoop" not in p and "Python" not in p
+    # one shuffle of the facts; the tables of days and dates are broadcast
+    assert plan(seen).count("Exchange hashpartitioning(symbol") == 1
+
+
 def exchanges(df):
     p = plan(df)
     assert "CartesianProduct" not in p and "NestedLoop" not in p and "Python" not in p

@@ -93,6 +93,34 @@ def test_many_dates_equal_one_date_at_a_time(spark, facts, business_days):
                 assert many.get((day, metric)) == value(facts, str(day), metric, age)
 
 
+def test_runs_of_the_frontier_table(facts):
+    runs = pit.visibility_runs(facts, 150, ["revenue"]).orderBy("valid_from").collect()
+    assert all(a["valid_until"] <= b["valid_from"] for a, b in zip(runs, runs[1:]))
+    assert all(r["valid_from"] < r["valid_until"] and (r["valid_until"] - r["period_end"]).days <= 151 for r in runs)
+    assert [r["value"] for r in runs] == [100.0, 110.0, 130.0]  # the late revision of the old period begins no run
+
+
+def test_runs_on_dates_equal_a_loop(spark):
+    day = lambda n: n if n is None else D(2020, 1, 1) + dt.timedelta(n)
+    runs = [(1, None, 3), (1, 3, 8), (2, 5, None), (3, None, None), (4, 40, 50), (5, -9, -2), (6, 6, 6), (7, 0, 31), (8, 9, 10)]
+    dates = [0, 2, 3, 7, 9, 30]
+    frame = spark.createDataFrame([(k, day(a), day(b)) for k, a, b in runs], "k int, valid_from date, valid_until date")
+    asked = spark.createDataFrame([(day(d),) for d in [*dates, *dates, None]], "signal_date date")
+    got = {(r["k"], r["signal_date"]) for r in asof.on_dates(frame, asked).collect()}
+    assert got == {(k, day(d)) for k, a, b in runs for d in dates if (a is None or a <= d) and (b is None or d < b)}
+    assert asof.on_dates(frame, asked.where("signal_date IS NULL")).count() == 0
+
+
+def test_value_runs_equal_an_as_of_join(spark):
+    right = spark.createDataFrame([(k, D(2020, m, 5), float(m)) for k in (1, 2) for m in (2, 4, 9) if k + m != 4], "k int, d date, v double")
+    dates = spark.createDataFrame([(D(2020, m, 1),) for m in range(1, 13)], "signal_date date")
+    probes = right.select("k").distinct().crossJoin(dates)
+    want = asof.asof_backward(probes, right, ["k"], "signal_date", "d", ["v"]).select("k", "signal_date", "matched_d", "v")
+    got = asof.on_dates(asof.value_runs(right, ["k"], "d", ["v"], missing=True), dates).select("k", "signal_date", "matched_d", "v")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert asof.on_dates(asof.value_runs(right, ["k"], "d", ["v"]), dates).where("v IS NULL").count() == 0
+
+
 def test_future_facts_change_nothing_before_them(spark, facts, business_days):
     probes = spark.createDataFrame([("600000.SH", D(2020, 5, 20))], "symbol string, signal_date date")
     before = pit.facts_as_of(facts, probes).select("metric", "value").orderBy("metric").collect()

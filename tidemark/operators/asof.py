@@ -65,6 +65,53 @@ def asof_backward(
     )
 
 
+def value_runs(df: DataFrame, on: Sequence[str], date: str, values: Sequence[str], missing: bool = False) -> DataFrame:
+    """Runs [valid_from, valid_until) of the latest row of a key: (on, matched_<date>, values).
+
+    ``valid_until`` is null while nothing follows.  With ``missing`` a key also has the run of nulls
+    before its first row, from null on.  A key has at most one row per date, so its window is bounded.
+    """
+    on = list(on)
+    daily = df.groupBy(*on, F.col(date).alias("valid_from")).agg(F.max(F.struct(*values)).alias("_v"))
+    order = Window.partitionBy(*on).orderBy("valid_from")
+    runs = daily.withColumn("valid_until", F.lead("valid_from").over(order)).withColumn("_first", F.lag("valid_from").over(order).isNull())
+    run = lambda begin, end, matched, value: F.struct(
+        begin.alias("valid_from"), end.alias("valid_until"), matched.alias("matched"), value.alias("_v")
+    )
+    begin, end, value = F.col("valid_from"), F.col("valid_until"), F.col("_v")
+    seen = F.array(run(begin, end, begin, value))
+    if missing:
+        none = lambda c: F.when(F.lit(False), c)
+        seen = F.when(F.col("_first"), F.array(run(none(begin), begin, none(begin), none(value)), run(begin, end, begin, value))).otherwise(seen)
+    return runs.select(*on, F.explode(seen).alias("_r")).select(
+        *on, "_r.valid_from", "_r.valid_until", F.col("_r.matched").alias(f"matched_{date}"), *[F.col(f"_r._v.{v}").alias(v) for v in values]
+    )
+
+
+def on_dates(runs: DataFrame, dates: DataFrame, date: str = "signal_date") -> DataFrame:
+    """One row per run [valid_from, valid_until) and date in it; open ends are null.
+
+    The dates (at most one per calendar day) are numbered; a table of one row per calendar day says
+    which number comes next and which came last, so a run finds its first and last number by equality
+    and expands in place.  Nothing is paired that is not in the result.
+    """
+    asked = dates.select(F.col(date).cast("date").alias("_d")).where("_d IS NOT NULL").distinct()
+    first, last = asked.agg(F.min("_d"), F.max("_d")).first()
+    if first is None:
+        return runs.where(F.lit(False)).withColumn(date, F.lit(None).cast("date")).drop("valid_from", "valid_until")
+    order = Window.orderBy("_d")  # one row per signal date
+    numbered = asked.select("_d", F.row_number().over(order).alias("_k"), F.lag("_d").over(order).alias("_p"))
+    days = numbered.select("_k", "_d", F.explode(F.sequence(F.coalesce(F.date_add("_p", 1), F.col("_d")), F.col("_d"))).alias("_day"))
+    next_of = F.broadcast(days.select(F.col("_day").alias("_a"), F.col("_k").alias("_from")))
+    last_of = F.broadcast(days.select(F.col("_day").alias("_b"), F.when(F.col("_day") == F.col("_d"), F.col("_k")).otherwise(F.col("_k") - 1).alias("_to")))
+    bounded = runs.withColumns({
+        "_a": F.greatest(F.col("valid_from"), F.lit(first)), "_b": F.least(F.date_sub("valid_until", 1), F.lit(last)),
+    }).where("_a <= _b")
+    numbers = bounded.join(next_of, "_a").join(last_of, "_b").where("_from <= _to").withColumn("_k", F.explode(F.sequence("_from", "_to")))
+    found = numbers.join(F.broadcast(numbered.select("_k", F.col("_d").alias(date))), "_k")
+    return found.drop("_k", "_a", "_b", "_from", "_to", "valid_from", "valid_until")
+
+
 def latest_snapshot(signals: DataFrame, membership: DataFrame, date: str = "signal_date") -> DataFrame:
     """All members of the latest snapshot on or before each signal date.
 

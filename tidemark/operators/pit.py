@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.asof import on_dates
 from tidemark.operators.calendar import with_availability
 
 FACT_COLUMNS = [
@@ -233,43 +234,47 @@ def combined_snapshot(
     )
 
 
-def facts_as_of(
-    facts: DataFrame, probes: DataFrame, max_age_days: int | None = None, date: str = "signal_date",
-    metrics: Sequence[str] | None = None,
-) -> DataFrame:
-    """Newest visible fact per (symbol, metric) on every probe date, in one pass.
+def visibility_runs(facts: DataFrame, max_age_days: int | None = None, metrics: Sequence[str] | None = None) -> DataFrame:
+    """The frontier table: which fact of a (symbol, metric) is the visible one, over [valid_from, valid_until).
 
-    ``probes`` holds (symbol, date).  A later period always beats an earlier one and a
-    late revision of an old period never wins, so the visible fact is the running
-    maximum of (period, availability, revision, ...) over availability.  Facts are first
-    reduced to one row per (symbol, metric, available_date); with the probes a window
-    holds at most two rows per calendar day.
+    A later period always beats an earlier one and a late revision of an old period never wins, so the visible
+    fact is the running maximum of (period, availability, revision, ...) over availability; a run begins where
+    that maximum changes and ends where it changes next.  An age limit ends a run early: what the frontier
+    replaced is older still.  ``valid_until`` is null for a run without end.  A (symbol, metric) has at most one
+    row per availability date.
     """
     hit = F.struct(*_FRONTIER, "announcement_date", "value")
     if metrics is not None:
         facts = facts.where(F.col("metric").isin(list(metrics)))
-    daily = facts.groupBy("symbol", "metric", F.col("available_date").alias("_t")).agg(F.max(hit).alias("_hit"))
-    kind = daily.schema["_hit"].dataType
-    asked = probes.select("symbol", F.col(date).alias("_t")).distinct()
-    if metrics is not None:
-        asked = asked.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
-    else:
-        asked = asked.crossJoin(F.broadcast(facts.select("metric").distinct()))  # the dictionary bounds this
-    asked = asked.select("symbol", "metric", "_t", F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_hit"))
-    axis = daily.select("symbol", "metric", "_t", F.lit(0).alias("_side"), "_hit").unionByName(asked)
-    w = (
-        Window.partitionBy("symbol", "metric")
-        .orderBy("_t", "_side")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    seen = axis.withColumn("_hit", F.max("_hit").over(w)).where(
-        (F.col("_side") == 1) & F.col("_hit").isNotNull()
-    )
-    out = seen.select("symbol", "metric", F.col("_t").alias(date), "_hit.*")
+    daily = facts.groupBy("symbol", "metric", F.col("available_date").alias("valid_from")).agg(F.max(hit).alias("_hit"))
+    order = Window.partitionBy("symbol", "metric").orderBy("valid_from")
+    before = F.max("_hit").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    leads = daily.where("valid_from IS NOT NULL").withColumn("_before", before).where("_before IS NULL OR _hit > _before")
+    runs = leads.withColumn("valid_until", F.lead("valid_from").over(order))
     if max_age_days is not None:
-        # the frontier already holds the largest period, so the age limit can come last
-        out = out.where(F.datediff(date, "period_end") <= max_age_days)
-    return out
+        runs = runs.withColumn("valid_until", F.least("valid_until", F.date_add("_hit.period_end", max_age_days + 1)))
+        runs = runs.where("_hit.period_end IS NOT NULL AND valid_from < valid_until")
+    return runs.select("symbol", "metric", "valid_from", "valid_until", "_hit.*")
+
+
+def facts_on_dates(
+    facts: DataFrame, dates: DataFrame, max_age_days: int | None = None, date: str = "signal_date", metrics: Sequence[str] | None = None,
+) -> DataFrame:
+    """Newest visible fact per (symbol, metric) on every date of a list, for all symbols that have one."""
+    seen = on_dates(visibility_runs(facts, max_age_days, metrics), dates, date)
+    return seen.select("symbol", "metric", date, *_FRONTIER, "announcement_date", "value")
+
+
+def facts_as_of(
+    facts: DataFrame, probes: DataFrame, max_age_days: int | None = None, date: str = "signal_date",
+    metrics: Sequence[str] | None = None,
+) -> DataFrame:
+    """Newest visible fact per (symbol, metric) on every probe (symbol, date), in one pass.
+
+    Runs of the frontier table expand onto the dates that probes have and meet the probes by equality.
+    """
+    asked = probes.select("symbol", date).distinct()
+    return facts_on_dates(facts, asked, max_age_days, date, metrics).join(asked, ["symbol", date], "left_semi")
 
 
 def valuations_as_of(
