@@ -185,3 +185,31 @@ def test_chained_selection_equals_loop(spark):
         df.where("signal_date = DATE'2020-01-28' AND rank <= 10").select(F.lit("2020-02-28").cast("date").alias("signal_date"), "symbol"), 10, 18,
     ).toPandas()
     assert set(one["symbol"]) == set(got.loc[got["signal_date"] == pd.Timestamp(2020, 2, 28).date(), "symbol"])
+
+
+def test_pairwise_covariance_equals_pandas(spark):
+    rng = np.random.default_rng(9)
+    days = pd.date_range("2020-01-01", periods=150)
+    pdf = pd.DataFrame(rng.normal(5, 1, (150, 6)), index=days, columns=list("abcdef"))
+    pdf[rng.random(pdf.shape) < 0.2] = np.nan
+    pdf["e"] = np.where(np.arange(150) < 40, pdf["e"], np.nan)
+    long = pdf.rename_axis("date").reset_index().melt("date", var_name="s", value_name="r").dropna()
+    df = spark.createDataFrame(long).withColumn("date", F.to_date("date")).repartition(5)
+    seen = pdf.notna().astype(int)
+    for minimum, names in ((30, None), (2, list("adf"))):
+        got = {(r["s1"], r["s2"]): (r["observations"], r["covariance"]) for r in aggregates.pairwise_cov(df, "s", "date", "r", minimum, names).collect()}
+        part = pdf[names or list("abcdef")]
+        cov, n = part.cov(), seen[part.columns].T @ seen[part.columns]
+        want = {(a, b) for a in part for b in part if a <= b and n.loc[a, b] >= minimum}
+        assert set(got) == want
+        for (a, b), (count, value) in got.items():
+            assert count == n.loc[a, b] and abs(value - cov.loc[a, b]) < 1e-12
+
+
+def test_covariance_refuses_long_lists_and_takes_empty_tables(spark):
+    df = spark.range(20).selectExpr("id AS s", "DATE'2020-01-01' AS date", "1.0D AS r")
+    with pytest.raises(ValueError):
+        aggregates.pairwise_cov(df, "s", "date", "r", 1, most=10)
+    assert aggregates.pairwise_cov(df.where("false"), "s", "date", "r", 1).count() == 0
+    p = aggregates.pairwise_cov(df, "s", "date", "r", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in p and "Cartesian" not in p

@@ -68,8 +68,8 @@ def test_values_on_dates_need_no_product(spark, stored):
     for df in (seen, pit.fact_lineage(seen), asof.on_dates(runs, ends), pit.facts_as_of(facts, seen.select("symbol", "signal_date"))):
         p = plan(df)
         assert "CartesianProduct" not in p and "NestedLoop" not in p and "Python" not in p
-    # one shuffle of the facts; the tables of days and dates are broadcast
-    assert plan(seen).count("Exchange hashpartitioning(symbol") == 1
+    # facts combined to days, the days by key; the tables of days and dates are broadcast
+    assert plan(seen).count("Exchange hashpartitioning(symbol") == 2
 
 
 def exchanges(df):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +30,14 @@ class FactorPanel:
     horizons: list[int]
 
     def with_scores(self) -> DataFrame:
+        """Scores beside universe, industry, size and forward returns; joined and staged once for all diagnostics."""
+        return self._joined
+
+    @cached_property
+    def _joined(self) -> DataFrame:
         keep = [c for c in self.rows.columns if c.startswith("forward_return_")]
-        return self.scores.join(
-            self.rows.select(
-                "signal_date", "symbol", "universe_size", "industry_code", "log_total_market_value", *keep
-            ),
-            ["signal_date", "symbol"],
-        )
+        labels = self.rows.select("signal_date", "symbol", "universe_size", "industry_code", "log_total_market_value", *keep)
+        return stage(self.scores.join(labels, ["signal_date", "symbol"]))
 
     def wide(self) -> DataFrame:
         """Raw and z columns per factor, with the revision each fundamental factor used."""
