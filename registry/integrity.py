@@ -327,6 +327,37 @@ def _(t):
     return out.withColumn("created_at", F.col("created_at.d"))
 
 
+_RUN = "experiment_id string, created_at long, note long"
+
+
+@query(
+    "L6_registry_with_broken_lines", "registry:s outcome:s records:i newest:i quarantined:i",
+    """WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 97 = 5 AS cut FROM orders), one AS (SELECT o_custkey, max(o_orderkey) AS k FROM r GROUP BY 1)
+       SELECT 'whole' AS registry, 'written' AS outcome, count(*) AS records, max(k) AS newest, CAST(0 AS BIGINT) AS quarantined FROM one
+       UNION ALL SELECT 'broken', 'refused', NULL, NULL, count(*) FILTER (cut) FROM r""",
+)
+def _(t):
+    r = t.raw("orders").select(
+        F.concat(F.lit("run"), F.col("o_custkey").cast("string")).alias("experiment_id"), F.col("o_orderkey").alias("created_at"), F.col("o_orderkey").alias("note")
+    )
+    old, new = r.where("note % 3 <> 0"), r.where("note % 3 = 0")
+    line = F.to_json(F.struct("experiment_id", "created_at", "note"))
+    cut = F.when(F.col("note") % 97 == 5, F.substring(line, 1, 20)).otherwise(line)
+    rows = []
+    for name, lines in (("whole", old.select(line.alias("value"))), ("broken", r.select(cut.alias("value")))):
+        path, bad, target = (scratch_path(t.spark, f"runs-{name}-{k}") for k in ("old", "bad", "new"))
+        lines.write.text(path)
+        try:
+            out = ln.upsert_registry(t.spark, path, new, _RUN, bad, target)
+            rows.append(out.agg(F.lit(name).alias("registry"), F.lit("written").alias("outcome"), F.count(F.lit(1)).alias("records"), F.max("created_at").alias("newest"), F.lit(0).cast("long").alias("quarantined")))
+        except ValueError:
+            nothing = F.lit(None).cast("long")
+            rows.append(t.spark.read.parquet(bad).agg(F.count(F.lit(1)).alias("quarantined")).select(
+                F.lit(name).alias("registry"), F.lit("refused").alias("outcome"), nothing.alias("records"), nothing.alias("newest"), "quarantined"
+            ))
+    return rows[0].unionByName(rows[1])
+
+
 @query(
     "L7_run_record", "symbol:i run_fingerprint:s",
     """SELECT symbol, sha256('{"config":"c' || symbol % 3 || '","data":"' || count(*) || '"}') AS run_fingerprint FROM bars GROUP BY symbol""",

@@ -95,7 +95,14 @@ def test_factor_names_and_profiles():
     with pytest.raises(ValueError):
         factors.resolve(["nope"])
     assert factors.identify_profile(factors.profile_weights("legacy_v1_4")) == "legacy_v1_4"
-    assert factors.identify_profile({"mom_12_1": 1.0}) == "custom"
+    assert factors.identify_profile({"mom_12_1": 1.0}) == factors.identify_profile({}) == "custom"
+    for name in factors.PROFILES:
+        weights = factors.profile_weights(name)
+        first = next(iter(weights))
+        assert factors.identify_profile(weights) == name and factors.profile_differences(weights)[name] == 0
+        assert factors.profile_differences(weights | {first: weights[first] + 1e-6})[name] == 1
+        assert factors.identify_profile(weights | {"unknown": 0.0}) == "custom"
+        assert factors.identify_profile({k: v for k, v in weights.items() if k != first}) == "custom"
 
 
 def test_run_registry_refuses_corrupt_lines(spark):
@@ -107,6 +114,22 @@ def test_run_registry_refuses_corrupt_lines(spark):
     assert [tuple(r) for r in ok] == [("r1", 2)]
 
 
+def test_broken_registry_lines_are_quarantined_and_nothing_is_written(spark, tmp_path):
+    schema = "experiment_id string, created_at long"
+    good = ['{"experiment_id": "r1", "created_at": 1}', "", "  ", '{"experiment_id": "r3", "created_at": 4}']
+    bad = ['{"experiment_id": "r2", "crea', "[1, 2]", "7", '{"created_at": 3}', '[{"experiment_id": "r9", "created_at": 1}]', '{"experiment_id": "r2", "created_at": "late"}']
+    new = spark.createDataFrame([("r1", 2), ("r4", 5)], schema)
+    whole, broken = tmp_path / "whole.jsonl", tmp_path / "broken.jsonl"
+    whole.write_text("\n".join(good))
+    broken.write_text("\n".join(good + bad))
+    out = lineage.upsert_registry(spark, str(whole), new, schema, str(tmp_path / "q0"), str(tmp_path / "new0"))
+    assert sorted(map(tuple, out.collect())) == [("r1", 2), ("r3", 4), ("r4", 5)]
+    with pytest.raises(ValueError, match="6 unreadable"):
+        lineage.upsert_registry(spark, str(broken), new, schema, str(tmp_path / "q1"), str(tmp_path / "new1"))
+    assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "q1")).collect()) == sorted(bad)
+    assert not (tmp_path / "new1").exists() and not (tmp_path / "q0").exists() and broken.read_text().endswith("late\"}")
+
+
 def test_strict_mode_raises(spark):
     report = spark.createDataFrame([("a", 0), ("b", 3)], "rule string, violations long")
     with pytest.raises(ValueError, match="b: 3"):

@@ -157,6 +157,36 @@ def upsert_runs(registry: DataFrame, runs: DataFrame) -> DataFrame:
     return best.select("experiment_id", "_r.*").select(*both.columns)
 
 
+def read_run_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of a run registry, one JSON object each, permissively: ``path``, ``line``, ``_corrupt``, and the fields of ``schema``.
+
+    ``_corrupt`` holds a line that is no object, or whose fields do not have their types; blank lines are no record.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).where(F.trim("line") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = lines.withColumn("_r", F.from_json("line", f"{schema}, _corrupt string", options))
+    whole = F.ltrim("line").startswith("{") & F.col("_r").isNotNull() & F.col("_r._corrupt").isNull() & F.col("_r.experiment_id").isNotNull()
+    fields = [f for f in parsed.schema["_r"].dataType.names if f != "_corrupt"]
+    return parsed.select("path", "line", F.when(~whole, F.col("line")).alias("_corrupt"), *[F.col(f"_r.{f}").alias(f) for f in fields])
+
+
+def upsert_registry(spark: SparkSession, path: str, runs: DataFrame, schema: str, quarantine: str, target: str) -> DataFrame:
+    """Write the registry at ``path`` with ``runs`` added or replaced to ``target`` as JSON lines.
+
+    A registry with unreadable lines is refused: they go to the table ``quarantine`` (path, line), nothing else is
+    written, and the old registry stays as it was.
+    """
+    old = read_run_lines(spark, path, schema)
+    bad = old.where("_corrupt IS NOT NULL").select("path", "line")
+    broken = bad.count()
+    if broken:
+        bad.write.mode("append").parquet(quarantine)
+        raise ValueError(f"the run registry has {broken} unreadable lines, now in {quarantine}; nothing was written")
+    merged = upsert_runs(old.drop("path", "line", "_corrupt"), runs)
+    merged.write.mode("errorifexists").json(target)
+    return spark.read.schema(schema).json(target)
+
+
 def run_record(parts: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Identity of a run: a hash of its configuration, source and data hashes."""
     return parts.withColumn("run_fingerprint", row_sha({f: F.col(f) for f in fields}))
