@@ -1,12 +1,14 @@
 """Files written and read back, inventories, hashes, lineage and receipts."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from registry import query
 from registry.tables import ORACLE_VIEWS
 from tidemark.functions.scalars import row_sha
 from tidemark.operators import lineage as ln
-from tidemark.operators import pit, recon, select
+from tidemark.operators import features, pit, recon, select
 from tidemark.session import scratch_path, stage
 from tidemark.sources import landing, sinks
 
@@ -204,6 +206,16 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("bucket").agg(F.countDistinct("symbol").alias("symbols"), F.count(F.lit(1)).alias("rows"))
 
 
+@query(
+    "K4_features_of_bucketed_bars", "date:d symbol:i return_1d:f mom_12_1:f volatility:f",
+    "SELECT date, symbol, return_1d, mom_12_1, volatility FROM price_features",
+)
+def _(t):
+    name = f"bars_{os.urandom(6).hex()}"
+    bars = sinks.write_bucketed_table(t.market, name, ["symbol"], ["symbol", "date"], 32, scratch_path(t.spark, "bucketed-bars"))
+    return features.price_features(bars).select("date", "symbol", "return_1d", "mom_12_1", "volatility")
+
+
 @query(
     "K5_append_only_landing", "outcome:s rows:i",
     """SELECT 'added' AS outcome, count(*) AS rows FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT 'conflict', count(*) FROM orders WHERE o_orderkey % 20 = 4""",

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import registry
-from tidemark.operators import asof, diagnostics, features, pit, select, xsec
+from tidemark.operators import asof, diagnostics, features, market, pit, select, xsec
 from tidemark.session import scratch_path, stage
+from tidemark.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 registry.load()
@@ -72,6 +73,30 @@ def test_values_on_dates_need_no_product(spark, stored):
     assert plan(seen).count("Exchange hashpartitioning(symbol") == 2
 
 
+def test_bucketed_tables_are_read_without_a_shuffle(spark, stored, tmp_path):
+    names = [f"plan_{os.urandom(4).hex()}" for _ in range(4)]
+    keys = ["symbol", "date"]
+    rows = stored.withColumn("vol", F.col("volume")).drop("unused")
+    by_symbol = sinks.write_bucketed_table(rows, names[0], ["symbol"], keys, 4, str(tmp_path / "a"))
+    assert "Exchange" not in plan(features.liquidity_features(features.price_features(by_symbol)))
+    daily = sinks.write_bucketed_table(rows.select(*keys, "vol", "amount"), names[1], keys, keys, 4, str(tmp_path / "b"))
+    side = sinks.write_bucketed_table(rows.select(*keys, F.lit(1.0).alias("adj_factor"), F.lit(2.0).alias("total_mv")), names[2], keys, keys, 4, str(tmp_path / "c"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = market.assemble_bars(daily, side.drop("total_mv"), side.drop("adj_factor"), daily.select(*keys, F.col("vol").alias("limit")))
+        p = plan(joined)
+        assert "Exchange" not in p and p.count("SortMergeJoin") == 3 and joined.count() == stored.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    daily.write.mode("append").format("parquet").bucketBy(4, *keys).sortBy(*keys).saveAsTable(names[1])
+    whole = sinks.compact_table(spark, names[1], names[3], keys, keys, 4, str(tmp_path / "d"))
+    assert whole.count() == 2 * stored.count() and len(whole.inputFiles()) == 4 < len(spark.table(names[1]).inputFiles())
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_bucketed_table(rows, names[0], ["symbol"], keys, 4)
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def exchanges(df):
     p = plan(df)
     assert "CartesianProduct" not in p and "NestedLoop" not in p and "Python" not in p

@@ -40,6 +40,29 @@ def write_bucketed(df: DataFrame, path: str, buckets: int = 32, files_per_bucket
     b.repartition("bucket", salt).write.mode("errorifexists").partitionBy("bucket").parquet(path)
 
 
+def write_bucketed_table(
+    df: DataFrame, table: str, keys: Sequence[str], sort: Sequence[str], buckets: int = 32, path: str | None = None,
+) -> DataFrame:
+    """A catalogue table hashed to ``buckets`` by ``keys`` and sorted in each bucket, and its reader.
+
+    Windows and joins on the keys then read it without a shuffle: the layout is paid for once, at writing.  Rows are
+    brought to their bucket first, so a bucket is one file, not one file per writing task.  ``path`` puts the files in
+    a folder that the table does not own; the table must not exist yet.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("errorifexists").format("parquet").bucketBy(buckets, *keys).sortBy(*sort)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def compact_table(spark: SparkSession, table: str, into: str, keys: Sequence[str], sort: Sequence[str], buckets: int = 32, path: str | None = None) -> DataFrame:
+    """The rows of a bucketed table that grew by appends, several files a bucket, written anew with one file a bucket.
+
+    The files are read by their folder: read as a bucketed table the planner would leave the rows where they are.
+    """
+    folder = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
+    return write_bucketed_table(spark.read.schema(spark.table(table).schema).parquet(folder), into, keys, sort, buckets, path)
+
+
 def append_only(existing: DataFrame, incoming: DataFrame, key: Sequence[str], digest: str) -> tuple[DataFrame, DataFrame]:
     """(rows to add, conflicts): known keys with the same content are skipped, others refused."""
     known = existing.select(*key, F.col(digest).alias("existing_digest"))
