@@ -5,7 +5,9 @@ import io
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import warc
 from tidemark.llm.common import file_system
@@ -84,6 +86,28 @@ def test_small_runs_read_the_same(spark, frame):
     assert back(warc.resolved(warc.read_archives(members, run_records=3))) == slow(rows())
 
 
+def test_streams_and_runs_have_a_task_each(spark, frame):
+    whole = warc.write_archives(frame_of(frame, rows()), scratch_path(spark, "t"), file_bytes=2_000)
+    streams = whole.count()
+    spread = warc._one_task_each(whole, "path")
+    assert streams > 8 and spread.rdd.getNumPartitions() == streams
+    assert spread.groupBy(F.spark_partition_id()).count().where("count > 1").count() == 0
+    members = warc.normalise(whole, scratch_path(spark, "t"))
+    runs = sum(-(-r.records // 3) for r in members.collect())
+    read = warc.read_archives(members, run_records=3)
+    assert read.rdd.getNumPartitions() == runs and read.select(F.spark_partition_id()).distinct().count() == runs
+
+
+def test_index_lines_are_found_by_place():
+    record = [b"".join(warc.record_bytes(str(k), "http://é/" * k, b"p" * k, None, False)) for k in range(30)]
+    target, index, places = io.BytesIO(), io.BytesIO(), io.BytesIO()
+    assert warc.rewrite(io.BytesIO(gzip.compress(b"".join(record))), target, index, places) == 30
+    lines = index.getvalue().splitlines()
+    files = [pa.BufferReader(f.getvalue()) for f in (index, places)]
+    for begin, end in ((0, 30), (0, 1), (29, 30), (7, 19), (5, 5)):
+        assert warc._index_lines(*files, begin, end) == lines[begin:end]
+
+
 def test_broken_streams_are_errors():
     record = b"".join(warc.record_bytes("1", "http://a/", b"payload", None, False))
     whole = gzip.compress(record * 3)

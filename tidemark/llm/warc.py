@@ -5,6 +5,7 @@
    files as a single gzip stream: compact, but nothing in them can be reached without inflating all before.
 2. ``normalise`` inflates each such file once, as a stream, and rewrites every record as a gzip member of
    its own, with a sidecar index (offset, length and identity of each record, tab-separated lines).
+   A second sidecar holds the place of every index line in eight bytes, so a run of records is found by seeking.
 3. ``read_archives`` cuts the archives into runs of records by their indexes and reads the runs in parallel.
 
 Archives lie in the folder all executors share.  Tasks name files after their attempt, and only the files
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +37,7 @@ from tidemark.session import scratch_path, stage
 CHUNK = 1 << 20
 FILE_BYTES = 1 << 30
 RUN_RECORDS = 2_000
+MOST_TASKS = 20_000
 HEADER_LIMIT = 1 << 20
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -189,24 +192,41 @@ def write_archives(pages: DataFrame, folder: str, row_id: str = "page_id", paylo
     return stage(out.mapInArrow(_writer(folder, file_bytes), FILES))
 
 
-def rewrite(source, target, index) -> int:
-    """One whole-file stream to members of their own and an index; returns the number of records."""
-    at = count = 0
+def rewrite(source, target, index, places=None) -> int:
+    """One whole-file stream to members of their own and an index; returns the number of records.
+
+    ``places`` takes the start of every index line, and the end of the last, as little-endian 64-bit numbers.
+    """
+    at = count = line_at = 0
     for fields, pieces in RecordStream(inflate(source)):
         pack, length = zlib.compressobj(6, wbits=31), 0
         for piece in pieces:
             length += target.write(data) if (data := pack.compress(piece)) else 0
         length += target.write(pack.flush())
         entry = (at, length, fields.get("warc-type", ""), fields.get("warc-record-id", ""), fields.get("warc-target-uri", ""), fields.get("warc-payload-digest", ""))
-        index.write(("\t".join(map(str, entry)) + "\n").encode())
-        at, count = at + length, count + 1
+        line = ("\t".join(map(str, entry)) + "\n").encode()
+        index.write(line)
+        if places is not None:
+            places.write(struct.pack("<q", line_at))
+        at, count, line_at = at + length, count + 1, line_at + len(line)
+    if places is not None:
+        places.write(struct.pack("<q", line_at))
     return count
 
 
+def _one_task_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """The few rows of a manifest, each distinct key in a task of its own as far as ``MOST_TASKS`` allows.
+
+    Rows are small but stand for large files, so what sizes shuffles by bytes would put them all into one task;
+    an explicit number of ranges is left as it is.
+    """
+    return rows.repartitionByRange(max(1, min(rows.count(), MOST_TASKS)), *keys)
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrites the listed archives into ``folder``; returns the manifest of the new ones.
 
-    Each has a sidecar beside it, ``<path>.idx``.
+    Each has two sidecars beside it: ``<path>.idx``, its index, and ``<path>.idx.at``, the places of the index lines.
     """
 
     def run(batches):
@@ -221,14 +241,14 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     origin.open_input_stream(place, compression=None) as source,
                     store.open_output_stream(f"{base}/{name}", compression=None) as target,
                     store.open_output_stream(f"{base}/{name}.idx", compression=None) as index,
+                    store.open_output_stream(f"{base}/{name}.idx.at", compression=None) as places,
                 ):
-                    count = rewrite(source, target, index)
+                    count = rewrite(source, target, index, places)
                 done[0].append(f"{folder}/{name}")
                 done[1].append(count)
         yield _packed(FILES, ["path", "records"], list(done))
 
-    spread = archives.repartition(F.xxhash64("path"))
-    return stage(spread.mapInArrow(run, FILES))
+    return stage(_one_task_each(archives, "path").mapInArrow(run, FILES))
 
 
 def read_record(member: bytes) -> tuple[dict[str, str], bytes]:
@@ -249,8 +269,8 @@ def _reader(batches):
     for batch in batches:
         for path, begin, end in zip(*(batch.column(c).to_pylist() for c in ("path", "begin", "stop"))):
             store, place = file_system(path)
-            with store.open_input_stream(f"{place}.idx", compression=None) as index:
-                lines = _index_lines(index, begin, end)
+            with store.open_input_file(f"{place}.idx") as index, store.open_input_file(f"{place}.idx.at") as places:
+                lines = _index_lines(index, places, begin, end)
             rows: list[list] = [[] for _ in names]
             with store.open_input_file(place) as archive:
                 for line in lines:
@@ -268,21 +288,17 @@ def _reader(batches):
             yield _packed(RECORDS, names, rows)
 
 
-def _index_lines(index, begin: int, end: int) -> list[bytes]:
-    """Lines begin to end of a sidecar."""
-    out, at, held = [], 0, b""
-    while at < end and (data := index.read(CHUNK)):
-        *whole, held = (held + data).split(b"\n")
-        out += whole[max(0, begin - at) : max(0, end - at)]
-        at += len(whole)
-    return out
+def _index_lines(index, places, begin: int, end: int) -> list[bytes]:
+    """Lines begin to end of a sidecar, found by the places of the first and of the one after the last."""
+    first, last = (struct.unpack("<q", places.read_at(8, 8 * k))[0] for k in (begin, end))
+    return index.read_at(last - first, first).split(b"\n")[:-1]
 
 
 def read_archives(archives: DataFrame, run_records: int = RUN_RECORDS) -> DataFrame:
     """One row for each record of the listed, normalised archives; revisits have no payload of their own."""
     runs = archives.where("records > 0").selectExpr("path", f"explode(sequence(0L, records - 1, {run_records}L)) AS begin", "records")
     runs = runs.select("path", "begin", F.least(F.col("begin") + run_records, "records").alias("stop"))
-    return runs.repartition(F.xxhash64("path", "begin")).mapInArrow(_reader, RECORDS)
+    return _one_task_each(runs, "path", "begin").mapInArrow(_reader, RECORDS)
 
 
 def resolved(records: DataFrame) -> DataFrame:
