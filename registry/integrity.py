@@ -8,7 +8,7 @@ from registry import query
 from registry.tables import ORACLE_VIEWS
 from tidemark.functions.scalars import row_sha
 from tidemark.operators import lineage as ln
-from tidemark.operators import features, pit, recon, select
+from tidemark.operators import features, hash_tree, pit, recon, select
 from tidemark.session import scratch_path, stage
 from tidemark.sources import landing, sinks
 
@@ -52,6 +52,23 @@ def _(t):
     return out.select(F.regexp_extract("file_name", r"part=(\d+)", 1).cast("long").alias("part"), "rows", "foreign_rows", "matches")
 
 
+@query(
+    "S2_two_way_partition_identity", "key:s rows:i foreign_rows:i problem:s",
+    """WITH p AS (SELECT CASE WHEN symbol % 50 = 7 THEN 0 ELSE symbol % 16 END AS part, symbol % 16 AS own FROM bars WHERE symbol % 16 <> 5),
+       f AS (SELECT part::VARCHAR AS key, count(*) AS rows, count(*) FILTER (own <> part) AS foreign_rows FROM p GROUP BY 1),
+       e AS (SELECT DISTINCT (symbol % 16)::VARCHAR AS key FROM bars WHERE symbol % 16 <> 9)
+       SELECT key, coalesce(rows, 0) AS rows, coalesce(foreign_rows, 0) AS foreign_rows, CASE WHEN f.key IS NULL THEN 'missing' WHEN e.key IS NULL THEN 'extra' WHEN foreign_rows > 0 THEN 'foreign' ELSE '' END AS problem
+       FROM e FULL JOIN f USING (key)""",
+)
+def _(t):
+    path = scratch_path(t.spark, "parts-both-ways")
+    own = F.col("symbol") % 16
+    b = t.bars.where(own != 5).select("symbol", "date", F.when(F.col("symbol") % 50 == 7, 0).otherwise(own).alias("part"))
+    b.repartition("part").write.partitionBy("part").parquet(path)
+    expected = t.bars.where(own != 9).select(own.cast("string").alias("key")).distinct()
+    return landing.verify_partition_files(t.spark, path, expected, "symbol long, date date", own, name=r"part=([^/]+)/")
+
+
 @query("S3_scan_with_empty_partitions", "symbol:i month:d close:f", f"SELECT * FROM {_MC}")
 def _(t):
     path = scratch_path(t.spark, "sparse")
@@ -316,9 +333,7 @@ def _(t):
     path = scratch_path(t.spark, "reverify")
     m = month_close(t).select((F.col("symbol") % 6).alias("part"), F.concat_ws(",", "symbol", "month", "volume").alias("value"))
     m.repartition("part").sortWithinPartitions("part", "value").write.partitionBy("part").option("compression", "gzip").text(path)
-    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path)
-    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long")
-    f = stage(files.select("path", part.alias("part"), F.sha2("content", 256).alias("sha256"), ln.payload_sha()("content").alias("payload_sha256")))
+    f = stage(ln.file_inventory(t.spark, path, "*.gz", payload=True).withColumn("part", F.regexp_extract("path", r"part=(\d+)", 1).cast("long")))
     cat = f.select(
         "path", F.when(F.col("part") == 1, F.col("payload_sha256")).when(F.col("part") == 2, F.reverse("sha256")).otherwise(F.col("sha256")).alias("raw_sha256")
     )
@@ -403,11 +418,57 @@ def _(t):
        CASE WHEN count(*) FILTER (status <> 'pass') > 0 THEN 'blocked' ELSE 'pass' END AS decision FROM s""",
 )
 def _(t):
+    return ln.acceptance(_acceptance_stages(t), False, {"data_fingerprint": "bound elsewhere"})
+
+
+def _acceptance_stages(t):
     status = lambda i, df: df.agg(F.lit(i).alias("id"), F.when(F.count(F.lit(1)) > 0, "fail").otherwise("pass").alias("status"))
     s = status("gaps", t.month_ends.select(F.col("signal_date").alias("date")).join(t.membership, "date", "left_anti"))
     s = s.unionByName(status("members", t.membership.join(t.securities, "symbol", "left_anti")))
-    s = s.unionByName(status("delisted", t.securities.where(F.col("delist_date").isNotNull())))
-    return ln.acceptance(s, False, {"data_fingerprint": "bound elsewhere"})
+    return s.unionByName(status("delisted", t.securities.where(F.col("delist_date").isNotNull())))
+
+
+def _months(t):
+    """Orders with the month they are partitioned by."""
+    month = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM")
+    return t.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus", month.alias("month"))
+
+
+ORACLE_VIEWS["acceptance_stages"] = """SELECT 'gaps' AS id, CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END AS status FROM month_ends WHERE signal_date NOT IN (SELECT date FROM membership) UNION ALL
+   SELECT 'members', CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END FROM membership WHERE symbol NOT IN (SELECT symbol FROM securities) UNION ALL
+   SELECT 'delisted', CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END FROM securities WHERE delist_date IS NOT NULL"""
+ORACLE_VIEWS["order_leaves"] = """SELECT part, sha256(part || ':' || count(*) || ':' || sum(('0x' || substr(sha256('{"month":"' || part[7:] || '","o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey
+   || ',"o_orderstatus":"' || o_orderstatus || '"}'), 1, 15))::UBIGINT::HUGEINT)) AS digest FROM (SELECT 'month=' || strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS part, * FROM orders) GROUP BY part"""
+ORACLE_VIEWS["order_buckets"] = """SELECT substr(sha256(part), 1, 2) AS node, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part || ':' || digest)) AS digest FROM order_leaves GROUP BY 1"""
+ORACLE_VIEWS["order_branches"] = """SELECT substr(node, 1, 1) AS node, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY node || ':' || digest)) AS digest FROM order_buckets GROUP BY 1"""
+ORACLE_VIEWS["order_receipt"] = """SELECT count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) AS stages,
+   CASE WHEN count(*) FILTER (status <> 'pass') > 0 THEN 'blocked' ELSE 'pass' END AS decision, string_agg(id || '=' || status, ';' ORDER BY id || '=' || status) AS list,
+   (SELECT sha256(string_agg(node || ':' || digest, chr(10) ORDER BY node || ':' || digest)) FROM order_branches) AS data_fingerprint FROM acceptance_stages"""
+
+
+@query(
+    "L9_bound_receipt", "failed:i skipped:i stages:i decision:s data_fingerprint:s receipt_sha256:s",
+    """SELECT *, sha256('{"data_fingerprint":"' || data_fingerprint || '","decision":"' || decision || '","stages":"' || list || '"}') AS receipt_sha256 FROM order_receipt""",
+)
+def _(t):
+    return ln.acceptance(_acceptance_stages(t), False, {}, hash_tree.fold(hash_tree.leaves(_months(t), ["month"]), 2))
+
+
+@query(
+    "L9_changed_partitions", "part:s problem:s",
+    """WITH m AS (SELECT strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS month, * FROM orders)
+       SELECT 'month=' || month AS part, 'missing' AS problem FROM m WHERE month[6:] = '02' GROUP BY 1 UNION ALL
+       SELECT 'month=' || month, 'changed' FROM m WHERE month[6:] <> '02' AND month[6:] <> '09' GROUP BY 1 HAVING bool_or(o_orderkey % 1000 = 7) UNION ALL
+       SELECT 'month=' || month, 'missing' FROM m WHERE month[6:] = '09' GROUP BY 1 UNION ALL SELECT 'month=late ' || month, 'extra' FROM m WHERE month[6:] = '09' GROUP BY 1""",
+)
+def _(t):
+    old, m = _months(t), F.substring("month", 6, 2)
+    new = old.where(m != "02").withColumns({
+        "o_orderstatus": F.when(F.col("o_orderkey") % 1000 == 7, "X").otherwise(F.col("o_orderstatus")),
+        "month": F.when(m == "09", F.concat(F.lit("late "), "month")).otherwise(F.col("month")),
+    })
+    a, b = hash_tree.leaves(old, ["month"]), hash_tree.leaves(new, ["month"])
+    return hash_tree.changed_parts(a, hash_tree.fold(a, 2), b, hash_tree.fold(b, 2), 2)
 
 
 @query(

@@ -108,6 +108,30 @@ def _(t):
     return select.stratified_sample(c, "segment", "custkey", 12, 20260101)
 
 
+_STRATA = ["rich", "BUILDING", "nation 3", "MACHINERY", "indebted"]
+_IN_STRATA = """SELECT c_mktsegment AS segment, c_custkey AS custkey FROM customer UNION SELECT 'nation ' || c_nationkey, c_custkey FROM customer
+   UNION SELECT 'rich', c_custkey FROM customer WHERE c_acctbal > 5000 UNION SELECT 'indebted', c_custkey FROM customer WHERE c_acctbal < 0"""
+
+
+def _draws_sql(strata: list[str], n: int, seed: int) -> str:
+    """One CTE a stratum, each without the keys of those before it."""
+    steps, before = [f"rows AS ({_IN_STRATA})"], []
+    for i, name in enumerate(strata):
+        free = "".join(f" AND custkey NOT IN (SELECT custkey FROM draw{k})" for k in before)
+        steps.append(f"draw{i} AS (SELECT segment, custkey FROM rows WHERE segment = '{name}'{free} ORDER BY sha256('{seed}:' || custkey), custkey LIMIT {n})")
+        before.append(i)
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT * FROM draw{i}" for i in before)
+
+
+@query("T5_sample_across_strata", "segment:s custkey:i", _draws_sql(_STRATA, 25, 20260101))
+def _(t):
+    c = t.raw("customer")
+    by = lambda label, rows: rows.select(label.alias("segment"), F.col("c_custkey").alias("custkey"))
+    rows = by(F.col("c_mktsegment"), c).unionByName(by(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")), c))
+    rows = rows.unionByName(by(F.lit("rich"), c.where("c_acctbal > 5000"))).unionByName(by(F.lit("indebted"), c.where("c_acctbal < 0")))
+    return select.sample_without_replacement(rows, _STRATA, "segment", "custkey", 25, 20260101)
+
+
 @query(
     "U1_union_all",
     "source:s symbol:i date:d amount:g",

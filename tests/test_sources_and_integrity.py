@@ -1,12 +1,16 @@
 """Files, sinks, tampering and quality rules."""
 
+import gzip
+import hashlib
 import json
+import random
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.functions import factors, scalars
-from tidemark.operators import catalog, lineage, quality, recon
+from tidemark.operators import catalog, hash_tree, lineage, quality, recon, select
 from tidemark.session import scratch_path, stage
 from tidemark.sources import landing, sinks
 
@@ -39,8 +43,9 @@ def test_inventory_detects_tampering_and_streams_large_files(spark, tmp_path):
     for i in range(4):
         (tmp_path / f"f{i}.bin").write_bytes(bytes([i]) * (1000 + i))
     inv = stage(lineage.file_inventory(spark, str(tmp_path), "*.bin"))
-    streamed = lineage.file_inventory(spark, str(tmp_path), "*.bin", stream_from=1002)
+    streamed = lineage.file_inventory(spark, str(tmp_path), "*.bin", chunk=7)
     assert sorted(map(tuple, inv.collect())) == sorted(map(tuple, streamed.collect()))
+    assert {r["path"]: r["sha256"] for r in inv.collect()} == {f"f{i}.bin": hashlib.sha256(bytes([i]) * (1000 + i)).hexdigest() for i in range(4)}
     assert lineage.inventory_digest(inv).first() == lineage.inventory_digest(inv.repartition(3)).first()
     (tmp_path / "f0.bin").write_bytes(b"\x09" * 1000)
     (tmp_path / "f1.bin").write_bytes(b"short")
@@ -50,6 +55,83 @@ def test_inventory_detects_tampering_and_streams_large_files(spark, tmp_path):
     assert got == {"f0.bin": "hash_mismatch", "f1.bin": "size_change", "f2.bin": "missing", "f3.bin": "", "new.bin": "unsealed_extra"}
 
 
+@pytest.mark.parametrize("chunk", [64, lineage.CHUNK])
+def test_stored_and_inflated_bytes_are_hashed_in_one_pass(spark, tmp_path, chunk):
+    root = tmp_path / "a (b)+c%20d"
+    (root / "deep").mkdir(parents=True)
+    plain, sha = random.Random(1).randbytes(70_000) + b"0" * 3_000_000, lambda b: hashlib.sha256(b).hexdigest()
+    pack, zst = gzip.compress(plain), zstandard.compress(plain)
+    files = {
+        "deep/a b.gz": (pack, sha(plain)), "two.gz": (pack + gzip.compress(b"more"), sha(plain + b"more")), "a.zst": (zst, sha(plain)),
+        "two.zst": (zst + zstandard.compress(b"more"), sha(plain + b"more")), "none.gz": (gzip.compress(b""), sha(b"")),
+        "cut.gz": (pack[:-9], None), "cut.zst": (zst[:-9], None), "broken.gz": (pack[:500] + b"?" * 50 + pack[550:], None),
+        "tail.gz": (pack + b"tail", None), "text.txt": (b"plain", None), "empty": (b"", None),
+    }
+    for name, (data, _) in files.items():
+        (root / name).write_bytes(data)
+    for place in (str(root), f"file://{root}"):
+        inv = lineage.file_inventory(spark, place, payload=True, chunk=chunk)
+        got = {r["path"]: (r["size_bytes"], r["sha256"], r["payload_sha256"]) for r in inv.collect()}
+        assert got == {name: (len(data), sha(data), inner) for name, (data, inner) in files.items() if data}
+    assert "content" not in inv._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partition_files_are_compared_both_ways(spark, tmp_path):
+    rows = [("a b", "a b", 3), ("c+d", "c+d", 2), ("e", "e", 1), ("e", "x", 1), ("late", "late", 1), ("null", None, 1)]
+    for i, (part, own, n) in enumerate(rows):
+        spark.range(n).select(F.lit(own).cast("string").alias("k"), "id").coalesce(1).write.mode("append").parquet(f"{tmp_path}/w{i}")
+        (tmp_path / "t" / part).mkdir(parents=True, exist_ok=True)
+        for j, f in enumerate((tmp_path / f"w{i}").glob("*.parquet")):
+            f.rename(tmp_path / "t" / part / f"{i}-{j}.parquet")
+    (tmp_path / "t" / "bare").mkdir()
+    spark.range(0).select(F.lit("").alias("k"), "id").coalesce(1).write.parquet(f"{tmp_path}/none")
+    next((tmp_path / "none").glob("*.parquet")).rename(tmp_path / "t" / "bare" / "0.parquet")
+    expected = spark.createDataFrame([(k,) for k in ("a b", "c+d", "e", "gone", "null", "bare")], "key string")
+    got = landing.verify_partition_files(spark, f"{tmp_path}/t", expected, "k string, id long", F.col("k"), name=r"/t/([^/]+)/")
+    found = {r["key"]: (r["files"], r["rows"], r["foreign_rows"], r["problem"]) for r in got.collect()}
+    assert found == {
+        "a b": (1, 3, 0, ""), "c+d": (1, 2, 0, ""), "e": (2, 2, 1, "foreign"), "gone": (0, 0, 0, "missing"), "late": (1, 1, 0, "extra"),
+        "null": (1, 1, 1, "foreign"), "bare": (1, 0, 0, ""),
+    }
+
+
+def test_receipt_binds_the_data_and_names_what_changed(spark):
+    df = spark.range(4000).select((F.col("id") % 300).alias("p"), F.when(F.col("id") % 300 != 9, "q").alias("q"), "id")
+    new = df.where("p <> 4").withColumn("id", F.when(F.col("id") == 1007, -1).otherwise(F.col("id"))).unionByName(
+        spark.range(1).select(F.lit(900).cast("long").alias("p"), F.lit("q").alias("q"), "id")
+    )
+    a, b, c = (hash_tree.leaves(d, ["p", "q"]) for d in (df, new, df.repartition(5).orderBy(F.desc("id"))))
+    for depth in (0, 1, 2, 4):
+        ta, tb, tc = (hash_tree.fold(x, depth) for x in (a, b, c))
+        assert hash_tree.changed_parts(a, ta, c, tc, depth).count() == 0 and sorted(ta.collect()) == sorted(tc.collect())
+        got = sorted(map(tuple, hash_tree.changed_parts(a, ta, b, tb, depth).collect()))
+        assert got == [("p=107/q=q", "changed"), ("p=4/q=q", "missing"), ("p=900/q=q", "extra")]
+        assert {r["level"]: r["n"] for r in ta.groupBy("level").agg(F.sum("rows").alias("n")).collect()} == dict.fromkeys(range(depth + 1), 4000)
+    assert a.where(r"part = 'p=9/q=\\N'").count() == 1
+    stages = spark.createDataFrame([("one", "pass"), ("two", "pass")], "id string, status string")
+    receipt = stage(lineage.acceptance(stages, False, {"config": "c"}, ta))
+    root = lambda tree: tree.where("level = 0").select(F.col("digest").alias("data_fingerprint"))
+    assert receipt.first()["stages"] == 2 and receipt.first()["data_fingerprint"] == root(ta).first()[0]
+    assert [lineage.require_receipt(receipt, root(x)).first()["problem"] for x in (ta, tc, tb)] == ["", "", "other_data"]
+    assert receipt.first()["receipt_sha256"] != lineage.acceptance(stages, False, {"config": "c"}, tb).first()["receipt_sha256"]
+    none = hash_tree.leaves(df.where("false"), ["p"])
+    assert [tuple(r)[:3] for r in hash_tree.fold(none, 3).collect()] == [(0, "", 0)]
+
+
+def test_keys_of_overlapping_strata_are_drawn_once(spark):
+    rows = [(s, k) for k in range(60) for s in ("a", "b", "c", "d") if (k * 7 + ord(s)) % 3 or k < 9] + [("a", None), ("z", 1), ("b", 3), ("b", 3)]
+    df = spark.createDataFrame(rows, "s string, k long")
+    mark = lambda k: (hashlib.sha256(f"5:{k}".encode()).hexdigest(), k)
+    for order, n in ((["c", "a", "d", "b"], 11), (["a", "b"], 25), (["b", "nobody", "c"], 4), (["d", "c", "b", "a"], 40)):
+        drawn, want = set(), []
+        for s in order:
+            keys = sorted({k for t, k in rows if t == s and k is not None and k not in drawn}, key=mark)[:n]
+            drawn.update(keys)
+            want += [(s, k) for k in keys]
+        for data in (df, df.repartition(7)):
+            assert sorted(map(tuple, select.sample_without_replacement(data, order, "s", "k", n, 5).collect())) == sorted(want)
+
+
 def test_raw_responses_with_and_without_wrapper(spark, tmp_path):
     bare = {"fields": ["ts_code", "close"], "items": [["A", "1"], ["B", None]]}
     wrapped = {"data": {"fields": ["close", "ts_code", "extra"], "items": [["3", "C", "x"]]}}

@@ -2,53 +2,92 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import canonical_json, row_sha
 
+CHUNK = 1 << 20
+# a kilobyte of zstandard inflates to 32 MB at most
+ZSTD_PIECE = 1 << 10
+HASHES = "uri string, size_bytes long, sha256 string, payload_sha256 string"
 
-# Above this size a file is hashed as a stream instead of being held whole.
-STREAM_FROM_BYTES = 256 * 1024 * 1024
 
+class _Payload:
+    """The hash of what a gzip or zstandard stream holds, fed in pieces; none if it is neither, broken or cut off."""
 
-def _stream_hashes(batches):
-    import hashlib
+    def __init__(self):
+        self.found, self.opener, self.unpack, self.fine, self.gzip = hashlib.sha256(), None, None, True, False
 
-    from pyarrow import fs
-
-    for pdf in batches:
-        digests = []
-        for uri in pdf["uri"]:
-            store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-            digest = hashlib.sha256()
-            with store.open_input_stream(path) as stream:
-                while chunk := stream.read(8 * 1024 * 1024):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield pdf.assign(sha256=digests)[["uri", "size_bytes", "sha256"]]
-
-
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*", stream_from: int = STREAM_FROM_BYTES) -> DataFrame:
-    """Relative path, size and SHA-256 of every file under a folder.
+    def feed(self, data: bytes) -> None:
+        import zstandard
 
-    Files are listed first (which reads no content); small ones are hashed by the
-    engine, large ones as a stream so that no file has to fit in memory.
+        if self.opener is None:
+            self.gzip = data[:2] == b"\x1f\x8b"
+            self.fine = self.gzip or data[:4] == b"\x28\xb5\x2f\xfd"
+            self.opener = (lambda: zlib.decompressobj(31)) if self.gzip else zstandard.ZstdDecompressor().decompressobj
+        try:
+            while data and self.fine:
+                if self.unpack is None or self.unpack.eof:
+                    self.unpack = self.opener()
+                data = self._step(data)
+        except (zlib.error, zstandard.ZstdError):
+            self.fine = False
+
+    def _step(self, data: bytes) -> bytes:
+        if self.gzip:  # it bounds what it gives out; zstandard's output is bounded only by what it is given
+            self.found.update(self.unpack.decompress(data, CHUNK))
+            return self.unpack.unconsumed_tail or self.unpack.unused_data
+        self.found.update(self.unpack.decompress(data[:ZSTD_PIECE]))
+        return (self.unpack.unused_data if self.unpack.eof else b"") + data[ZSTD_PIECE:]
+
+    def digest(self) -> str | None:
+        return self.found.hexdigest() if self.fine and self.unpack is not None and self.unpack.eof else None
+
+
+def _hash_files(payload: bool, chunk: int):
+    def run(batches):
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for uri in batch.column("uri").to_pylist():
+                store, place = fs.FileSystem.from_uri(quote(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri, safe="/:@"))
+                stored, inner = hashlib.sha256(), _Payload() if payload else None
+                with store.open_input_stream(place, compression=None) as stream:
+                    while data := stream.read(chunk):
+                        stored.update(data)
+                        if inner:
+                            inner.feed(data)
+                found[0].append(stored.hexdigest())
+                found[1].append(inner.digest() if inner else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in found)], [p.split()[0] for p in HASHES.split(", ")])
+
+    return run
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*", payload: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Relative path, size and SHA-256 of every file under a folder; by ``payload`` also that of what it inflates to.
+
+    Files of any size are read once, as streams of ``chunk`` bytes: the listing reads no content, and the tasks it is
+    dealt to by file size hash stored and inflated bytes in the same pass.  A payload is null for a file that is
+    neither gzip nor zstandard, or that is broken or cut off; several members or frames count as one payload.
+    Files of no bytes, and those whose names begin with ``_`` or ``.``, are not listed, as in any scan of Spark.
     """
-    files = (
+    listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-        .select(F.col("path").alias("uri"), F.col("length").alias("size_bytes"), "content")
-    )
-    small = files.where(F.col("size_bytes") < stream_from).select("uri", "size_bytes", F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("size_bytes") >= stream_from).select("uri", "size_bytes")
-    large = large.mapInPandas(_stream_hashes, "uri string, size_bytes long, sha256 string")
-    root = path.rstrip("/").removeprefix("file:")
-    return small.unionByName(large).select(
-        F.regexp_replace("uri", f"^.*?{root}/", "").alias("path"), "size_bytes", "sha256"
+        .select(F.col("path").alias("uri"), F.col("length").alias("size_bytes"))
     )
+    hashed = listed.mapInArrow(_hash_files(payload, chunk), HASHES)
+    root = F.lit("/" + path.rstrip("/").removeprefix("file:").lstrip("/") + "/" if path.startswith(("/", "file:")) else path.rstrip("/") + "/")
+    at = F.position(root, F.col("uri"))
+    name = F.when(at > 0, F.substring("uri", at + F.length(root), F.length("uri"))).otherwise(F.col("uri"))
+    return hashed.select(name.alias("path"), "size_bytes", "sha256", *(["payload_sha256"] if payload else []))
 
 
 def inventory_digest(files: DataFrame) -> DataFrame:
@@ -107,41 +146,6 @@ def reverify(catalog: DataFrame, files: DataFrame) -> DataFrame:
     return df.select("path", verdict.alias("verdict"))
 
 
-def payload_sha():
-    """Hash of the payload inside a compressed file (zstd or gzip), read as a stream.
-
-    A payload that its codec finds broken has no hash; a missing codec is an error.
-    """
-
-    @F.pandas_udf("string")
-    def inner(content: pd.Series) -> pd.Series:
-        import gzip
-        import hashlib
-        import io
-        import zlib
-
-        import zstandard
-
-        def one(data: bytes):
-            if data[:2] == b"\x1f\x8b":
-                plain = gzip.GzipFile(fileobj=io.BytesIO(data))
-            elif data[:4] == b"\x28\xb5\x2f\xfd":
-                plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data))
-            else:
-                return None
-            found = hashlib.sha256()
-            try:
-                while piece := plain.read(1 << 20):
-                    found.update(piece)
-            except (gzip.BadGzipFile, EOFError, zlib.error, zstandard.ZstdError):
-                return None
-            return found.hexdigest()
-
-        return content.map(one)
-
-    return inner
-
-
 def upsert_runs(registry: DataFrame, runs: DataFrame) -> DataFrame:
     """Registry with each run id once; the newest record replaces an older one.
 
@@ -210,21 +214,30 @@ def replay(recorded: DataFrame, current: DataFrame, key: str, fields: Sequence[s
     return a.join(b, key, "outer").select(key, problem.alias("problem"))
 
 
-def acceptance(stages: DataFrame, engineering_only: bool, identity: Mapping[str, str]) -> DataFrame:
+def acceptance(stages: DataFrame, engineering_only: bool, identity: Mapping[str, str], tree: DataFrame | None = None) -> DataFrame:
     """Decision over staged checks and a receipt hash bound to the data's fingerprint.
 
-    ``stages``: id, status in pass, fail, skipped (one row per stage).
+    ``stages``: id, status in pass, fail, skipped (one row per stage).  With the ``tree`` of ``hash_tree.fold`` the
+    receipt carries and covers the digest of its root as ``data_fingerprint``.
     """
-    s = stages.agg(
+    nothing = F.lit(None).cast("string")
+    rows = stages.select("id", "status", nothing.alias("_root"))
+    if tree is not None:
+        rows = rows.unionByName(tree.where("level = 0").select(nothing.alias("id"), nothing.alias("status"), F.col("digest").alias("_root")))
+    named = F.when(F.col("id").isNotNull(), F.concat_ws("=", "id", "status"))
+    s = rows.agg(
         F.count_if(F.col("status") == "fail").alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"),
-        F.count(F.lit(1)).alias("stages"),
-        F.concat_ws(";", F.array_sort(F.collect_list(F.concat_ws("=", "id", "status")))).alias("_list"),
+        F.count("id").alias("stages"), F.concat_ws(";", F.array_sort(F.collect_list(named))).alias("_list"), F.max("_root").alias("data_fingerprint"),
     )
     decision = F.when((F.col("failed") > 0) | (F.col("skipped") > 0), "blocked").when(
         F.lit(engineering_only), "engineering_only"
     ).otherwise("pass")
     s = s.withColumn("decision", decision)
     parts = {"decision": F.col("decision"), "stages": F.col("_list")} | {k: F.lit(v) for k, v in identity.items()}
+    if tree is None:
+        s = s.drop("data_fingerprint")
+    else:
+        parts["data_fingerprint"] = F.col("data_fingerprint")
     return s.withColumn("receipt_sha256", row_sha(parts)).drop("_list")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.xsec import average_rank, ordinal_rank, quantile_label
 
 __all__ = ["average_rank", "ordinal_rank", "quantile_label", "top_n", "buffered_top_n", "chained_selection",
-           "trailing", "stratified_sample", "weighted_score", "mean_score"]
+           "trailing", "stratified_sample", "sample_without_replacement", "weighted_score", "mean_score"]
 
 
 def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
@@ -94,6 +94,28 @@ def stratified_sample(df: DataFrame, bucket: str, key: str, n: int, seed: int) -
     return top_n(df, [bucket], [h, F.col(key)], n, "_rn").drop("_rn")
 
 
+def sample_without_replacement(df: DataFrame, strata: Sequence[str], bucket: str, key: str, n: int, seed: int) -> DataFrame:
+    """n keys for each of overlapping ``strata``, named in order of priority; a key is drawn once, by the first that takes it.
+
+    Keys are ordered by a seeded hash, the same in all strata and on any partitioning.  The strata before the p-th draw
+    at most n * (p - 1) keys, so the p-th finds its own among its first n * p: one shuffle cuts the table to that, and
+    the draws, one round per stratum, see only these.  A key that repeats in a stratum counts once; null keys and
+    strata that are not named are left out; a stratum that runs out of keys gives fewer.
+    """
+    place = F.element_at(F.create_map(*[x for i, s in enumerate(strata, 1) for x in (F.lit(s), F.lit(i))]), F.col(bucket))
+    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    rows = df.where(F.col(bucket).isin(*strata) & F.col(key).isNotNull()).select(bucket, key).distinct().withColumns({"_p": place, "_h": h})
+    own = Window.partitionBy(bucket).orderBy("_h", key)
+    rows = rows.withColumn("_i", F.row_number().over(own)).where(F.col("_i") <= n * len(strata)).where(F.col("_i") <= n * F.col("_p"))
+    rows = rows.withColumns({"_free": F.lit(True), "_drawn": F.lit(False)})
+    for p in range(1, len(strata) + 1):
+        order = F.sum(F.col("_free").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("_now", (F.col("_p") == p) & F.col("_free") & (order <= n))
+        taken = F.max("_now").over(Window.partitionBy(key))
+        rows = rows.withColumns({"_drawn": F.col("_drawn") | F.col("_now"), "_free": F.col("_free") & ~taken})
+    return rows.where("_drawn").select(bucket, key)
+
+
 def weighted_score(z: DataFrame, weights: dict[str, float], by: Sequence[str], out: str = "score") -> DataFrame:
     """Composite of long-form scores with weights scaled to sum to one; missing counts as zero."""
     total = sum(weights.values())

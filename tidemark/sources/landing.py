@@ -61,6 +61,32 @@ def partition_identity(df: DataFrame, expected: Column) -> DataFrame:
     return per.withColumn("matches", F.col("foreign_rows") == 0)
 
 
+def verify_partition_files(
+    spark: SparkSession, path: str, expected: DataFrame, schema: str, key: Column, fmt: str = "parquet", pattern: str = "*.parquet",
+    name: str = r"([^/=]+)\.[^/]*$",
+) -> DataFrame:
+    """Partition files against the keys that should be there, both ways, and against the keys their rows carry.
+
+    ``expected``: key (text).  ``name`` finds a file's key in its path, ``key`` a row's in its columns.  Returns key,
+    files, bytes, rows, foreign_rows and problem: ``missing`` (no file), ``extra`` (a file nobody expects), ``foreign``
+    (rows of another key, null included) or empty; a file without rows is fine.  The listing reads no content, and
+    rows are counted by the hidden path of their file, so a partition without rows is still seen.
+    """
+    named = lambda c: F.regexp_extract(c, name, 1)
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+        .groupBy(named(F.col("path")).alias("key")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    )
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).format(fmt)
+    rows = (rows.option("header", True) if fmt == "csv" else rows).load(path).select(named(plain).alias("key"), key.cast("string").alias("_own"))
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("_own").eqNullSafe(F.col("key"))).alias("foreign_rows"))
+    both = expected.select("key", F.lit(True).alias("_wanted")).join(listed.join(held, "key", "left"), "key", "outer")
+    problem = F.when(F.col("files").isNull(), "missing").when(F.col("_wanted").isNull(), "extra").when(F.col("foreign_rows") > 0, "foreign").otherwise("")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "bytes", "rows", "foreign_rows")]
+    return both.select("key", *numbers, problem.alias("problem"))
+
+
 def read_projected(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Columnar partitions with only the named columns read."""
     return spark.read.parquet(*paths).select(*columns)
