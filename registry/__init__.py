@@ -106,7 +106,7 @@ def load() -> dict[str, Query]:
 
     for module in (
         "market", "joins", "aggregates", "windows", "ranking", "pit_queries", "research",
-        "allocation", "execution_tables", "quality", "integrity", "catalog_queries", "scalars_and_sources",
+        "allocation", "execution_tables", "quality", "integrity", "catalog_queries", "scalars_and_sources", "bundles",
     ):
         importlib.import_module(f"registry.{module}")
     return QUERIES

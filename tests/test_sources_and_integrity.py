@@ -73,7 +73,7 @@ def test_stored_and_inflated_bytes_are_hashed_in_one_pass(spark, tmp_path, chunk
         inv = lineage.file_inventory(spark, place, payload=True, chunk=chunk)
         got = {r["path"]: (r["size_bytes"], r["sha256"], r["payload_sha256"]) for r in inv.collect()}
         assert got == {name: (len(data), sha(data), inner) for name, (data, inner) in files.items() if data}
-    assert "content" not in inv._jdf.queryExecution().optimizedPlan().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in inv._jdf.queryExecution().executedPlan().toString()
 
 
 def test_partition_files_are_compared_both_ways(spark, tmp_path):
@@ -132,6 +132,26 @@ def test_keys_of_overlapping_strata_are_drawn_once(spark):
             assert sorted(map(tuple, select.sample_without_replacement(data, order, "s", "k", n, 5).collect())) == sorted(want)
 
 
+def test_bundle_manifest_is_observed_in_the_write(spark, tmp_path):
+    a = spark.range(1000).select("id", F.expr("DATE'2020-01-01' + CAST(id % 40 AS INT)").alias("day"), F.rand().alias("x"))
+    tables = {"a": a.repartition(6), "empty": a.where("false"), "undated": spark.range(7)}
+    path = str(tmp_path / "bundle")
+    got = {r["table_name"]: r for r in sinks.write_bundle(tables, path, {"a": "day", "empty": "day"}).collect()}
+    assert {k: (r["rows"], str(r["first_day"]), str(r["last_day"])) for k, r in got.items()} == {
+        "a": (1000, "2020-01-01", "2020-02-09"), "empty": (0, "None", "None"), "undated": (7, "None", "None")
+    }
+    # x is drawn anew by every run of the plan, so only what was observed in the write can agree with the files
+    assert all(recon.table_fingerprint(spark.read.parquet(f"{path}/{k}")).first()["digest"] == r["digest"] for k, r in got.items())
+    check = lambda *names: {r["table_name"]: r["problem"] for r in sinks.verify_bundle(spark, path, names).collect()}
+    assert check("a", "empty", "undated") == {"a": "", "empty": "", "undated": ""}
+    assert check("a", "undated", "trades") == {"a": "", "empty": "unexpected", "undated": "", "trades": "unlisted"}
+    spark.range(1, 8).write.mode("overwrite").parquet(f"{path}/undated")
+    spark.range(1).select("id", F.lit(None).cast("date").alias("day"), F.lit(0.5).alias("x")).write.mode("append").parquet(f"{path}/empty")
+    assert check("a", "empty", "undated") == {"a": "", "empty": "rows", "undated": "digest"}
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        sinks.write_bundle(tables, path)
+
+
 def test_raw_responses_with_and_without_wrapper(spark, tmp_path):
     bare = {"fields": ["ts_code", "close"], "items": [["A", "1"], ["B", None]]}
     wrapped = {"data": {"fields": ["close", "ts_code", "extra"], "items": [["3", "C", "x"]]}}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.recon import table_fingerprint
+from tidemark.operators.recon import row_digest, table_fingerprint
 
 
 def write_new(df: DataFrame, path: str, fmt: str = "parquet", partition: Sequence[str] = ()) -> None:
@@ -106,15 +106,40 @@ def write_snapshot(df: DataFrame, path: str, metadata: dict[str, str]) -> DataFr
     return side
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Write named tables under one folder and a manifest of their rows and digests."""
+MANIFEST = "table_name string, rows long, digest string, first_day date, last_day date"
+
+
+def write_bundle(tables: Mapping[str, DataFrame], path: str, days: Mapping[str, str] | None = None) -> DataFrame:
+    """Write named tables under one folder and a manifest of what was written, one row a table.
+
+    Rows, digest and, for the tables that ``days`` names a date column of, the first and last day are observed in the
+    write itself: nothing is read again, and the manifest tells of the rows that reached the files even where a second
+    run of the plan would give other last bits.  Observed above the write, in its own stage, a repeated task counts
+    once.  The manifest is written last, so a bundle without one is not whole.
+    """
     spark = next(iter(tables.values())).sparkSession
-    parts = []
+    rows = []
     for name, df in tables.items():
-        write_new(df, f"{path}/{name}")
-        parts.append(table_fingerprint(spark.read.parquet(f"{path}/{name}")).withColumn("table_name", F.lit(name)))
-    manifest = parts[0]
-    for p in parts[1:]:
-        manifest = manifest.unionByName(p)
-    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
-    return spark.read.schema("rows long, digest string, table_name string").json(f"{path}/manifest")
+        day = F.col(days[name]).cast("date") if days and name in days else F.lit(None).cast("date")
+        seen = Observation()
+        digest = F.coalesce(F.sum(row_digest(sorted(df.columns))), F.lit(0).cast("decimal(38,0)")).cast("string")
+        write_new(df.observe(seen, F.count(F.lit(1)).alias("rows"), digest.alias("digest"), F.min(day).alias("first_day"), F.max(day).alias("last_day")), f"{path}/{name}")
+        rows.append({"table_name": name, **seen.get})
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+
+
+def verify_bundle(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
+    """(table_name, problem) of the tables in the manifest or ``wanted``: ``unlisted``, ``unexpected``, ``rows``, ``digest`` or empty."""
+    listed = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    names = [r["table_name"] for r in listed.select("table_name").collect()]
+    found = None
+    for name in names:
+        one = table_fingerprint(spark.read.parquet(f"{path}/{name}")).select(F.lit(name).alias("table_name"), F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
+        found = one if found is None else found.unionByName(one)
+    asked = spark.createDataFrame([(n,) for n in wanted], "table_name string").withColumn("_asked", F.lit(True))
+    problem = (
+        F.when(F.col("rows").isNull(), "unlisted").when(F.col("_asked").isNull(), "unexpected")
+        .when(F.col("rows") != F.col("_rows"), "rows").when(F.col("digest") != F.col("_digest"), "digest").otherwise("")
+    )
+    return asked.join(listed.join(found, "table_name", "left"), "table_name", "outer").select("table_name", problem.alias("problem"))
