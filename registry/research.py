@@ -1,5 +1,6 @@
 """Cross-sectional scores, the factor panel and its diagnostics."""
 
+import re
 from functools import cache
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from registry import query
 from registry.tables import ORACLE_VIEWS, Tables
 from tidemark.functions import factors
 from tidemark.operators import diagnostics as dx
-from tidemark.operators import select, xsec
+from tidemark.operators import asof, select, xsec
 from tidemark.plans import governance, price_scores
 from tidemark.session import stage
 from tidemark.plans.factor_panel import build_factor_panel, build_score_panel
@@ -245,6 +246,53 @@ def _(t):
     return price_scores.monthly_top(t.month_features, t.industries, n=20, min_amount=1000.0)
 
 
+_MEMBER_VIEWS = ("candidates", "price_z", "price_score", "size_z", "neutral_score")
+for _name in _MEMBER_VIEWS:
+    # the same statements over the candidates that are members and have a bar of the last ten days
+    ORACLE_VIEWS[f"member_{_name}"] = re.sub(rf"\b({'|'.join(_MEMBER_VIEWS)})\b", r"member_\1", ORACLE_VIEWS[_name]).replace(
+        "FROM month_features f", "FROM (SELECT * FROM month_features m WHERE signal_date - date <= 10 AND EXISTS (SELECT 1 FROM membership k WHERE k.symbol = m.symbol AND k.date = m.signal_date)) f"
+    )
+
+
+def member_filters(t):
+    """Index members as of each signal date with a recent bar."""
+    return {"min_amount": 1000.0, "members": asof.latest_snapshot(t.month_ends, t.membership), "max_age_days": 10}
+
+
+@query("P11_member_candidates", "signal_date:d symbol:i close:f avg_amount_20:f industry_code:s", "SELECT * FROM member_candidates")
+def _(t):
+    return price_scores.candidates(t.month_features, t.industries, **member_filters(t))
+
+
+@query(
+    "P12_minimum_member_count", "signal_date:d symbol:i",
+    "SELECT signal_date, symbol FROM member_candidates QUALIFY count(*) OVER (PARTITION BY signal_date) >= 15",
+)
+def _(t):
+    from tidemark.operators.market import enough_candidates
+
+    return enough_candidates(price_scores.candidates(t.month_features, t.industries, **member_filters(t)), 15)
+
+
+@query("R9_member_price_score", "signal_date:d symbol:i score:f", "SELECT * FROM member_price_score")
+def _(t):
+    c = stage(price_scores.candidates(t.month_features, t.industries, **member_filters(t)))
+    return price_scores.price_score(c, factors.profile_weights("legacy_v1_4"))[1]
+
+
+@query("R11_neutralised_member_score", "signal_date:d symbol:i score_pre_neutral:f z_size:f score:f", "SELECT * FROM member_neutral_score")
+def _(t):
+    return price_scores.scored_candidates(t.month_features, t.industries, **member_filters(t))
+
+
+@query(
+    "flagship_member_top20", "signal_date:d symbol:i industry_code:s score:f rank:i",
+    "SELECT *, row_number() OVER (PARTITION BY signal_date ORDER BY round(score, 9) + 0.0 DESC, symbol) AS rank FROM member_neutral_score QUALIFY rank <= 20",
+)
+def _(t):
+    return price_scores.monthly_top(t.month_features, t.industries, n=20, digits=9, **member_filters(t))
+
+
 @query(
     "R10_equal_weight_composite",
     "signal_date:d symbol:i available_factor_count:i composite:f z:f",

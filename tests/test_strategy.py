@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from test_portfolio_and_execution import slow_fill
-from tidemark.plans import strategy
+from tidemark.operators import asof
+from tidemark.plans import price_scores, strategy
 
 
 def test_monthly_selection_equals_a_loop(spark):
@@ -42,3 +45,24 @@ def test_monthly_selection_equals_a_loop(spark):
         change = [x - before.get(s, 0.0) for s, x in zip(want["symbol"], w)]
         np.testing.assert_allclose(mine["target_weight_change"], change, atol=1e-12)
         held, before = set(want["symbol"]), dict(zip(want["symbol"], w))
+
+
+def test_candidates_are_members_with_a_recent_bar(spark):
+    day = dt.date
+    first, second = day(2020, 1, 31), day(2020, 2, 28)
+    rows = [(s, d, d - dt.timedelta(days=age)) for s, age in ((1, 0), (2, 3), (3, 10), (4, 11), (5, 0)) for d in (first, second)]
+    values = {"total_mv": 5.0, "history_days": 300, "avg_amount_20": 1e9, "close": 10.0, "is_st": False, "extra": "kept"}
+    features = spark.createDataFrame(rows, "symbol long, signal_date date, date date").withColumns(
+        {k: F.lit(v) for k, v in values.items()} | {c: F.lit(0.1) for c in price_scores.REQUIRED if c not in values and c != "log_total_mv"}
+    )
+    industries = spark.createDataFrame([(s, "I", "one", day(2000, 1, 1), None) for s in range(1, 6)], "symbol long, industry_code string, industry_name string, in_date date, out_date date")
+    seats = [(day(2020, 1, 15), s) for s in (1, 2, 3, 4)] + [(day(2020, 1, 15), 1), (second, 5), (second, 3)]
+    members = asof.latest_snapshot(features.select("signal_date"), spark.createDataFrame(seats, "date date, symbol long"))
+    pick = lambda **o: sorted((r["signal_date"], r["symbol"]) for r in price_scores.candidates(features, industries, **o).collect())
+    assert len(pick()) == 10
+    assert pick(members=members) == [(first, s) for s in (1, 2, 3, 4)] + [(second, 3), (second, 5)]
+    assert pick(members=members, max_age_days=10) == [(first, s) for s in (1, 2, 3)] + [(second, 3), (second, 5)]
+    assert pick(max_age_days=0) == [(d, s) for d in (first, second) for s in (1, 5)]
+    assert pick(members=members.where("false")) == []
+    top = lambda: [(r["signal_date"], r["symbol"], r["rank"]) for r in price_scores.monthly_top(features, industries, 2, digits=9, members=members).orderBy("signal_date", "rank").collect()]
+    assert top() == [(first, 1, 1), (first, 2, 2), (second, 3, 1), (second, 5, 2)]

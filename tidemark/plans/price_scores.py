@@ -17,10 +17,20 @@ _KEY = ["signal_date", "symbol"]
 
 def candidates(
     features: DataFrame, industries: DataFrame, min_history: int = 252, min_amount: float = 1e8,
-    min_price: float = 3.0, trend_filter: bool = False,
+    min_price: float = 3.0, trend_filter: bool = False, members: DataFrame | None = None, max_age_days: int | None = None,
 ) -> DataFrame:
-    """Eligible rows of each signal date with their industry (strategy tie-break)."""
-    f = features.withColumn("log_total_mv", F.log(F.greatest("total_mv", F.lit(1e-12))))
+    """Eligible rows of each signal date with their industry (strategy tie-break).
+
+    ``members`` (signal_date, symbol; see ``asof.latest_snapshot``) keeps the index members of each date,
+    ``max_age_days`` rows whose bar (``date``) is at most so many days older than their signal date; 0 asks for a bar
+    on that very day.  Both come before everything that is ranked, so who is not a candidate moves no score.
+    """
+    f = features
+    if max_age_days is not None:
+        f = f.where(F.date_diff("signal_date", "date") <= max_age_days)
+    if members is not None:
+        f = f.join(members.select(*_KEY), _KEY, "left_semi")
+    f = f.withColumn("log_total_mv", F.log(F.greatest("total_mv", F.lit(1e-12))))
     f = market.eligible(f, min_history, min_amount, min_price, trend_filter, REQUIRED)
     f = asof.industry_at(f, industries, policy="strategy")
     return f.where(F.col("industry_code") != "UNKNOWN")
@@ -52,7 +62,13 @@ def scored_candidates(
     return xsec.neutralise(joined, ["signal_date"], "score_pre_neutral", "industry_code", "z_size", strength, "score")
 
 
-def monthly_top(features: DataFrame, industries: DataFrame, n: int = 20, **options) -> DataFrame:
-    """The n best neutralised scores of every signal date."""
+def monthly_top(features: DataFrame, industries: DataFrame, n: int = 20, digits: int | None = None, **options) -> DataFrame:
+    """The n best neutralised scores of every signal date.
+
+    With ``digits`` scores that agree to so many places rank as equal, by symbol.  Sole members of an industry all
+    have a score of zero up to a last bit that depends on the order of sums; rounded, their ranks are the same in
+    every run.
+    """
     s = scored_candidates(features, industries, **options)
-    return select.top_n(s, ["signal_date"], [F.col("score").desc(), F.col("symbol")], n)
+    best = F.col("score") if digits is None else F.round("score", digits) + F.lit(0.0)
+    return select.top_n(s, ["signal_date"], [best.desc(), F.col("symbol")], n)
