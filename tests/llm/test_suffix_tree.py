@@ -19,7 +19,7 @@ def words_of(text):
 class SlowTree:
     """The same tree by dictionaries of byte strings."""
 
-    def __init__(self, sequences, depth, least_share):
+    def __init__(self, sequences, depth, least):
         self.depth = depth
         self.counts = [Counter() for _ in range(depth + 1)]
         for s in sequences:
@@ -27,14 +27,12 @@ class SlowTree:
             for j in range(depth, len(padded)):
                 for d in range(depth + 1):
                     self.counts[d][padded[j - d : j + 1]] += 1
-        positions = sum(self.counts[0].values())
         self.total, self.kinds = [Counter() for _ in range(depth + 1)], [Counter() for _ in range(depth + 1)]
         for d in range(depth + 1):
             for k, n in self.counts[d].items():
                 self.total[d][k[:-1]] += n
                 self.kinds[d][k[:-1]] += 1
         self.kept = {b""}
-        least = max(1, math.ceil(positions * least_share))
         for d in range(1, depth + 1):
             for context, n in self.total[d].items():
                 own = [(s, m) for s in range(256) if (m := self.counts[d][context + bytes([s])])]
@@ -62,11 +60,11 @@ class SlowTree:
         return out
 
 
-def slow(rows, depth, least_share):
+def slow(rows, depth, least):
     train = [words_of(t) for i, t in rows if not held(i)]
     counts = Counter(w for ws in train for w in (*ws, b"\n"))
     n, v = sum(counts.values()), len(counts)
-    tree = SlowTree([st.spelled(ws) for ws in train], depth, least_share)
+    tree = SlowTree([st.spelled(ws) for ws in train], depth, least)
     out = []
     for i, t in rows:
         tokens, before, base, score = [*words_of(t), b"\n"], b"", 0.0, 0.0
@@ -86,23 +84,43 @@ def test_scores_equal_brute_force(frame):
     rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))) for k in range(90)]
     rows += [(100, None), (101, ""), (102, " \n\t"), (103, "unseen tokens here"), (104, "x" * 3_000), (None, "the null"), rows[4], rows[4]]
     docs = frame(rows, "doc_id long, text string")
-    for depth, share, frequent in ((3, 2e-3, 1e-2), (2, 1e-6, 0.5), (4, 1e-2, 1e-6)):
-        got = st.score_documents(docs, depth=depth, least_share=share, frequent_share=frequent).collect()
-        want = slow(rows, depth, share)
+    # a crown of the whole tree, of a part, and of the root alone
+    for depth, least, held_states, frequent in ((3, 20, 10_000, 1e-2), (6, 2, 150, 0.5), (4, 8, 0, 1e-6)):
+        got = st.score_documents(docs, depth=depth, least_count=least, held_states=held_states, frequent_share=frequent).collect()
+        want = slow(rows, depth, least)
         assert len(got) == len(want)
         for g, w in zip(sorted(map(tuple, got), key=str), sorted(want, key=str)):
             assert g[:5] == w[:5] and np.allclose(g[5:], w[5:], atol=1e-7), (g, w)
 
 
-def test_distributions_sum_to_one():
+def test_distributions_sum_to_one_and_the_crown_is_bounded(frame):
     rng = random.Random(2)
-    text = [bytes(rng.choice(b"abc ") for _ in range(200)) + b"\n" for _ in range(20)]
-    grams, _ = st.windows(text, 3)
-    levels = [np.unique(grams & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(4)]
-    tree = st.grow_tree(levels)
+    rows = [(k, "".join(rng.choice(("abca", "cb ", "bbca", "acab ")) for _ in range(60))) for k in range(40)]
+    tree = st.learn_tree(st.corpus_counts(frame(rows, "doc_id long, text string"), 3), 3, 4)
+    n_states = tree.states.count()
+    whole, part, root = tree.crown(), tree.crown(40), tree.crown(0)
+    assert sum(map(len, whole.contexts)) == n_states and not any(map(len, whole.fringe))
+    held = sum(len(x) for f in (part.contexts, part.fringe, part.entries) for x in f)
+    assert 0 < sum(map(len, part.contexts)) < n_states and any(map(len, part.fringe)) and held <= 40 + 256
+    assert not any(map(len, root.contexts)) and len(root.fringe[1]) == len(whole.contexts[1])
     for context in (b"abc", b"zzz", b"  a", b"\n\n\n"):
         window = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
-        assert abs((10 ** tree.window_logs(window)).sum() - 1) < 1e-9
+        logs, below = whole.window_logs(window)
+        assert not below.any() and abs((10**logs).sum() - 1) < 1e-9
+        joined = {r.window: r.log for r in tree.window_logs(frame([(int(w),) for w in window], "window long")).collect()}
+        assert np.allclose([joined[int(w)] for w in window], logs)
+
+
+def test_the_tree_grows_with_the_corpus(frame):
+    """A context with a fixed count stays, however many positions there are besides."""
+    def kept(n):
+        rows = [(k, "qxz qxz qxz") for k in range(6)] + [(100 + k, " ".join(f"w{k}a{j}b" for j in range(40))) for k in range(n)]
+        states = st.learn_tree(st.corpus_counts(frame(rows, "doc_id long, text string"), 3), 3).states
+        contexts = {(r.d, r.context) for r in states.select("d", "context").collect()}
+        return (1, ord("q")) in contexts and (1, ord("x")) in contexts, len(contexts)
+
+    small, large = kept(5), kept(150)
+    assert small[0] and large[0] and large[1] > small[1]
 
 
 def test_tables_without_training_rows(frame):

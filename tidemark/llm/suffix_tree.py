@@ -4,13 +4,17 @@ A text is a sequence of words (runs without ASCII white space, A-Z folded) and o
 as bytes: a blank behind every word, then a newline for the end, so tokens are spelled one after the other.
 
 Contexts are up to ``DEPTH`` preceding bytes.  All training texts are counted, every (DEPTH + 1)-byte window:
-per task first, then in one shuffle together with the word counts.  A context stays in the tree if it makes
-up at least ``least_share`` of all positions and its next-byte distribution diverges from its suffix's (the
-one byte shorter context's) by more than a BIC penalty, n KL >= k ln(n) / 2; suffixes of contexts that stay, stay.
-There are at most DEPTH / least_share contexts, whatever the corpus, so the tree may be sent to all tasks.
+per task first, then in one shuffle together with the word counts.  A context stays in the tree if it occurs
+``LEAST_COUNT`` times or more, a fixed number, and its next-byte distribution diverges from its suffix's (the one
+byte shorter context's) by more than a BIC penalty, n KL >= k ln(n) / 2; suffixes of contexts that stay, stay.
+So the tree grows with the corpus; it is a table that Spark grows by joins of windows with their suffixes.
 Distributions are smoothed towards the suffix's (Witten-Bell), and the root's is add-one over 256 bytes.
 A byte is scored in the longest suffix state of what precedes it.
 
+Tasks hold the crown of the tree: the contexts above a count (a power of two) so chosen that they and the fringe,
+the first contexts below them, have at most ``HELD_STATES`` rows, counted before they are fetched.  A byte whose context
+is below the fringe leaves its window; the different windows of all texts meet the whole tree by joins.
+
 The base score is that of add-one unigrams, in which all unseen tokens are one symbol.  A spelling model alone
 has to share that symbol's probability among all spellings, so a token's probability is a mixture: ``TREE_SHARE``
 of what the tree spells it with, and the rest of its unigram.  The score is the sum of the tokens' logarithms.
@@ -27,18 +31,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_strings
-from tidemark.session import stage
+from tidemark.session import discard, stage, stage_at
 
-DEPTH = 5
-LEAST_SHARE = 2e-6
+DEPTH = 6  # windows of DEPTH + 1 bytes are whole numbers of a long, so 6 is the most
+LEAST_COUNT = 8
+HELD_STATES = 2_000_000
 FREQUENT_SHARE = 1e-6
 TREE_SHARE = 0.7
 END = b"\n"
@@ -149,19 +156,30 @@ def corpus_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 @dataclass
-class SuffixTree:
-    """By context length: sorted contexts with the log10 weight of their suffix, sorted (context, byte) with log10 probability."""
+class Crown:
+    """What a task holds of a tree, by context length, all sorted.
+
+    Contexts with the log10 weight of their suffix, (context, byte) with log10 probability, and the fringe:
+    contexts of the tree that are not held although their suffix is.
+    """
 
-    depth: int
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
     entries: list[np.ndarray]
     logs: list[np.ndarray]
-
-    def window_logs(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each window after the bytes before it."""
-        out = np.zeros(len(grams))
-        open_ = np.arange(len(grams))
+    fringe: list[np.ndarray]
+
+    @property
+    def depth(self) -> int:
+        return len(self.entries) - 1
+
+    def window_logs(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of the last byte of each window after the bytes before it; whether that is below the fringe (0 then)."""
+        out, below = np.zeros(len(grams)), np.zeros(len(grams), bool)
+        for d in range(1, self.depth + 1):
+            if len(self.fringe[d]):
+                below |= _find(self.fringe[d], (grams & np.uint64((1 << 8 * (d + 1)) - 1)) >> BYTE)[1]
+        open_ = np.flatnonzero(~below)
         for d in range(self.depth, -1, -1):
             key = grams[open_] & np.uint64((1 << 8 * (d + 1)) - 1)
             at, hit = _find(self.entries[d], key)
@@ -169,13 +187,7 @@ class SuffixTree:
             open_, key = open_[~hit], key[~hit]
             at, kept = _find(self.contexts[d], key >> BYTE)
             out[open_[kept]] += self.backoff[d][at[kept]]
-        return out
-
-    def byte_logs(self, sequences: list[bytes]) -> np.ndarray:
-        """log10 probability of every byte of the sequences, end to end."""
-        grams, _ = windows(sequences, self.depth)
-        different, back = np.unique(grams, return_inverse=True)
-        return self.window_logs(different)[back]
+        return out, below
 
 
 def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,74 +195,124 @@ def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (table[np.minimum(at, len(table) - 1)] == key) if len(table) else np.zeros(len(key), bool)
 
 
-def grow_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> SuffixTree:
-    """The tree from (window, count) of every context length; windows are sorted numbers of d + 1 bytes."""
-    depth = len(levels) - 1
-    totals, kinds = [], []
-    contexts = []
-    for windows_, counts in levels:
-        c, first = np.unique(windows_ >> BYTE, return_index=True)
-        contexts.append(c)
-        totals.append(np.add.reduceat(counts, first) if len(c) else counts)
-        kinds.append(np.diff(np.append(first, len(windows_))))
-    stays = [np.zeros(len(c), bool) for c in contexts]
-    for d in range(depth, 0, -1):
-        w, n = levels[d]
-        own = np.searchsorted(contexts[d], w >> BYTE)
-        shorter = w & np.uint64((1 << 8 * d) - 1)
-        parent_n = levels[d - 1][1][np.searchsorted(levels[d - 1][0], shorter)]
-        suffix = np.searchsorted(contexts[d - 1], contexts[d] & np.uint64((1 << 8 * (d - 1)) - 1))
-        parent_total = totals[d - 1][suffix][own]
-        gain = np.zeros(len(contexts[d]))
-        np.add.at(gain, own, n * np.log((n / totals[d][own]) / (parent_n / parent_total)))
-        stays[d] |= gain >= 0.5 * kinds[d] * np.log(np.maximum(totals[d], 2))
-        stays[d - 1][suffix[stays[d]]] = True
-    tree = SuffixTree(depth, [], [], [], [])
-    for d in range(depth + 1):
-        w, n = levels[d]
-        own = np.searchsorted(contexts[d], w >> BYTE)
-        if d == 0:
-            every = np.arange(256, dtype=np.uint64)
-            count = np.zeros(256)
-            count[w.astype(int)] = n
-            tree.contexts.append(np.zeros(1, np.uint64))
-            tree.backoff.append(np.zeros(1))
-            tree.entries.append(every)
-            tree.logs.append(np.log10((count + 1) / (count.sum() + 256)))
-            continue
-        mine = stays[d][own]
-        w, n, own = w[mine], n[mine], own[mine]
-        t, total = kinds[d].astype(float), totals[d].astype(float)
-        partial = SuffixTree(d - 1, tree.contexts, tree.backoff, tree.entries, tree.logs)
-        shorter = 10 ** partial.window_logs(w & np.uint64((1 << 8 * d) - 1))
-        tree.contexts.append(contexts[d][stays[d]])
-        tree.backoff.append(np.log10(t / (total + t))[stays[d]])
-        tree.entries.append(w)
-        tree.logs.append(np.log10((n + t[own] * shorter) / (total[own] + t[own])))
-    return tree
-
-
-def learn_tree(counts: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE) -> SuffixTree:
-    """Sums windows up to shorter contexts in Spark and brings the windows of frequent contexts to the driver.
-
-    A context has at least ``least_share`` of all positions, so at most 1 / least_share of each length come.
+@dataclass
+class SuffixTree:
+    """The whole tree as two tables.
+
+    ``entries`` (d, key, total, log): a context of d bytes and the byte after it as one number, the context's count,
+    the byte's log10 probability.  ``states`` (d, context, total, above, backoff): a context, its count, that of its
+    suffix, and the log10 weight with which bytes not seen after it fall to the suffix.
     """
-    grams = counts.where(F.col("kind") == GRAM).select("key", "n")
-    positions = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(positions * least_share))
-    levels = []
-    level = grams
+
+    depth: int
+    entries: DataFrame
+    states: DataFrame
+
+    def crown(self, held_states: int = HELD_STATES) -> Crown:
+        """The contexts of the highest counts, with their fringe at most ``held_states`` rows (and the root)."""
+
+        def size(count: str) -> F.Column:
+            return F.length(F.bin(count))
+
+        # a row is held at a power of two if its count reaches it, a state also (as fringe) if its suffix's does
+        entries = self.entries.where("d > 0").select(size("total").alias("most"), F.lit(0).alias("above"))
+        states = self.states.select(size("total").alias("most"), F.when(F.col("d") == 1, 64).otherwise(size("above")).alias("above"))
+        rows = entries.union(states).groupBy("most", "above").count().collect()
+        held = (b for b in range(1, 64) if sum(r["count"] for r in rows if r.most >= b or r.above >= b) <= held_states)
+        least = F.lit(1 << next(held, 63) - 1)
+        own = self.entries.where((F.col("d") == 0) | (F.col("total") >= least)).select("d", "key", "log").toArrow()
+        states = self.states.where((F.col("d") == 1) | (F.col("above") >= least)).select("d", "context", "backoff", (F.col("total") >= least).alias("held")).toArrow()
+
+        def by_length(d, held, key, *more) -> list:
+            found = []
+            for k in range(self.depth + 1):
+                mine = np.flatnonzero((d == k) & held)
+                mine = mine[np.argsort(key[mine])]
+                found.append([key[mine].astype(np.uint64), *(m[mine] for m in more)])
+            return [list(column) for column in zip(*found, strict=True)]
+
+        e = [own[c].to_numpy() for c in ("d", "key", "log")]
+        s = [states[c].to_numpy() for c in ("d", "context", "backoff", "held")]
+        above = s[3].astype(bool)
+        contexts, backoff = by_length(s[0], above, s[1], s[2])
+        (fringe,) = by_length(s[0], ~above, s[1])
+        return Crown(contexts, backoff, *by_length(e[0], np.ones(len(e[0]), bool), e[1], e[2]), fringe)
+
+    def window_logs(self, windows_: DataFrame) -> DataFrame:
+        """(window, log): of different windows the log10 probability of their last byte, by joins with the whole tree.
+
+        From the longest context down: weights of the tree's contexts after which the byte was not seen, then its probability.
+        """
+        keyed = (
+            windows_.select("window", F.explode(F.sequence(F.lit(0), F.lit(self.depth))).alias("d"))
+            .withColumn("key", F.expr("window & (shiftleft(1L, 8 * (d + 1)) - 1L)")).withColumn("context", F.shiftright("key", 8))
+        )
+        met = keyed.join(self.states.select("d", "context", "backoff"), ["d", "context"], "left").join(self.entries.select("d", "key", "log"), ["d", "key"], "left")
+        steps = F.sort_array(F.collect_list(F.struct(F.negative("d").alias("order"), "log", "backoff")))
+
+        def descend(at, step):
+            more = F.coalesce(step["log"], step["backoff"], F.lit(0.0))
+            return F.when(at["found"], at).otherwise(F.struct((at["log"] + more).alias("log"), step["log"].isNotNull().alias("found")))
+
+        start = F.struct(F.lit(0.0).alias("log"), F.lit(False).alias("found"))
+        return met.groupBy("window").agg(steps.alias("steps")).select("window", F.aggregate("steps", start, descend)["log"].alias("log"))
+
+
+SUFFIX = "key & (shiftleft(1L, 8 * d) - 1L)"
+
+
+def _all_windows(counts: DataFrame, depth: int) -> DataFrame:
+    """(d, key, context, n, total, kinds): the windows of every context length with the count and next bytes of their context."""
+    spark = counts.sparkSession
+    level, paths, levels = counts.where(F.col("kind") == GRAM).select("key", "n"), [], []
     for d in range(depth, -1, -1):
-        mask = F.lit((1 << 8 * (d + 1)) - 1)
         if d < depth:
-            level = stage(level.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")))
-        context = F.shiftright("key", 8)
-        frequent = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).where(F.col("total") >= least).select("context")
-        found = level.withColumn("context", context).join(frequent, "context", "left_semi").select("key", "n").toArrow()
-        keys = found["key"].to_numpy().astype(np.uint64)
-        order = np.argsort(keys)
-        levels.append((keys[order], found["n"].to_numpy().astype(np.int64)[order]))
-    return grow_tree(levels[::-1])
+            level, path = stage_at(level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")))
+            paths.append(path)
+        levels.append(level.withColumn("d", F.lit(d)))
+    # at most 256 rows share a context
+    of_context = Window.partitionBy("d", "context")
+    every = reduce(DataFrame.unionByName, levels).withColumn("context", F.shiftright("key", 8))
+    found = stage(every.withColumn("total", F.sum("n").over(of_context)).withColumn("kinds", F.count("*").over(of_context)))
+    for path in paths:
+        discard(spark, path)
+    return found
+
+
+def learn_tree(counts: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT) -> SuffixTree:
+    """The contexts that occur ``least_count`` times, diverge from their suffix, or are suffixes of such; smoothed.
+
+    Every step joins windows with the windows one byte shorter, of which at most 256 meet one.
+    """
+    if depth > 6:
+        raise ValueError("windows of more than 7 bytes are not numbers of a long")
+    spark = counts.sparkSession
+    all_windows = _all_windows(counts, depth)
+    shorter = all_windows.select((F.col("d") + 1).alias("d"), F.col("key").alias("suffix"), F.col("n").alias("n_above"), F.col("total").alias("above"))
+    divergence = F.sum(F.expr("n * ln((n / total) / (n_above / above))")).alias("gain")
+    tested = (
+        all_windows.where((F.col("d") > 0) & (F.col("total") >= least_count)).withColumn("suffix", F.expr(SUFFIX)).join(shorter, ["d", "suffix"])
+        .groupBy("d", "context").agg(divergence, F.max("kinds").alias("kinds"), F.max("total").alias("total"))
+        .where("gain >= 0.5 * kinds * ln(greatest(total, 2))")
+    )
+    kept = tested.select("context", F.explode(F.sequence(F.lit(1), "d")).alias("d")).select("d", F.expr("context & (shiftleft(1L, 8 * d) - 1L)").alias("context")).distinct()
+    mine = stage(all_windows.join(kept, ["d", "context"], "left_semi"))
+    root = all_windows.where("d = 0").select("key", "n")
+    positions = F.lit(root.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    level = spark.range(256).withColumnRenamed("id", "key").join(root, "key", "left").select(
+        F.lit(0).alias("d"), "key", F.lit(0).cast("long").alias("context"), positions.alias("total"), F.lit(0).cast("long").alias("kinds"),
+        F.lit(0).cast("long").alias("above"), ((F.coalesce("n", F.lit(0)) + 1) / (positions + 256)).alias("p"),
+    )
+    levels = [stage(level)]
+    for d in range(1, depth + 1):
+        below = levels[-1].select(F.col("key").alias("suffix"), F.col("p").alias("p_above"), F.col("total").alias("above"))
+        smoothed = F.expr("(n + kinds * p_above) / (total + kinds)")
+        longer = mine.where(F.col("d") == d).withColumn("suffix", F.expr(SUFFIX)).join(below, "suffix")
+        levels.append(stage(longer.select("d", "key", "context", "total", "kinds", "above", smoothed.alias("p"))))
+    entries = reduce(DataFrame.unionByName, levels)
+    states = entries.where("d > 0").groupBy("d", "context").agg(F.max("total").alias("total"), F.max("kinds").alias("kinds"), F.max("above").alias("above"))
+    weighed = states.select("d", "context", "total", "above", F.expr("log10(kinds / (total + kinds))").alias("backoff"))
+    return SuffixTree(depth, entries.select("d", "key", "total", F.log10("p").alias("log")), stage(weighed))
 
 
 @dataclass
@@ -273,7 +335,8 @@ def learn_unigrams(counts: DataFrame, frequent_share: float = FREQUENT_SHARE) ->
 
 
 SCORED = (
-    "row_id struct<doc_id:{kind}, held_out:boolean>, n_tokens long, n_known long, base double, score double, rare array<long>, spellings array<double>"
+    "row_id struct<doc_id:{kind}, held_out:boolean>, n_tokens long, n_known long, base double, score double, "
+    "open array<struct<key:long, count:long, spelling:double, windows:array<long>>>"
 )
 
 
@@ -282,11 +345,15 @@ def token_logs(spelling: np.ndarray, counts: np.ndarray, norm: int) -> np.ndarra
     return np.log10((1 - TREE_SHARE) * (counts + 1.0) / norm + TREE_SHARE * 10.0**spelling)
 
 
-def _scoring(tree, unigrams):
-    """Per text: tokens, and of the frequent ones the sums; the hashes and spellings of the others."""
+def _scoring(crown, unigrams):
+    """Per text: tokens, and the sums of those that are settled; the others with what is known of them.
+
+    A token is open if its word is not a frequent one (``key`` is its hash then, else ``count`` its count) or if some of
+    its bytes are below the fringe (``windows``; ``spelling`` sums the others).
+    """
 
     def run(batches):
-        model, common = tree.value, unigrams.value
+        model, common = crown.value, unigrams.value
         norm = common.tokens + common.distinct + 1
         for batch in batches:
             at = 0
@@ -297,49 +364,70 @@ def _scoring(tree, unigrams):
                 hashes = np.fromiter(map(hash_of.__getitem__, tokens), np.uint64, len(tokens))
                 # a word takes its blank along, the end is one byte
                 ends = np.cumsum([len(t) + (t is not END) for t in tokens])
-                spelling = np.add.reduceat(model.byte_logs([spelled(w) for w in part]), np.append(0, ends[:-1]))
+                first = np.append(0, ends[:-1])
+                grams, _ = windows([spelled(w) for w in part], model.depth)
+                different, back = np.unique(grams, return_inverse=True)
+                logs, below = model.window_logs(different)
+                below = below[back]
+                spelling, n_below = np.add.reduceat(logs[back], first), np.add.reduceat(below.astype(np.int64), first)
                 starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in part])))
                 place, known = _find(common.hashes, hashes)
+                counts = np.zeros(len(tokens), np.int64)
+                counts[known] = common.counts[place[known]]
                 base, score = np.zeros(len(tokens)), np.zeros(len(tokens))
-                counts = common.counts[place[known]]
-                base[known], score[known] = np.log10((counts + 1.0) / norm), token_logs(spelling[known], counts, norm)
-                rare = np.concatenate(([0], np.cumsum(~known)))[starts].astype(np.int32)
+                base[known] = np.log10((counts[known] + 1.0) / norm)
+                settled = known & (n_below == 0)
+                score[settled] = token_logs(spelling[settled], counts[settled], norm)
+                left = ~settled
+                upto = np.concatenate(([0], np.cumsum(left)))[starts].astype(np.int32)
+                of_token = np.concatenate(([0], np.cumsum(n_below[left]))).astype(np.int32)
+                open_tokens = pa.StructArray.from_arrays([
+                    pa.array(hashes[left].view(np.int64), mask=known[left]), pa.array(counts[left], mask=~known[left]), pa.array(spelling[left]),
+                    pa.ListArray.from_arrays(pa.array(of_token), pa.array(grams[below].view(np.int64))),
+                ], ["key", "count", "spelling", "windows"])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("row_id").slice(at, n), pa.array(np.diff(starts)), pa.array(np.add.reduceat(known.astype(np.int64), starts[:-1])),
                     pa.array(np.add.reduceat(base, starts[:-1])), pa.array(np.add.reduceat(score, starts[:-1])),
-                    pa.ListArray.from_arrays(pa.array(rare), pa.array(hashes[~known].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(rare), pa.array(spelling[~known])),
-                ], ["row_id", "n_tokens", "n_known", "base", "score", "rare", "spellings"])
+                    pa.ListArray.from_arrays(pa.array(upto), open_tokens),
+                ], ["row_id", "n_tokens", "n_known", "base", "score", "open"])
                 at += n
 
     return run
 
 
 def score_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, least_share: float = LEAST_SHARE, frequent_share: float = FREQUENT_SHARE
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, least_count: int = LEAST_COUNT, held_states: int = HELD_STATES,
+    frequent_share: float = FREQUENT_SHARE,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, scores in log10."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     counts = corpus_counts(rows.where(~held_out(F.col("doc_id"))), depth)
-    tree, unigrams = learn_tree(counts, depth, least_share), learn_unigrams(counts, frequent_share)
+    tree, unigrams = learn_tree(counts, depth, least_count), learn_unigrams(counts, frequent_share)
     norm = F.lit(float(unigrams.tokens + unigrams.distinct + 1))
     keyed = rows.select(F.struct("doc_id", held_out(F.col("doc_id")).alias("held_out")).alias("row_id"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = keyed.mapInArrow(_scoring(context.broadcast(tree), context.broadcast(unigrams)), SCORED.format(kind=kind))
+    scored = keyed.mapInArrow(_scoring(context.broadcast(tree.crown(held_states)), context.broadcast(unigrams)), SCORED.format(kind=kind))
     scored = stage(scored.withColumn("place", F.monotonically_increasing_id()))
-    rare = scored.select("place", F.explode(F.arrays_zip("rare", "spellings")).alias("w")).select("place", F.col("w.rare").alias("key"), F.col("w.spellings").alias("spelling"))
-    unigram = (F.coalesce("n", F.lit(0)) + 1.0) / norm
-    mixture = (1 - TREE_SHARE) * unigram + TREE_SHARE * F.pow(F.lit(10.0), "spelling")
+    tokens = scored.select("place", F.posexplode("open").alias("no", "w")).select("place", "no", "w.*")
+    below = tokens.select("place", "no", F.explode("windows").alias("window"))
+    logs = tree.window_logs(below.select("window").distinct())
+    spelt = below.join(logs, "window").groupBy("place", "no").agg(F.sum("log").alias("log"))
+    words = counts.where(F.col("kind") == WORD).select("key", "n")
+    unigram = (F.coalesce("count", "n", F.lit(0)) + 1.0) / norm
+    mixture = (1 - TREE_SHARE) * unigram + TREE_SHARE * F.pow(F.lit(10.0), F.col("spelling") + F.coalesce("log", F.lit(0.0)))
+    rare = F.col("key").isNotNull()
+    spelt_tokens = tokens.where(F.size("windows") > 0).drop("windows").join(spelt, ["place", "no"])
+    whole_tokens = tokens.where(F.size("windows") == 0).drop("windows").withColumn("log", F.lit(0.0))
     more = (
-        rare.join(counts.where(F.col("kind") == WORD).select("key", "n"), "key", "left").groupBy("place")
-        .agg(F.count("n").alias("known"), F.sum(F.log10(unigram)).alias("bases"), F.sum(F.log10(mixture)).alias("scores"))
+        spelt_tokens.unionByName(whole_tokens).join(words, "key", "left").groupBy("place")
+        .agg(F.count("n").alias("known"), F.sum(F.when(rare, F.log10(unigram))).alias("bases"), F.sum(F.log10(mixture)).alias("scores"))
     )
 
     def total(own: str, others: str) -> F.Column:
         return F.col(own) + F.coalesce(others, F.lit(0))
 
-    whole = scored.drop("rare", "spellings").join(more, "place", "left")
+    whole = scored.drop("open").join(more, "place", "left")
     return whole.select(
         "row_id.doc_id", "row_id.held_out", "n_tokens", total("n_known", "known").cast("long").alias("n_known"),
         F.lit(unigrams.tokens).cast("long").alias("train_tokens"), total("base", "bases").alias("base_score"), total("score", "scores").alias("score"),
