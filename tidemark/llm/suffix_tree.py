@@ -45,7 +45,7 @@ from tidemark.session import discard, stage, stage_at
 
 DEPTH = 6  # windows of DEPTH + 1 bytes are whole numbers of a long, so 6 is the most
 LEAST_COUNT = 8
-HELD_STATES = 2_000_000
+HELD_STATES = 4_000_000  # at most 16 bytes a row in every task
 FREQUENT_SHARE = 1e-6
 TREE_SHARE = 0.7
 END = b"\n"
