@@ -33,6 +33,18 @@ def test_append_only_reports_conflicts(spark):
     assert [r["k"] for r in add.collect()] == ["c"] and [r["k"] for r in bad.collect()] == ["b"]
 
 
+def test_copies_agree_within_a_tolerance_on_the_edge_of_a_rounding_step(spark):
+    kind = "g string, k int, x double"
+    a = spark.createDataFrame([("near", 1, 0.00005), ("near", 2, 7.0), ("far", 1, 1.0), ("null", 1, None), ("twice", 1, 1.0), ("twice", 1, 1.0), ("one", 1, 1.0)], kind)
+    b = spark.createDataFrame([("near", 1, 0.00005 - 1e-12), ("near", 2, 7.0 + 4e-7), ("far", 1, 1.0 + 2e-6), ("null", 1, None), ("twice", 1, 1.0)], kind)
+    found = {r["g"]: tuple(r)[1:] for r in recon.reconcile_copies(a, b, ["k"], ["g"], {"x": 1e-6}).collect()}
+    assert found == {
+        "near": (2, 2, "match"), "far": (1, 1, "mismatch"), "null": (1, 1, "mismatch"), "twice": (2, 1, "mismatch"), "one": (1, 0, "inconclusive"),
+    }
+    exact = {r["g"]: r["verdict"] for r in recon.reconcile_copies(a, b, ["k"], ["g"]).collect()}
+    assert exact == {"near": "mismatch", "far": "mismatch", "null": "match", "twice": "mismatch", "one": "inconclusive"}
+
+
 def test_fingerprint_ignores_order_and_sees_changes(spark):
     df = spark.range(500).withColumn("x", F.col("id") * 2)
     f = lambda d: tuple(recon.table_fingerprint(d).first())

@@ -61,7 +61,7 @@ def factor_change_dates(factors: DataFrame, factor: str = "adj_factor") -> DataF
 
 def row_digest(cols: Sequence[str]) -> Column:
     """60-bit number from a row's SHA-256, for order-independent sums."""
-    body = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
+    body = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"}) if cols else F.lit("{}")
     return F.conv(F.substring(F.sha2(body, 256), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
@@ -73,27 +73,39 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def reconcile_copies(a: DataFrame, b: DataFrame, pk: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """Per group: match when keys, counts and content agree; inconclusive when a side is absent."""
-    pk, group = list(pk), list(group)
-    shape = lambda df, p: df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias(f"{p}_rows"),
-        F.sum(row_digest([*pk])).alias(f"{p}_keys"),
-        F.sum(row_digest(sorted(df.columns))).alias(f"{p}_body"),
+def reconcile_copies(
+    a: DataFrame, b: DataFrame, pk: Sequence[str], group: Sequence[str], within: Mapping[str, float] | None = None
+) -> DataFrame:
+    """Per group: match when keys, counts and content agree; inconclusive when a side is absent.
+
+    Columns in ``within`` agree when both sides are present and differ by less than their tolerance; all
+    others must be equal.  Rows of both copies meet by key, so a tolerance never falls on the edge of a
+    rounding step.  A key that a copy holds twice, or that has a null in it, matches nothing.
+    """
+    pk, group, within = list(pk), list(group), dict(within or {})
+    exact = [c for c in a.columns if c not in (*pk, *group, *within)]
+    shape = lambda df, p: df.select(
+        *group, *pk, *within, row_digest(exact).alias("_body"),
+        F.lit(int(p == "a")).alias("_a"), F.lit(int(p == "b")).alias("_b"),
     )
-    both = shape(a, "a").join(shape(b, "b"), group, "outer")
-    same = (
-        (F.col("a_rows") == F.col("b_rows")) & (F.col("a_keys") == F.col("b_keys")) & (F.col("a_body") == F.col("b_body"))
+    spread = [F.max(c) - F.min(c) for c in within]
+    same = (F.sum("_a") == 1) & (F.sum("_b") == 1) & (F.min("_body") == F.max("_body"))
+    for (c, limit), gap in zip(within.items(), spread):
+        # not-a-number and differences of infinities are above every limit
+        same = same & (F.count(c) == 2) & (gap < F.lit(float(limit)))
+    keyed = shape(a, "a").unionByName(shape(b, "b")).groupBy(*group, *pk).agg(
+        F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), same.alias("_same")
     )
-    verdict = (
-        F.when(F.col("a_rows").isNull() | F.col("b_rows").isNull(), "inconclusive")
-        .when(same, "match")
-        .otherwise("mismatch")
+    whole = F.lit(True)
+    for c in [*group, *pk]:
+        whole = whole & F.col(c).isNotNull()
+    out = keyed.groupBy(*group).agg(
+        F.sum("_a").alias("a_rows"), F.sum("_b").alias("b_rows"), F.bool_and(F.coalesce("_same", F.lit(False)) & whole).alias("_same")
     )
-    return both.select(
-        *group, F.coalesce("a_rows", F.lit(0)).alias("a_rows"), F.coalesce("b_rows", F.lit(0)).alias("b_rows"),
-        verdict.alias("verdict"),
+    verdict = (
+        F.when((F.col("a_rows") == 0) | (F.col("b_rows") == 0), "inconclusive").when(F.col("_same"), "match").otherwise("mismatch")
     )
+    return out.select(*group, "a_rows", "b_rows", verdict.alias("verdict"))
 
 
 def page_overlap(pages: DataFrame, pk: Sequence[str], cap: int) -> DataFrame:
