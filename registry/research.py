@@ -1,6 +1,7 @@
 """Cross-sectional scores, the factor panel and its diagnostics."""
 
 import re
+from dataclasses import replace
 from functools import cache
 
 from pyspark.sql import functions as F
@@ -146,11 +147,17 @@ def factor_panel(t):
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
     if key not in _PANELS:
         b = Tables(t.spark, t.sf_dir)
-        b.bars = stage(b.bars)  # members, valuations and both label passes read the bars
-        _PANELS[key] = build_factor_panel(
+        # months and labels read two columns of the bars, members and valuations the months
+        b.bars = stage(b.bars.select("date", "symbol", "close", "amount"))
+        b.months = stage(b.months)
+        # row hashes travel as 32 bytes, which sort as their hex digits do
+        b.fact_rows = b.fact_rows.withColumn("source_row_sha256", F.unhex("source_row_sha256"))
+        built = build_factor_panel(
             calendar=b.calendar, membership=b.membership, industries=b.industries, market=b.market, facts=b.facts,
             valuations=b.valuations, names=NAMES, horizons=(21, 63), minimum_factors=4, valuation_age=45,
         )
+        text = built.lineage.withColumn("source_row_sha256", F.lower(F.hex("source_row_sha256")))
+        _PANELS[key] = replace(built, lineage=text)
     return _PANELS[key]
 
 

@@ -107,12 +107,20 @@ class Tables:
         q = (F.year("q") - 1995) * 4 + F.quarter("q")
         return first.select("symbol", "date", (1 + q * 0.01).alias("factor"))
 
+    @cached_property
+    def months(self) -> DataFrame:
+        """A symbol's month: its last bar, mean close and amount."""
+        return self.bars.groupBy("symbol", F.trunc("date", "MM").alias("month")).agg(
+            F.max("date").alias("date"),
+            F.max_by("close", "date").alias("close"),
+            F.avg("close").alias("avg_close"),
+            F.sum("amount").alias("amount"),
+        )
+
     @cached_property
     def membership(self) -> DataFrame:
         """Month-end members: symbols that traded at least the month's average amount."""
-        m = self.bars.groupBy(F.trunc("date", "MM").alias("month"), "symbol").agg(
-            F.sum("amount").alias("amount")
-        )
+        m = self.months.select("month", "symbol", "amount")
         avg = m.groupBy("month").agg(F.avg("amount").alias("_avg"), F.sum("amount").alias("_all"))
         ends = self.month_ends.select("month", "signal_date")
         return (
@@ -196,13 +204,7 @@ class Tables:
     @cached_property
     def valuations(self) -> DataFrame:
         """One valuation per symbol and month, at its last bar."""
-        m = self.bars.groupBy("symbol", F.trunc("date", "MM").alias("m")).agg(
-            F.max("date").alias("date"),
-            F.max_by("close", "date").alias("close"),
-            F.avg("close").alias("avg_close"),
-            F.sum("amount").alias("amount"),
-        )
-        return m.select(
+        return self.months.select(
             "date",
             F.col("date").alias("available_date"),
             "symbol",

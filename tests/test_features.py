@@ -121,3 +121,19 @@ def test_forward_returns_with_stale_limit(spark):
     assert got[days[5]]["forward_return_20d"] is None  # last bar 20 days old
     assert got[days[5]]["forward_return_25d"] == pytest.approx(40 / 15 - 1)
     assert got[days[8]]["outcome_date_20d"] == days[28]
+
+
+def test_labels_in_one_pass_equal_the_two_lookups(spark):
+    days = [d.date() for d in pd.bdate_range("2020-01-01", periods=60)]
+    cal = calendar.calendar(spark.createDataFrame([(d,) for d in days], "date date"))
+    # day 6 has two bars: the larger counts, as in any as-of join
+    bars = [(s, days[i], 10.0 + i * k) for s, k in (("A", 1), ("B", 2)) for i in (0, 1, 5, 6, 30, 41)] + [("A", days[6], 99.0)]
+    bars = spark.createDataFrame(bars, "symbol string, date date, total_close double")
+    m = spark.createDataFrame([(days[i], s) for i in (5, 8, 28, 50) for s in "ABC"], "signal_date date, symbol string")
+    signals = m.select("signal_date").distinct()
+    one = panel.forward_labels(m, bars, cal, [3, 20], signals, 10)
+    two = panel.forward_returns(m, bars, cal, [3, 20], 10).join(panel.next_signal_return(m, bars, cal, signals, 10), ["signal_date", "symbol"])
+    rows = lambda df: sorted(map(tuple, df.select(*two.columns).collect()), key=str)
+    assert rows(one) == rows(two) and len(rows(one)) == 12
+    got = {(r["signal_date"], r["symbol"]): r for r in one.collect()}
+    assert got[days[8], "A"]["forward_return_3d"] == 0.0 and got[days[5], "A"]["forward_return_next_signal"] == pytest.approx(99 / 15 - 1)

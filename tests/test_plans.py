@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import registry
-from tidemark.operators import asof, diagnostics, features, market, pit, select, xsec
+from tidemark.operators import asof, diagnostics, features, market, panel, pit, select, xsec
 from tidemark.session import scratch_path, stage
 from tidemark.sources import sinks
 
@@ -47,6 +47,14 @@ def test_asof_on_bounded_rows_is_one_join_free_pass(stored):
     assert "Join" not in p
 
 
+def test_labels_read_and_shuffle_the_bars_once(stored):
+    cal = stored.select("date").distinct().withColumn("ord", F.date_diff("date", F.lit("2015-01-01").cast("date")) + 1)
+    signals = stage(cal.where("ord % 30 = 0").select(F.col("date").alias("signal_date")))
+    p = plan(panel.forward_labels(stage(signals.withColumn("symbol", F.lit(1).cast("long"))), stored, stage(cal), [21], signals))
+    assert p.count("total_close#") and sum("ReadSchema" in part and "total_close" in part for part in p.split("FileScan")) == 1
+    assert sum("Exchange hashpartitioning(symbol" in line for line in p.split("\n")) == 1
+
+
 def test_top_n_limits_groups_before_the_shuffle(stored):
     p = plan(select.top_n(stored, ["date"], [F.col("amount").desc(), F.col("symbol")], 2))
     assert p.count("WindowGroupLimit") == 2

@@ -17,6 +17,7 @@ def asof_backward(
     values: Sequence[str],
     strict: bool = False,
     bounded_left: bool = False,
+    bounded_right: bool = False,
 ) -> DataFrame:
     """Each left row takes the latest right row of its key dated on or before it.
 
@@ -25,16 +26,20 @@ def asof_backward(
     per (key, date) and the left side to its distinct (key, date) pairs: a key's window
     then holds at most two rows per calendar day, whatever share of the data it has.
     ``bounded_left`` says the left side already has a bounded number of rows per
-    (key, date), like bars do; its rows then ride along in the one shuffle.
+    (key, date), like bars do; its rows then ride along in the one shuffle.  ``bounded_right``
+    says the same of the right side: it is not reduced in a shuffle of its own, the largest of equal dates is last on the axis.
     """
     on = list(on)
-    facts = right.groupBy(*on, F.col(right_date).alias("_t")).agg(
-        F.max(F.struct(F.col(right_date).alias("_matched"), *values)).alias("_hit")
-    )
+    hit = F.struct(F.col(right_date).alias("_matched"), *values)
+    if bounded_right:
+        facts = right.select(*on, F.col(right_date).alias("_t"), hit.alias("_hit"))
+    else:
+        facts = right.groupBy(*on, F.col(right_date).alias("_t")).agg(F.max(hit).alias("_hit"))
     facts = facts.select(*on, "_t", F.lit(1 if strict else 0).alias("_side"), "_hit")
     hit_type = facts.schema["_hit"].dataType
     matched = F.col("_hit._matched").alias(f"matched_{right_date}")
     taken = [F.col(f"_hit.{v}").alias(v) for v in values]
+    order = ["_t", "_side", "_hit"] if bounded_right else ["_t", "_side"]
     if bounded_left:
         rows = left.select(
             *on, F.col(left_date).alias("_t"), F.lit(0 if strict else 1).alias("_side"),
@@ -42,7 +47,7 @@ def asof_backward(
         )
         row_type = rows.schema["_row"].dataType
         axis = facts.withColumn("_row", F.lit(None).cast(row_type)).unionByName(rows)
-        w = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         carried = axis.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
         return carried.select("_row.*", matched, *taken)
     probes = left.select(*on, F.col(left_date).alias("_t")).distinct()
@@ -51,7 +56,7 @@ def asof_backward(
     )
     w = (
         Window.partitionBy(*on)
-        .orderBy("_t", "_side")
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     carried = facts.unionByName(probes).withColumn("_hit", F.last("_hit", ignorenulls=True).over(w))

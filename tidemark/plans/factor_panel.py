@@ -77,7 +77,10 @@ def visible_inputs(members: DataFrame, facts: DataFrame, vals: DataFrame, metric
 
 
 def score_rows(inputs: DataFrame, names: Sequence[str], minimum: int, q: float) -> DataFrame:
-    """Long raw and z scores of every factor and of their equal-weight composite."""
+    """Long raw and z scores of every factor and of their equal-weight composite, both staged.
+
+    Rows of the composite carry ``available_factor_count``; it is null on the others, which saves a join of the long table.
+    """
     key = ["signal_date", "symbol"]
     cols = factor_values(inputs, names)
     long = inputs.select(*key, *[c.alias(n) for n, c in cols.items()]).unpivot(key, list(cols), "factor", "raw")
@@ -85,9 +88,7 @@ def score_rows(inputs: DataFrame, names: Sequence[str], minimum: int, q: float)
     z = stage(z)
     comp = select.mean_score(z, key, minimum, "raw").withColumn("factor", F.lit(COMPOSITE))
     comp = xsec.winsorised_z(comp, ["signal_date", "factor"], "raw", "z", q=q, minimum=3)
-    counts = comp.select(*key, "available_factor_count")
-    scores = z.unionByName(comp.select(z.columns))
-    return scores.join(counts, key)
+    return z.unionByName(stage(comp.select(*z.columns, "available_factor_count")), allowMissingColumns=True)
 
 
 def build_factor_panel(
@@ -117,7 +118,7 @@ def build_factor_panel(
     metrics = sorted({FACTORS[n][1] for n in names if FACTORS[n][1] not in VALUATION_INPUTS})
     inputs, used = visible_inputs(members, facts, valuations, metrics, fact_age, valuation_age)
     inputs = stage(inputs)
-    scores = stage(score_rows(inputs, names, minimum_factors, q))
+    scores = score_rows(inputs, names, minimum_factors, q)
     key = ["signal_date", "symbol"]
     mv = F.col("total_market_value_10k_cny")
     base = asof.industry_at(
@@ -126,11 +127,7 @@ def build_factor_panel(
     counts = scores.where(F.col("factor") == COMPOSITE).select(*key, "available_factor_count")
     only = members.select(*key)
     # the probes were the members themselves, so the facts used need no further filter
-    rows = (
-        base.join(counts, key, "left")
-        .join(labels.forward_returns(only, market, calendar, horizons, stale_days), key, "left")
-        .join(labels.next_signal_return(only, market, calendar, every, stale_days), key, "left")
-    )
+    rows = base.join(counts, key, "left").join(labels.forward_labels(only, market, calendar, horizons, every, stale_days), key, "left")
     return FactorPanel(stage(rows), scores.drop("available_factor_count"), used, names, horizons)
 
 
