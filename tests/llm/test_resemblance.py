@@ -103,3 +103,20 @@ def test_long_texts_with_a_common_header(frame):
     docs = frame(rows, "doc_id long, text string")
     for options in ({}, {"chunk": 4, "early": 1}):
         assert sorted(r.doc_id for r in resemblance.one_of_each(docs, **options).collect()) == slow_leaders(rows)
+
+
+def test_close_copies_are_candidates_by_fingerprint(frame, monkeypatch):
+    rng = random.Random(5)
+    words = ["w%d" % rng.randrange(5000) for _ in range(900)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join("v%d" % rng.randrange(5000) for _ in range(900))]
+    docs = frame(list(enumerate(texts)), "doc_id long, text string")
+    described = docs.select("doc_id", resemblance._described(docs["text"]).alias("d")).select("doc_id", "d.node", "d.fp")
+    found = {r["doc_id"]: r for r in described.collect()}
+    assert [r["fp"] % (1 << 64) for _, r in sorted(found.items())] == [resemblance.simhash.fingerprint(t.encode(), 5) for t in texts]
+    pairs = [tuple(r) for r in resemblance.fingerprint_pairs(described.select("node", "fp")).collect()]
+    assert pairs == [tuple(sorted((found[0]["node"], found[1]["node"])))]
+    # the stage asks the fingerprints, not the keys alone
+    asked = []
+    whole = resemblance.fingerprint_pairs
+    monkeypatch.setattr(resemblance, "fingerprint_pairs", lambda nodes: asked.append(1) or whole(nodes))
+    assert sorted(r["doc_id"] for r in resemblance.one_of_each(docs).collect()) == [0, 2] and asked

@@ -1,19 +1,23 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: every linked pair is found, every link is checked.
+"""Near-duplicates by SimHash, completed to exact Jaccard similarity: every linked pair is found, every link is checked.
 
-Two texts link when the Jaccard similarity of their sets of five-word shingles is 0.8 or more.  No radius of
-SimHash bits follows from a similarity, so candidates come from the sets themselves and none is lost:
+Two texts link when the Jaccard similarity of their sets of five-word shingles is 0.8 or more.  SimHash
+fingerprints of the same shingles, compared by their pivot tables (``simhash.py``), bring close copies
+together.  No radius of bits follows from a similarity, so what they miss comes from the sets themselves
+and no link is lost:
 
-1. Meeting.  Of sets A and B that link, A shares at least 0.8 |A| shingles with B.  In an order common to all
+1. Fingerprints.  Different fingerprints within ``simhash``'s radius of four bits, and sets of one fingerprint,
+   are candidates of the first round.
+2. Meeting.  Of sets A and B that link, A shares at least 0.8 |A| shingles with B.  In an order common to all
    sets (that of the hashes) the first |A| - ceil(0.8 |A|) + 1 shingles of A therefore hold one that is also
    among the first ones of B.  Each of these is a key.  Keys that more than ``CHUNK`` sets share are cut into
    chunks, and every pair of chunks is one group.
-2. Sketches.  A sketch is the parity of the shingles in each of so many cells as the set has shingles, or more,
+3. Sketches.  A sketch is the parity of the shingles in each of so many cells as the set has shingles, or more,
    so two sketches differ in no more cells than the sets do in shingles; linked sets differ in at most
    (|A| + |B|) / 9.  The wider of two sketches is folded to the width of the other.
-3. Close copies first.  The first ``EARLY`` keys alone bring nearly all close copies together.  A group yields a
-   spanning forest of what sketches allow, each edge is verified on the whole sets, and components of the links
-   merge.  Nothing is decided by what this misses.
-4. The rest, exactly.  Of all keys only those that different components share are left, which is few.  There a
+4. Close copies first.  Fingerprints and the first ``EARLY`` keys bring nearly all close copies together.  A group
+   of keys yields a spanning forest of what sketches allow; each candidate of both is verified on the whole sets, and
+   components of the links merge.  Nothing is decided by what this misses.
+5. The rest, exactly.  Of all keys only those that different components share are left, which is few.  There a
    group yields every pair of different components that sketches allow, one row a pair, to be verified.
 
 A pair is verified once, by joining both whole sets to it.  Components of all links by stars.
@@ -31,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import simhash
 from tidemark.llm.common import byte_strings
 from tidemark.llm.components import components
 from tidemark.session import discard, stage, stage_at
@@ -74,17 +79,18 @@ def folded(sketches: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
 
 
-_DESCRIBED = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_DESCRIBED = pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def _described(text: F.Column) -> F.Column:
-    @F.arrow_udf("struct<node:bigint,size:bigint,sketch:binary,prefix:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,fp:bigint,size:bigint,sketch:binary,prefix:array<bigint>>")
     def described(texts: pa.Array) -> pa.Array:
         out = []
         for t in byte_strings(texts):
             s = shingles(t)
             node = int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
-            out.append({"node": node, "size": len(s), "sketch": sketch(s), "prefix": s[: prefix_length(len(s))].view(np.int64).tolist()})
+            fp = int(np.uint64(simhash.fingerprint(t, SHINGLE)).view(np.int64))
+            out.append({"node": node, "fp": fp, "size": len(s), "sketch": sketch(s), "prefix": s[: prefix_length(len(s))].view(np.int64).tolist()})
         return pa.array(out, _DESCRIBED)
 
     return described.asNondeterministic()(text)
@@ -214,6 +220,20 @@ def _pairs(keyed: DataFrame, described: DataFrame, chunk: int, find) -> DataFram
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: candidates by SimHash of the sets ``node`` with fingerprint ``fp``.
+
+    Sets of one fingerprint meet its smallest set; the smallest sets of different fingerprints meet along the
+    spanning forests that ``simhash`` finds by pivot tables.
+    """
+    leads = nodes.groupBy("fp").agg(F.min("node").alias("lead"))
+    same = nodes.join(leads, "fp").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    lead = lambda k: leads.select(F.col("fp").alias(k), F.col("lead").alias(f"lead_{k}"))
+    near = simhash.link_fingerprints(leads.select("fp")).join(lead("a"), "a").join(lead("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+    met = same.unionByName(near).where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, first: DataFrame, narrow: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar; each text is shingled once, each pair meets both sets once."""
     spark = pairs.sparkSession
@@ -241,13 +261,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("digest"), F.col(f"`{text}`").alias("text"))
     rows, path = stage_at(narrow.select("doc_id", "digest", _described(F.col("text")).alias("d")).select("doc_id", "digest", "d.*"))
     first = F.min(F.struct("doc_id", "digest")).alias("first")
-    distinct = stage(rows.groupBy("node").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
+    distinct = stage(rows.groupBy("node").agg(first, F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
     rows, described = stage(rows.select("doc_id", "digest", "node")), path
     discard(docs.sparkSession, described)
 
     soon = distinct.select("node", F.explode(F.slice("prefix", 1, early)).alias("key"))
     sketched = distinct.select("node", F.struct("size", "sketch").alias("row"))
-    close = _verified(_pairs(soon, sketched, chunk, candidate_forest), distinct.select("node", "first"), narrow)
+    candidates = fingerprint_pairs(distinct.select("node", "fp")).unionByName(_pairs(soon, sketched, chunk, candidate_forest)).distinct()
+    close = _verified(candidates, distinct.select("node", "first"), narrow)
     merged = stage(components(close))
 
     rooted = distinct.join(merged, "node", "left").withColumn("root", F.coalesce("root", "node"))
