@@ -43,8 +43,10 @@ def _(t):
 
 
 def selected(t, n=20):
-    s = price_scores.monthly_top(t.month_features, t.industries, n=n, min_amount=1000.0)
-    return s.join(t.month_features.select("signal_date", "symbol", "volatility", F.col("close").alias("signal_close")), ["signal_date", "symbol"])
+    # the rolling features are computed once: scores and the selected rows read the same table of month ends
+    f = stage(t.month_features.select(*price_scores.INPUTS))
+    s = price_scores.monthly_top(f, t.industries, n=n, min_amount=1000.0)
+    return s.join(f.select("signal_date", "symbol", "volatility", F.col("close").alias("signal_close")), ["signal_date", "symbol"])
 
 
 _TOP = """(SELECT s.*, f.volatility, f.close AS signal_close, row_number() OVER (PARTITION BY signal_date ORDER BY score DESC, symbol) AS rank

@@ -226,7 +226,8 @@ def _(t):
 def _(t):
     from tidemark.operators.market import enough_candidates
 
-    return enough_candidates(price_scores.candidates(t.month_features, t.industries, min_amount=1000.0), 60)
+    c = price_scores.candidates(t.month_features, t.industries, min_amount=1000.0)
+    return enough_candidates(stage(c.select("signal_date", "symbol")), 60)  # counted, then met again
 
 
 @query("R9_weighted_price_score", "signal_date:d symbol:i score:f", "SELECT * FROM price_score")

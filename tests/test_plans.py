@@ -133,3 +133,12 @@ def test_bars_read_four_columns(spark):
     assert sorted(c.split(":")[0] for c in schema.split("<", 1)[1].rstrip(">").split(",")) == [
         "l_extendedprice", "l_quantity", "l_shipdate", "l_suppkey"
     ]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_rolling_features_are_not_computed_again_for_what_follows_the_ranking(spark):
+    from registry import allocation
+    from registry.tables import Tables
+
+    for df in (allocation.selected(Tables(spark, SF)), registry.spark_query(registry.QUERIES["P12_minimum_candidate_count"])(spark, SF)):
+        assert "lineitem" not in plan(df)

@@ -13,6 +13,8 @@ REQUIRED = [
     "avg_amount_20", "log_total_mv",
 ]
 _KEY = ["signal_date", "symbol"]
+# what candidates and scores read of a table of features
+INPUTS = [*_KEY, "date", "close", "is_st", "history_days", "total_mv", *[c for c in REQUIRED if c != "log_total_mv"]]
 
 
 def candidates(
