@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import registry
 from tidemark.operators import asof, diagnostics, features, market, panel, pit, select, xsec
 from tidemark.session import scratch_path, stage
-from tidemark.sources import sinks
+from tidemark.sources import landing, sinks
 
 SF = "/root/testdata/sf0.001"
 registry.load()
@@ -34,6 +34,16 @@ def test_all_features_share_one_shuffle(stored):
     assert p.count("Exchange hashpartitioning") == 1 and "Python" not in p
 
 
+def test_synthetic_grid_is_never_shuffled(spark, stored):
+    days = stored.select("date").distinct().select("date", F.date_diff("date", F.lit("2015-01-01").cast("date")).alias("ord"))
+    market = landing.synthetic_market(days, spark.range(4).coalesce(1).select(F.col("id").alias("symbol")), 7)
+    p = plan(market)
+    above_the_grid = p[:p.index("NestedLoopJoin")]
+    assert "Exchange" not in above_the_grid and above_the_grid.count("Window [") == 1
+    rows = market.orderBy("symbol", "date").collect()
+    assert len(rows) == 2000 and all(b["prev_close"] == (a["close"] if a["symbol"] == b["symbol"] else b["close"]) for a, b in zip(rows, rows[1:]))
+
+
 def test_range_limit_reaches_the_scan(stored):
     p = plan(features.price_features(stored.drop("unused"), end="2016-01-01"))
     scan = p[p.index("PushedFilters"):]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,30 +178,37 @@ def last_manifest(manifests: DataFrame) -> DataFrame:
 def synthetic_market(cal: DataFrame, symbols: DataFrame, seed: int, daily_volatility: float = 0.02) -> DataFrame:
     """Seeded demo bars: correlated random-walk prices with OHLC, limits and volumes.
 
-    Draws come from a hash of (symbol, day, seed), so a row is the same on any
+    Draws come from a hash of (seed, symbol, day), so a row is the same on any
     partitioning and any cluster size.  Normal draws use the Box-Muller transform.
+    Symbols are dealt to tasks before their days are made: the grid itself is never
+    shuffled, however few files or tasks the symbols come in.
     """
     def uniform(tag: str, *keys: str) -> Column:
-        body = F.concat_ws(":", F.lit(f"{seed}:{tag}"), *[F.col(k).cast("string") for k in keys])
-        return (F.conv(F.substring(F.sha2(body, 256), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(f"{seed}:{tag}"), *keys), 12)
+        return (bits.cast("double") + 0.5) / float(2**52)
 
     def normal(tag: str, *keys: str) -> Column:
         return F.sqrt(-2 * F.ln(uniform(tag + "a", *keys))) * F.cos(2 * F.pi() * uniform(tag + "b", *keys))
 
-    from pyspark.sql import Window
-
-    days = cal.withColumn("_m", normal("market", "ord"))
-    grid = symbols.select("symbol").crossJoin(F.broadcast(days))  # the calendar is bounded
-    w = Window.partitionBy("symbol").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    step = daily_volatility * (0.6 * F.col("_m") + 0.8 * normal("own", "symbol", "ord"))
-    df = grid.withColumn("close", 10 * F.exp(F.sum(step).over(w)))
-    prev = F.lag("close").over(Window.partitionBy("symbol").orderBy("ord"))
-    df = df.withColumn("prev_close", F.coalesce(prev, F.col("close")))
-    df = df.withColumn("open", F.col("prev_close") * (1 + 0.2 * daily_volatility * normal("open", "symbol", "ord")))
-    reach = 1 + daily_volatility * uniform("range", "symbol", "ord")
+    spark = symbols.sparkSession
+    days = cal.withColumn("ord", F.col("ord").cast("long")).withColumn("_m", normal("market", "ord"))
+    named = symbols.select("symbol", F.xxhash64(F.col("symbol").cast("string")).alias("_s"))
+    # a count of partitions is asked for by name, or AQE would join the few bytes of the symbols into one task
+    dealt = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "symbol")
+    grid = dealt.crossJoin(F.broadcast(days))  # the calendar is bounded
+    w = Window.partitionBy("symbol").orderBy("ord")
+    step = daily_volatility * (0.6 * F.col("_m") + 0.8 * normal("own", "_s", "ord"))
+    df = grid.withColumn("_step", step).select(
+        "*",
+        (10 * F.exp(F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))).alias("close"),
+        (10 * F.exp(F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, -1)))).alias("_before"),
+    )
+    df = df.withColumn("prev_close", F.coalesce("_before", "close"))
+    df = df.withColumn("open", F.col("prev_close") * (1 + 0.2 * daily_volatility * normal("open", "_s", "ord")))
+    reach = 1 + daily_volatility * uniform("range", "_s", "ord")
     return df.select(
         "date", "symbol", "open",
         (F.greatest("open", "close") * reach).alias("high"), (F.least("open", "close") / reach).alias("low"), "close", "prev_close",
-        F.floor(1e5 * (1 + uniform("volume", "symbol", "ord"))).cast("double").alias("volume"),
+        F.floor(1e5 * (1 + uniform("volume", "_s", "ord"))).cast("double").alias("volume"),
         (F.col("prev_close") * 1.1).alias("up_limit"), (F.col("prev_close") * 0.9).alias("down_limit"),
     )
