@@ -57,6 +57,16 @@ def test_price_features_equal_pandas(bars):
     assert got["information_discreteness"].notna().any()
 
 
+def test_look_back_that_is_no_multiple_of_a_block(bars):
+    pdf, df = bars
+    got = features.price_features(df, vol_lookback=47).orderBy("symbol", "date").toPandas()
+    r = pdf.sort_values(["symbol", "date"]).groupby("symbol")["total_close"].transform(lambda p: p.pct_change(fill_method=None))
+    roll = lambda x, f: f(x.groupby(pdf["symbol"]).rolling(47, min_periods=37)).to_numpy(float) * np.sqrt(252)
+    np.testing.assert_allclose(got["volatility"].to_numpy(float), roll(r, lambda x: x.std(ddof=0)), atol=1e-9, equal_nan=True)
+    down = roll(r.clip(upper=0).pow(2), lambda x: np.sqrt(x.mean()))
+    np.testing.assert_allclose(got["downside_volatility"].to_numpy(float), down, atol=1e-9, equal_nan=True)
+
+
 def test_no_look_ahead(bars):
     _, df = bars
     cut = dt.date(2019, 3, 1)

@@ -1,6 +1,7 @@
 """Physical plans: one shuffle per window family, pruned scans, no products, no Python in the hot path."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ def test_all_features_share_one_shuffle(stored):
     assert p.count("Exchange hashpartitioning") == 1 and "Python" not in p
 
 
+def test_no_long_frame_is_slid(stored):
+    p = plan(features.liquidity_features(features.price_features(stored)))
+    slid = [int(n) for n in re.findall(r"specifiedwindowframe\(RowFrame, -(\d+), currentrow", p)]
+    assert slid and max(slid) < features.BLOCK
+
+
 def test_synthetic_grid_is_never_shuffled(spark, stored):
     days = stored.select("date").distinct().select("date", F.date_diff("date", F.lit("2015-01-01").cast("date")).alias("ord"))
     market = landing.synthetic_market(days, spark.range(4).coalesce(1).select(F.col("id").alias("symbol")), 7)

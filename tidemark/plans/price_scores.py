@@ -55,7 +55,8 @@ def scored_candidates(
     """Candidates with the weighted score before and after neutralisation."""
     from tidemark.session import stage
 
-    cands = stage(candidates(features, industries, **filters))
+    # windows below carry no column that nobody reads: rows of many columns make generated methods the JVM does not compile
+    cands = stage(candidates(features.select(*INPUTS), industries, **filters))
     _, score = price_score(cands, profile_weights(profile), q)
     sized = xsec.winsorised_z(
         cands.select(*_KEY, "industry_code", "log_total_mv"), ["signal_date"], "log_total_mv", "z_size", q, 2, "zero"
