@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from registry import QUERIES, allocation, execution_tables, query, research  # noqa: F401
-from tidemark.session import scratch_path
+from registry.tables import Tables
+from tidemark.plans import price_scores
+from tidemark.session import scratch_path, stage
 from tidemark.sources import sinks
 
 # table of a bundle -> (the query that fills it, its date column)
@@ -22,6 +24,14 @@ REPORT = {
 }
 
 
+def shared(t) -> Tables:
+    """The tables with what several parts of a report read staged once: the bars and the features at month ends."""
+    once = Tables(t.spark, t.sf_dir)
+    once.bars = stage(once.bars)
+    once.month_features = stage(once.month_features.select(*price_scores.INPUTS, "amount", "volume"))
+    return once
+
+
 def _bundle(t, tables):
     out = {name: QUERIES[q].build(t).select(*[c for c, _ in QUERIES[q].columns]) for name, (q, _) in tables.items()}
     return sinks.write_bundle(out, scratch_path(t.spark, "bundle"), {name: day for name, (_, day) in tables.items() if day})
@@ -45,4 +55,4 @@ def _(t):
 
 @query("K9_report_bundle", _COLUMNS, _bundle_sql(REPORT))
 def _(t):
-    return _bundle(t, REPORT)
+    return _bundle(shared(t), REPORT)

@@ -159,3 +159,11 @@ def test_rolling_features_are_not_computed_again_for_what_follows_the_ranking(sp
 
     for df in (allocation.selected(Tables(spark, SF)), registry.spark_query(registry.QUERIES["P12_minimum_candidate_count"])(spark, SF)):
         assert "lineitem" not in plan(df)
+
+
+def test_report_bundle_stages_what_its_tables_share(spark):
+    from registry import bundles
+    from registry.tables import Tables
+
+    once = bundles.shared(Tables(spark, SF))
+    assert all("Exchange" not in plan(df) and "Window" not in plan(df) for df in (once.bars, once.month_features))
