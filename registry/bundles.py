@@ -32,6 +32,13 @@ def shared(t) -> Tables:
     return once
 
 
+def whole(t) -> Tables:
+    """The tables of a research bundle: every diagnostic is made once, for its own table, its summary and the governance."""
+    once = Tables(t.spark, t.sf_dir)
+    once.parts = {}
+    return once
+
+
 def _bundle(t, tables):
     out = {name: QUERIES[q].build(t).select(*[c for c, _ in QUERIES[q].columns]) for name, (q, _) in tables.items()}
     return sinks.write_bundle(out, scratch_path(t.spark, "bundle"), {name: day for name, (_, day) in tables.items() if day})
@@ -50,7 +57,7 @@ _COLUMNS = "table_name:s rows:i first_day:d last_day:d"
 
 @query("K7_research_bundle", _COLUMNS, _bundle_sql(RESEARCH))
 def _(t):
-    return _bundle(t, RESEARCH)
+    return _bundle(whole(t), RESEARCH)
 
 
 @query("K9_report_bundle", _COLUMNS, _bundle_sql(REPORT))

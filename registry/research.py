@@ -13,7 +13,8 @@ from tidemark.operators import diagnostics as dx
 from tidemark.operators import asof, select, xsec
 from tidemark.plans import governance, price_scores
 from tidemark.session import stage
-from tidemark.plans.factor_panel import build_factor_panel, build_score_panel
+from tidemark.operators.calendar import month_ends
+from tidemark.plans.factor_panel import build_factor_panel, build_score_panel, score_members
 
 NAMES = [
     "roe_quality", "gross_margin_quality", "low_leverage_quality", "revenue_growth", "earnings_growth",
@@ -142,8 +143,8 @@ ORACLE_VIEWS["rolling_rows"] = evidence_sql(ROLLING_SRC, "window_no, train_start
 _PANELS: dict = {}
 
 
-def factor_panel(t):
-    """One materialised panel per session and table folder; every diagnostic reads it."""
+def panels(t):
+    """(panel, scored members of all month ends): materialised once per session and table folder; every diagnostic reads the panel."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
     if key not in _PANELS:
         b = Tables(t.spark, t.sf_dir)
@@ -152,19 +153,53 @@ def factor_panel(t):
         b.months = stage(b.months)
         # row hashes travel as 32 bytes, which sort as their hex digits do
         b.fact_rows = b.fact_rows.withColumn("source_row_sha256", F.unhex("source_row_sha256"))
+        scored = score_members(month_ends(b.calendar), b.membership, b.facts, b.valuations, NAMES, 4, valuation_age=45)
         built = build_factor_panel(
             calendar=b.calendar, membership=b.membership, industries=b.industries, market=b.market, facts=b.facts,
-            valuations=b.valuations, names=NAMES, horizons=(21, 63), minimum_factors=4, valuation_age=45,
+            valuations=b.valuations, names=NAMES, horizons=(21, 63), minimum_factors=4, valuation_age=45, scored=scored,
         )
         text = built.lineage.withColumn("source_row_sha256", F.lower(F.hex("source_row_sha256")))
-        _PANELS[key] = replace(built, lineage=text)
+        _PANELS[key] = replace(built, lineage=text), scored
     return _PANELS[key]
 
 
+def factor_panel(t):
+    return panels(t)[0]
+
+
 def long_panel(t):
     return factor_panel(t).with_scores()
 
 
+def labelled_panel(t):
+    """The panel; in a bundle with the fifth of each score, which buckets and books read."""
+    if t.parts is None:
+        return long_panel(t)
+    returns = [c for c in long_panel(t).columns if c.startswith("forward_return_")]
+    return kept(t, "labelled", lambda: dx.score_quantiles(long_panel(t), 5).select("signal_date", "symbol", "factor", "quantile", *returns))
+
+
+def kept(t, name, make):
+    """A table that several queries of a bundle read: staged once in ``t.parts``, or just made for a query by itself."""
+    if t.parts is None:
+        return make()
+    if name not in t.parts:
+        t.parts[name] = stage(make())
+    return t.parts[name]
+
+
+def diagnostic(t, name):
+    make = {
+        "coverage": lambda: dx.coverage(long_panel(t)),
+        "rank_ic": lambda: dx.rank_ic(long_panel(t), [21, 63], MIN_OBS),
+        "quantile_returns": lambda: dx.quantile_returns(labelled_panel(t), [21, 63], 5),
+        "exposures": lambda: dx.exposures(long_panel(t)),
+        "rolling": lambda: dx.rolling_validation(long_panel(t).where(F.col("factor") == factors.COMPOSITE), [21, 63], 2, 1, 5, MIN_OBS),
+        "cost_stress": lambda: dx.cost_stress(labelled_panel(t), 5, [5.0, 10.0, 20.0]),
+    }
+    return kept(t, name, make[name])
+
+
 @query(
     "R7_zscore_zero_policy",
     "signal_date:d symbol:i z:f",
@@ -342,8 +377,9 @@ def _(t):
        LEFT JOIN panel_vals v USING (signal_date, symbol) WHERE s.factor = 'pit_composite'""",
 )
 def _(t):
+    # a bundle has scored these dates for its factor panel
     return build_score_panel(
-        calendar=t.calendar, membership=t.membership, facts=t.facts, valuations=t.valuations, names=NAMES, minimum_factors=4, valuation_age=45
+        scored=None if t.parts is None else panels(t)[1], calendar=t.calendar, membership=t.membership, facts=t.facts, valuations=t.valuations, names=NAMES, minimum_factors=4, valuation_age=45
     )
 
 
@@ -354,12 +390,12 @@ def _(t):
        count(z) AS valid_observations, count(z) / max(universe_size) AS coverage FROM panel_long GROUP BY 1, 2""",
 )
 def _(t):
-    return dx.coverage(long_panel(t))
+    return diagnostic(t, "coverage")
 
 
 @query("R21_rank_ic", "signal_date:d factor:s horizon_days:i observations:i spearman_ic:f", "SELECT * FROM ic_rows")
 def _(t):
-    return dx.rank_ic(long_panel(t), [21, 63], MIN_OBS)
+    return diagnostic(t, "rank_ic")
 
 
 @query(
@@ -368,7 +404,7 @@ def _(t):
     "SELECT * FROM ic_summary",
 )
 def _(t):
-    return dx.summarise_ic(dx.rank_ic(long_panel(t), [21, 63], MIN_OBS))
+    return dx.summarise_ic(diagnostic(t, "rank_ic"))
 
 
 @query(
@@ -377,7 +413,7 @@ def _(t):
     "SELECT * FROM quantile_rows",
 )
 def _(t):
-    return dx.quantile_returns(long_panel(t), [21, 63], 5)
+    return diagnostic(t, "quantile_returns")
 
 
 @query(
@@ -386,7 +422,7 @@ def _(t):
     "SELECT * FROM quantile_summary",
 )
 def _(t):
-    return dx.summarise_quantiles(dx.quantile_returns(long_panel(t), [21, 63], 5), 5)
+    return dx.summarise_quantiles(diagnostic(t, "quantile_returns"), 5)
 
 
 @query(
@@ -395,7 +431,7 @@ def _(t):
     "SELECT * FROM exposure_rows",
 )
 def _(t):
-    return dx.exposures(long_panel(t))
+    return diagnostic(t, "exposures")
 
 
 @query(
@@ -404,7 +440,7 @@ def _(t):
     "SELECT * FROM exposure_summary",
 )
 def _(t):
-    return dx.summarise_exposures(dx.exposures(long_panel(t)))
+    return dx.summarise_exposures(diagnostic(t, "exposures"))
 
 
 _EV = "valid_ic_periods:i mean_ic:f positive_ic_ratio:f valid_spread_periods:i top_minus_bottom_mean_return:f"
@@ -447,8 +483,7 @@ def _(t):
     "SELECT * FROM rolling_rows",
 )
 def _(t):
-    comp = long_panel(t).where(F.col("factor") == factors.COMPOSITE)
-    return dx.rolling_validation(comp, [21, 63], 2, 1, 5, MIN_OBS).withColumnRenamed("window", "window_no")
+    return diagnostic(t, "rolling").withColumnRenamed("window", "window_no")
 
 
 @query(
@@ -457,7 +492,7 @@ def _(t):
     "SELECT * FROM cost_rows",
 )
 def _(t):
-    return dx.cost_stress(long_panel(t), 5, [5.0, 10.0, 20.0])
+    return diagnostic(t, "cost_stress")
 
 
 @query(
@@ -467,7 +502,7 @@ def _(t):
     "SELECT * FROM cost_summary",
 )
 def _(t):
-    return dx.summarise_costs(dx.cost_stress(long_panel(t), 5, [5.0, 10.0, 20.0]))
+    return dx.summarise_costs(diagnostic(t, "cost_stress"))
 
 
 _GATE_VALUES = """SELECT (SELECT count(DISTINCT signal_date) FROM panel_rows) AS signal_dates,
@@ -490,8 +525,14 @@ _OPS = {"ge": ">=", "gt": ">", "le": "<="}
     + ") SELECT *, bool_and(passed) OVER () AS all_passed, CASE WHEN bool_and(passed) OVER () THEN 'eligible_for_manual_candidate_review' ELSE 'insufficient_consistent_evidence' END AS decision FROM c",
 )
 def _(t):
-    p = long_panel(t)
-    comp = p.where(F.col("factor") == factors.COMPOSITE)
+    if t.parts is not None:
+        comp = lambda name: diagnostic(t, name).where(F.col("factor") == factors.COMPOSITE)
+        ev = governance.factor_evidence(
+            comp("coverage"), dx.summarise_ic(comp("rank_ic").where("horizon_days = 21")), dx.summarise_quantiles(comp("quantile_returns").where("horizon_days = 21"), 5),
+            dx.summarise_exposures(comp("exposures")), diagnostic(t, "rolling"), dx.summarise_costs(comp("cost_stress").where("cost_bps_per_traded_side = 20")), 21, 20.0,
+        )
+        return governance.factor_governance(ev, True)
+    comp = long_panel(t).where(F.col("factor") == factors.COMPOSITE)
     ev = governance.factor_evidence(
         dx.coverage(comp), dx.summarise_ic(dx.rank_ic(comp, [21], MIN_OBS)),
         dx.summarise_quantiles(dx.quantile_returns(comp, [21], 5), 5), dx.summarise_exposures(dx.exposures(comp)),

@@ -32,6 +32,7 @@ _CALENDARS: dict[tuple[str, str], DataFrame] = {}
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self.parts: dict[str, DataFrame] | None = None  # a bundle keeps here what several of its tables read
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

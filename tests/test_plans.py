@@ -167,3 +167,39 @@ def test_report_bundle_stages_what_its_tables_share(spark):
 
     once = bundles.shared(Tables(spark, SF))
     assert all("Exchange" not in plan(df) and "Window" not in plan(df) for df in (once.bars, once.month_features))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_research_bundle_makes_every_diagnostic_once(spark, monkeypatch):
+    from registry import QUERIES, bundles, research
+    from registry.tables import Tables
+
+    made = []
+    for name in ("rank_ic", "quantile_returns", "exposures", "cost_stress", "rolling_validation", "coverage"):
+        real = getattr(diagnostics, name)
+        monkeypatch.setattr(diagnostics, name, lambda *a, _name=name, _real=real, **k: made.append(_name) or _real(*a, **k))
+    scored = []
+    monkeypatch.setattr("tidemark.plans.factor_panel.member_rows", lambda *a, _real=research.build_score_panel.__globals__["member_rows"]: scored.append(1) or _real(*a))
+    monkeypatch.setattr(research, "_PANELS", {})
+    once = bundles.whole(Tables(spark, SF))
+    for query, _ in bundles.RESEARCH.values():
+        QUERIES[query].build(once)
+    assert sorted(made) == sorted(set(made)) and len(made) == 6
+    assert len(scored) == 1
+
+
+def test_rank_correlation_moves_its_pairs_twice(spark, stored):
+    scores = stage(stored.select(F.col("symbol").alias("g"), "date", "amount", "volume"))
+    windows = [line for line in plan(xsec.spearman(scores, ["g"], "amount", "volume", 3, "c", "date", 5)).split("\n") if "Window [" in line and "rank(" in line]
+    assert len(windows) == 2
+
+
+def test_rank_correlation_with_ends_equals_rank_and_label_by_themselves(spark):
+    rows = [(i % 3, i, float(i * 7 % 11) if i % 13 else None, float(i * 5 % 17)) for i in range(120)]
+    df = stage(spark.createDataFrame(rows, "g long, s long, x double, y double"))
+    both = df.where("x IS NOT NULL")
+    want = {r["g"]: (r["b"], r["t"]) for r in xsec.quantile_label(both, ["g"], "x", "s", 5).groupBy("g").agg(
+        F.avg(F.when(F.col("quantile") == 1, F.col("y"))).alias("b"), F.avg(F.when(F.col("quantile") == 5, F.col("y"))).alias("t")).collect()}
+    plain = {r["g"]: r["c"] for r in xsec.spearman(df, ["g"], "x", "y", 3, "c", "s").collect()}
+    for r in xsec.spearman(df, ["g"], "x", "y", 3, "c", "s", 5).collect():
+        assert r["c"] == plain[r["g"]] and (r["bottom"], r["top"]) == pytest.approx(want[r["g"]])

@@ -67,13 +67,20 @@ def summarise_ic(ic: DataFrame) -> DataFrame:
     )
 
 
+def score_quantiles(df: DataFrame, q: int) -> DataFrame:
+    """``df`` with the score bucket of each row (``quantile``), which ``quantile_returns`` and ``cost_stress`` then take as it is."""
+    return xsec.quantile_label(df, _DF, "z", "symbol", q)
+
+
 def quantile_returns(df: DataFrame, horizons: Sequence[int], q: int = 5) -> DataFrame:
     """Mean and median forward return per score bucket; buckets are cut on all scored rows."""
     if q < 2:
         raise ValueError("q must be at least 2")
-    labelled = xsec.quantile_label(df, _DF, "z", "symbol", q).where(F.col("quantile").isNotNull())
+    labelled = (df if "quantile" in df.columns else score_quantiles(df, q)).where(F.col("quantile").isNotNull())
     returns = [f"forward_return_{h}d" for h in horizons]
-    labelled = stage(labelled.select("signal_date", "symbol", "factor", "quantile", *returns))  # moments and medians read it
+    labelled = labelled.select("signal_date", "symbol", "factor", "quantile", *returns)
+    if "quantile" not in df.columns:
+        labelled = stage(labelled)  # moments and medians read it
     long = horizons_long(labelled, horizons, ["signal_date", "symbol", "factor", "quantile"])
     by = ["signal_date", "factor", "horizon_days", "quantile"]
     s = summarise(long, by, "ret")
@@ -144,20 +151,15 @@ def score_evidence(df: DataFrame, by: Sequence[str], q: int, minimum: int) -> Da
     by = list(by)
     per = [*by, "signal_date"]
     sample = df.where(F.col("score").isNotNull() & F.col("ret").isNotNull())
-    ic = xsec.spearman(sample, per, "score", "ret", minimum, "ic", "symbol")
-    labelled = xsec.quantile_label(sample, per, "score", "symbol", q)
-    side = lambda k: F.avg(F.when(F.col("quantile") == k, F.col("ret")))
-    spread = labelled.groupBy(*per).agg((side(q) - side(1)).alias("spread"))
-    ic_sum = ic.groupBy(*by).agg(
+    dated = xsec.spearman(sample, per, "score", "ret", minimum, "ic", "symbol", q).withColumn("spread", F.col("top") - F.col("bottom"))
+    summed = dated.groupBy(*by).agg(
         F.count("ic").alias("valid_ic_periods"), F.avg("ic").alias("mean_ic"),
         F.avg(F.when(F.col("ic").isNotNull(), (F.col("ic") > 0).cast("double"))).alias("positive_ic_ratio"),
-    )
-    sp_sum = spread.groupBy(*by).agg(
-        F.count("spread").alias("valid_spread_periods"), F.avg("spread").alias("top_minus_bottom_mean_return")
+        F.count("spread").alias("valid_spread_periods"), F.avg("spread").alias("top_minus_bottom_mean_return"),
     )
     every = df.select(*by).distinct()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return every.join(ic_sum, by, "left").join(sp_sum, by, "left").select(
+    return every.join(summed, by, "left").select(
         *by, zero("valid_ic_periods"), "mean_ic", "positive_ic_ratio", zero("valid_spread_periods"),
         "top_minus_bottom_mean_return",
     )
@@ -178,7 +180,9 @@ def ablation(
         z = F.when(F.col("factor") != removed, F.col("z"))
         need = max(2, math.ceil(size / 2))
         aggs.append(F.when(F.count(z) >= need, F.avg(z)).alias(f"_{i}"))
-    wide = scores.where(F.col("factor").isin(*names)).groupBy(*key).agg(*aggs)
+    # counts, ranks and groups read it, so it is staged while it still has one row a name
+    returns = rows.select(*key, *[f"forward_return_{h}d" for h in horizons])
+    wide = stage(scores.where(F.col("factor").isin(*names)).groupBy(*key).agg(*aggs).join(returns, key))
     each = F.array(
         *[
             F.struct(
@@ -188,8 +192,7 @@ def ablation(
             for i, (v, r, n) in enumerate(cases)
         ]
     )
-    long = wide.select(*key, F.explode(each).alias("x")).select(*key, "x.*")
-    labelled = long.join(rows.select(*key, *[f"forward_return_{h}d" for h in horizons]), key)
+    labelled = wide.select(*key, *returns.columns[2:], F.explode(each).alias("x")).select(*key, *returns.columns[2:], "x.*")
     meta = ["variant", "removed_factor", "included_factor_count", "minimum_available_factor_count"]
     return score_evidence(horizons_long(labelled, horizons, [*key, *meta, "score"]), [*meta, "horizon_days"], q, minimum)
 
@@ -237,7 +240,7 @@ def cost_stress(
     costs = sorted({float(c) for c in costs})
     if not costs or costs[0] < 0:
         raise ValueError("costs must be non-negative")
-    labelled = xsec.quantile_label(df, _DF, "z", "symbol", q)
+    labelled = df if "quantile" in df.columns else score_quantiles(df, q)
     top = stage(labelled.where(F.col("quantile") == q).select(*_DF, "symbol", ret))  # its size and its book read it
     size = top.groupBy(*_DF).agg(
         F.count(F.lit(1)).alias("holdings"), F.count(ret).alias("realized_outcomes"), F.avg(ret).alias("gross_return")

@@ -104,19 +104,29 @@ def _buckets(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def average_rank(
     df: DataFrame, by: Sequence[str], value: str, out: str, key: str | None = None, centred: bool = False,
+    like: DataFrame | None = None, label: tuple[int, str, str] | None = None,
 ) -> DataFrame:
     """1-based rank where equal values share the mean of their places; null stays null.
 
     ``key`` spreads the rows without a value over several tasks.  ``centred`` gives the rank
-    less the mean rank of its group, so that a constant side is exactly zero.
+    less the mean rank of its group, so that a constant side is exactly zero.  ``like`` has the same
+    groups and values as ``df`` and is counted instead of it where ``df`` is dear to compute twice.
+    ``label`` (q, tie, column) adds what ``quantile_label`` gives, from the same shuffle.
     """
     by = list(by)
     rows = _bucketed(df, value, key)
+    buckets = _buckets(rows if like is None else _bucketed(like, value, key), by, value)
     inside = Window.partitionBy(*by, "_vb").orderBy(value)
+    if label is not None:
+        q, tie, named = label
+        rows = rows.withColumn("_no", F.row_number().over(Window.partitionBy(*by, "_vb").orderBy(value, tie)))
     numbered = rows.withColumns({
         "_in": F.rank().over(inside), "_same": F.count(F.lit(1)).over(inside.rangeBetween(Window.currentRow, Window.currentRow)),
     })
-    placed = numbered.join(_buckets(rows, by, value).select(*by, "_vb", "_before", "_n"), [*by, "_vb"], "left")
+    bounds = [] if label is None else ["_min", "_max"]
+    placed = numbered.join(buckets.select(*by, "_vb", "_before", "_n", *bounds), [*by, "_vb"], "left")
+    if label is not None:
+        placed = placed.withColumn(named, F.when(F.col(value).isNotNull(), _label(F.col("_no"), q))).drop("_no", *bounds)
     # rows without a value find no bucket, so their rank stays null
     rank = F.col("_before") + F.col("_in") + (F.col("_same") - 1) / 2
     return placed.withColumn(out, rank - (F.col("_n") + 1) / 2 if centred else rank).drop("_vb", "_in", "_same", "_before", "_n")
@@ -215,6 +225,13 @@ def winsorised_z(
     )
 
 
+def _label(number: Column, q: int) -> Column:
+    """Bucket 1..q of the ``number``-th row of its bucket of values."""
+    place = F.col("_before") + number - 1
+    label = F.greatest(F.lit(1), F.ceil(place * F.lit(q) / F.nullif(F.col("_n") - 1, F.lit(0))))
+    return F.when((F.col("_n") >= 2 * q) & (F.col("_min") < F.col("_max")), label).cast("int")
+
+
 def quantile_label(
     df: DataFrame, by: Sequence[str], score: str, tie: str, q: int, out: str = "quantile"
 ) -> DataFrame:
@@ -225,10 +242,7 @@ def quantile_label(
     placed = rows.withColumn("_in", F.row_number().over(inside)).join(
         _buckets(rows, by, score).select(*by, "_vb", "_before", "_n", "_min", "_max"), [*by, "_vb"], "left"
     )
-    place = F.col("_before") + F.col("_in") - 1
-    label = F.greatest(F.lit(1), F.ceil(place * F.lit(q) / F.nullif(F.col("_n") - 1, F.lit(0))))
-    usable = (F.col("_n") >= 2 * q) & (F.col("_min") < F.col("_max"))
-    return placed.withColumn(out, F.when(usable, label).cast("int")).drop("_vb", "_in", "_before", "_n", "_min", "_max")
+    return placed.withColumn(out, _label(F.col("_in"), q)).drop("_vb", "_in", "_before", "_n", "_min", "_max")
 
 
 def neutralise(
@@ -270,7 +284,7 @@ def neutralise(
 
 
 def spearman(
-    df: DataFrame, by: Sequence[str], first: str, second: str, minimum: int = 2, out: str = "spearman", key: str | None = None,
+    df: DataFrame, by: Sequence[str], first: str, second: str, minimum: int = 2, out: str = "spearman", key: str | None = None, q: int = 0,
 ) -> DataFrame:
     """Rank correlation per group over rows where both values are present.
 
@@ -278,12 +292,20 @@ def spearman(
     below ``minimum`` pairs or when either side is constant.  Both sides are ranked
     together as rows of one table and meet again by ``key``, which names a row within
     its group; without a key they are ranked one after the other.
+
+    With ``q`` each pair carries its first rank along when it is ranked by the other side, so it moves
+    twice and no more.  The pairs are then also cut into buckets 1..q of ``first`` (ties by ``key``), and ``bottom`` and ``top``
+    are the means of ``second`` in the first and the last.
     """
     by = list(by)
     both = F.col(first).isNotNull() & F.col(second).isNotNull()
-    if key is None:
-        pairs = df.select(*by, F.when(both, F.col(first)).alias("_x1"), F.when(both, F.col(second)).alias("_x2"))
-        ranked = average_rank(average_rank(pairs, by, "_x1", "_r1", centred=True), by, "_x2", "_r2", centred=True)
+    ends = []
+    if q or key is None:
+        pairs = df.select(*by, F.when(both, F.col(first)).alias("_x1"), F.when(both, F.col(second)).alias("_x2"), *([F.col(key).alias("_tie")] if q else []))
+        ranked = average_rank(pairs, by, "_x1", "_r1", "_tie" if q else None, centred=True, label=(q, "_tie", "_bucket") if q else None)
+        ranked = average_rank(ranked, by, "_x2", "_r2", "_tie" if q else None, centred=True, like=pairs)
+        end = lambda k: F.avg(F.when(F.col("_bucket") == k, F.col("_x2")))
+        ends = [end(1).alias("bottom"), end(q).alias("top")] if q else []
     else:
         side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).cast("double").alias("x"))
         # a row without both values stays, so that its group does
@@ -294,10 +316,11 @@ def spearman(
         ranked = rank.groupBy(*by, "_key").agg(of(1).alias("_r1"), of(2).alias("_r2"))
     r1, r2 = F.col("_r1"), F.col("_r2")
     moments = ranked.groupBy(*by).agg(
-        F.count(r1).alias("observations"), F.sum(r1 * r2).alias("_xy"), F.sum(r1 * r1).alias("_xx"), F.sum(r2 * r2).alias("_yy")
+        F.count(r1).alias("observations"), F.sum(r1 * r2).alias("_xy"), F.sum(r1 * r1).alias("_xx"), F.sum(r2 * r2).alias("_yy"), *ends
     )
     value = F.when(
         (F.col("observations") >= F.lit(max(2, minimum))) & (F.col("_xx") > 0) & (F.col("_yy") > 0),
         F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy"))),
     )
-    return moments.select(*by, "observations", value.alias(out))
+    # both sides have one row per group; a group without pairs has no moments
+    return moments.select(*by, "observations", value.alias(out), *(["bottom", "top"] if q else []))

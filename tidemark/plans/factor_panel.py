@@ -91,60 +91,84 @@ def score_rows(inputs: DataFrame, names: Sequence[str], minimum: int, q: float)
     return z.unionByName(stage(comp.select(*z.columns, "available_factor_count")), allowMissingColumns=True)
 
 
+@dataclass(frozen=True)
+class ScoredMembers:
+    """Members of signal dates with their visible inputs and scores; dates do not touch each other, so any of them may be taken."""
+
+    inputs: DataFrame
+    scores: DataFrame
+    used: DataFrame
+    names: list[str]
+
+    def at(self, signals: DataFrame) -> ScoredMembers:
+        """What belongs to the given signal dates, at most one a month."""
+        dates = F.broadcast(signals.select("signal_date"))
+        only = lambda df: df.join(dates, "signal_date", "left_semi")
+        return ScoredMembers(only(self.inputs), only(self.scores), only(self.used), self.names)
+
+
+def score_members(
+    signals: DataFrame, membership: DataFrame, facts: DataFrame, valuations: DataFrame, names: Sequence[str] | None = None,
+    minimum_factors: int = 4, q: float = 0.05, fact_age: int | None = 550, valuation_age: int | None = 10,
+) -> ScoredMembers:
+    """Inputs and scores of the members of all signal dates, staged."""
+    names = resolve(names)
+    if not 1 <= minimum_factors <= len(names):
+        raise ValueError("minimum_factors is out of range")
+    if not 0 <= q < 0.5:
+        raise ValueError("q must be in [0, 0.5)")
+    members = stage(member_rows(signals, membership))
+    metrics = sorted({FACTORS[n][1] for n in names if FACTORS[n][1] not in VALUATION_INPUTS})
+    inputs, used = visible_inputs(members, facts, valuations, metrics, fact_age, valuation_age)
+    inputs = stage(inputs)
+    return ScoredMembers(inputs, score_rows(inputs, names, minimum_factors, q), used, names)
+
+
 def build_factor_panel(
     *, calendar: DataFrame, membership: DataFrame, industries: DataFrame, market: DataFrame,
     facts: DataFrame, valuations: DataFrame, names: Sequence[str] | None = None,
     horizons: Sequence[int] = (21, 63), minimum_factors: int = 4, q: float = 0.05,
     fact_age: int | None = 550, valuation_age: int | None = 10, stale_days: int = 20,
-    start: str | None = None, end: str | None = None,
+    start: str | None = None, end: str | None = None, scored: ScoredMembers | None = None,
 ) -> FactorPanel:
     """All signal dates in one plan; nothing loops over months.
 
-    The two result tables are materialised because every diagnostic reads them.
+    The two result tables are materialised because every diagnostic reads them.  ``scored`` has been built with
+    the same parameters for at least these signal dates.
     """
-    names = resolve(names)
     horizons = sorted({int(h) for h in horizons})
     if not horizons or horizons[0] < 1:
         raise ValueError("horizons must be positive integers")
-    if not 1 <= minimum_factors <= len(names):
-        raise ValueError("minimum_factors is out of range")
-    if not 0 <= q < 0.5:
-        raise ValueError("q must be in [0, 0.5)")
     if stale_days < 0:
         raise ValueError("stale_days must not be negative")
     every = month_ends(calendar, start, end)
     signals = month_ends(calendar, start, end, room=max(horizons))
-    members = stage(member_rows(signals, membership))
-    metrics = sorted({FACTORS[n][1] for n in names if FACTORS[n][1] not in VALUATION_INPUTS})
-    inputs, used = visible_inputs(members, facts, valuations, metrics, fact_age, valuation_age)
-    inputs = stage(inputs)
-    scores = score_rows(inputs, names, minimum_factors, q)
+    mine = scored.at(signals) if scored else score_members(signals, membership, facts, valuations, names, minimum_factors, q, fact_age, valuation_age)
+    inputs, scores = mine.inputs, mine.scores
     key = ["signal_date", "symbol"]
     mv = F.col("total_market_value_10k_cny")
     base = asof.industry_at(
         inputs.select(*key, "universe_size", F.log(F.when(mv > 0, mv)).alias("log_total_market_value")), industries
     )
     counts = scores.where(F.col("factor") == COMPOSITE).select(*key, "available_factor_count")
-    only = members.select(*key)
+    only = inputs.select(*key)
     # the probes were the members themselves, so the facts used need no further filter
     rows = base.join(counts, key, "left").join(labels.forward_labels(only, market, calendar, horizons, every, stale_days), key, "left")
-    return FactorPanel(stage(rows), scores.drop("available_factor_count"), used, names, horizons)
+    return FactorPanel(stage(rows), scores.drop("available_factor_count"), mine.used, mine.names, horizons)
 
 
 def build_score_panel(
     *, calendar: DataFrame, membership: DataFrame, facts: DataFrame, valuations: DataFrame,
     names: Sequence[str] | None = None, minimum_factors: int = 4, q: float = 0.05,
     fact_age: int | None = 550, valuation_age: int | None = 10, start: str | None = None, end: str | None = None,
+    scored: ScoredMembers | None = None,
 ) -> DataFrame:
-    """Composite scores with lineage and no forward label anywhere in the plan."""
-    names = resolve(names)
+    """Composite scores with lineage and no forward label anywhere in the plan; ``scored`` as in ``build_factor_panel``."""
     signals = schedule(calendar, start, end)
-    members = stage(member_rows(signals, membership))
-    metrics = sorted({FACTORS[n][1] for n in names if FACTORS[n][1] not in VALUATION_INPUTS})
-    inputs, used = visible_inputs(members, facts, valuations, metrics, fact_age, valuation_age)
-    inputs = stage(inputs)
+    mine = scored.at(signals) if scored else score_members(signals, membership, facts, valuations, names, minimum_factors, q, fact_age, valuation_age)
+    inputs, used = mine.inputs, mine.used
     key = ["signal_date", "symbol"]
-    scores = score_rows(inputs, names, minimum_factors, q).where(F.col("factor") == COMPOSITE)
+    scores = mine.scores.where(F.col("factor") == COMPOSITE)
     scores = scores.select(
         *key, "available_factor_count", F.col("raw").alias(COMPOSITE), F.col("z").alias(f"z_{COMPOSITE}")
     )
