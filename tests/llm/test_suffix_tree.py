@@ -135,3 +135,17 @@ def test_the_tree_beats_unigrams_on_held_out_texts(spark):
 
     rows = [r for r in op9_suffix_tree(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and np.mean([r.score > r.base_score for r in rows]) > 0.85
+
+
+def test_windows_are_grouped_whatever_their_hash_bits():
+    rng = np.random.default_rng(5)
+    grams = rng.integers(0, 40, 5000).astype(np.uint64) << np.uint64(48)
+    once, order, which = st.different(grams)
+    assert sorted(order.tolist()) == list(range(5000)) and (once[which] == grams[order]).all()
+    assert set(once.tolist()) == set(grams.tolist())
+
+
+def test_rows_of_contexts_too_rare_for_the_tree_are_left_out_before_its_joins(frame):
+    train = frame([("ab ab ab ab ab ab ab ab ab qz",)], "text string")
+    found = st._all_windows(st.corpus_counts(train), 6, 8).where("d > 0")
+    assert found.count() > 0 and found.where("total < 8").count() == 0

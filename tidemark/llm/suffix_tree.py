@@ -29,9 +29,10 @@ and the tree alone (uniform bytes) scores; a null id trains; repeated rows count
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,7 @@ SLICE_BYTES = 2 << 20
 HELD_ENTRIES = 3_000_000
 WORD, GRAM = 0, 1
 BYTE = np.uint64(8)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, so windows keep their differences
 
 
 def word_hash(word: bytes) -> int:
@@ -69,15 +71,45 @@ def windows(sequences: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]
 
     Before a sequence stand ends.
     """
-    pad = END * depth
-    data = np.frombuffer(b"".join([part for s in sequences for part in (pad, s)]), np.uint8)
-    lengths = np.array([len(s) for s in sequences])
-    offsets = np.concatenate(([0], np.cumsum(lengths)))
-    own = np.arange(offsets[-1]) + np.repeat((np.arange(len(sequences)) + 1) * depth, lengths)
-    packed = np.zeros(len(data), np.uint64)
-    for k in range(depth, -1, -1):
-        packed[depth:] = packed[depth:] << BYTE | data[depth - k : len(data) - k]
-    return packed[own], offsets
+    # a number of eight bytes begins at every byte, and its last depth + 1 bytes are a window
+    pad = END * 7
+    data = b"".join([part for s in sequences for part in (pad, s)])
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sequences], dtype=np.int64)))
+    packed = np.ndarray(max(len(data) - 7, 0), ">u8", data, strides=(1,))
+    own = [packed[a + 7 * k : b + 7 * k] for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
+    found = np.concatenate(own).astype(np.uint64) if own else np.zeros(0, np.uint64)
+    return found & np.uint64((1 << 8 * (depth + 1)) - 1), offsets
+
+
+def different(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different windows; an order of all windows; which of the different ones each window in that order is).
+
+    Hash bits with the place below them are one number, and numbers sort several times faster than places by a key.
+    Windows whose hash bits agree may stand mixed, so that one is listed more than once; none is taken for another.
+    """
+    places = np.uint64((1 << max(len(grams) - 1, 1).bit_length()) - 1)
+    keyed = grams * SPREAD
+    keyed &= ~places
+    keyed |= np.arange(len(grams), dtype=np.uint64)
+    keyed.sort()
+    keyed &= places
+    order = keyed.view(np.int64)
+    grouped = grams[order]
+    first = np.append(True, grouped[1:] != grouped[:-1])[: len(grouped)]
+    which = np.cumsum(first, dtype=np.int32)
+    which -= 1
+    return grouped[first], order, which
+
+
+def turned(contexts: np.ndarray) -> np.ndarray:
+    """Contexts with their last byte first, at the top of the number: those of one suffix stand together, at every length."""
+    return contexts.astype(np.uint64).byteswap()
+
+
+def turned_windows(windows_: np.ndarray) -> np.ndarray:
+    """The turned contexts of windows, with the byte after them as the lowest byte."""
+    found = windows_.astype(np.uint64)
+    return turned(found >> BYTE) | found & np.uint64(255)
 
 
 def spelled(words: list[bytes]) -> bytes:
@@ -152,12 +184,13 @@ def _counting(depth: int):
 def corpus_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(kind, key, n): counts of word hashes and of byte windows over the training rows' ``text``."""
     partial = train.select("text").mapInArrow(_counting(depth), "kind byte, key long, n long")
-    return stage(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    # tasks have counted already, in order of the keys: rows move as they are and are added up where they arrive
+    return stage(partial.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
 @dataclass
 class Crown:
-    """What a task holds of a tree, by context length, all sorted.
+    """What a task holds of a tree, by context length, all turned and sorted.
 
     Contexts with the log10 weight of their suffix, (context, byte) with log10 probability, and the fringe:
     contexts of the tree that are not held although their suffix is.
@@ -174,20 +207,34 @@ class Crown:
         return len(self.entries) - 1
 
     def window_logs(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of the last byte of each window after the bytes before it; whether that is below the fringe (0 then)."""
-        out, below = np.zeros(len(grams)), np.zeros(len(grams), bool)
+        """log10 probability of the last byte of each window after the bytes before it; whether that is below the fringe (0 then).
+
+        Windows are looked up in the order of the tables, and those that share a context in the fringe once.
+        """
+        grams = turned_windows(grams)
+        order = np.argsort(grams)
+        grams = grams[order]
+        next_byte = grams & np.uint64(255)
+        out, context = np.zeros(len(grams)), grams ^ next_byte
+        upto = [np.uint64((1 << 64) - (1 << 64 - 8 * d)) for d in range(self.depth + 1)]
+        first = np.append(True, context[1:] != context[:-1])[: len(context)]
+        own = context[first]
+        under = np.zeros(len(own), bool)
         for d in range(1, self.depth + 1):
             if len(self.fringe[d]):
-                below |= _find(self.fringe[d], (grams & np.uint64((1 << 8 * (d + 1)) - 1)) >> BYTE)[1]
+                left = np.flatnonzero(~under)
+                under[left] = _find(self.fringe[d], own[left] & upto[d])[1]
+        below = under[np.cumsum(first) - 1]
         open_ = np.flatnonzero(~below)
         for d in range(self.depth, -1, -1):
-            key = grams[open_] & np.uint64((1 << 8 * (d + 1)) - 1)
-            at, hit = _find(self.entries[d], key)
+            at, hit = _find(self.entries[d], context[open_] & upto[d] | next_byte[open_])
             out[open_[hit]] += self.logs[d][at[hit]]
-            open_, key = open_[~hit], key[~hit]
-            at, kept = _find(self.contexts[d], key >> BYTE)
+            open_ = open_[~hit]
+            at, kept = _find(self.contexts[d], context[open_] & upto[d])
             out[open_[kept]] += self.backoff[d][at[kept]]
-        return out, below
+        logs, under_fringe = np.empty(len(out)), np.empty(len(out), bool)
+        logs[order], under_fringe[order] = out, below
+        return logs, under_fringe
 
 
 def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,15 +275,16 @@ class SuffixTree:
             for k in range(self.depth + 1):
                 mine = np.flatnonzero((d == k) & held)
                 mine = mine[np.argsort(key[mine])]
-                found.append([key[mine].astype(np.uint64), *(m[mine] for m in more)])
+                found.append([key[mine], *(m[mine] for m in more)])
             return [list(column) for column in zip(*found, strict=True)]
 
         e = [own[c].to_numpy() for c in ("d", "key", "log")]
         s = [states[c].to_numpy() for c in ("d", "context", "backoff", "held")]
         above = s[3].astype(bool)
-        contexts, backoff = by_length(s[0], above, s[1], s[2])
-        (fringe,) = by_length(s[0], ~above, s[1])
-        return Crown(contexts, backoff, *by_length(e[0], np.ones(len(e[0]), bool), e[1], e[2]), fringe)
+        own_contexts = turned(s[1])
+        contexts, backoff = by_length(s[0], above, own_contexts, s[2])
+        (fringe,) = by_length(s[0], ~above, own_contexts)
+        return Crown(contexts, backoff, *by_length(e[0], np.ones(len(e[0]), bool), turned_windows(e[1]), e[2]), fringe)
 
     def window_logs(self, windows_: DataFrame) -> DataFrame:
         """(window, log): of different windows the log10 probability of their last byte, by joins with the whole tree.
@@ -261,8 +309,11 @@ class SuffixTree:
 SUFFIX = "key & (shiftleft(1L, 8 * d) - 1L)"
 
 
-def _all_windows(counts: DataFrame, depth: int) -> DataFrame:
-    """(d, key, context, n, total, kinds): the windows of every context length with the count and next bytes of their context."""
+def _all_windows(counts: DataFrame, depth: int, least_count: int) -> DataFrame:
+    """(d, key, context, n, total, kinds): the windows of every context length with the count and next bytes of their context.
+
+    Contexts of fewer occurrences than ``least_count`` are left out (but the root): none is in the tree, and so none is a suffix of one that is.
+    """
     spark = counts.sparkSession
     level, paths, levels = counts.where(F.col("kind") == GRAM).select("key", "n"), [], []
     for d in range(depth, -1, -1):
@@ -273,7 +324,8 @@ def _all_windows(counts: DataFrame, depth: int) -> DataFrame:
     # at most 256 rows share a context
     of_context = Window.partitionBy("d", "context")
     every = reduce(DataFrame.unionByName, levels).withColumn("context", F.shiftright("key", 8))
-    found = stage(every.withColumn("total", F.sum("n").over(of_context)).withColumn("kinds", F.count("*").over(of_context)))
+    whole = every.withColumn("total", F.sum("n").over(of_context)).withColumn("kinds", F.count("*").over(of_context))
+    found = stage(whole.where((F.col("d") == 0) | (F.col("total") >= least_count)))
     for path in paths:
         discard(spark, path)
     return found
@@ -287,7 +339,7 @@ def learn_tree(counts: DataFrame, depth: int = DEPTH, least_count: int = LEAST_C
     if depth > 6:
         raise ValueError("windows of more than 7 bytes are not numbers of a long")
     spark = counts.sparkSession
-    all_windows = _all_windows(counts, depth)
+    all_windows = _all_windows(counts, depth, least_count)
     shorter = all_windows.select((F.col("d") + 1).alias("d"), F.col("key").alias("suffix"), F.col("n").alias("n_above"), F.col("total").alias("above"))
     divergence = F.sum(F.expr("n * ln((n / total) / (n_above / above))")).alias("gain")
     tested = (
@@ -345,6 +397,19 @@ def token_logs(spelling: np.ndarray, counts: np.ndarray, norm: int) -> np.ndarra
     return np.log10((1 - TREE_SHARE) * (counts + 1.0) / norm + TREE_SHARE * 10.0**spelling)
 
 
+def spellings(model: Crown, part: list[list[bytes]], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens that begin at ``first``: what their bytes sum to and how many are below the fringe; all windows below it.
+
+    Arrays of a number a byte live no longer than this call.
+    """
+    grams, _ = windows([spelled(w) for w in part], model.depth)
+    once, order, which = different(grams)
+    logs_once, below_once = model.window_logs(once)
+    logs, below = np.empty(len(grams)), np.empty(len(grams), bool)
+    logs[order], below[order] = logs_once[which], below_once[which]
+    return np.add.reduceat(logs, first), np.add.reduceat(below, first, dtype=np.int64), grams[below]
+
+
 def _scoring(crown, unigrams):
     """Per text: tokens, and the sums of those that are settled; the others with what is known of them.
 
@@ -360,22 +425,20 @@ def _scoring(crown, unigrams):
             for part in runs(byte_strings(batch.column("text"))):
                 n = len(part)
                 tokens = [t for w in part for t in (*w, END)]
-                hash_of = {t: word_hash(t) for t in set(tokens)}
-                hashes = np.fromiter(map(hash_of.__getitem__, tokens), np.uint64, len(tokens))
+                number: defaultdict = defaultdict(count().__next__)
+                of_word = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
                 # a word takes its blank along, the end is one byte
-                ends = np.cumsum([len(t) + (t is not END) for t in tokens])
-                first = np.append(0, ends[:-1])
-                grams, _ = windows([spelled(w) for w in part], model.depth)
-                different, back = np.unique(grams, return_inverse=True)
-                logs, below = model.window_logs(different)
-                below = below[back]
-                spelling, n_below = np.add.reduceat(logs[back], first), np.add.reduceat(below.astype(np.int64), first)
+                width = np.fromiter((len(t) + (t != END) for t in number), np.int64, len(number))
+                first = np.append(0, np.cumsum(width[of_word])[:-1])
+                spelling, n_below, windows_below = spellings(model, part, first)
                 starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in part])))
-                place, known = _find(common.hashes, hashes)
-                counts = np.zeros(len(tokens), np.int64)
-                counts[known] = common.counts[place[known]]
-                base, score = np.zeros(len(tokens)), np.zeros(len(tokens))
-                base[known] = np.log10((counts[known] + 1.0) / norm)
+                word_hashes = np.fromiter(map(word_hash, number), np.uint64, len(number))
+                place, found = _find(common.hashes, word_hashes)
+                word_counts, word_base = np.zeros(len(number), np.int64), np.zeros(len(number))
+                word_counts[found] = common.counts[place[found]]
+                word_base[found] = np.log10((word_counts[found] + 1.0) / norm)
+                hashes, known, counts, base = word_hashes[of_word], found[of_word], word_counts[of_word], word_base[of_word]
+                score = np.zeros(len(tokens))
                 settled = known & (n_below == 0)
                 score[settled] = token_logs(spelling[settled], counts[settled], norm)
                 left = ~settled
@@ -383,7 +446,7 @@ def _scoring(crown, unigrams):
                 of_token = np.concatenate(([0], np.cumsum(n_below[left]))).astype(np.int32)
                 open_tokens = pa.StructArray.from_arrays([
                     pa.array(hashes[left].view(np.int64), mask=known[left]), pa.array(counts[left], mask=~known[left]), pa.array(spelling[left]),
-                    pa.ListArray.from_arrays(pa.array(of_token), pa.array(grams[below].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(of_token), pa.array(windows_below.view(np.int64))),
                 ], ["key", "count", "spelling", "windows"])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("row_id").slice(at, n), pa.array(np.diff(starts)), pa.array(np.add.reduceat(known.astype(np.int64), starts[:-1])),
