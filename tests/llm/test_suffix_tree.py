@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import suffix_tree as st
 
@@ -149,3 +151,47 @@ def test_rows_of_contexts_too_rare_for_the_tree_are_left_out_before_its_joins(fr
     train = frame([("ab ab ab ab ab ab ab ab ab qz",)], "text string")
     found = st._all_windows(st.corpus_counts(train), 6, 8).where("d > 0")
     assert found.count() > 0 and found.where("total < 8").count() == 0
+
+
+def test_counting_holds_windows_that_recur_once():
+    rng = np.random.default_rng(7)
+    letters = rng.integers(97, 103, 10_000_000).astype(np.uint8)
+    letters[::8] = 32
+    texts = [letters[a : a + 60_000].tobytes().decode() for a in range(0, len(letters), 60_000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]
+    tracemalloc.start()
+    n = sum(int(b.column("n").to_numpy()[b.column("kind").to_numpy() == st.GRAM].sum()) for b in st._counting(6)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a blank before a text's first word is dropped; one behind its last and the end are added
+    assert n == len(letters) + len(texts) and peak < 120e6
+
+
+def test_counts_are_added_whatever_the_slices(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab c") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]
+
+    def counted():
+        found = Counter()
+        for b in st._counting(6)(iter(batches)):
+            for kind, key, n in zip(*(b.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True):
+                found[kind, key] += n
+        return found
+
+    whole = counted()
+    for limit, held_entries in ((64, 10**6), (300, 500)):
+        monkeypatch.setattr(st.runs, "__defaults__", (limit,))
+        monkeypatch.setattr(st, "HELD_ENTRIES", held_entries)
+        assert counted() == whole
+
+
+def test_windows_are_looked_up_in_parts(frame, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choice(("abca", "cb ", "bbca", "acab ")) for _ in range(60))) for k in range(20)]
+    crown = st.learn_tree(st.corpus_counts(frame(rows, "doc_id long, text string"), 3), 3, 4).crown(40)
+    grams, _ = st.windows([text.encode() for _, text in rows], 3)
+    logs, below = crown.window_logs(grams)
+    monkeypatch.setattr(st, "LOOKED_UP", 7)
+    again, under = crown.window_logs(grams)
+    assert below.any() and not below.all() and (logs == again).all() and (below == under).all()

@@ -51,14 +51,14 @@ FREQUENT_SHARE = 1e-6
 TREE_SHARE = 0.7
 END = b"\n"
 SLICE_BYTES = 2 << 20
-HELD_ENTRIES = 3_000_000
+HELD_ENTRIES = 2_500_000  # different windows a counting task holds, 16 bytes each, and as much again while a slice is added
+LOOKED_UP = 1 << 17
 WORD, GRAM = 0, 1
 BYTE = np.uint64(8)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, so windows keep their differences
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+word_hash = xxhash.xxh64_intdigest
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -77,8 +77,9 @@ def windows(sequences: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]
     offsets = np.concatenate(([0], np.cumsum([len(s) for s in sequences], dtype=np.int64)))
     packed = np.ndarray(max(len(data) - 7, 0), ">u8", data, strides=(1,))
     own = [packed[a + 7 * k : b + 7 * k] for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
-    found = np.concatenate(own).astype(np.uint64) if own else np.zeros(0, np.uint64)
-    return found & np.uint64((1 << 8 * (depth + 1)) - 1), offsets
+    found = np.concatenate(own, dtype=np.uint64) if own else np.zeros(0, np.uint64)
+    found &= np.uint64((1 << 8 * (depth + 1)) - 1)
+    return found, offsets
 
 
 def different(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,12 +104,12 @@ def different(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def turned(contexts: np.ndarray) -> np.ndarray:
     """Contexts with their last byte first, at the top of the number: those of one suffix stand together, at every length."""
-    return contexts.astype(np.uint64).byteswap()
+    return contexts.astype(np.uint64, copy=False).byteswap()
 
 
 def turned_windows(windows_: np.ndarray) -> np.ndarray:
     """The turned contexts of windows, with the byte after them as the lowest byte."""
-    found = windows_.astype(np.uint64)
+    found = windows_.astype(np.uint64, copy=False)
     return turned(found >> BYTE) | found & np.uint64(255)
 
 
@@ -130,12 +131,19 @@ def runs(texts, limit: int = SLICE_BYTES):
         yield held
 
 
-def _sum_by_key(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, n = k[order], n[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, int)
-    return k[first], np.add.reduceat(n, first) if len(k) else n
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order and how often each occurs; sorts ``keys`` itself."""
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of sorted keys with those of more sorted keys added; rows that are there already are not sorted again."""
+    at, known = _find(keys, more)
+    counts[at[known]] += n[known]
+    new = ~known
+    return np.insert(keys, at[new], more[new]), np.insert(counts, at[new], n[new])
 
 
 def _counting(depth: int):
@@ -153,30 +161,22 @@ def _counting(depth: int):
 
     def run(batches):
         words: Counter = Counter()
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for part in runs(byte_strings(batch.column("text"))):
                 for w in part:
                     words.update(w)
                 words[END] += len(part)
-                grams, _ = windows([spelled(w) for w in part], depth)
-                k, n = np.unique(grams, return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                if sum(map(len, keys)) > HELD_ENTRIES:
-                    k, n = _sum_by_key(keys, counts)
-                    keys, counts = [k], [n]
-                    if len(k) > HELD_ENTRIES // 2:
-                        yield from rows(GRAM, k, n)
-                        keys, counts = [], []
+                keys, counts = _added(keys, counts, *_counted(windows([spelled(w) for w in part], depth)[0]))
+                if len(keys) > HELD_ENTRIES:
+                    yield from rows(GRAM, keys, counts)
+                    keys, counts = keys[:0].copy(), counts[:0].copy()
                 if len(words) > HELD_ENTRIES // 4:
                     yield from words_out(words)
                     words.clear()
         if words:
             yield from words_out(words)
-        if keys:
-            yield from rows(GRAM, *_sum_by_key(keys, counts))
+        yield from rows(GRAM, keys, counts)
 
     return run
 
@@ -209,11 +209,18 @@ class Crown:
     def window_logs(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of the last byte of each window after the bytes before it; whether that is below the fringe (0 then).
 
-        Windows are looked up in the order of the tables, and those that share a context in the fringe once.
+        Windows are looked up in the order of the tables, ``LOOKED_UP`` at a time.
         """
         grams = turned_windows(grams)
         order = np.argsort(grams)
-        grams = grams[order]
+        logs, below = np.empty(len(grams)), np.empty(len(grams), bool)
+        for a in range(0, len(grams), LOOKED_UP):
+            part = order[a : a + LOOKED_UP]
+            logs[part], below[part] = self._sorted_logs(grams[part])
+        return logs, below
+
+    def _sorted_logs(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``window_logs`` of sorted turned windows; those that share a context are looked up in the fringe once."""
         next_byte = grams & np.uint64(255)
         out, context = np.zeros(len(grams)), grams ^ next_byte
         upto = [np.uint64((1 << 64) - (1 << 64 - 8 * d)) for d in range(self.depth + 1)]
@@ -232,9 +239,7 @@ class Crown:
             open_ = open_[~hit]
             at, kept = _find(self.contexts[d], context[open_] & upto[d])
             out[open_[kept]] += self.backoff[d][at[kept]]
-        logs, under_fringe = np.empty(len(out)), np.empty(len(out), bool)
-        logs[order], under_fringe[order] = out, below
-        return logs, under_fringe
+        return out, below
 
 
 def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,14 +405,18 @@ def token_logs(spelling: np.ndarray, counts: np.ndarray, norm: int) -> np.ndarra
 def spellings(model: Crown, part: list[list[bytes]], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of tokens that begin at ``first``: what their bytes sum to and how many are below the fringe; all windows below it.
 
-    Arrays of a number a byte live no longer than this call.
+    Arrays of a number a byte live no longer than this call, the windows themselves no longer than it takes to group them.
     """
-    grams, _ = windows([spelled(w) for w in part], model.depth)
-    once, order, which = different(grams)
+    once, order, which = different(windows([spelled(w) for w in part], model.depth)[0])
     logs_once, below_once = model.window_logs(once)
-    logs, below = np.empty(len(grams)), np.empty(len(grams), bool)
-    logs[order], below[order] = logs_once[which], below_once[which]
-    return np.add.reduceat(logs, first), np.add.reduceat(below, first, dtype=np.int64), grams[below]
+
+    def of_bytes(values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(order), values.dtype)
+        out[order] = values[which]
+        return out
+
+    below, spelling = of_bytes(below_once), np.add.reduceat(of_bytes(logs_once), first)
+    return spelling, np.add.reduceat(below, first, dtype=np.int64), of_bytes(once)[below] if below.any() else once[:0]
 
 
 def _scoring(crown, unigrams):
@@ -428,7 +437,8 @@ def _scoring(crown, unigrams):
                 number: defaultdict = defaultdict(count().__next__)
                 of_word = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
                 # a word takes its blank along, the end is one byte
-                width = np.fromiter((len(t) + (t != END) for t in number), np.int64, len(number))
+                width = np.fromiter(map(len, number), np.int64, len(number)) + 1
+                width[number[END]] = 1
                 first = np.append(0, np.cumsum(width[of_word])[:-1])
                 spelling, n_below, windows_below = spellings(model, part, first)
                 starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in part])))
